@@ -81,8 +81,8 @@ class WordHasher:
             yield at, end
             at = end
 
-    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word: first byte, end byte, row and hash."""
+    def words(self, data: np.ndarray, offsets: np.ndarray, first_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: first byte, end byte, row and hash (of its first bytes only, if so asked)."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in self._pieces(data, offsets[1:]):
             part = data[a:b]
@@ -97,6 +97,8 @@ class WordHasher:
             after[-1], after[:-1] = False, inside[1:]
             after[cut[cut > 0] - 1] = False
             start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+            if first_bytes:
+                end = np.minimum(end, start + first_bytes)
             if len(part) + 1 > len(self.up):
                 self._grow(len(part) + 1)
             with np.errstate(over="ignore"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,10 +39,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(_documents(spark, sf_dir), weight=lambda place: place % 3 + 1, max_epochs=3.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: A labelled document's grade: 0 junk, 1 toxic, 2 clean; and the least probability of grade 2 that passes.
+GRADES, KEEP = 3, 0.5
+
+
+def grade() -> Column:
+    return F.col("quality") * (2 - F.col("toxic"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal import fit_on, score
+
+    documents = _documents(spark, sf_dir)
+    model = fit_on(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), grade(), GRADES)
+    return score(documents, model, GRADES).withColumn("keep", F.col("top_probability") >= KEEP)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_plane_files": op3_plane_files,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_source_mix": op7_source_mix,
+        "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
     }
 
