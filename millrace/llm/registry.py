@@ -46,6 +46,13 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    deduped = dedup_lines(_documents(spark, sf_dir))
+    return deduped.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 #: A labelled document's grade: 0 junk, 1 toxic, 2 clean; and the least probability of grade 2 that passes.
 GRADES, KEEP = 3, 0.5
 
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_plane_files": op3_plane_files,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_source_mix": op7_source_mix,
+        "op8_line_dedup": op8_line_dedup,
         "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
     }
