@@ -138,7 +138,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_token_files(df: DataFrame, vocabulary: str, end_id: int, to: str | None = None, planes: str = "bit", width: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_token_files(df: DataFrame, vocabulary: str, end_id: int, to: str | None = None, planes: str = "byte", width: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encode every text and write the ids, with ``end_id`` after each document, in ascending ``doc_id`` order.
 
     Each range of ids becomes one file in ``to`` (a folder that all executors reach; by default a new one in
