@@ -7,6 +7,7 @@ that no Python statement runs once per word.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,3 +190,10 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterato
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage of tables that several steps read."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,12 @@ def op3_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +78,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_plane_files": op3_plane_files,
+        "op4_jaccard_join": op4_jaccard_join,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_source_mix": op7_source_mix,
         "op8_line_dedup": op8_line_dedup,
