@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, by_bytes, cut_lineage, mix, utf8
+from .common import U64, WordHasher, by_bytes, keep, mix, partitions, utf8
 
 #: Lines of fewer words are dropped only for an earlier line of the same words.
 LEAST_WORDS = 8
 _SECOND = U64(0xE7037ED1A0B428DB)
 POSITION = ["doc", "text_hash", "line"]
 _POSITION_TYPE = "doc bigint, text_hash bigint, line int"
+_POSITION = np.dtype([("doc", "<i8"), ("text_hash", "<i8"), ("line", "<i4")])
+#: Numbers in the list of lines that are looked at again (8 bytes each), up to which the list is broadcast; a longer one is joined by shuffle.
+BROADCAST_NUMBERS = 2_000_000
 
 
 class Sequences:
@@ -96,24 +99,76 @@ def _lines_with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([part.column("doc").take(row), part.column("text_hash").take(row), pa.array(numbers[line], pa.int32()), _signed(a), _signed(b), halves], [*POSITION, "a", "b", "halves"])
 
 
-def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line's own key (word -1), and its key without each of its words. Of equal words side by side only the first is left out: the others give the same line."""
-    hasher = WordHasher()
-    for batch in batches:
-        for part in by_bytes(batch, "text", 1 << 18):
-            _, _, line, words = hasher.words(*utf8(part.column("text")))
-            if not len(line):
-                continue
-            first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-            end, line = np.r_[first[1:], len(words)], line[first]
-            sequences = Sequences(hasher, words)
-            a, b = sequences.runs(first, end)
-            of = np.repeat(np.arange(len(first)), end - first)
-            at = np.arange(len(words))
-            va, vb = sequences.without(first[of], end[of], at)
-            word = np.concatenate([np.full(len(first), -1), at - first[of]])
-            row = pa.array(np.concatenate([line, line[of]]))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in POSITION), _signed(np.concatenate([a, va])), _signed(np.concatenate([b, vb])), pa.array(word, pa.int32())], [*POSITION, "a", "b", "word"])
+def _neighbourhoods(n_reducers: int):
+    """Each line's own key (word -1), and its key without each of its words, packed for reducers.
+
+    Of members that agree in key and word, all but the earliest of a batch already have their earlier line (reducer -1: its position);
+    only the earliest goes on, so that a key with any number of lines sends one entry a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                _, _, line, words = hasher.words(*utf8(part.column("text")))
+                if not len(line):
+                    continue
+                position = np.rec.fromarrays([part.column(c).to_numpy(zero_copy_only=False) for c in POSITION], dtype=_POSITION)
+                first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+                end, line = np.r_[first[1:], len(words)], line[first]
+                sequences = Sequences(hasher, words)
+                of, at = np.repeat(np.arange(len(first)), end - first), np.arange(len(words))
+                key = np.concatenate([sequences.runs(first, end)[0], sequences.without(first[of], end[of], at)[0]])
+                word = np.concatenate([np.full(len(first), -1, np.int32), (at - first[of]).astype(np.int32)])
+                row = np.concatenate([line, line[of]])
+                rank = np.empty(part.num_rows, np.int64)
+                rank[np.argsort(position, order=POSITION, kind="stable")] = np.arange(part.num_rows)
+                order = np.lexsort((rank[row], word, key))
+                key, word, row = key[order], word[order], row[order]
+                head = np.r_[True, (key[1:] != key[:-1]) | (word[1:] != word[:-1])]
+                of_head = np.flatnonzero(head)[np.cumsum(head) - 1]
+                late = ~head & (row != row[of_head])
+                out = [(-1, position[row[late]].tobytes(), position[row[of_head][late]].tobytes(), b"")] if late.any() else []
+                key, word, row = key[head], word[head], row[head]
+                to = (key >> U64(32)) % U64(n_reducers)
+                order = np.argsort(to, kind="stable")
+                key, word, row, to = key[order], word[order], row[order], to[order]
+                ends = np.searchsorted(to, np.arange(n_reducers + 1))
+                for r in np.flatnonzero(np.diff(ends)):
+                    here = slice(ends[r], ends[r + 1])
+                    out.append((int(r), position[row[here]].tobytes(), key[here].tobytes(), word[here].tobytes()))
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["reducer", "positions", "keys", "words"])
+
+    return run
+
+
+def _pairs(at: np.ndarray, earliest: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({**{c: at[c] for c in POSITION}, **{f"earlier_{c}": earliest[c] for c in POSITION}})
+
+
+def _meet(group: pd.DataFrame) -> pd.DataFrame:
+    """Lines of one reducer that have an earlier neighbour, each with it: the earliest of the same key and word (a replaced word), or of a line and the lines that it is a deletion of."""
+    at = np.frombuffer(b"".join(group["positions"]), _POSITION)
+    if group["reducer"].iat[0] < 0:
+        return _pairs(at, np.frombuffer(b"".join(group["keys"]), _POSITION))
+    key, word = np.frombuffer(b"".join(group["keys"]), U64), np.frombuffer(b"".join(group["words"]), np.int32)
+    order = np.lexsort((at["line"], at["text_hash"], at["doc"], word, key))
+    at, key, word = at[order], key[order], word[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (word[1:] != word[:-1])]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    late = np.flatnonzero(first != np.arange(len(key)))
+    found = [_pairs(at[late], at[first[late]])]
+    # a key's whole line stands first in its run (word -1), then the earliest of each word
+    heads = np.flatnonzero(new)
+    run = np.flatnonzero(np.r_[True, key[heads][1:] != key[heads][:-1]])
+    whole = np.repeat(heads[run], np.diff(np.r_[run, len(heads)]))
+    cut = np.flatnonzero((word[whole] < 0) & (word[heads] >= 0))
+    mine, its = at[heads[cut]], at[whole[cut]]
+    its_first = np.array([tuple(a) < tuple(b) for a, b in zip(its.tolist(), mine.tolist(), strict=True)], bool)
+    found.append(_pairs(mine[its_first], its[its_first]))
+    found.append(_pairs(its[~its_first], mine[~its_first]))
+    return pd.concat(found)
 
 
 def within_one_edit(a: list[str], b: list[str]) -> bool:
@@ -151,27 +206,27 @@ def _rebuilt(text: pd.Series, kept: pd.Series) -> pd.DataFrame:
 
 def _near_earlier(firsts: DataFrame, documents: DataFrame) -> DataFrame:
     """Positions of the distinct lines that are within one edit of an earlier one."""
-    halves = firsts.where(F.size("halves") > 0).select(*POSITION, F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    suspects = halves.join(shared, "half").select(*POSITION).distinct()
-    by_document = suspects.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("numbers"))
-    own = documents.select("doc", "text_hash", "text")
-    same = own["doc"].eqNullSafe(by_document["doc"]) & (own["text_hash"] == by_document["text_hash"])
-    split = own.join(by_document, same).select(own["doc"], own["text_hash"], "numbers", F.split("text", "\n").alias("lines"))
-    lines = split.select("doc", "text_hash", F.explode("numbers").alias("line"), "lines").select(*POSITION, F.get("lines", F.col("line")).alias("text"))
-    lines = cut_lineage(lines)
-    keys = cut_lineage(lines.mapInArrow(_neighbourhoods, f"{_POSITION_TYPE}, a bigint, b bigint, word int").withColumn("at", F.struct(*POSITION)).drop(*POSITION))
-
-    replaced = keys.where("word >= 0").groupBy("a", "b", "word").agg(F.min("at").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = keys.groupBy("a", "b").agg(F.min(F.when(F.col("word") < 0, F.col("at"))).alias("whole"), F.min(F.when(F.col("word") >= 0, F.col("at"))).alias("cut"))
-    both = both.where("whole is not null and cut is not null")
-    other = F.when(F.col("word") < 0, F.col("cut")).otherwise(F.col("whole"))
-    found = keys.join(replaced, ["a", "b", "word"]).select("at", "earliest").unionByName(keys.join(both, ["a", "b"]).select("at", other.alias("earliest")))
-    pairs = found.where(F.col("earliest") < F.col("at")).groupBy("at").agg(F.min("earliest").alias("earliest"))
-    texts = lines.dropDuplicates(POSITION).select(F.struct(*POSITION).alias("p"), "text")
-    mine, its = texts.select(F.col("p").alias("p1"), F.col("text").alias("t1")), texts.select(F.col("p").alias("p2"), F.col("text").alias("t2"))
-    checked = pairs.join(mine, F.col("at").eqNullSafe(F.col("p1"))).join(its, F.col("earliest").eqNullSafe(F.col("p2")))
-    return checked.where(F.pandas_udf(_verified, "boolean")("t1", "t2")).select("at.*")
+    spark = firsts.sparkSession
+    halves = firsts.where(F.size("halves") > 0).select("id", F.explode(F.array_distinct("halves")).alias("half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    suspects = halves.join(shared, "half").select("id").distinct()
+    by_document = keep(firsts.join(suspects, "id").groupBy("doc", "text_hash").agg(F.collect_set("line").alias("numbers")))
+    small = by_document.agg(F.sum(F.size("numbers") + 6)).first()[0] or 0
+    asked = F.broadcast(by_document) if small <= BROADCAST_NUMBERS else by_document
+    d, q = documents.select("doc", "text_hash", "text").alias("d"), asked.alias("q")
+    lines = d.join(q, F.col("d.doc").eqNullSafe(F.col("q.doc")) & (F.col("d.text_hash") == F.col("q.text_hash"))).select("d.doc", "d.text_hash", "numbers", F.split("text", "\n").alias("lines"))
+    lines = lines.select("doc", "text_hash", F.explode("numbers").alias("line"), "lines").select(*POSITION, F.get("lines", F.col("line")).alias("text"))
+    lines = keep(lines.where("doc is not null"))
+
+    n_reducers = partitions(spark)
+    blobs = lines.mapInArrow(_neighbourhoods(n_reducers), "reducer int, positions binary, keys binary, words binary")
+    blobs = blobs.withColumn("salt", F.when(F.col("reducer") < 0, F.xxhash64("positions")).otherwise(0))
+    found = blobs.groupBy("reducer", "salt").applyInPandas(_meet, f"{_POSITION_TYPE}, earlier_doc bigint, earlier_text_hash bigint, earlier_line int")
+    pairs = found.groupBy(*POSITION).agg(F.min(F.struct(*(f"earlier_{c}" for c in POSITION))).alias("e")).select(*POSITION, "e.*")
+    texts = lines.dropDuplicates(POSITION)
+    its = texts.select(*(F.col(c).alias(f"earlier_{c}") for c in POSITION), F.col("text").alias("earlier_text"))
+    checked = pairs.join(texts, POSITION).join(its, [f"earlier_{c}" for c in POSITION])
+    return checked.where(F.pandas_udf(_verified, "boolean")("text", "earlier_text")).select(*POSITION)
 
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -179,7 +234,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     A line goes if an earlier line of any document has the same words, or, both having LEAST_WORDS or more, words within one edit;
     whether that earlier line itself stays does not matter. Earlier: by id (null first), then by a hash of the
-    text, then by place. Blank lines are never dropped or counted, except that a text none of whose lines is kept
+    text, then by place. Lines of rows with a null id are compared as wholes only. Blank lines are never dropped or counted, except that a text none of whose lines is kept
     becomes empty. Rows that agree in id and text are one document and keep the same lines. A null text stays null.
     Columns of ``df`` named n_lines or n_kept are replaced, all others kept.
 
@@ -190,7 +245,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     documents = df.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(F.col(text_column)).alias("text_hash"), F.col(text_column).alias("text"), F.struct(*kept_columns).alias("row"))
     keyed = documents.select("doc", "text_hash", "text").mapInArrow(_lines_with_keys, f"{_POSITION_TYPE}, a bigint, b bigint, halves array<bigint>")
     firsts = keyed.groupBy("a", "b").agg(F.min(F.struct(*POSITION, "halves")).alias("first")).select("first.*")
-    firsts = cut_lineage(firsts)
+    firsts = keep(firsts.withColumn("id", F.monotonically_increasing_id()))
     near = _near_earlier(firsts, documents)
     same = F.struct(*(F.col(f"f.{c}") for c in POSITION)).eqNullSafe(F.struct(*(F.col(f"g.{c}") for c in POSITION)))
     staying = firsts.select(*POSITION).alias("f").join(near.alias("g"), same, "left_anti")
