@@ -39,6 +39,8 @@ SPARE = 0.2
 HOT = 24
 #: Keys that one reducer task takes at once, about.
 REDUCER_KEYS = 2_000_000
+#: Sets whose texts are looked up again by a broadcast of their ids (16 bytes each); beyond it by a shuffle.
+BROADCAST_NODES = 1_000_000
 _SEGMENT_SEED, _SUBSET_SEED, _A, _B = (U64(x) for x in (0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -87,10 +89,16 @@ def sets_of(texts: pa.Array, hasher: WordHasher, width: int = WIDTH) -> tuple[np
     data, offsets = utf8(texts)
     _, _, row, word = hasher.words(data, offsets)
     rows, values = shingles(row, word, width)
-    order = np.lexsort((values, rows))
-    rows, values = rows[order], values[order]
+    bits = max(1, int(len(offsets)).bit_length())
+    short = (rows.astype(U64) << U64(64 - bits)) | (values >> U64(bits))
+    order = np.argsort(short)
+    rows, values, short = rows[order], values[order], short[order]
     if len(rows):
         new = np.r_[True, (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])]
+        if (new[1:] & (short[1:] == short[:-1])).any():  # two shingles that differ in the last bits only
+            order = np.lexsort((values, rows))
+            rows, values = rows[order], values[order]
+            new = np.r_[True, (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])]
         rows, values = rows[new], values[new]
     return values, np.searchsorted(rows, np.arange(len(offsets)))
 
@@ -188,8 +196,8 @@ def _emit(width: int, t: int, n_reducers: int):
 def _meet(group: pd.DataFrame) -> pd.DataFrame:
     """What one reducer finds.
 
-    kind 0: pairs of a key's smallest set x with its others y, n keys alike. kind 1: members y of a key x of 3 to HOT sets. kind 2: how often (n)
-    set x has a hot key in band y. kind 3: set x has n keys beyond D in band y.
+    kind 0: sets x and y alone share n keys. kind 1: members y of a key x of 3 to HOT sets. kind 2: how often (n) set x has a hot key in band y.
+    kind 3: set x has n keys beyond D in band y. kind 4: sets x and y share n keys of three or more sets of which x is the smallest.
     """
     nodes = [np.frombuffer(x, np.int64) for x in group["nodes"]]
     bands = [np.frombuffer(x, np.uint8) for x in group["bands"]]
@@ -211,29 +219,35 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     of = np.repeat(np.arange(len(first)), size)
-    met = (size[of] > 1) & (node != node[first][of])
-    pairs, n_pairs = np.unique(np.stack([node[first][of][met], node[met]], 1), axis=0, return_counts=True)
+    smallest = node[first][of]
+
+    def pairs_of(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.stack([smallest[chosen], node[chosen]], 1), axis=0, return_counts=True)
+
+    two, n_two = pairs_of((size[of] == 2) & (node != smallest))
+    star, n_star = pairs_of((size[of] > 2) & (node != smallest))
     some, hot = (size[of] > 2) & (size[of] <= HOT), size[of] > HOT
     hots, n_hots = np.unique(np.stack([node[hot], band[hot].astype(np.int64)], 1), axis=0, return_counts=True)
     with np.errstate(over="ignore"):
         group_key = mix(key[some] + U64(int(group["reducer"].iat[0]) + 1) * _B).view(np.int64)
-    kinds = np.repeat([0, 1, 2], [len(pairs), int(some.sum()), len(hots)])
-    return pd.DataFrame({"kind": kinds, "x": np.r_[pairs[:, 0], group_key, hots[:, 0]], "y": np.r_[pairs[:, 1], node[some], hots[:, 1]], "n": np.r_[n_pairs, np.zeros(int(some.sum()), np.int64), n_hots]})
+    kinds = np.repeat([0, 1, 2, 4], [len(two), int(some.sum()), len(hots), len(star)])
+    return pd.DataFrame({"kind": kinds, "x": np.r_[two[:, 0], group_key, hots[:, 0], star[:, 0]], "y": np.r_[two[:, 1], node[some], hots[:, 1], star[:, 1]], "n": np.r_[n_two, np.zeros(int(some.sum()), np.int64), n_hots, n_star]})
 
 
-def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node`` and its sorted distinct shingles (binary) of the wanted nodes (columns node, first_doc)."""
+def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``node`` and its sorted distinct shingles (binary) of the wanted nodes (column node), read again from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 values, starts = sets_of(part.column("text"), hasher, width)
-                ids = nodes_of(values, starts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("wanted"), pa.array(nodes_of(values, starts)), pa.array([values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["wanted", "node", "shingles"])
 
-    texts = documents.join(wanted.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id").select("text")
-    return texts.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+    asked = keep(nodes.join(wanted.select("node").distinct(), "node").where("first_doc is not null").select(F.col("node").alias("wanted"), F.col("first_doc").alias("doc_id")))
+    texts = documents.join(F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked, "doc_id").select("wanted", "text")
+    found = texts.mapInArrow(run, "wanted bigint, node bigint, shingles binary").where("wanted = node").drop("wanted")
+    return keep(found)
 
 
 def _verify(t: int):
@@ -277,12 +291,16 @@ def _neighbourhoods(t: int):
     return run
 
 
-def _saturated_keys(met: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """``node``, ``key`` and ``side`` of the saturated sets: those left with no more than D keys that are not hot."""
+def _spare(met: DataFrame) -> DataFrame:
+    """How many keys beyond D that are not hot each set has in each band: ``node``, ``band``, ``hot``, ``spare``. It shares at least so many with any set that links with it in the band."""
     hot = met.where("kind = 2").groupBy(F.col("x").alias("node"), F.col("y").alias("band")).agg(F.sum("n").alias("hot"))
     spare = met.where("kind = 3").select(F.col("x").alias("node"), F.col("y").alias("band"), F.col("n").alias("spare"))
     joined = spare.join(hot, ["node", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    saturated = joined.where("spare <= hot")
+    return joined.select("node", "band", "hot", (F.col("spare") - F.col("hot")).alias("spare"))
+
+
+def _saturated_keys(saturated: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """``node``, ``key`` and ``side`` of the saturated sets."""
     return saturated.join(sets, "node").select("node", "band", "hot", "shingles").mapInPandas(_neighbourhoods(t), "node bigint, key bigint, side int")
 
 
@@ -300,7 +318,20 @@ def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = N
     on = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component"))
     if apart is not None:
         on &= apart
-    return p.join(q, on).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    # a pair of which neither is in the largest component comes up from both sides
+    on &= (F.col("q.component") == F.col("q.largest")) | (F.col("p.node") < F.col("q.node"))
+    return p.join(q, on).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _apart(pairs: DataFrame, united: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(united.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
 
 
 def _same_size(a: Column, b: Column, t: int) -> Column:
@@ -327,32 +358,34 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     blobs = documents.mapInArrow(_emit(width, t, n_reducers), "reducer int, nodes binary, bands binary, counts binary, key_bytes binary")
     met = keep(blobs.groupBy("reducer").applyInPandas(_meet, "kind int, x bigint, y bigint, n bigint"))
 
-    sized = nodes.select("node", "size")
-    pairs = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
-    for side in ("a", "b"):
-        pairs = pairs.join(sized.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}")), side)
-    pairs = keep(pairs.where(_same_size(F.col("size_a"), F.col("size_b"), t)).select("a", "b", "n"))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.where("kind = 1").select(F.col("y").alias("node")))
-    wanted = wanted.unionByName(met.where("kind = 2").select(F.col("x").alias("node"))).unionByName(met.where("kind = 3 and n <= 0").select(F.col("x").alias("node"))).distinct()
-    sets = keep(_sets(documents, nodes.join(wanted, "node"), width))
-
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    links = keep(_linked(best.select("a", "b"), sets, t))
+    spare = keep(_spare(met))
+    least = spare.groupBy("node").agg(F.min("spare").alias("least"))
+    sized = keep(nodes.select("node", "size").join(least, "node"))
+
+    def with_sizes(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes can link, with what the two sets have to share."""
+        for side in ("a", "b"):
+            pairs = pairs.join(sized.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("least").alias(f"least_{side}")), side)
+        return pairs.where(_same_size(F.col("size_a"), F.col("size_b"), t)).withColumn("least", F.greatest("least_a", "least_b"))
+
+    # first the likeliest partner of each set
+    near = met.where("kind in (0, 4)").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
+    likely = with_sizes(near).where("2 * n >= least")
+    best = keep(likely.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
+    links = keep(_linked(best, _sets(documents, nodes, _ends(best), width), t))
     united = cut_lineage(components(links))
 
-    few = met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node"))
-    saturated = keep(_saturated_keys(met, sets, t))
-    ends = _cross_pairs(saturated.where("side < 2"), united, F.col("p.side") != F.col("q.side"))
-    rest = _cross_pairs(saturated.where("side = 2").drop("side"), united)
-    more = pairs.select("a", "b").unionByName(_cross_pairs(few, united)).unionByName(ends).unionByName(rest)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    for side in ("a", "b"):
-        more = more.join(united.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-        more = more.join(sized.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}")), side)
-    apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
-    more = keep(more.where(apart & _same_size(F.col("size_a"), F.col("size_b"), t)).select("a", "b"))
-    final = components(links.unionByName(_linked(more, sets, t)))
+    # then every pair of sets in different components that shares as many keys as it has to
+    two = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "n")
+    several = _cross_pairs(met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node")), united).withColumn("n", F.lit(1))
+    enough = with_sizes(_apart(two.unionByName(several).groupBy("a", "b").agg(F.sum("n").alias("n")), united)).where("n >= least")
+    saturated = spare.where("spare <= 0")
+    keys = keep(_saturated_keys(saturated, _sets(documents, nodes, saturated, width), t))
+    ends = _cross_pairs(keys.where("side < 2"), united, F.col("p.side") != F.col("q.side"))
+    rest = _cross_pairs(keys.where("side = 2").drop("side"), united)
+    tight = with_sizes(ends.unionByName(rest).distinct())
+    more = keep(enough.select("a", "b").unionByName(tight.select("a", "b")).distinct())
+    final = components(links.unionByName(_linked(more, _sets(documents, nodes, _ends(more), width), t)))
 
     of_node = nodes.join(final, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("component"))
     smallest = of_node.groupBy("component").agg(F.min("first_doc").alias("component_id"))

@@ -12,6 +12,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import edited_fingerprints
+
+    return edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan_licences
 
@@ -34,6 +40,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op5_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20, factor=2.0)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,9 +95,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_order_minhash": op1_order_minhash,
         "op2_licence_scan": op2_licence_scan,
         "op3_plane_files": op3_plane_files,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_vantage_trees": op5_vantage_trees,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_source_mix": op7_source_mix,
         "op8_line_dedup": op8_line_dedup,
