@@ -75,3 +75,21 @@ def mix(df: DataFrame, weight: Callable[[Column], Column], max_epochs: float = 3
     before = F.col("start") + F.col("upto") - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
     return dealt.withColumn("part", part).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "whole", "part")
+
+
+def mixed_rows(df: DataFrame, weight: Callable[[Column], Column], max_epochs: float = 3.0, seed: int = 7, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
+    """The rows of the mix, with the columns of ``df``: each document as often as it is taken whole, and the first words of those at the edge of a source's target.
+
+    Rows that agree in id, source and size are taken alike, by the largest share of any of them. Documents without words
+    are repeated with their source, as often as that is taken whole. The texts are shuffled once, to meet what ``mix`` says.
+    """
+    plan = mix(df, weight, max_epochs, seed, None, id_column, source_column, text_column)
+    plan = plan.groupBy(F.struct("doc_id", "source", "size").alias("_key")).agg(F.max("whole").alias("_whole"), F.max("part").alias("_part"))
+    own = F.struct(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), n_words(F.col(text_column)).alias("size"))
+    joined = df.withColumn("_key", own).join(plan, "_key")
+    part, size = F.col("_part"), F.col("_key.size")
+    whole = F.array_repeat(F.col(text_column), (F.col("_whole") + F.when((part > 0) & (part == size), 1).otherwise(0)).cast("int"))
+    spaced = F.regexp_extract_all(text_column, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first = F.when((part > 0) & (part < size), F.array(F.array_join(F.slice(spaced, F.lit(1), part.cast("int")), ""))).otherwise(F.array().cast("array<string>"))
+    taken = joined.withColumn("_text", F.explode(F.concat(whole, first)))
+    return taken.select(*(F.col("_text").alias(c) if c == text_column else F.col(c) for c in df.columns))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import U64, WordHasher, by_bytes, mix, utf8
 
@@ -145,20 +146,21 @@ def fit_on(documents: DataFrame, labels: DataFrame, grade: Column, n_grades: int
     return fit([r.text for r in rows], [r.grade for r in rows], n_grades) if rows else None
 
 
-def score(df: DataFrame, model: Model | None, n_grades: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``expected_grade`` (0 to K-1) and ``top_probability`` (of the highest grade) of every row, over the whole text.
+def score(df: DataFrame, model: Model | None, n_grades: int, carry: list[str], text_column: str = "text") -> DataFrame:
+    """The columns ``carry`` of every row with ``expected_grade`` (0 to K-1) and ``top_probability`` (of the highest grade), over the whole text.
 
-    A null text scores as an empty one; null and repeated ids keep a row each; other columns are not read.
-    Without a model (no labelled text) every document gets the highest grade.
+    A null text scores as an empty one; null and repeated ids keep a row each; other columns are not read. Carried columns must not
+    have the names of the two results. Without a model (no labelled text) every document gets the highest grade. No shuffle.
     """
-    kind = df.schema[id_column].dataType.simpleString()
+    source = df.select(*carry, F.col(text_column).alias("_scored_text"))
+    schema = StructType([*source.schema.fields[:-1], StructField("expected_grade", DoubleType()), StructField("top_probability", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "_scored_text"):
                 n = part.num_rows
-                tails = model.tails(*features(*utf8(part.column("text"))), n) if model else np.ones((n, n_grades - 1))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tails.sum(1)), pa.array(np.ascontiguousarray(tails[:, -1]))], ["doc_id", "expected_grade", "top_probability"])
+                tails = model.tails(*features(*utf8(part.column("_scored_text"))), n) if model else np.ones((n, n_grades - 1))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(tails.sum(1)), pa.array(np.ascontiguousarray(tails[:, -1]))], [*carry, "expected_grade", "top_probability"])
 
-    return df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, expected_grade double, top_probability double")
+    return source.mapInArrow(run, schema)

@@ -90,7 +90,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = _documents(spark, sf_dir)
     model = fit_on(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), grade(), GRADES)
-    return score(documents, model, GRADES).withColumn("keep", F.col("top_probability") >= KEEP)
+    return score(documents, model, GRADES, ["doc_id"]).withColumn("keep", F.col("top_probability") >= KEEP)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
