@@ -42,7 +42,9 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end, and where each row starts (one more for the end); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.type != pa.large_binary():
+        column = column.cast(pa.large_string())
+    column = column.fill_null("")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, at, data = column.buffers()

@@ -37,6 +37,8 @@ BAND_RATIO = 1.5
 SPARE = 0.2
 #: Sets that share a key, beyond which it is hot.
 HOT = 24
+#: Bytes of text that a task turns into sets at once.
+SLICE_BYTES = 2 << 20
 #: Keys that one reducer task takes at once, about.
 REDUCER_KEYS = 2_000_000
 #: Sets whose texts are looked up again by a broadcast of their ids (16 bytes each); beyond it by a shuffle.
@@ -142,7 +144,7 @@ def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE_BYTES):
                 values, starts = sets_of(part.column("text"), hasher, width)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts)), pa.array(nodes_of(values, starts))], ["doc_id", "n_shingles", "node"])
 
@@ -158,7 +160,7 @@ def _emit(width: int, t: int, n_reducers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, scopes = WordHasher(), Scopes(t)
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE_BYTES):
                 values, starts = sets_of(part.column("text"), hasher, width)
                 node, found_keys, found_nodes, found_bands, spare = nodes_of(values, starts), [], [], [], []
                 for band, which in scopes.of(np.diff(starts)):
@@ -240,7 +242,7 @@ def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE_BYTES):
                 values, starts = sets_of(part.column("text"), hasher, width)
                 yield pa.RecordBatch.from_arrays([part.column("wanted"), pa.array(nodes_of(values, starts)), pa.array([values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["wanted", "node", "shingles"])
 
@@ -251,14 +253,19 @@ def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int)
 
 
 def _verify(t: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keeps the pairs whose sets link. Sets are looked at where Arrow holds them, one pair at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(len(batch), bool)
-            for i, (a, b) in enumerate(zip(batch["sa"], batch["sb"], strict=True)):
-                x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-                common = len(x) + len(y) - len(np.union1d(x, y)) if len(x) + len(y) < 64 else int(np.isin(x, y, assume_unique=True, kind="sort").sum())
+            (xs, x_at), (ys, y_at) = (utf8(batch.column(c).cast(pa.large_binary())) for c in ("sa", "sb"))
+            x_at, y_at, linked = x_at // 8, y_at // 8, np.zeros(batch.num_rows, bool)
+            x_all, y_all = (np.frombuffer(v.tobytes() if v.ctypes.data % 8 else v, U64) for v in (xs, ys))
+            for i in range(batch.num_rows):
+                x, y = x_all[x_at[i] : x_at[i + 1]], y_all[y_at[i] : y_at[i + 1]]
+                place = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+                common = int((y[place] == x).sum()) if len(y) else 0
                 linked[i] = 100 * common >= t * (len(x) + len(y) - common)
-            yield batch.loc[linked, ["a", "b"]]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked))
 
     return run
 
@@ -267,7 +274,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """The pairs (a, b) whose sets link; the set of a, of which there are fewer, goes to b."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInPandas(_verify(t), "a bigint, b bigint")
+    return both.mapInArrow(_verify(t), "a bigint, b bigint")
 
 
 def _neighbourhoods(t: int):
