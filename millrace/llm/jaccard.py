@@ -8,7 +8,7 @@ in the bands below that hold smaller sets it may link with.
 
 *Allocation by cost.* m exceeds D+1, so some keys can do without: a key that more than HOT sets share is hot, and costs
 too much to pair off. A set that keeps more than D keys that are not hot finds all its links by those. Other sets
-are *saturated*: links between two of them are sought by giving segments of two shingles or more a second unit, the
+are *saturated*: links between two of them are sought by giving segments of three shingles or more a second unit, the
 one-deletion neighbourhood (a segment that differs by one shingle). Sets that even this does not cover, such as tiny ones that
 leave segments empty, are compared among themselves by the shingles of their prefix.
 
@@ -33,10 +33,13 @@ from .components import components
 WIDTH, THRESHOLD = 5, 75
 #: Upper end of a band over its lower end.
 BAND_RATIO = 1.5
-#: Keys beyond D+1, as a share of it.
-SPARE = 0.2
+#: Segments beyond D+1, as a share of it, for bands that begin at these sizes. Small sets leave more segments empty, and a passage that many
+#: documents share makes up more of them.
+SPARE = {0: 3.0, 32: 1.5, 256: 0.6, 1024: 0.25}
 #: Sets that share a key, beyond which it is hot.
 HOT = 24
+#: Bytes of a key that are compared within a reducer: of 2 million keys about two agree by chance, which a later check finds out.
+KEY_BYTES = 5
 #: Bytes of text that a task turns into sets at once.
 SLICE_BYTES = 2 << 20
 #: Keys that one reducer task takes at once, about.
@@ -69,7 +72,8 @@ class Scopes:
         self.t = t
         highest = _BANDS[1:] - 1
         self.different = most_different(highest, highest * 100 // t, t)
-        self.segments = self.different + 1 + (SPARE * (self.different + 1)).astype(np.int64)
+        share = np.array([SPARE[max(k for k in SPARE if k <= low)] for low in _BANDS[:-1].tolist()])
+        self.segments = self.different + 1 + np.ceil(share * (self.different + 1)).astype(np.int64)
 
     def of(self, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Bands that some of these sets emit in, with the sets' places. A band in which linked sets are equal has no keys."""
@@ -152,7 +156,7 @@ def _describe(width: int):
 
 
 def _emit(width: int, t: int, n_reducers: int):
-    """Of each batch, one row for each reducer: the ids and bands of its sets, how many keys each sends there, and the lowest 6 bytes of the keys.
+    """Of each batch, one row for each reducer: the ids and bands of its sets, how many keys each sends there, and the lowest 5 bytes of the keys.
 
     Rows for negative reducers hold how many keys each set has in each band beyond its D.
     """
@@ -182,7 +186,7 @@ def _emit(width: int, t: int, n_reducers: int):
                 for p in np.flatnonzero(np.diff(ends)):
                     n, b, k = nodes[ends[p] : ends[p + 1]], bands[ends[p] : ends[p + 1]], keys[ends[p] : ends[p + 1]]
                     new = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (b[1:] != b[:-1])])
-                    octets = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                    octets = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
                     out.append((int(p), n[new].tobytes(), b[new].tobytes(), np.diff(np.r_[new, len(n)]).astype(np.uint32).tobytes(), octets.tobytes()))
                 spared, own, left = (np.concatenate(x) for x in zip(*spare, strict=True))
                 to = spared % n_reducers
@@ -210,9 +214,9 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     counts = [np.frombuffer(x, np.uint32) for x in group["counts"]]
     node = np.concatenate([np.repeat(a, c) for a, c in zip(nodes, counts, strict=True)])
     band = np.concatenate([np.repeat(a, c) for a, c in zip(bands, counts, strict=True)])
-    octets = np.frombuffer(b"".join(group["key_bytes"]), np.uint8).reshape(-1, 6)
+    octets = np.frombuffer(b"".join(group["key_bytes"]), np.uint8).reshape(-1, KEY_BYTES)
     eight = np.zeros((len(octets), 8), np.uint8)
-    eight[:, :6] = octets
+    eight[:, :KEY_BYTES] = octets
     key = eight.reshape(-1).view("<u8")
     order = np.lexsort((node, key))
     node, key, band = node[order], key[order], band[order]
@@ -278,7 +282,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 def _neighbourhoods(t: int):
-    """Keys of saturated sets in one band. side 0: whole segments; side 1: segments of two or more without one shingle; side 2, where these do not cover D: the prefix."""
+    """Keys of saturated sets in one band. side 0: whole segments; side 1: segments of three or more without one shingle; side 2, where these do not cover D: the prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scopes = Scopes(t)
@@ -286,11 +290,11 @@ def _neighbourhoods(t: int):
             for node, band, hot, raw in zip(batch["node"], batch["band"], batch["hot"], batch["shingles"], strict=True):
                 values, m = np.frombuffer(raw, U64), int(scopes.segments[band])
                 slot, sums, size, member = segment_sums(values, np.zeros(len(values), np.int64), 1, m)
-                wide = size[member] > 1
+                wide = size[member] > 2
                 with np.errstate(over="ignore"):
                     less = key_of(sums[member][wide] - mix(values[wide] + _SUBSET_SEED), slot[member][wide], band)
                 keys = [key_of(sums, slot, band), less]
-                if 2 * int((size > 1).sum()) + int((size == 1).sum()) - 2 * hot <= int(scopes.most(band, np.array([len(values)]))[0]):
+                if len(size) + int((size > 2).sum()) - 2 * hot <= int(scopes.most(band, np.array([len(values)]))[0]):
                     n_prefix = len(values) - -(-len(values) * t // 100) + 1
                     keys.append(mix(np.sort(mix(values))[:n_prefix] + U64(band + 1) * _A))
                 yield pd.DataFrame({"node": node, "key": np.concatenate(keys).view(np.int64), "side": np.repeat(np.arange(len(keys)), [len(k) for k in keys])})
