@@ -93,12 +93,14 @@ def fit(texts: list[str | None], grades: list[int], n_grades: int, decay: float
     A feature enters with the largest log ratio of its shares in two neighbouring parts of the grades, so that the decay holds
     down what says little about them. The same rows give the same model.
     """
-    rows, columns = Features()(*utf8(pa.array(texts, pa.large_string())))
-    n, grade = len(texts), np.asarray(grades)
+    n, grade, parts = len(texts), np.asarray(grades), []
+    features = Features()
+    for at in range(0, n, 256):
+        row, column = features(*utf8(pa.array(texts[at : at + 256], pa.large_string())))
+        parts.append(((row + at).astype(np.int32), column.astype(np.int32)))
+    rows, columns = (np.concatenate(x) for x in zip(*parts, strict=True))
     often = np.bincount(columns, minlength=DIMENSIONS) >= min(LEAST_TEXTS, max(1, n // 50))
     rows, columns = rows[often[columns]], columns[often[columns]]
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
     used, column = np.unique(columns, return_inverse=True)
     counts = np.bincount(grade, minlength=n_grades).astype(float)
     weight = (n / (n_grades * np.maximum(counts, 1)))[grade]  # each grade matters alike
@@ -110,6 +112,9 @@ def fit(texts: list[str | None], grades: list[int], n_grades: int, decay: float
             error = np.sqrt(1 / (within[a] + 1) + 1 / (within[b] + 1))
             ratios.append(np.abs(np.log(share_a / share_b)) - ERRORS * error)
     scale = np.maximum(np.max(ratios, axis=0) - LEAST_RATIO, 0)
+    telling = scale > 0
+    rows, column = rows[telling[column]], (np.cumsum(telling) - 1)[column[telling[column]]]
+    used, scale = used[telling], scale[telling]
     values = scale[column]
     parameters = np.zeros(len(used) + n_grades - 1)
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
