@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reads",)
+MODULES = ("reads", "scalars", "flows")
 
 
 def _plans():
