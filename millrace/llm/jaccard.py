@@ -44,7 +44,7 @@ KEY_BYTES = 5
 SLICE_BYTES = 2 << 20
 #: Keys that one reducer task takes at once, about.
 REDUCER_KEYS = 2_000_000
-#: Sets whose texts are looked up again by a broadcast of their ids (16 bytes each); beyond it by a shuffle.
+#: Rows of a table of sets (16 to 24 bytes each) up to which a join broadcasts it; beyond it, it is shuffled.
 BROADCAST_NODES = 1_000_000
 _SEGMENT_SEED, _SUBSET_SEED, _A, _B = (U64(x) for x in (0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -241,63 +241,55 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node`` and its sorted distinct shingles (binary) of the wanted nodes (column node), read again from the text of one document of each."""
+    """``node`` and its sorted distinct shingles of the wanted nodes (column node), read again from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
                 values, starts = sets_of(part.column("text"), hasher, width)
-                yield pa.RecordBatch.from_arrays([part.column("wanted"), pa.array(nodes_of(values, starts)), pa.array([values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["wanted", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("wanted"), pa.array(nodes_of(values, starts)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view(np.int64)))], ["wanted", "node", "shingles"])
 
     asked = keep(nodes.join(wanted.select("node").distinct(), "node").where("first_doc is not null").select(F.col("node").alias("wanted"), F.col("first_doc").alias("doc_id")))
-    texts = documents.join(F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked, "doc_id").select("wanted", "text")
-    found = texts.mapInArrow(run, "wanted bigint, node bigint, shingles binary").where("wanted = node").drop("wanted")
+    texts = documents.join(_small(asked), "doc_id").select("wanted", "text")
+    found = texts.mapInArrow(run, "wanted bigint, node bigint, shingles array<bigint>").where("wanted = node").drop("wanted")
     return keep(found)
 
 
-def _verify(t: int):
-    """Keeps the pairs whose sets link. Sets are looked at where Arrow holds them, one pair at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (xs, x_at), (ys, y_at) = (utf8(batch.column(c).cast(pa.large_binary())) for c in ("sa", "sb"))
-            x_at, y_at, linked = x_at // 8, y_at // 8, np.zeros(batch.num_rows, bool)
-            x_all, y_all = (np.frombuffer(v.tobytes() if v.ctypes.data % 8 else v, U64) for v in (xs, ys))
-            for i in range(batch.num_rows):
-                x, y = x_all[x_at[i] : x_at[i + 1]], y_all[y_at[i] : y_at[i + 1]]
-                place = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                common = int((y[place] == x).sum()) if len(y) else 0
-                linked[i] = 100 * common >= t * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked))
-
-    return run
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """The pairs (a, b) whose sets link; the set of a, of which there are fewer, goes to b."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_verify(t), "a bigint, b bigint")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(100 * common >= t * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def _neighbourhoods(t: int):
     """Keys of saturated sets in one band. side 0: whole segments; side 1: segments of three or more without one shingle; side 2, where these do not cover D: the prefix."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scopes = Scopes(t)
         for batch in batches:
-            for node, band, hot, raw in zip(batch["node"], batch["band"], batch["hot"], batch["shingles"], strict=True):
-                values, m = np.frombuffer(raw, U64), int(scopes.segments[band])
+            lists, nodes, keys, sides = batch.column("shingles"), [], [], []
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
+            for i, (node, band, hot) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "band", "hot")), strict=True)):
+                values, m = flat[ends[i] : ends[i + 1]], int(scopes.segments[band])
                 slot, sums, size, member = segment_sums(values, np.zeros(len(values), np.int64), 1, m)
                 wide = size[member] > 2
                 with np.errstate(over="ignore"):
                     less = key_of(sums[member][wide] - mix(values[wide] + _SUBSET_SEED), slot[member][wide], band)
-                keys = [key_of(sums, slot, band), less]
+                own = [key_of(sums, slot, band), less]
                 if len(size) + int((size > 2).sum()) - 2 * hot <= int(scopes.most(band, np.array([len(values)]))[0]):
                     n_prefix = len(values) - -(-len(values) * t // 100) + 1
-                    keys.append(mix(np.sort(mix(values))[:n_prefix] + U64(band + 1) * _A))
-                yield pd.DataFrame({"node": node, "key": np.concatenate(keys).view(np.int64), "side": np.repeat(np.arange(len(keys)), [len(k) for k in keys])})
+                    with np.errstate(over="ignore"):
+                        own.append(mix(np.sort(mix(values))[:n_prefix] + U64(band + 1) * _A))
+                for side, k in enumerate(own):
+                    nodes.append(np.full(len(k), node))
+                    keys.append(k.view(np.int64))
+                    sides.append(np.full(len(k), side, np.int32))
+                if len(nodes) >= 3_000 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, keys, sides)], ["node", "key", "side"])
+                    nodes, keys, sides = [], [], []
 
     return run
 
@@ -312,7 +304,7 @@ def _spare(met: DataFrame) -> DataFrame:
 
 def _saturated_keys(saturated: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """``node``, ``key`` and ``side`` of the saturated sets."""
-    return saturated.join(sets, "node").select("node", "band", "hot", "shingles").mapInPandas(_neighbourhoods(t), "node bigint, key bigint, side int")
+    return saturated.join(sets, "node").select("node", "band", "hot", "shingles").mapInArrow(_neighbourhoods(t), "node bigint, key bigint, side int")
 
 
 def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = None) -> DataFrame:
@@ -322,9 +314,11 @@ def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = N
     largest component are paired with the rest: a pair across components has at least one of them.
     """
     placed = members.join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("key", "largest")
-    of_mixed = placed.join(mixed, "key")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    of_several = placed.join(_small(keep(several)), "key")
+    parts = of_several.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    of_mixed = keep(of_several.join(largest, "key"))
     p, q = of_mixed.where("component <> largest").alias("p"), of_mixed.alias("q")
     on = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component"))
     if apart is not None:
@@ -334,6 +328,11 @@ def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = N
     return p.join(q, on).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """``table`` for a join: broadcast if it has no more than BROADCAST_NODES rows, else as it is."""
+    return F.broadcast(table) if table.count() <= BROADCAST_NODES else table
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
@@ -371,7 +370,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
 
     spare = keep(_spare(met))
     least = spare.groupBy("node").agg(F.min("spare").alias("least"))
-    sized = keep(nodes.select("node", "size").join(least, "node"))
+    sized = _small(keep(nodes.select("node", "size").join(least, "node")))
 
     def with_sizes(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes can link, with what the two sets have to share."""
@@ -384,7 +383,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     likely = with_sizes(near).where("2 * n >= least")
     best = keep(likely.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
     links = keep(_linked(best, _sets(documents, nodes, _ends(best), width), t))
-    united = cut_lineage(components(links))
+    united = _small(cut_lineage(components(links)))
 
     # then every pair of sets in different components that shares as many keys as it has to
     two = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "n")
