@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes
 
-#: Pre-tokens whose ids one worker keeps in each of two generations (about 80 MB each). Results do not depend on it.
-CACHED = 400_000
+#: Pre-tokens whose ids one worker keeps in each of two generations (about 20 MB each). Results do not depend on it.
+CACHED = 100_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -39,15 +39,15 @@ def as_characters(text: str) -> str:
 class _Known(dict):
     """Ids of strings met before. When full, it becomes the older generation, from which strings that are met again come back."""
 
-    def __init__(self, ids_of: Callable[[str], bytes]) -> None:
-        self.ids_of = ids_of
+    def __init__(self, ids_of: Callable[[str], bytes], most: int) -> None:
+        self.ids_of, self.most = ids_of, most
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.older.get(key)
         if found is None:
             found = self.ids_of(key)
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = found
@@ -57,7 +57,7 @@ class _Known(dict):
 class PieceCache:
     """Ids of whole texts from the ids of their pre-tokens, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], list[int]]) -> None:
+    def __init__(self, pattern: str, encode_piece: Callable[[str], list[int]], most: int | None = None) -> None:
         import regex
 
         def ids_of(piece: str) -> bytes:
@@ -65,7 +65,7 @@ class PieceCache:
             return struct.pack(f"<{len(ids)}I", *ids)
 
         self.split = regex.compile(pattern).findall
-        self.known = _Known(ids_of)
+        self.known = _Known(ids_of, most or CACHED)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.split(text)))
@@ -82,7 +82,7 @@ class JsonEncoder:
         if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError(f"{path} is not a plain byte-level vocabulary")
         model = tokenizer.model
-        self.cache = PieceCache(public_tokenizers.PATTERN, lambda piece: [t.id for t in model.tokenize(as_characters(piece))])
+        self.cache = PieceCache(public_tokenizers.PATTERN, lambda piece: [t.id for t in model.tokenize(as_characters(piece))], 4 * CACHED)
         added = tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError(f"{path}: added tokens that take neighbouring characters are not handled")

@@ -157,15 +157,15 @@ def score(df: DataFrame, model: Model | None, n_grades: int, carry: list[str], t
     A null text scores as an empty one; null and repeated ids keep a row each; other columns are not read. Carried columns must not
     have the names of the two results. Without a model (no labelled text) every document gets the highest grade. No shuffle.
     """
-    source = df.select(*carry, F.col(text_column).alias("_scored_text"))
-    schema = StructType([*source.schema.fields[:-1], StructField("expected_grade", DoubleType()), StructField("top_probability", DoubleType())])
+    source = df.select(*carry, *([] if text_column in carry else [text_column]))
+    schema = StructType([*source.schema.fields[: len(carry)], StructField("expected_grade", DoubleType()), StructField("top_probability", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for part in by_bytes(batch, "_scored_text"):
+            for part in by_bytes(batch, text_column, 1 << 20):
                 n = part.num_rows
-                tails = model.tails(*features(*utf8(part.column("_scored_text"))), n) if model else np.ones((n, n_grades - 1))
+                tails = model.tails(*features(*utf8(part.column(text_column))), n) if model else np.ones((n, n_grades - 1))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(tails.sum(1)), pa.array(np.ascontiguousarray(tails[:, -1]))], [*carry, "expected_grade", "top_probability"])
 
     return source.mapInArrow(run, schema)
