@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, small_batches
 
 #: Pre-tokens whose ids one worker keeps in each of two generations (about 20 MB each). Results do not depend on it.
 CACHED = 100_000
@@ -193,4 +193,4 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+    return small_batches(df).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are hashed at once; memory in a task is about 40 times this.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+ARROW_BYTES = 8 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: The white space of the contracts: the space, and tab to carriage return.
@@ -184,8 +185,19 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranked.withColumn(name, F.col("_start") + F.col("_in") - 1).drop("_part", "_p", "_in", "_start")
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` bytes of text, whole rows each."""
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Arrow batches hold ARROW_BYTES at most, unless the session has a size of its own.
+
+    Executors hold a batch several times over (in the JVM, on its way, in Python); the usual 64 MB of texts are too much beside a small heap.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, whole rows each; at its end Arrow's free memory goes back."""
     _, offsets = utf8(batch.column(column))
     at = 0
     while at < batch.num_rows:
@@ -199,3 +211,4 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+    pa.default_memory_pool().release_unused()

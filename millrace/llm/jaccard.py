@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, by_bytes, cut_lineage, keep, mix, partitions, shingles, utf8
+from .common import U64, WordHasher, by_bytes, cut_lineage, keep, mix, partitions, shingles, small_batches, utf8
 from .components import components
 
 WIDTH, THRESHOLD = 5, 75
@@ -41,7 +41,7 @@ HOT = 24
 #: Bytes of a key that are compared within a reducer: of 2 million keys about two agree by chance, which a later check finds out.
 KEY_BYTES = 5
 #: Bytes of text that a task turns into sets at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Keys that one reducer task takes at once, about.
 REDUCER_KEYS = 2_000_000
 #: Rows of a table of sets (16 to 24 bytes each) up to which a join broadcasts it; beyond it, it is shuffled.
@@ -357,7 +357,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     the component's id if another row has one. Rows that repeat an id count as one document for the component's
     id. Other columns are not read. An empty table gives no rows.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     documents = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     described = keep(documents.mapInArrow(_describe(width), "doc_id bigint, n_shingles bigint, node bigint"))
     nodes = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, by_bytes, keep, mix, partitions, utf8
+from .common import U64, WordHasher, by_bytes, keep, mix, partitions, small_batches, utf8
 
 #: Lines of fewer words are dropped only for an earlier line of the same words.
 LEAST_WORDS = 8
@@ -242,7 +242,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     as text to emit their deletions: no other line can have a neighbour.
     """
     kept_columns = [c for c in df.columns if c not in ("n_lines", "n_kept")]
-    documents = df.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(F.col(text_column)).alias("text_hash"), F.col(text_column).alias("text"), F.struct(*kept_columns).alias("row"))
+    documents = small_batches(df).select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(F.col(text_column)).alias("text_hash"), F.col(text_column).alias("text"), F.struct(*kept_columns).alias("row"))
     keyed = documents.select("doc", "text_hash", "text").mapInArrow(_lines_with_keys, f"{_POSITION_TYPE}, a bigint, b bigint, halves array<bigint>")
     firsts = keyed.groupBy("a", "b").agg(F.min(F.struct(*POSITION, "halves")).alias("first")).select("first.*")
     firsts = keep(firsts.withColumn("id", F.monotonically_increasing_id()))

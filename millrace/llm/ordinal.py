@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import U64, WordHasher, by_bytes, mix, utf8
+from .common import U64, WordHasher, by_bytes, mix, small_batches, utf8
 
 #: Hashed features: words and their beginnings go to the first BUCKETS, text statistics to the rest.
 BUCKETS = 1 << 18
@@ -157,7 +157,7 @@ def score(df: DataFrame, model: Model | None, n_grades: int, carry: list[str], t
     A null text scores as an empty one; null and repeated ids keep a row each; other columns are not read. Carried columns must not
     have the names of the two results. Without a model (no labelled text) every document gets the highest grade. No shuffle.
     """
-    source = df.select(*carry, *([] if text_column in carry else [text_column]))
+    source = small_batches(df).select(*carry, *([] if text_column in carry else [text_column]))
     schema = StructType([*source.schema.fields[: len(carry)], StructField("expected_grade", DoubleType()), StructField("top_probability", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

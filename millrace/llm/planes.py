@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import JsonEncoder, encoder
-from .common import by_bytes, cut_lineage, partitions, shared_dir
+from .common import by_bytes, cut_lineage, partitions, shared_dir, small_batches
 
 MAGIC = b"MRPLANE1"
 CHUNK_IDS = 1 << 17
@@ -147,7 +147,7 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, to: str | Non
     read. An empty table writes no file. A task that runs again writes the same bytes under a name of its own and
     moves them into place, so a lost executor leaves no broken file.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     folder = to or f"{shared_dir(spark)}/planes-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

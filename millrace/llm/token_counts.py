@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut_lineage, partitions
+from .common import by_bytes, cut_lineage, partitions, small_batches
 
 #: Characters from which a document is cut into chunks, and of a chunk. Results do not depend on either.
 HUGE_CHARS = 64_000
@@ -122,7 +122,7 @@ def token_counts(df: DataFrame, vocabulary: str, limit: int = 512, id_column: st
     no such proof; their texts are encoded whole. Null texts count as empty (no tokens); null and repeated ids keep a row each;
     other columns are not read.
     """
-    rows = df.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
