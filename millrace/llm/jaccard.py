@@ -9,8 +9,8 @@ in the bands below that hold smaller sets it may link with.
 *Allocation by cost.* m exceeds D+1, so some keys can do without: a key that more than HOT sets share is hot, and costs
 too much to pair off. A set that keeps more than D keys that are not hot finds all its links by those. Other sets
 are *saturated*: links between two of them are sought by giving segments of three shingles or more a second unit, the
-one-deletion neighbourhood (a segment that differs by one shingle). Sets that even this does not cover, such as tiny ones that
-leave segments empty, are compared among themselves by the shingles of their prefix.
+one-deletion neighbourhood (a segment that differs by one shingle), where its keys are not hot. Sets that even this does not
+cover, such as tiny ones that leave segments empty, are compared among themselves by the shingles of their prefix.
 
 Only connected components are wanted. So first every key pairs its members with its smallest one, each set tries the partner with
 which it shares most keys, and the links found unite sets; later pairs are made only between different components.
@@ -265,31 +265,26 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 def _neighbourhoods(t: int):
-    """Keys of saturated sets in one band. side 0: whole segments; side 1: segments of three or more without one shingle; side 2, where these do not cover D: the prefix."""
+    """Keys of saturated sets in one band: side 0, whole segments; side 1, segments of three or more without one shingle; one row of side 2 with the number of such segments. segment is -1 for smaller ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scopes = Scopes(t)
         for batch in batches:
-            lists, nodes, keys, sides = batch.column("shingles"), [], [], []
+            lists, out = batch.column("shingles"), []
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
-            for i, (node, band, hot) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "band", "hot")), strict=True)):
+            for i, (node, band) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "band")), strict=True)):
                 values, m = flat[ends[i] : ends[i + 1]], int(scopes.segments[band])
                 slot, sums, size, member = segment_sums(values, np.zeros(len(values), np.int64), 1, m)
                 wide = size[member] > 2
                 with np.errstate(over="ignore"):
                     less = key_of(sums[member][wide] - mix(values[wide] + _SUBSET_SEED), slot[member][wide], band)
-                own = [key_of(sums, slot, band), less]
-                if len(size) + int((size > 2).sum()) - 2 * hot <= int(scopes.most(band, np.array([len(values)]))[0]):
-                    n_prefix = len(values) - -(-len(values) * t // 100) + 1
-                    with np.errstate(over="ignore"):
-                        own.append(mix(np.sort(mix(values))[:n_prefix] + U64(band + 1) * _A))
-                for side, k in enumerate(own):
-                    nodes.append(np.full(len(k), node))
-                    keys.append(k.view(np.int64))
-                    sides.append(np.full(len(k), side, np.int32))
-                if len(nodes) >= 3_000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, keys, sides)], ["node", "key", "side"])
-                    nodes, keys, sides = [], [], []
+                key = np.concatenate([key_of(sums, slot, band).view(np.int64), less.view(np.int64), [int((size > 2).sum())]])
+                side = np.repeat(np.array([0, 1, 2], np.int32), [len(slot), len(less), 1])
+                segment = np.concatenate([np.where(size > 2, slot, -1), slot[member][wide], [-1]]).astype(np.int32)
+                out.append((np.full(len(key), node), np.full(len(key), band), key, side, segment))
+                if len(out) >= 2_000 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["node", "band", "key", "side", "segment"])
+                    out = []
 
     return run
 
@@ -302,9 +297,30 @@ def _spare(met: DataFrame) -> DataFrame:
     return joined.select("node", "band", "hot", (F.col("spare") - F.col("hot")).alias("spare"))
 
 
-def _saturated_keys(saturated: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """``node``, ``key`` and ``side`` of the saturated sets."""
-    return saturated.join(sets, "node").select("node", "band", "hot", "shingles").mapInArrow(_neighbourhoods(t), "node bigint, key bigint, side int")
+def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, united: DataFrame, width: int, t: int) -> DataFrame:
+    """Pairs (a, b) of different components among the saturated sets, in which every link between two of them is found.
+
+    A wide segment none of whose keys here is hot is worth two units. A set whose units exceed D in the band finds its links by keys that
+    are not hot. The others are compared by the shingles of their prefix, the rarest among them first: with t/100 of the shingles in
+    common, two sets share one of their rarest n - ceil(n t/100) + 1.
+    """
+    saturated = spare.where("spare <= 0").select("node", "band", "hot", "spare")
+    sets = _sets(documents, nodes, saturated, width)
+    keys = keep(saturated.join(sets, "node").select("node", "band", "shingles").mapInArrow(_neighbourhoods(t), "node bigint, band bigint, key bigint, side int, segment int"))
+    own = keys.where("side < 2")
+    hot = _small(keep(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")))
+    ends = _cross_pairs(own.join(hot, "key", "left_anti").select("key", "node", "side"), united, F.col("p.side") != F.col("q.side"))
+    spoiled = own.where("segment >= 0").join(hot, "key").select("node", "band", "segment").distinct().groupBy("node", "band").agg(F.count("*").alias("spoiled"))
+    wide = keys.where("side = 2").select("node", "band", F.col("key").alias("wide"))
+    units = saturated.join(wide, ["node", "band"]).join(spoiled, ["node", "band"], "left")
+    twice = F.greatest(F.col("wide") - F.coalesce("spoiled", F.lit(0)) - F.col("hot"), F.lit(0))
+    rest = units.where(F.col("spare") + twice <= 0).select("node").distinct()
+    items = keep(sets.join(rest, "node").select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
+    counted = items.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = items.join(counted, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    length = (F.col("size") - F.ceil(F.col("size") * t / 100) + 1).cast("int")
+    prefix = ranked.select("node", F.explode(F.slice("ranked", F.lit(1), length)).alias("r")).where("r.n > 1").select(F.col("r.shingle").alias("key"), "node")
+    return ends.unionByName(_cross_pairs(prefix, united)).distinct()
 
 
 def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = None) -> DataFrame:
@@ -389,11 +405,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     two = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "n")
     several = _cross_pairs(met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node")), united).withColumn("n", F.lit(1))
     enough = with_sizes(_apart(two.unionByName(several).groupBy("a", "b").agg(F.sum("n").alias("n")), united)).where("n >= least")
-    saturated = spare.where("spare <= 0")
-    keys = keep(_saturated_keys(saturated, _sets(documents, nodes, saturated, width), t))
-    ends = _cross_pairs(keys.where("side < 2"), united, F.col("p.side") != F.col("q.side"))
-    rest = _cross_pairs(keys.where("side = 2").drop("side"), united)
-    tight = with_sizes(ends.unionByName(rest).distinct())
+    tight = with_sizes(_saturated_pairs(spare, documents, nodes, united, width, t))
     more = keep(enough.select("a", "b").unionByName(tight.select("a", "b")).distinct())
     final = components(links.unionByName(_linked(more, _sets(documents, nodes, _ends(more), width), t)))
 
