@@ -167,10 +167,11 @@ def markdown_cell(text: Column, most: int) -> Column:
 
 
 def clip(text: Column, most: int) -> Column:
-    """At most ``most`` characters, cut at the end of a word."""
-    head = F.substring(text, 1, most)
-    whole = F.regexp_extract(head, r"^(.*\S)\s+\S*$", 1)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(whole != "", whole).otherwise(head), F.lit("…")))
+    """At most ``most`` characters with an ellipsis, cut after a word unless that loses over two fifths."""
+    head = F.substring(text, 1, most - 1)
+    last = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
+    kept = F.when(last > most * 0.6, F.substring(head, F.lit(1), last)).otherwise(head)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(kept), F.lit("…")))
 
 
 def estimated_tokens(chars: Column) -> Column:
