@@ -266,3 +266,12 @@ def test_the_registry_has_all_ten():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "source_mix", "byte_bpe"]
+
+
+def test_oracle_sql(spark):
+    import oracle
+
+    con = oracle.connect(DATA)
+    queries = registry.queries()
+    for name, sql in registry.oracle_sql().items():
+        assert oracle.difference(spark, con, DATA, queries[name], sql) == "", name
