@@ -12,7 +12,7 @@ are *saturated*: links between two of them are sought by giving segments of thre
 one-deletion neighbourhood (a segment that differs by one shingle), where its keys are not hot. Sets that even this does not
 cover, such as tiny ones that leave segments empty, are compared among themselves by the shingles of their prefix.
 
-Only connected components are wanted. So first every key pairs its members with its smallest one, each set tries the partner with
+Only connected components are wanted. So first some keys pair their members with their smallest one, each set tries the partner with
 which it shares most keys, and the links found unite sets; later pairs are made only between different components.
 All pairs are verified on the whole sets.
 """
@@ -42,6 +42,8 @@ HOT = 24
 KEY_BYTES = 5
 #: Bytes of text that a task turns into sets at once.
 SLICE_BYTES = 1 << 20
+#: Keys of a set, about, by which its likeliest partner is sought.
+STARS = 16
 #: Keys that one reducer task takes at once, about.
 REDUCER_KEYS = 2_000_000
 #: Rows of a table of sets (16 to 24 bytes each) up to which a join broadcasts it; beyond it, it is shuffled.
@@ -199,45 +201,51 @@ def _emit(width: int, t: int, n_reducers: int):
     return run
 
 
-def _meet(group: pd.DataFrame) -> pd.DataFrame:
-    """What one reducer finds.
-
-    kind 0: sets x and y alone share n keys. kind 1: members y of a key x of 3 to HOT sets. kind 2: how often (n) set x has a hot key in band y.
-    kind 3: set x has n keys beyond D in band y. kind 4: sets x and y share n keys of three or more sets of which x is the smallest.
-    """
-    nodes = [np.frombuffer(x, np.int64) for x in group["nodes"]]
-    bands = [np.frombuffer(x, np.uint8) for x in group["bands"]]
-    if group["reducer"].iat[0] < 0:
-        left = np.concatenate([np.frombuffer(x, np.int32) for x in group["counts"]])
-        rows = np.unique(np.stack([np.concatenate(nodes), np.concatenate(bands).astype(np.int64), left.astype(np.int64)], 1), axis=0)
-        return pd.DataFrame({"kind": np.full(len(rows), 3), "x": rows[:, 0], "y": rows[:, 1], "n": rows[:, 2]})
-    counts = [np.frombuffer(x, np.uint32) for x in group["counts"]]
-    node = np.concatenate([np.repeat(a, c) for a, c in zip(nodes, counts, strict=True)])
-    band = np.concatenate([np.repeat(a, c) for a, c in zip(bands, counts, strict=True)])
-    octets = np.frombuffer(b"".join(group["key_bytes"]), np.uint8).reshape(-1, KEY_BYTES)
-    eight = np.zeros((len(octets), 8), np.uint8)
-    eight[:, :KEY_BYTES] = octets
-    key = eight.reshape(-1).view("<u8")
-    order = np.lexsort((node, key))
-    node, key, band = node[order], key[order], band[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-    node, key, band = node[new], key[new], band[new]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    of = np.repeat(np.arange(len(first)), size)
-    smallest = node[first][of]
-
-    def pairs_of(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.stack([smallest[chosen], node[chosen]], 1), axis=0, return_counts=True)
-
-    two, n_two = pairs_of((size[of] == 2) & (node != smallest))
-    star, n_star = pairs_of((size[of] > 2) & (node != smallest))
-    some, hot = (size[of] > 2) & (size[of] <= HOT), size[of] > HOT
-    hots, n_hots = np.unique(np.stack([node[hot], band[hot].astype(np.int64)], 1), axis=0, return_counts=True)
-    with np.errstate(over="ignore"):
-        group_key = mix(key[some] + U64(int(group["reducer"].iat[0]) + 1) * _B).view(np.int64)
-    kinds = np.repeat([0, 1, 2, 4], [len(two), int(some.sum()), len(hots), len(star)])
-    return pd.DataFrame({"kind": kinds, "x": np.r_[two[:, 0], group_key, hots[:, 0], star[:, 0]], "y": np.r_[two[:, 1], node[some], hots[:, 1], star[:, 1]], "n": np.r_[n_two, np.zeros(int(some.sum()), np.int64), n_hots, n_star]})
+def _meet(t: int):
+    stride = np.maximum(1, Scopes(t).segments // STARS).astype(np.uint64)
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        """What one reducer finds.
+
+        kind 0: sets x and y alone share n keys. kind 1: members y of a key x of 3 to HOT sets. kind 2: how often (n) set x has a hot key in band y.
+        kind 3: set x has n keys beyond D in band y. kind 4: sets x and y share n keys of three or more sets of which x is the smallest; of each set about STARS keys are
+        looked at for that.
+        """
+        nodes = [np.frombuffer(x, np.int64) for x in group["nodes"]]
+        bands = [np.frombuffer(x, np.uint8) for x in group["bands"]]
+        if group["reducer"].iat[0] < 0:
+            left = np.concatenate([np.frombuffer(x, np.int32) for x in group["counts"]])
+            rows = np.unique(np.stack([np.concatenate(nodes), np.concatenate(bands).astype(np.int64), left.astype(np.int64)], 1), axis=0)
+            return pd.DataFrame({"kind": np.full(len(rows), 3), "x": rows[:, 0], "y": rows[:, 1], "n": rows[:, 2]})
+        counts = [np.frombuffer(x, np.uint32) for x in group["counts"]]
+        node = np.concatenate([np.repeat(a, c) for a, c in zip(nodes, counts, strict=True)])
+        band = np.concatenate([np.repeat(a, c) for a, c in zip(bands, counts, strict=True)])
+        octets = np.frombuffer(b"".join(group["key_bytes"]), np.uint8).reshape(-1, KEY_BYTES)
+        eight = np.zeros((len(octets), 8), np.uint8)
+        eight[:, :KEY_BYTES] = octets
+        key = eight.reshape(-1).view("<u8")
+        order = np.lexsort((node, key))
+        node, key, band = node[order], key[order], band[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        node, key, band = node[new], key[new], band[new]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        of = np.repeat(np.arange(len(first)), size)
+        smallest = node[first][of]
+
+        def pairs_of(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.unique(np.stack([smallest[chosen], node[chosen]], 1), axis=0, return_counts=True)
+
+        two, n_two = pairs_of((size[of] == 2) & (node != smallest))
+        star, n_star = pairs_of((size[of] > 2) & (node != smallest) & (key % stride[band] == 0))
+        some, hot = (size[of] > 2) & (size[of] <= HOT), size[of] > HOT
+        hots, n_hots = np.unique(np.stack([node[hot], band[hot].astype(np.int64)], 1), axis=0, return_counts=True)
+        with np.errstate(over="ignore"):
+            group_key = mix(key[some] + U64(int(group["reducer"].iat[0]) + 1) * _B).view(np.int64)
+        kinds = np.repeat([0, 1, 2, 4], [len(two), int(some.sum()), len(hots), len(star)])
+        return pd.DataFrame({"kind": kinds, "x": np.r_[two[:, 0], group_key, hots[:, 0], star[:, 0]], "y": np.r_[two[:, 1], node[some], hots[:, 1], star[:, 1]], "n": np.r_[n_two, np.zeros(int(some.sum()), np.int64), n_hots, n_star]})
+
+    return meet
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -382,7 +390,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     keys = (described.agg(F.sum("n_shingles")).first()[0] or 0) * 0.8
     n_reducers = 4 * max(partitions(spark), int(keys / REDUCER_KEYS / 4) + 1)
     blobs = documents.mapInArrow(_emit(width, t, n_reducers), "reducer int, nodes binary, bands binary, counts binary, key_bytes binary")
-    met = keep(blobs.groupBy("reducer").applyInPandas(_meet, "kind int, x bigint, y bigint, n bigint"))
+    met = keep(blobs.groupBy("reducer").applyInPandas(_meet(t), "kind int, x bigint, y bigint, n bigint"))
 
     spare = keep(_spare(met))
     least = spare.groupBy("node").agg(F.min("spare").alias("least"))
@@ -396,7 +404,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
 
     # first the likeliest partner of each set
     near = met.where("kind in (0, 4)").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
-    likely = with_sizes(near).where("2 * n >= least")
+    likely = with_sizes(near).where("8 * n >= least or n >= 4")
     best = keep(likely.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
     links = keep(_linked(best, _sets(documents, nodes, _ends(best), width), t))
     united = _small(cut_lineage(components(links)))
