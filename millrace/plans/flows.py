@@ -370,19 +370,19 @@ def hold_counts(d: Directory) -> DataFrame:
     return R.holds(d.sources, d.outings)
 
 
-@plans.query("month_spend", "SELECT coalesce(sum(cost_cents), 0) AS cents FROM runs WHERE strftime(started_at, '%Y-%m') = '2024-01' AND id <> 5", ("runs",))
+@plans.query("month_spend", "SELECT CAST(coalesce(sum(cost_cents), 0) AS BIGINT) AS cents FROM runs WHERE strftime(started_at, '%Y-%m') = '2024-01' AND id <> 5", ("runs",))
 def month_spend(d: Directory) -> DataFrame:
     return R.month_spend(d.runs, "2024-01", without=5)
 
 
-@plans.query("published_counts", f"SELECT sum(CASE WHEN published = 1 THEN 1 ELSE 0 END) AS published, sum(CASE WHEN published = 1 AND start_date >= '{TODAY}' THEN 1 ELSE 0 END) AS later, count(DISTINCT CASE WHEN published = 1 THEN c.state END) AS states FROM outings o JOIN courses c ON o.course_id = c.id", ("outings", "courses"))
+@plans.query("published_counts", f"SELECT CAST(sum(CASE WHEN published = 1 THEN 1 ELSE 0 END) AS BIGINT) AS published, CAST(sum(CASE WHEN published = 1 AND start_date >= '{TODAY}' THEN 1 ELSE 0 END) AS BIGINT) AS later, count(DISTINCT CASE WHEN published = 1 THEN c.state END) AS states FROM outings o JOIN courses c ON o.course_id = c.id", ("outings", "courses"))
 def published_counts(d: Directory) -> DataFrame:
     rows = d.outings.join(d.courses.select(F.col("id").alias("course_id"), "state"), "course_id")
     shown = F.col("published") == 1
     return rows.agg(F.count_if(shown).alias("published"), F.count_if(shown & (F.col("start_date") >= TODAY)).alias("later"), F.countDistinct(F.when(shown, F.col("state"))).alias("states"))
 
 
-@plans.query("weekly_runs", "SELECT kind, count(*) AS runs, count(*) FILTER (WHERE finished_at IS NULL) AS unfinished, sum(failed) AS failed, sum(queries) AS queries, sum(extractions) AS extractions, sum(fetches) AS fetches, sum(cost_cents) AS cents FROM runs WHERE started_at > TIMESTAMP '2024-01-03 00:00:00' AND started_at <= TIMESTAMP '2024-01-10 00:00:00' GROUP BY kind", ("runs",))
+@plans.query("weekly_runs", "SELECT kind, count(*) AS runs, count(*) FILTER (WHERE finished_at IS NULL) AS unfinished, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(queries) AS BIGINT) AS queries, CAST(sum(extractions) AS BIGINT) AS extractions, CAST(sum(fetches) AS BIGINT) AS fetches, CAST(sum(cost_cents) AS BIGINT) AS cents FROM runs WHERE started_at > TIMESTAMP '2024-01-03 00:00:00' AND started_at <= TIMESTAMP '2024-01-10 00:00:00' GROUP BY kind", ("runs",))
 def weekly_runs(d: Directory) -> DataFrame:
     return R.weekly(d.runs.where(R.in_window("started_at", "2024-01-03 00:00:00", "2024-01-10 00:00:00")))
 
@@ -407,7 +407,7 @@ def error_rate(d: Directory) -> DataFrame:
     return R.error_rate(d.sources.select(U.outcome(F.col("http_status")).alias("outcome")))
 
 
-@plans.query("counter_merge", "SELECT event_type AS name, count(*) + sum(event_id) AS n FROM events GROUP BY 1")
+@plans.query("counter_merge", "SELECT event_type AS name, CAST(count(*) + sum(event_id) AS BIGINT) AS n FROM events GROUP BY 1")
 def counter_merge(d: Directory) -> DataFrame:
     e = d.base("events")
     a = e.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))

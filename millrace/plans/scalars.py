@@ -111,7 +111,7 @@ def money(d: Directory) -> DataFrame:
     return d.base("part").select("p_partkey", cents.alias("cents"), M.format_usd(cents).alias("shown"), M.parse_usd(F.concat(F.lit("usd "), M.format_usd(cents))).alias("parsed"), M.is_plausible(cents).alias("plausible"))
 
 
-@plans.query("cost_estimate", "SELECT kind, sum(CAST(ceil((fetches * 50 + extractions * 250000 + queries * 120000) / 1000000.0) AS BIGINT)) AS cents FROM runs GROUP BY kind", ("runs",))
+@plans.query("cost_estimate", "SELECT kind, CAST(sum(CAST(ceil((fetches * 50 + extractions * 250000 + queries * 120000) / 1000000.0) AS BIGINT)) AS BIGINT) AS cents FROM runs GROUP BY kind", ("runs",))
 def cost_estimate(d: Directory) -> DataFrame:
     each = M.cost_cents({"fetch": (F.col("fetches"), 50), "extraction": (F.col("extractions"), 250_000), "query": (F.col("queries"), 120_000)})
     return d.runs.groupBy("kind").agg(F.sum(each).alias("cents"))
@@ -185,7 +185,7 @@ def page_kinds(d: Directory) -> DataFrame:
     return d.base("pages").select("page_id", H.is_html(none, body).alias("html"), H.is_pdf(none, body).alias("pdf"), H.is_sitemap_index(body).alias("sitemap_index"), F.size(H.json_ld(body)).alias("json_ld"))
 
 
-@plans.query("token_estimates", "SELECT lang, sum(CAST(ceil(n_chars / 3.0) AS BIGINT)) AS tokens FROM documents GROUP BY lang")
+@plans.query("token_estimates", "SELECT lang, CAST(sum(CAST(ceil(n_chars / 3.0) AS BIGINT)) AS BIGINT) AS tokens FROM documents GROUP BY lang")
 def token_estimates(d: Directory) -> DataFrame:
     return d.base("documents").groupBy("lang").agg(F.sum(T.estimated_tokens(F.col("n_chars"))).alias("tokens"))
 
