@@ -99,3 +99,33 @@ def test_html(spark):
     xml = "<sitemapindex><sitemap><loc> https://a.example/s.xml </loc></sitemap></sitemapindex>"
     assert ask(spark, H.sitemap_addresses(F.col("t")), t=xml) == ["https://a.example/s.xml"]
     assert ask(spark, H.is_sitemap_index(F.col("t")), t=xml) is True
+
+
+def test_ulids(spark):
+    import hashlib
+
+    from millrace.functions import ids
+
+    letters = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+    def plain(number, length):
+        return "".join(letters[number >> 5 * i & 31] for i in reversed(range(length)))
+
+    key = int.from_bytes(hashlib.sha256(b"crs:x/y").digest()[:10], "big")
+    want = "crs_" + plain(1_790_000_000_123, 10) + plain(key, 16)
+    got = spark.createDataFrame([("x/y", 1_790_000_000_123)], "k string, t long").select(ids.stable_id("crs", F.col("t"), F.col("k")).alias("a"), ids.source_id(F.col("k")).alias("b"), ids.is_ulid(F.lit(want[4:])).alias("c"), ids.is_ulid(F.lit("I" * 26)).alias("d")).first()
+    assert got.a == want and got.b == "src_" + hashlib.sha256(b"source:x/y").hexdigest()[:40] and got.c and not got.d
+
+
+def test_structured_events(spark):
+    import json
+
+    from millrace.functions.structured import structured_events
+
+    place = {"@type": "Place", "name": "Oak  Hill", "address": {"streetAddress": "1 A St", "addressLocality": "Rye", "addressRegion": "NY", "postalCode": "10580"}}
+    one = {"@type": "SportsEvent", "name": "Cup", "startDate": "2026-05-01T08:30:00-04:00", "location": [{"@type": "VirtualLocation"}, place]}
+    two = {"@type": ["Event"], "name": "Day", "startDate": "2026-06-01T00:00:00Z", "location": "Town hall"}
+    blocks = [json.dumps({"@graph": [one, {"@type": "EventSeries", "subEvent": two}]}), "not json", json.dumps({"@type": "ItemList", "itemListElement": [{"item": two}]})]
+    rows = spark.createDataFrame([(blocks,), (None,), ([],)], "b array<string>").select(structured_events(F.col("b")).alias("e")).collect()
+    assert [tuple(e) for e in rows[0].e] == [("Cup", "2026-05-01", "08:30", "Oak Hill", "1 A St, Rye, NY 10580"), ("Day", "2026-06-01", None, "Town hall", None)]
+    assert rows[1].e == rows[2].e == []
