@@ -12,7 +12,7 @@ are *saturated*: links between two of them are sought by giving segments of thre
 one-deletion neighbourhood (a segment that differs by one shingle), where its keys are not hot. Sets that even this does not
 cover, such as tiny ones that leave segments empty, are compared among themselves by the shingles of their prefix.
 
-Only connected components are wanted. So first some keys pair their members with their smallest one, each set tries the partner with
+Only connected components are wanted. So first some keys pair their members with their smallest one, each set tries the few partners with
 which it shares most keys, and the links found unite sets; later pairs are made only between different components.
 All pairs are verified on the whole sets.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, WordHasher, by_bytes, cut_lineage, keep, mix, partitions, shingles, small_batches, utf8
@@ -42,8 +42,8 @@ HOT = 24
 KEY_BYTES = 5
 #: Bytes of text that a task turns into sets at once.
 SLICE_BYTES = 1 << 20
-#: Keys of a set, about, by which its likeliest partner is sought.
-STARS = 16
+#: Keys of a set, about, by which its likeliest partners are sought, and how many of these are tried first.
+STARS, PARTNERS = 16, 6
 #: Keys that one reducer task takes at once, about.
 REDUCER_KEYS = 2_000_000
 #: Rows of a table of sets (16 to 24 bytes each) up to which a join broadcasts it; beyond it, it is shuffled.
@@ -305,8 +305,8 @@ def _spare(met: DataFrame) -> DataFrame:
     return joined.select("node", "band", "hot", (F.col("spare") - F.col("hot")).alias("spare"))
 
 
-def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, united: DataFrame, width: int, t: int) -> DataFrame:
-    """Pairs (a, b) of different components among the saturated sets, in which every link between two of them is found.
+def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, links: DataFrame, united: DataFrame, width: int, t: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components among the saturated sets, in which every link between two of them is found, and links found on the way.
 
     A wide segment none of whose keys here is hot is worth two units. A set whose units exceed D in the band finds its links by keys that
     are not hot. The others are compared by the shingles of their prefix, the rarest among them first: with t/100 of the shingles in
@@ -317,7 +317,7 @@ def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, u
     keys = keep(saturated.join(sets, "node").select("node", "band", "shingles").mapInArrow(_neighbourhoods(t), "node bigint, band bigint, key bigint, side int, segment int"))
     own = keys.where("side < 2")
     hot = _small(keep(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")))
-    ends = _cross_pairs(own.join(hot, "key", "left_anti").select("key", "node", "side"), united, F.col("p.side") != F.col("q.side"))
+    ends_members = keep(own.join(hot, "key", "left_anti").select("key", "node", "side"))
     spoiled = own.where("segment >= 0").join(hot, "key").select("node", "band", "segment").distinct().groupBy("node", "band").agg(F.count("*").alias("spoiled"))
     wide = keys.where("side = 2").select("node", "band", F.col("key").alias("wide"))
     units = saturated.join(wide, ["node", "band"]).join(spoiled, ["node", "band"], "left")
@@ -327,8 +327,16 @@ def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, u
     counted = items.groupBy("shingle").agg(F.count("*").alias("n"))
     ranked = items.join(counted, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
     length = (F.col("size") - F.ceil(F.col("size") * t / 100) + 1).cast("int")
-    prefix = ranked.select("node", F.explode(F.slice("ranked", F.lit(1), length)).alias("r")).where("r.n > 1").select(F.col("r.shingle").alias("key"), "node")
-    return ends.unionByName(_cross_pairs(prefix, united)).distinct()
+    prefix = ranked.select("node", "size", F.posexplode(F.slice("ranked", F.lit(1), length)).alias("place", "r")).where("r.n > 1").select(F.col("r.shingle").alias("key"), "node", "size", "place")
+    prefix = keep(prefix)
+    # groups of near copies end up here too: again the smallest set of each key is tried with the others before any pairs are made
+    stars = prefix.join(prefix.groupBy("key").agg(F.min("node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    found = keep(_linked(_apart(stars, united).select("a", "b"), sets, t))
+    all_united = _small(cut_lineage(components(links.unionByName(found))))
+    # behind the first shingle in common, neither set may have too few left for the overlap that a link takes
+    left = F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place"))
+    enough = left * (100 + t) >= t * (F.col("p.size") + F.col("q.size"))
+    return _cross_pairs(ends_members, all_united, F.col("p.side") != F.col("q.side")).unionByName(_cross_pairs(prefix, all_united, enough)).distinct(), found
 
 
 def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = None) -> DataFrame:
@@ -402,18 +410,22 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
             pairs = pairs.join(sized.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("least").alias(f"least_{side}")), side)
         return pairs.where(_same_size(F.col("size_a"), F.col("size_b"), t)).withColumn("least", F.greatest("least_a", "least_b"))
 
-    # first the likeliest partner of each set
+    # first the likeliest partners of each set
     near = met.where("kind in (0, 4)").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
     likely = with_sizes(near).where("8 * n >= least or n >= 4")
-    best = keep(likely.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), F.xxhash64("a", "b"), "a"))
+    best = keep(likely.withColumn("rank", rank).where(F.col("rank") <= PARTNERS).select("a", "b"))
     links = keep(_linked(best, _sets(documents, nodes, _ends(best), width), t))
     united = _small(cut_lineage(components(links)))
 
-    # then every pair of sets in different components that shares as many keys as it has to
+    # then every pair of sets in different components: of saturated sets, and of those that share as many keys as they have to
+    tight, found = _saturated_pairs(spare, documents, nodes, links, united, width, t)
+    links = links.unionByName(found)
+    united = _small(cut_lineage(components(links)))
+    tight = with_sizes(tight)
     two = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "n")
     several = _cross_pairs(met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node")), united).withColumn("n", F.lit(1))
     enough = with_sizes(_apart(two.unionByName(several).groupBy("a", "b").agg(F.sum("n").alias("n")), united)).where("n >= least")
-    tight = with_sizes(_saturated_pairs(spare, documents, nodes, united, width, t))
     more = keep(enough.select("a", "b").unionByName(tight.select("a", "b")).distinct())
     final = components(links.unionByName(_linked(more, _sets(documents, nodes, _ends(more), width), t)))
 
