@@ -168,7 +168,7 @@ _encoders: dict[tuple, object] = {}
 
 
 def encoder(kind: type, *arguments: str) -> object:
-    """One encoder for each worker process, kept from batch to batch and task to task."""
+    """One encoder for each worker process, kept from batch to batch, and from task to task unless a task lets it go."""
     key = (kind.__name__, *arguments)
     if key not in _encoders:
         _encoders[key] = kind(*arguments)
@@ -191,6 +191,7 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
                 ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
                 decoded = [bpe.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        _encoders.clear()  # a worker that goes on to other work keeps no vocabulary
 
     kind = df.schema[id_column].dataType.simpleString()
     return small_batches(df).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
