@@ -305,8 +305,8 @@ def _spare(met: DataFrame) -> DataFrame:
     return joined.select("node", "band", "hot", (F.col("spare") - F.col("hot")).alias("spare"))
 
 
-def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, links: DataFrame, united: DataFrame, width: int, t: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different components among the saturated sets, in which every link between two of them is found, and links found on the way.
+def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, links: DataFrame, united: DataFrame, width: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of different components among the saturated sets, in which every link between two of them is found, links found on the way, and the components with those.
 
     A wide segment none of whose keys here is hot is worth two units. A set whose units exceed D in the band finds its links by keys that
     are not hot. The others are compared by the shingles of their prefix, the rarest among them first: with t/100 of the shingles in
@@ -336,7 +336,7 @@ def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, l
     # behind the first shingle in common, neither set may have too few left for the overlap that a link takes
     left = F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place"))
     enough = left * (100 + t) >= t * (F.col("p.size") + F.col("q.size"))
-    return _cross_pairs(ends_members, all_united, F.col("p.side") != F.col("q.side")).unionByName(_cross_pairs(prefix, all_united, enough)).distinct(), found
+    return _cross_pairs(ends_members, all_united, F.col("p.side") != F.col("q.side")).unionByName(_cross_pairs(prefix, all_united, enough)).distinct(), found, all_united
 
 
 def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = None) -> DataFrame:
@@ -366,7 +366,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    return pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
 
 
 def _apart(pairs: DataFrame, united: DataFrame) -> DataFrame:
@@ -419,9 +419,8 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     united = _small(cut_lineage(components(links)))
 
     # then every pair of sets in different components: of saturated sets, and of those that share as many keys as they have to
-    tight, found = _saturated_pairs(spare, documents, nodes, links, united, width, t)
+    tight, found, united = _saturated_pairs(spare, documents, nodes, links, united, width, t)
     links = links.unionByName(found)
-    united = _small(cut_lineage(components(links)))
     tight = with_sizes(tight)
     two = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "n")
     several = _cross_pairs(met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node")), united).withColumn("n", F.lit(1))
