@@ -1,7 +1,7 @@
 """Operator 2: licence scans by the Dice coefficient of word bigrams, in DataFrame functions only.
 
-A text is cut into passages: the whole text, and every sentence or line of it. A passage is normalised to lower-case words, and
-compared with each template by 2 |A and B| / (|A| + |B|) over the sets of their word bigrams. A passage can reach the
+A text is cut into passages: the whole text, every sentence or line of it, and runs of sentences and lines across line breaks, as
+notices are often wrapped. A passage is normalised to lower-case words, and compared with each template by 2 |A and B| / (|A| + |B|) over the sets of their word bigrams. A passage can reach the
 threshold only if its number of bigrams lies within t/(2-t) and (2-t)/t times the template's; and it must then share one of
 the template's first bigrams (as many as can be missing, and one), which finds the few passages to compare.
 """
@@ -48,7 +48,7 @@ def _template_rows(threshold: float) -> list[dict]:
             n = len(bigrams)
             low, high = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
             shared = max(1, math.ceil(threshold * (n + low) / 2 - 1e-9))
-            rows.append({"licence": name, "number": number, "bigrams": bigrams, "low": low, "high": high, "probes": sorted(bigrams, key=len, reverse=True)[: n - shared + 1]})
+            rows.append({"licence": name, "number": number, "bigrams": bigrams, "low": low, "high": high, "longest": math.ceil(len(words) * (2 - threshold) / threshold), "probes": sorted(bigrams, key=len, reverse=True)[: n - shared + 1]})
     return rows
 
 
@@ -61,8 +61,57 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: a one-element array gives it a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def wrapped(text: Column, threshold: float) -> Column:
+    """The runs of a text's lines and sentences across line breaks that match a template; null for null.
+
+    A run holds a probe bigram of the template, and not more words than its longest match. Of runs that overlap, the one with the highest
+    coefficient is taken, then the shortest, then the first; and it is given only if it goes over a line break, so a line or sentence
+    that matches as well stands for itself, and the whole text too.
+    """
+    rows = _template_rows(threshold)
+    strings = lambda x: F.array(*map(F.lit, x))
+    table = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("low", "high", "longest")), *(strings(r[c]).alias(c) for c in ("bigrams", "probes"))) for r in rows))
+    probes = strings(sorted({p for r in rows for p in r["probes"]}))
+    parts = F.flatten(F.transform(F.split(text, r"\n"), lambda line, n: F.transform(F.filter(F.transform(F.split(line, r"(?<=[.!?])\s+"), words_of), lambda w: F.size(w) > 0), lambda w: F.struct(n.alias("line"), w.alias("words")))))
+
+    def runs(parts: Column) -> Column:
+        slice_of = lambda i, j: F.slice(parts, i + 1, j - i + 1)
+        words = lambda i, j: F.flatten(F.transform(slice_of(i, j), lambda p: p["words"]))
+        count = lambda i, j: F.aggregate(slice_of(i, j), F.lit(0), lambda n, p: n + F.size(p["words"]))
+
+        def scored(i: Column, j: Column, t: Column) -> Column:
+            dice = lambda g: F.when((t["low"] <= F.size(g)) & (F.size(g) <= t["high"]), 2 * F.size(F.array_intersect(t["bigrams"], g)) / (F.size(t["bigrams"]) + F.size(g))).otherwise(0.0)
+            return F.struct((-_let(bigrams_of(words(i, j)), dice)).alias("less"), (j - i).alias("more"), i.alias("first"))
+
+        def around(k: Column, t: Column) -> Column:
+            starts = F.filter(F.sequence(F.greatest(k - t["longest"] + 1, F.lit(0)), k), lambda i: count(i, k) <= t["longest"])
+            ends = F.filter(F.sequence(k, F.least(k + t["longest"], F.size(parts)) - 1), lambda j: count(k, j) <= t["longest"])
+            return _let(ends, lambda e: F.flatten(F.transform(starts, lambda i: F.filter(F.transform(F.filter(e, lambda j: count(i, j) <= t["longest"]), lambda j: scored(i, j, t)), lambda s: s["less"] <= -threshold))))
+
+        def at(part: Column, k: Column) -> Column:
+            following = F.coalesce(F.slice(F.get(parts, k + 1)["words"], 1, 1), F.array().cast("array<string>"))
+            hits = lambda g: F.filter(table, lambda t: F.arrays_overlap(probes, g) & F.arrays_overlap(t["probes"], g))
+            return F.flatten(F.transform(_let(bigrams_of(F.concat(part["words"], following)), hits), lambda t: around(k, t)))
+
+        def best(good: Column) -> Column:
+            apart = lambda x, y: (x["first"] + x["more"] < y["first"]) | (y["first"] + y["more"] < x["first"])
+            return F.aggregate(good, F.filter(good, lambda s: F.lit(False)), lambda taken, s: F.when(F.forall(taken, lambda x: apart(x, s)), F.concat(taken, F.array(s))).otherwise(taken))
+
+        taken = _let(F.array_sort(F.array_distinct(F.flatten(F.transform(parts, at)))), best)
+        line = lambda i: F.get(parts, i)["line"]
+        across = F.filter(taken, lambda s: (line(s["first"]) < line(s["first"] + s["more"])) & (s["more"] + 1 < F.size(parts)))
+        return F.transform(across, lambda s: F.array_join(words(s["first"], s["first"] + s["more"]), " "))
+
+    return _let(parts, runs)
+
+
 def scan_licences(df: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every row's licence finding: ``doc_id``, ``licence`` (of the best-matching template; null if none reaches ``threshold``), ``dice`` and ``n_matches`` (passages that reach it).
+    """Every row's licence finding: ``doc_id``, ``licence`` (of the best-matching template; null if none reaches ``threshold``), ``dice`` and ``n_matches`` (passages that reach it; of overlapping runs across line breaks the best).
 
     The best match has the highest coefficient; ties go to the licence name that sorts first. Null and empty texts have no
     match; null and repeated ids keep a row each; other columns are not read. No shuffle: a row is scanned where it is
@@ -84,7 +133,7 @@ def scan_licences(df: DataFrame, threshold: float = THRESHOLD, id_column: str =
     source = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     lowered = F.lower(F.coalesce("text", F.lit("")))
     parts = F.filter(F.split("text", r"\n|(?<=[.!?])\s+"), lambda p: F.lower(p).rlike(anchor))
-    passages = F.when(lowered.rlike(anchor), F.array_union(F.array("text"), parts)).otherwise(F.array().cast("array<string>"))
+    passages = F.when(lowered.rlike(anchor), F.array_union(F.array_union(F.array("text"), parts), wrapped(F.col("text"), threshold))).otherwise(F.array().cast("array<string>"))
     # a one-element array gives an expression a name, so that it is computed once
     words = F.transform(passages, lambda p: F.get(F.transform(F.array(words_of(p)), bigrams_of), F.lit(0)))
     found = F.transform(words, against)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -109,6 +110,24 @@ def test_licences(spark):
     assert licences.scan_licences(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width, mark", [(30, ""), (72, " * "), (80, "# ")])
+def test_wrapped_licences(spark, width, mark):
+    """Notices wrapped at some columns, plain or as comments, once or twice within other text."""
+    prose = "\n".join(f"some other line number {i} about nothing" for i in range(40))
+    rest = "The above copyright notice shall be included in all copies or substantial portions of the Software."
+    wanted = [(name, text) for name, texts in licences.TEMPLATES.items() for text in texts if len(text) > width]
+    wrap = lambda t: "\n".join(mark + line for line in textwrap.wrap(t, width))
+    rows = [(i, f"{prose}\n\n{wrap(text)}\n\n{wrap(rest)}\n{prose}") for i, (_, text) in enumerate(wanted)]
+    rows += [(100 + i, f"{prose}\n{wrap(text)}\n{prose}\n{wrap('Indeed: ' + text)}\n{prose}") for i, (_, text) in enumerate(wanted)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(df).collect()}
+    assert len(got) == len(rows)
+    for i, (name, _) in enumerate(wanted):
+        assert got[i].licence == got[100 + i].licence == name
+        assert got[i].dice >= 0.95 and got[100 + i].dice >= 0.95
+        assert got[i].n_matches >= 1 and got[100 + i].n_matches >= 2
+
+
 # ---- 5
 
 
