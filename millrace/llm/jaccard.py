@@ -88,8 +88,10 @@ class Scopes:
                     yield band, into
 
     def most(self, band: int, sizes: np.ndarray) -> np.ndarray:
-        """D of each set and any set in this band."""
-        return most_different(sizes, np.minimum(_BANDS[band + 1] - 1, sizes * 100 // self.t), self.t)
+        """D of each set and any set that it may meet in this band: in its own band also larger sets, which emit from the bands above."""
+        partner = sizes * 100 // self.t
+        own = sizes < _BANDS[band + 1]
+        return most_different(sizes, np.where(own, partner, np.minimum(_BANDS[band + 1] - 1, partner)), self.t)
 
 
 def sets_of(texts: pa.Array, hasher: WordHasher, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:

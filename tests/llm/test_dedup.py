@@ -99,6 +99,35 @@ def test_sizes_where_sets_may_link():
                 assert band in mine and jaccard.most_different(r, s) <= scopes.most(band, np.array([r]))[0] < scopes.segments[band]
 
 
+def test_own_band_covers_larger_partners():
+    """A set and a larger one of the next band meet in the smaller one's band."""
+    import numpy as np
+
+    scopes = jaccard.Scopes()
+    for s in range(1, 400):
+        band = int(np.searchsorted(jaccard._BANDS, s, "right") - 1)
+        for r in range(s, s * 100 // 75 + 1):
+            if jaccard.most_different(r, s):
+                assert r - s <= scopes.most(band, np.array([s]))[0] < scopes.segments[band]
+                assert r - s <= scopes.most(band, np.array([r]))[0]
+
+
+def test_subset_pairs_of_neighbouring_bands(spark):
+    """Groups of three: a set of shingles and two larger ones that hold all of it."""
+    texts, draw = {}, random.Random(12)
+    for family in range(120):
+        small, large = [(12, 16), (18, 24), (27, 36)][family % 3]
+        base = [f"f{family}_{i}" for i in range(small + 4)]
+        texts[len(texts)] = " ".join(base)
+        for k in range(2):
+            before = draw.randrange(large - small + 1)
+            extra = [f"f{family}_{k}_{i}" for i in range(large - small)]
+            texts[len(texts)] = " ".join(extra[:before] + base + extra[before:])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == groups(texts)
+
+
 def test_connected_components(spark):
     draw = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(draw.randrange(200, 260), draw.randrange(200, 260)) for _ in range(40)]
