@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters below which an article is not trusted, and the most that a page's text keeps.
+LEAST_TEXT, LONGEST_TEXT = 400, 12_000
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
 
 
@@ -22,10 +24,19 @@ def visible_text(html: Column) -> Column:
 
 
 def main_text(html: Column) -> Column:
-    """The text of the article if the page marks one, else of the page without navigation and footer."""
-    article = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
-    rest = F.regexp_replace(html, r"(?is)<(nav|header|footer|aside|form)\b.*?</\1\s*>", " ")
-    return visible_text(F.when(article != "", article).otherwise(rest))
+    """The text of the article, or of the whole body without navigation and forms if the article has under LEAST_TEXT characters or a quarter of the body; at most LONGEST_TEXT characters."""
+    article = visible_text(F.regexp_extract(html, r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2))
+    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
+    rest = visible_text(F.regexp_replace(F.when(body != "", body).otherwise(html), r"(?is)<(svg|template|nav|header|footer|form|iframe)\b.*?</\1\s*>", " "))
+    whole = (F.length(article) >= LEAST_TEXT) & (F.length(article) >= F.length(rest) * 0.25)
+    return F.substring(F.when(whole, article).otherwise(rest), 1, LONGEST_TEXT)
+
+
+def pdf_text(text: Column) -> Column:
+    """The text of a PDF: lines trimmed, their white space single, at most one blank line in a row, at most LONGEST_TEXT characters."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(F.regexp_replace(line, "[ \t\u00a0]+", " "), r"^\s+|\s+$", ""))
+    joined = F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")
+    return F.substring(F.regexp_replace(joined, r"^\s+|\s+$", ""), 1, LONGEST_TEXT)
 
 
 def title(html: Column) -> Column:

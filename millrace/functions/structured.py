@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -93,3 +95,40 @@ def structured_events(blocks: Column) -> Column:
         return pd.Series([[dict(zip(names, e, strict=True)) for e in summaries(b)] for b in given])
 
     return F.pandas_udf(run, _TYPE)(blocks)
+
+
+#: Keys that an extraction does not need, levels and list items that it keeps, levels that are searched, and events of a page.
+DROPPED = ["image", "logo", "sameAs", "potentialAction", "@context"]
+KEPT_LEVELS, KEPT_ITEMS, SEARCHED_LEVELS, MOST_EVENTS = 6, 20, 8, 10
+
+
+def _slim(value, level: int = 0):
+    if level > KEPT_LEVELS:
+        return None
+    if isinstance(value, dict):
+        return {k: _slim(v, level + 1) for k, v in value.items() if k not in DROPPED}
+    return [_slim(v, level + 1) for v in value[:KEPT_ITEMS]] if isinstance(value, list) else value
+
+
+def _outermost(value, level: int = 0) -> Iterator[dict]:
+    """Objects whose type ends in Event, at any depth that is searched; what is inside them is theirs."""
+    if level <= SEARCHED_LEVELS and isinstance(value, (dict, list)):
+        kinds = value.get("@type") if isinstance(value, dict) else None
+        if any(isinstance(k, str) and k.endswith("Event") for k in (kinds if isinstance(kinds, list) else [kinds])):
+            yield value
+        else:
+            for inner in value.values() if isinstance(value, dict) else value:
+                yield from _outermost(inner, level + 1)
+
+
+def event_blocks(blocks: Column) -> Column:
+    """The first events of a page's JSON-LD blocks (array of JSON texts), each as JSON without what an extraction does not need. Blocks that are no JSON hold none."""
+
+    def of_page(texts) -> list[str]:
+        parsed = []
+        for text in texts if texts is not None else []:
+            with contextlib.suppress(ValueError):
+                parsed.append(json.loads(text))
+        return [json.dumps(_slim(e), ensure_ascii=False, separators=(",", ":")) for e in itertools.islice(_outermost(parsed), MOST_EVENTS)]
+
+    return F.pandas_udf(lambda given: pd.Series([of_page(b) for b in given]), "array<string>")(blocks)

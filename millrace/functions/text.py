@@ -32,6 +32,8 @@ ORDINALS = (
     r"(?i)\b(first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth|seventeenth|eighteenth|nineteenth"
     r"|twentieth|twenty|thirtieth|thirty|fortieth|forty|fiftieth|fifty|sixtieth|sixty)(-\w+)?\b"
 )
+YEARLY = [r"\b\d+(st|nd|rd|th)\b", r"\b(19|20)\d{2}\b", r"\bannual\b"]
+INITIALS = r"\b([a-z])\.([a-z])\.?(?=\s|$)"
 SCHOOL = r"(?i)\b(school|schools|university|college|academy|prep|preparatory|elementary|pta|pto|ptsa|parent[- ]teacher|boosters?|alumni association)\b"
 PLAYABLE = r"(?i)\b(scramble|outing|classic|tournament|shamble|pro[- ]?am|fundraiser|benefit)\b"
 WATCHED = [
@@ -45,6 +47,8 @@ WATCHED = [
     r"(?i)\bgala$",
 ]
 OUTING_WORD = r"(?i)\b(outings?|tournaments?|scrambles?|classics?|invitationals?)\b"
+GOLF_WORD = r"(?i)\bgolf"
+NO_LESSON = r"(?i)golf(?!\s*lesson)"
 OTHER_GOLF = r"(?i)\b(mini[\s-]?golf|miniature golf|putt[\s-]?putt|disc golf|foot ?golf|topgolf)\b"
 
 
@@ -102,7 +106,7 @@ def token_set_similarity(a: Column, b: Column) -> Column:
 
 def _place_words(text: Column) -> Column:
     lower = F.replace(F.lower(fold(text)), F.lit("&"), F.lit(" and "))
-    initials = F.regexp_replace(lower, r"\b([a-z])\.([a-z])\.?(?=\s|$)", "$1$2")
+    initials = F.regexp_replace(lower, INITIALS, "$1$2")
     return words(F.regexp_replace(initials, "['’`]", ""), "[^a-z0-9]+")
 
 
@@ -133,14 +137,34 @@ def register_tokens(name: Column) -> Column:
     return _without(words(plain, r"\s+"), REGISTER_WORDS)
 
 
-def title_key(title: Column, *organizers: Column) -> Column:
-    """A title without years, ordinals, "annual" and the telling words of the organizers' names; repeated words stay."""
+def title_words(title: Column) -> Column:
+    """Words of a title without years, ordinals and "annual"; repeated words stay."""
     text = F.regexp_replace(F.lower(title), ORDINALS, " ")
-    for pattern in (r"\b\d+(st|nd|rd|th)\b", r"\b(19|20)\d{2}\b", r"\bannual\b"):
+    for pattern in YEARLY:
         text = F.regexp_replace(text, pattern, " ")
+    return words(text, "[^a-z0-9]+")
+
+
+def title_key(title: Column, *organizers: Column) -> Column:
+    """``title_words`` without the telling words of the organizers' names."""
     telling = [F.filter(words(F.lower(F.coalesce(o, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC_WORDS)) for o in organizers]
     dropped = F.concat(*telling) if telling else F.array().cast("array<string>")
-    return F.array_join(F.filter(words(text, "[^a-z0-9]+"), lambda w: ~F.array_contains(dropped, w)), " ")
+    return F.array_join(F.filter(title_words(title), lambda w: ~F.array_contains(dropped, w)), " ")
+
+
+def _course_slug_words(name: Column) -> Column:
+    return F.array_distinct(_without(words(kebab(name), "-"), SLUG_WORDS))
+
+
+def slug_title(title: Column, course: Column) -> Column:
+    """A title for a slug that ends with the course: without "at" and the course's words at its end, or without the course's whole name."""
+    pattern = r"(?i)^(.*\S)\s+at\s+(.+)$"
+    bare = F.trim(title)
+    tail = _course_slug_words(F.regexp_extract(bare, pattern, 2))
+    ends = bare.rlike(pattern) & (F.size(tail) > 0) & (F.size(F.array_except(tail, _course_slug_words(course))) == 0)
+    at = F.position(F.lower(course), F.lower(title))
+    rest = F.trim(F.concat(F.substring(title, F.lit(1), at - 1), F.lit(" "), F.substring(title, at + F.length(course), F.length(title))))
+    return F.when(ends, F.regexp_extract(bare, pattern, 1)).when((at > 0) & (kebab(rest) != ""), rest).otherwise(title)
 
 
 def is_school(name: Column) -> Column:
@@ -157,7 +181,7 @@ def is_not_playable(title: Column) -> Column:
 
 def is_outing_text(text: Column) -> Column:
     t = F.regexp_replace(text, "[-_/+]+", " ")
-    return ~t.rlike(OTHER_GOLF) & t.rlike(r"(?i)\bgolf") & t.rlike(r"(?i)golf(?!\s*lesson)") & t.rlike(OUTING_WORD)
+    return ~t.rlike(OTHER_GOLF) & t.rlike(GOLF_WORD) & t.rlike(NO_LESSON) & t.rlike(OUTING_WORD)
 
 
 def markdown_cell(text: Column, most: int) -> Column:

@@ -12,7 +12,24 @@ from pyspark.sql import functions as F
 TRACKING = ["fbclid", "gclid", "dclid", "gbraid", "wbraid", "msclkid", "igshid", "yclid", "_hsenc", "_hsmi", "_ga", "_gl", "mkt_tok"]
 TRACKING_PREFIXES = ["utm_", "mc_"]
 LONGEST = 2048
-SECOND_LABELS = ["co", "com", "org", "net", "gov", "edu", "ac", "k12"]
+#: Suffixes of several labels under which names are registered, of countries and of hosting platforms; states, and labels below them, of US localities.
+SUFFIXES = [
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk",
+    "com.au", "net.au", "org.au", "edu.au", "gov.au",
+    "co.nz", "org.nz", "net.nz",
+    "co.jp", "ne.jp", "or.jp",
+    "com.br", "com.mx", "org.mx", "co.za", "com.cn", "com.tw", "com.sg", "com.hk",
+    "co.in", "co.kr", "com.ar", "com.co", "co.il",
+    "gc.ca", "qc.ca", "on.ca", "bc.ca", "ab.ca",
+    "fed.us", "dni.us", "nsn.us", "isa.us",
+    "github.io", "gitlab.io", "netlify.app", "vercel.app", "pages.dev", "workers.dev",
+    "herokuapp.com", "web.app", "firebaseapp.com", "azurewebsites.net", "cloudfront.net",
+    "blogspot.com", "wordpress.com", "wixsite.com", "weebly.com", "square.site",
+    "godaddysites.com", "myshopify.com", "webflow.io", "carrd.co", "squarespace.com",
+    "sites.google.com",
+]
+US_STATES = "al ak az ar ca co ct de dc fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy pr vi gu as mp".split()
+US_LOCALITIES = ["k12", "cc", "lib", "pvt", "tec", "gen", "mus"]
 _PARTS = r"(?i)^(https?)://([^/?#@\s]+?)(?::(\d+))?(/[^?#\s]*)?(?:\?([^#\s]*))?(?:#\S*)?$"
 
 
@@ -38,13 +55,16 @@ def normalize(url: Column) -> Column:
 
 
 def domain(name: Column) -> Column:
-    """The registrable domain of a host: the last two labels, or more under a locality or a country's second labels."""
-    labels = F.filter(F.split(F.lower(F.rtrim(name, F.lit("."))), r"\."), lambda x: x != "")
+    """The registrable domain of a host: one label more than its public suffix. Addresses, single labels and bare suffixes stay as they are."""
+    h = F.regexp_replace(F.lower(name), r"\.+$", "")
+    labels = F.split(h, r"\.")
     n = F.size(labels)
-    last, second, third = (F.get(labels, n - i) for i in (1, 2, 3))
-    locality = (last == "us") & second.rlike("^[a-z]{2}$")
-    keep = F.when(n <= 2, n).when(locality, F.when((third == "k12") & (n >= 4), 4).otherwise(3)).when((F.length(last) == 2) & second.isin(*SECOND_LABELS), 3).otherwise(2)
-    return F.array_join(F.slice(labels, F.greatest(n - keep + 1, F.lit(1)), F.greatest(keep, F.lit(1))), ".")
+    tail = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    last, second, third = (F.coalesce(F.get(labels, n - i), F.lit("")) for i in (1, 2, 3))
+    in_state = (last == "us") & second.isin(*US_STATES)
+    suffix = F.when(in_state & third.isin(*US_LOCALITIES), 3).when(in_state, 2).when((n > 3) & tail(3).isin(*SUFFIXES), 3).when((n > 2) & tail(2).isin(*SUFFIXES), 2).otherwise(1)
+    address = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | h.contains(":")
+    return F.when(address | (n <= suffix), h).otherwise(F.array_join(F.slice(labels, n - suffix, suffix + 1), "."))
 
 
 def source_domain(url: Column) -> Column:

@@ -21,6 +21,11 @@ ABOUT_LINKS = [
 ]
 NO_COURSE = r"(?i)mini ?golf|miniature|\bputt(?:-putt|ing)?\b|\btop ?golf\b|driving range"
 MUNICIPAL = r"(?i)\bcity of\b|\bcounty\b|\bparks\b|\brecreation\b|\bstate park\b"
+#: What no city's name has, and what it is made of.
+NO_CITY = [r"\d", r"(?i)\b(suite|ste|floor|fl|unit|apt|po box|box)\b", r"^[A-Z]{1,2}$"]
+CITY_NAME, CITY_LENGTHS = r"^[A-Za-z][A-Za-z .'\-]*$", (2, 40)
+#: Lines of guides that are not allowed.
+HEADING, SETEXT, RAW_HTML, IMAGES = r"^\s{0,3}(#{1,6})(\s|$)", r"^\s{0,3}=+\s*$", r"(?i)</?[a-z][a-z0-9-]*(\s[^>]*)?/?>", [r"!\[[^\]]*\]\([^)]*\)", r"!\[[^\]]*\]\[[^\]]*\]"]
 #: IPv4 networks that are not public.
 PRIVATE_V4 = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
 LONGEST_DELAY = 30
@@ -69,7 +74,7 @@ def platform_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     domain = U.domain(U.host(F.col("url")))
     asked = pages.select("page_id", "url", F.explode(F.array(domain, F.concat(F.substring_index(domain, ".", 1), F.lit(".*")))).alias("domain"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))
-    first = asked.join(F.broadcast(rules), "domain").withColumn("rank", rank).where("rank = 1")
+    first = asked.join(rules, "domain").withColumn("rank", rank).where("rank = 1")
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
     listing = F.coalesce(F.expr("listing_path rlike listing_pattern"), F.lit(False)) | (F.col("directory") & F.coalesce(~F.expr("lower(url) rlike lower(event_pattern)"), F.lit(False)))
     return first.withColumn("listing_path", path).withColumn("listing", listing).select("page_id", "platform", "allowed", "listing", "directory")
@@ -105,8 +110,10 @@ def feature_type(tags: Column) -> Column:
 
 
 def is_city_name(value: Column) -> Column:
-    v = F.trim(value)
-    return F.length(v).between(2, 40) & ~v.rlike(r"\d") & ~v.rlike(r"(?i)\b(suite|ste|floor|fl|unit|apt|po box|box)\b") & ~v.rlike(r"^[A-Z]{1,2}$") & v.rlike(r"^[A-Za-z][A-Za-z .'\-]*$")
+    """A few letters with spaces, dots, hyphens and apostrophes; no numbers, no part of an address, no abbreviation of a state."""
+    name = F.trim(value)
+    unlike = [name.rlike(p) for p in NO_CITY]
+    return name.rlike(CITY_NAME) & F.length(name).between(*CITY_LENGTHS) & ~(unlike[0] | unlike[1] | unlike[2])
 
 
 def v4_number(address: Column) -> Column:
@@ -142,14 +149,14 @@ def guide_problems(guides: DataFrame) -> DataFrame:
     fence = F.col("text").rlike(r"^\s*(```|~~~)")
     lines = lines.withColumn("fence", fence).withColumn("fences", F.sum(fence.cast("int")).over(by_line)).withColumn("before", F.coalesce(F.lag("text").over(by_line), F.lit("")))
     open_lines = lines.where("not fence and fences % 2 = 0")
-    level = F.length(F.regexp_extract("text", r"^\s{0,3}(#{1,6})(\s|$)", 1))
+    level = F.length(F.regexp_extract("text", HEADING, 1))
     text = F.col("text")
     checks = F.array_compact(
         F.array(
             F.when((level > 0) & ~level.isin(2, 3), F.concat(F.lit("heading level "), level.cast("string"), F.lit("; use ## or ###"))),
-            F.when(text.rlike(r"^\s{0,3}=+\s*$") & (F.trim("before") != ""), F.lit("setext H1 heading; use ##")),
-            F.when(text.rlike(r"(?i)</?[a-z][a-z0-9-]*(\s[^>]*)?/?>") | text.rlike("<!--"), F.lit("raw HTML")),
-            F.when(text.rlike(r"!\[[^\]]*\]\([^)]*\)") | text.rlike(r"!\[[^\]]*\]\[[^\]]*\]"), F.lit("image")),
+            F.when(text.rlike(SETEXT) & (F.trim("before") != ""), F.lit("setext H1 heading; use ##")),
+            F.when(text.rlike(RAW_HTML) | text.rlike("<!--"), F.lit("raw HTML")),
+            F.when(text.rlike(IMAGES[0]) | text.rlike(IMAGES[1]), F.lit("image")),
         )
     )
     return open_lines.select("guide_id", (F.col("i") + 1).alias("line"), F.explode(checks).alias("problem"))
@@ -180,3 +187,14 @@ def event_json(rows: DataFrame) -> DataFrame:
     for character, escape in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
         text = F.replace(text, F.lit(character), F.lit(escape))
     return rows.where("start_date is not null").select("id", text.alias("json"))
+
+
+def breadcrumb_json(names: Column, urls: Column) -> Column:
+    """A BreadcrumbList of names and addresses (arrays of the same length)."""
+    items = F.transform(F.arrays_zip(names.alias("name"), urls.alias("item")), lambda x, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), x["name"].alias("name"), x["item"].alias("item")))
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), items.alias("itemListElement")))
+
+
+def item_list_json(urls: Column) -> Column:
+    items = F.transform(urls, lambda x, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), x.alias("url")))
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), items.alias("itemListElement")))

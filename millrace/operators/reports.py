@@ -36,6 +36,26 @@ def weekly(runs: DataFrame) -> DataFrame:
     )
 
 
+ERRORS = "array<struct<stage:string,kind:string,message:string>>"
+#: Kinds of stored errors that make a run fail, and the one that is none.
+FAILURE_KINDS, STUB = ["internal", "forced"], "not_implemented"
+
+
+def stored_errors(runs: DataFrame) -> DataFrame:
+    """One row for each stored error: ``id``, ``started_at``, ``place`` in the run, ``stage``, ``kind``, ``message``. Stubs and texts that are no list are left out."""
+    errors = runs.select("id", "started_at", F.posexplode(F.from_json("errors", ERRORS)).alias("place", "e"))
+    return errors.where(F.col("e.kind").isNotNull() & (F.col("e.kind") != STUB)).select("id", "started_at", "place", "e.*")
+
+
+def errors_by_kind(runs: DataFrame) -> DataFrame:
+    return stored_errors(runs).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("id").alias("runs"))
+
+
+def failures(runs: DataFrame) -> DataFrame:
+    """Errors of stages that threw or were made to; a run with one has failed."""
+    return stored_errors(runs).where(F.col("kind").isin(*FAILURE_KINDS))
+
+
 def latest_with(runs: DataFrame, stage: str) -> DataFrame:
     """The latest run whose finished stages hold this one."""
     done = runs.where(F.array_contains(list_of("stages_done"), stage))

@@ -110,6 +110,14 @@ def insertion_positions(rows: DataFrame, page: list[str], order: list, first: in
     return counted.where((F.col("n") >= first) & ((F.col("n") - first) % every == 0) & (F.col("n") < F.col("total")))
 
 
+def positions_in_groups(positions: DataFrame, groups: DataFrame) -> DataFrame:
+    """Page-wide positions (page, position, ordinal; from 0) as ``group`` and ``position`` in it: consecutive groups (page, group, length) of a page share its positions in the order of ``group``. Positions beyond the last group go."""
+    so_far = Window.partitionBy("page").orderBy("group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = groups.withColumn("until", F.sum("length").over(so_far)).withColumn("offset", F.col("until") - F.col("length")).select("page", "group", "offset", "until")
+    inside = positions.join(spans, "page").where((F.col("position") >= F.col("offset")) & (F.col("position") < F.col("until")))
+    return inside.select("page", "group", (F.col("position") - F.col("offset")).alias("position"), "ordinal")
+
+
 def between_shown(items: DataFrame, page: list[str], order: list) -> DataFrame:
     """Inserted items (``inserted``) that have a shown row both before and after them."""
     w = Window.partitionBy(*page).orderBy(*order)

@@ -26,7 +26,7 @@ plans = Plans()
 @plans.query("course_match")
 def course_match(d: Directory) -> DataFrame:
     courses = d.courses.withColumn("aliases", L.string_list(F.col("aliases")))
-    asked = d.courses.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.concat(F.replace("name", F.lit("#"), F.lit(" ")), F.lit(" Golf Club")).alias("name"), "state", "city", "lat", "lng")
+    asked = d.courses.select(F.col("id").alias("query_id"), F.concat(F.replace("name", F.lit("#"), F.lit(" ")), F.lit(" Golf Club")).alias("name"), "state", "city", "lat", "lng")
     return K.match_courses(asked, courses)
 
 
@@ -35,8 +35,8 @@ def name_likeness(d: Directory) -> DataFrame:
     return d.base("part").select("p_partkey", F.round(K.jaro_winkler(F.col("p_name"), F.col("p_type")), 9).alias("score"))
 
 
-_NAMES = "SELECT p_partkey AS name_id, p_name || ' ' || p_brand AS name, CASE p_size % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'NJ' ELSE 'PA' END AS state FROM part WHERE p_partkey % 10 = 3"
-_REGISTER = "SELECT p_partkey AS ein, p_name || ' ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' Inc' ELSE '' END AS name, CASE p_size % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'NJ' ELSE 'PA' END AS state FROM part WHERE p_partkey % 4 <> 0"
+_NAMES = "SELECT p_partkey AS name_id, p_name || ' ' || p_brand || CASE p_partkey % 4 WHEN 0 THEN ' Ladies Guild' WHEN 1 THEN '' ELSE ' ' || CAST(p_partkey AS STRING) END AS name, CASE p_size % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'NJ' ELSE 'PA' END AS state FROM part"
+_REGISTER = "SELECT p_partkey AS ein, p_name || ' ' || p_brand || ' ' || CAST(p_partkey - p_partkey % 2 AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN ' Inc' ELSE '' END AS name, CASE (p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END) % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'NJ' ELSE 'PA' END AS state FROM part"
 _WORDS = "list_distinct(list_filter(string_split_regex(regexp_replace(upper(name), '[^A-Z0-9 ]+', ' ', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ('INC', 'THE', 'OF', 'AND', 'FOR', 'CO', 'CORP', 'LLC', 'FUND', 'FOUNDATION')))"
 _SHARED = f"""WITH names AS ({_NAMES}), register AS ({_REGISTER}),
   a AS (SELECT name_id, state, unnest({_WORDS}) AS token FROM names), b AS (SELECT ein, state, unnest({_WORDS}) AS token FROM register),
@@ -97,9 +97,8 @@ def hold_lifting(d: Directory) -> DataFrame:
 def _for_clusters(d: Directory) -> DataFrame:
     names = d.organizers.select(F.col("id").alias("organizer_id"), F.col("name").alias("organizer"))
     rows = d.outings.where("start_date is not null").join(names, "organizer_id", "left")
-    key = lambda c: F.array_join(T.name_tokens(c), " ")
     kind = F.element_at(F.array(F.lit("organizer"), F.lit("listing"), F.lit("search")), (F.col("id") % 3 + 1).cast("int"))
-    return rows.select(F.col("id").alias("event_id"), (F.col("course_id") % 5).alias("course_id"), F.substring("start_date", 1, 7).alias("start_date"), "organizer", key(T.title_key(F.col("title"), F.col("organizer"))).alias("title_key"), key(F.col("organizer")).alias("organizer_key"), kind.alias("kind"), "confidence", F.col("id").alias("ord"))
+    return rows.select(F.col("id").alias("event_id"), (F.col("course_id") % 5).alias("course_id"), F.substring("start_date", 1, 7).alias("start_date"), "organizer", "title", kind.alias("kind"), "confidence", F.col("id").alias("ord"))
 
 
 @plans.query("event_clusters")
@@ -141,11 +140,11 @@ def state_zones(d: Directory) -> DataFrame:
     return d.courses.select("id", F.coalesce(F.try_element_at(known, F.col("state")), F.lit("America/Los_Angeles")).alias("zone"))
 
 
-@plans.query("facility_pairs", f"SELECT p.id AS a, c.id AS b FROM courses p JOIN courses c ON p.state = c.state AND p.id < c.id AND {_DIST} <= 3 WHERE p.id < 300 AND c.id < 300", ("courses",))
+@plans.query("facility_pairs", f"SELECT p.id AS a, c.id AS b FROM courses p JOIN courses c ON p.state = c.state AND p.id < c.id AND {_DIST} <= 3 ", ("courses",))
 def facility_pairs(d: Directory) -> DataFrame:
     """Courses within 3 km: only those of one state and neighbouring cells of a grid meet."""
     cell = lambda x: F.floor(x / 0.05).cast("int")
-    c = d.courses.where("id < 300").select("id", "state", "lat", "lng", cell(F.col("lat")).alias("row"), cell(F.col("lng")).alias("col"))
+    c = d.courses.select("id", "state", "lat", "lng", cell(F.col("lat")).alias("row"), cell(F.col("lng")).alias("col"))
     near = c.select(F.col("id").alias("a"), "state", F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a"), F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)).alias("row"), "col")
     near = near.select("a", "state", "lat_a", "lng_a", "row", F.explode(F.sequence(F.col("col") - 1, F.col("col") + 1)).alias("col"))
     pairs = near.join(c.withColumnRenamed("id", "b"), ["state", "row", "col"])

@@ -246,10 +246,10 @@ def geojson(d: Directory) -> DataFrame:
     return near.select("id", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), "title", "label", F.round(F.col("distance_km") / KM_PER_MILE, 1).alias("miles"))
 
 
-@reading("page_split", f"SELECT id, CASE WHEN {_UP} THEN 'upcoming' WHEN status = 'expected' THEN 'expected' ELSE 'past' END AS part FROM rows WHERE published = 1 AND course_id < 200")
+@reading("page_split", f"SELECT id, CASE WHEN {_UP} THEN 'upcoming' WHEN status = 'expected' THEN 'expected' ELSE 'past' END AS part FROM rows WHERE published = 1")
 def page_split(d: Directory) -> DataFrame:
     part = F.when(L.upcoming(TODAY), "upcoming").when(F.col("status") == "expected", "expected").otherwise("past")
-    return rows(d).where("published = 1 and course_id < 200").select("id", part.alias("part"))
+    return rows(d).where("published = 1").select("id", part.alias("part"))
 
 
 @reading("national_hub", f"""SELECT coalesce(u.state, e.state) AS state, coalesce(u.n, 0) AS upcoming, coalesce(e.n, 0) AS expected FROM

@@ -169,9 +169,14 @@ def html_text(d: Directory) -> DataFrame:
     return d.base("pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
-@plans.query("main_text", "SELECT page_id, " + _TEXT.format(r"regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1)") + r" AS text FROM pages WHERE regexp_matches(html, '(?i)<article\b')")
+_BODY = r"regexp_extract(html, '(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)', 1)"
+for _tag in ("svg", "template", "nav", "header", "footer", "form", "iframe"):
+    _BODY = rf"regexp_replace({_BODY}, '(?is)<{_tag}\b.*?</{_tag}\s*>', ' ', 'g')"
+
+
+@plans.query("main_text", "SELECT page_id, substr(CASE WHEN length(a) >= 400 AND length(a) >= length(b) * 0.25 THEN a ELSE b END, 1, 12000) AS text FROM (SELECT page_id, " + _TEXT.format(r"regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1)") + " AS a, " + _TEXT.format(_BODY) + " AS b FROM pages)")
 def main_text(d: Directory) -> DataFrame:
-    return d.base("pages").where(F.col("html").rlike(r"(?i)<article\b")).select("page_id", H.main_text(F.col("html")).alias("text"))
+    return d.base("pages").select("page_id", H.main_text(F.col("html")).alias("text"))
 
 
 @plans.query("page_links", "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages")

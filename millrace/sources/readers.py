@@ -100,3 +100,38 @@ def split_valid(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, Da
 def newest_month(months: list[str], current: str) -> str | None:
     """The snapshot to use: this month's, else the newest older one."""
     return max((m for m in months if m <= current), default=None)
+
+
+#: Override files and the lists that each may hold; entries are texts or maps of texts.
+OVERRIDE_LISTS = {
+    "course-types": ["overrides"], "exclusions": ["domains", "url_patterns"], "removals": ["outing_ids", "urls"], "notable-courses": ["courses"], "series": ["series"],
+    "access-operators": ["domains"], "tournament-operators": ["domains"], "js-platforms": ["hosts"], "registration-hosts": ["hosts"], "platforms": ["platforms"],
+}
+
+
+def read_overrides(spark: SparkSession, folder: str) -> DataFrame:
+    """Hand-kept YAML lists as rows: ``file``, ``list``, ``ord``, ``entry`` (map of texts; a plain text under "value").
+
+    The files are configuration, read whole by the driver as their authors' editors do. An unknown file or list, an entry that is no text or map, and a platform that is
+    allowed without the day on which its terms were read (``terms_checked``) are errors that name the place. An empty list gives no rows.
+    """
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading override files takes the package yaml") from e
+    rows = []
+    for path, text in spark.read.text(f"{folder.rstrip('/')}/*.yaml", wholetext=True).select("_metadata.file_name", "value").collect():
+        name = path.removesuffix(".yaml")
+        if name not in OVERRIDE_LISTS:
+            raise ValueError(f"{path}: no such override file")
+        for key, entries in (yaml.safe_load(text) or {}).items():
+            if key not in OVERRIDE_LISTS[name] or not isinstance(entries or [], list):
+                raise ValueError(f"{path}: {key} is none of its lists")
+            for i, entry in enumerate(entries or []):
+                found = entry if isinstance(entry, dict) else {"value": entry}
+                if any(isinstance(v, (list, dict)) or v is None for v in found.values()):
+                    raise ValueError(f"{path}: entry {i + 1} of {key} is neither a text nor a map of texts")
+                if name == "platforms" and found.get("allowed") is True and not found.get("terms_checked"):
+                    raise ValueError(f"{path}: entry {i + 1} is allowed, but its terms were not read")
+                rows.append((name, key, i, {str(k): str(v).lower() if isinstance(v, bool) else str(v) for k, v in found.items()}))
+    return spark.createDataFrame(rows, "file string, list string, ord int, entry map<string,string>")

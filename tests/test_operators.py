@@ -10,9 +10,8 @@ from millrace.operators import state as S
 
 
 def test_jaro_winkler():
-    assert K.jaro_winkler_of("martha", "marhta") == pytest.approx(0.9611111)
-    assert K.jaro_winkler_of("", "a") == 0 and K.jaro_winkler_of("a", "a") == 1
-    assert K.jaro_winkler_of("abc", "xyz") == 0
+    got = K.jaro_winkler_of(["martha", "", "a", "abc", "", "dwayne", "a" * 40], ["marhta", "a", "a", "xyz", "", "duane", "b"])
+    assert got.tolist() == pytest.approx([0.9611111, 0, 1, 0, 0, 0.84, 0], abs=1e-6)
 
 
 def test_match_courses(spark):
@@ -29,10 +28,74 @@ def test_match_courses(spark):
 
 
 def test_clusters_follow_the_first_leader(spark):
-    rows = [(1, "search", 0.9, "kidney fund", "golf outing"), (2, "organizer", 0.5, "kidney fund", "golf outing"), (3, "organizer", 0.9, "heart fund", "spring scramble"), (4, "search", 0.9, None, "golf outing")]
-    events = spark.createDataFrame([(i, 7, "2026-05-01", o, t, o or "", k, c, i) for i, k, c, o, t in rows], "event_id long, course_id long, start_date string, organizer string, title_key string, organizer_key string, kind string, confidence double, ord long")
-    got = {r.event_id: r.leader for r in K.cluster_events(events).collect()}
-    assert got == {3: 3, 2: 2, 1: 2, 4: 2}
+    rows = [(1, "search", 0.9, "Kidney Fund", "Kidney Fund Golf Outing"), (2, "organizer", 0.5, "Kidney Fund Inc", "Golf Outing"), (3, "organizer", 0.9, "Heart Circle", "Spring Scramble"), (4, "search", 0.9, None, "2026 Golf Outing"), (5, "search", 0.1, "Kidney Fund", "Kidney Fund Golf Outing")]
+    assert clusters(spark, rows) == {3: 3, 2: 2, 1: 2, 4: 2, 5: 2}
+
+
+def test_titles_that_name_their_organizer_stay_apart(spark):
+    rows = [(1, "organizer", 0.9, "Rotary Club of Phoenix", "Rotary Golf Day"), (2, "organizer", 0.8, "Lions Club of Phoenix", "Lions Golf Day"), (3, "search", 0.8, "Phoenix Lions", "Golf Day"), (4, "search", 0.7, None, "2026"), (5, "search", 0.6, "Someone", "2026")]
+    assert clusters(spark, rows) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def clusters(spark, rows):
+    events = spark.createDataFrame([(i, 7, "2026-05-01", o, t, k, c, i) for i, k, c, o, t in rows], "event_id long, course_id long, start_date string, organizer string, title string, kind string, confidence double, ord long")
+    return {r.event_id: r.leader for r in K.cluster_events(events).collect()}
+
+
+def plain_jaro_winkler(a, b):
+    """One pair at a time, by the definition."""
+    if not a or not b:
+        return 0.0
+    reach, taken, mine = max(max(len(a), len(b)) // 2 - 1, 0), {}, []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == c), None)
+        if j is not None:
+            taken[j] = c
+            mine.append(c)
+    if not mine:
+        return 0.0
+    m, moved = len(mine), sum(x != taken[j] for x, j in zip(mine, sorted(taken), strict=True)) / 2
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def test_jaro_winkler_against_plain_pairs():
+    import random
+
+    draw = random.Random(1)
+    words = ["".join(draw.choice("abcé ") for _ in range(draw.randrange(12))) for _ in range(60)]
+    pairs = [(a, b) for a in words for b in words]
+    got = K.jaro_winkler_of([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == pytest.approx([plain_jaro_winkler(a, b) for a, b in pairs])
+
+
+def test_courses_against_all_pairs(spark):
+    """Random places in two states, against a walk over every pair."""
+    import math
+    import random
+
+    draw = random.Random(6)
+    name = lambda: " ".join(draw.choice(["oak", "oaks", "hill", "hills", "river", "north"]) for _ in range(2))
+    courses = [(i, name(), draw.choice(["NY", "NJ"]), draw.choice([None, "Aton", "Bville"]), 40 + draw.random() / 3, -74 + draw.random() / 3, [name()] if i % 3 == 0 else []) for i in range(60)]
+    asked = [(i, name(), draw.choice(["ny", "NJ"]), draw.choice([None, "aton", "Bville", "Cford"]), *draw.choice([(None, None), (40.1, -73.9), (40.2, -73.8)])) for i in range(50)]
+    km = lambda a, b, c, d: 2 * 6371.0088 * math.asin(math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2))
+    want = {}
+    for q, wanted, state, city, lat, lng in asked:
+        found = []
+        for i, n, s, c, y, x, aliases in courses:
+            own, other = plain_jaro_winkler(wanted, n), max([plain_jaro_winkler(wanted, a) for a in aliases], default=0)
+            if s != state.upper() or max(own, other) < 0.88:
+                continue
+            if city and not (c and c.lower() == city.lower()) and not (lat is not None and km(lat, lng, y, x) <= 25):
+                continue
+            found.append((-max(own, other), other > own, len(n), i, y, x))
+        found.sort()
+        apart = any(km(a[4], a[5], b[4], b[5]) > 3 for a in found for b in found)
+        want[q] = ("unmatched", None, 0) if not found else ("ambiguous", None, len(found)) if apart else ("matched", found[0][3], len(found))
+    assert {k for k, *_ in want.values()} == {"unmatched", "ambiguous", "matched"}
+    got = K.match_courses(spark.createDataFrame(asked, "query_id long, name string, state string, city string, lat double, lng double"), spark.createDataFrame(courses, "id long, name string, state string, city string, lat double, lng double, aliases array<string>"))
+    assert {r.query_id: (r.kind, r.course_id, r.candidates) for r in got.collect()} == want
 
 
 def test_capped_selection_against_a_plain_walk(spark):

@@ -87,7 +87,7 @@ def test_streams(spark, tmp_path):
     assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u1", "u2"]
     late = df.unionByName(spark.createDataFrame([("u3", "2024-03-01 00:00:00")], "url string, at string").withColumn("at", F.col("at").cast("timestamp")))
     late.write.parquet(str(tmp_path / "in2"))
-    counts = G.hourly_counts(G.stream_of(spark, str(tmp_path / "in2"), late.schema), "at", "url")
+    counts = G.hourly_counts(G.stream_of(spark, str(tmp_path / "in2"), late.schema, files_per_batch=100), "at", "url")
     G.run_once(counts, str(tmp_path / "out2"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "out2")).count() >= 3
 
@@ -120,3 +120,17 @@ def test_aliases_and_about_links(spark):
 @pytest.mark.parametrize("body, yes", [("<html><title>Just a moment...</title>", True), ("just a moment", False), ("<html>fine</html>", False)])
 def test_challenges(spark, body, yes):
     assert spark.createDataFrame([(body,)], "b string").select(C.is_challenge(F.col("b")).alias("x")).first().x is yes
+
+
+def test_overrides(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "exclusions.yaml").write_text("# none yet\ndomains: []\nurl_patterns:\n  - https://x.org/*\n")
+    (tmp_path / "platforms.yaml").write_text("platforms:\n  - domain: a.org\n    allowed: true\n    terms_checked: 2026-01-02\n  - domain: b.org\n    allowed: false\n")
+    got = {(r.file, r.list, r.ord): r.entry for r in R.read_overrides(spark, str(tmp_path)).collect()}
+    assert got == {("exclusions", "url_patterns", 0): {"value": "https://x.org/*"}, ("platforms", "platforms", 0): {"domain": "a.org", "allowed": "true", "terms_checked": "2026-01-02"}, ("platforms", "platforms", 1): {"domain": "b.org", "allowed": "false"}}
+    for name, text, said in (("platforms", "platforms:\n  - domain: a.org\n    allowed: true\n", "terms"), ("removals", "pages: []\n", "none of its lists"), ("surprise", "x: []\n", "no such")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / f"{name}.yaml").write_text(text)
+        with pytest.raises(ValueError, match=said):
+            R.read_overrides(spark, str(folder))
