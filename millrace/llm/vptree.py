@@ -24,6 +24,8 @@ SHARD_ROWS, BLOCK_ROWS = 20_000, 8_192
 LEAF = 128
 #: Places kept beyond k while searching, as products are rounded there; the end result is computed anew.
 _MORE = 8
+#: Room for rounding in squared distances, as a share of the squared reach of a query.
+_ROUNDING = 1e-12
 
 
 class Tree:
@@ -50,7 +52,7 @@ class Tree:
         return (a, b)
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Products and vectors of the k best found for each query; -inf and -1 where there are fewer."""
+        """Products and vectors of the k best found for each query, of equal products the first vectors; -inf and -1 where there are fewer."""
         self.queries = np.c_[queries, np.zeros(len(queries))]
         self.reach = (queries * queries).sum(1) + self.most**2
         self.score, self.found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
@@ -66,8 +68,7 @@ class Tree:
             products = self.queries[active] @ self.vectors[rows].T
             score = np.c_[self.score[active], products]
             found = np.c_[self.found[active], np.broadcast_to(rows, products.shape)]
-            k = self.score.shape[1]
-            best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            best = np.lexsort((found, -score), axis=1)[:, : self.score.shape[1]]  # of equal products the first vectors stay
             self.score[active], self.found[active] = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
             return
         point, radius, inner, outer = node
@@ -76,7 +77,8 @@ class Tree:
         for here, near, far in ((inside, inner, outer), (~inside, outer, inner)):
             self._visit(near, active[here])
             worst = self.score[active].min(1)
-            tau = np.sqrt(np.maximum(self.reach[active] - 2 * worst, 0))
+            # a vector as near as the worst may lie on the far side of an equal bound; square roots of rounded differences need the more room
+            tau = np.sqrt(np.maximum(self.reach[active] - 2 * worst, 0) + _ROUNDING * self.reach[active])
             self._visit(far, active[here & (np.abs(d - radius) * self.factor <= tau)])
 
 
@@ -87,7 +89,10 @@ def _search(k: int, factor: float):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         ids = candidates["vec_id"].to_numpy()
         order = np.argsort(ids)
-        vectors, of = np.unique(np.stack(candidates["embedding"].to_numpy())[order].astype(np.float64), axis=0, return_inverse=True)
+        vectors, first, of = np.unique(np.stack(candidates["embedding"].to_numpy())[order].astype(np.float64), axis=0, return_index=True, return_inverse=True)
+        # vectors in the order of their smallest ids, by which the tree breaks ties
+        by_id = np.argsort(first)
+        vectors, of = vectors[by_id], np.argsort(by_id)[of.reshape(-1)]
         # of equal vectors only the k+1 smallest ids can be among k nearest
         by_vector = np.argsort(of, kind="stable")
         ids, starts = ids[order][by_vector], np.searchsorted(of[by_vector], np.arange(len(vectors) + 1))
