@@ -7,7 +7,8 @@ A file holds the documents of one range of ids::
 A chunk is a block of CHUNK_IDS ids (the last may be shorter). Its fixed-size ids are transposed: plane i
 holds bit i (or byte i) of every id, and each plane is compressed by itself with zstandard. The index is
 zstandard-compressed JSON with the width of an id, the kind of planes, each chunk's position, ids and plane
-lengths, and each document's id and number of tokens; so any range of ids can be read by itself.
+lengths, and the position of each block of the list of documents (their ids and numbers of tokens), which stand between the
+chunks; so any range of ids can be read by itself, and no file's list of documents is in memory as a whole.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import by_bytes, cut_lineage, partitions, shared_dir, small_batches
 
 MAGIC = b"MRPLANE1"
 CHUNK_IDS = 1 << 17
+#: Documents in a block of the index, and bytes of text that go into one file, about.
+BLOCK_DOCUMENTS, FILE_BYTES = 1 << 14, 1 << 28
 LEVEL = 1
 
 
@@ -63,8 +66,10 @@ class PlaneWriter:
         self.out, self.kind, self.dtype = out, kind, np.dtype(f"<u{width}")
         self.at, self.waiting, self.waiting_ids = len(MAGIC), [], 0
         self.chunks: list[list[int]] = []
+        self.blocks: list[list[int]] = []
         self.documents: list[int | None] = []
         self.counts: list[int] = []
+        self.n_documents = self.n_tokens = 0
         out.write(MAGIC)
 
     def add(self, document: int | None, ids: np.ndarray) -> None:
@@ -72,6 +77,9 @@ class PlaneWriter:
             raise ValueError(f"an id does not fit into {self.dtype.itemsize} bytes")
         self.documents.append(document)
         self.counts.append(len(ids))
+        self.n_documents, self.n_tokens = self.n_documents + 1, self.n_tokens + len(ids)
+        if len(self.documents) >= BLOCK_DOCUMENTS:
+            self._block()
         self.waiting.append(ids.astype(self.dtype))
         self.waiting_ids += len(ids)
         if self.waiting_ids >= CHUNK_IDS:
@@ -88,16 +96,25 @@ class PlaneWriter:
             self.out.write(plane)
             self.at += len(plane)
 
+    def _block(self) -> None:
+        packed = zstandard.ZstdCompressor(level=LEVEL).compress(json.dumps([self.documents, self.counts]).encode())
+        self.blocks.append([self.at, len(packed)])
+        self.out.write(packed)
+        self.at += len(packed)
+        self.documents, self.counts = [], []
+
     def close(self) -> None:
         if self.waiting_ids:
             self._chunk(np.concatenate(self.waiting))
-        index = json.dumps({"width": self.dtype.itemsize, "planes": self.kind, "chunks": self.chunks, "documents": self.documents, "tokens": self.counts})
+        if self.documents:
+            self._block()
+        index = json.dumps({"width": self.dtype.itemsize, "planes": self.kind, "chunks": self.chunks, "blocks": self.blocks})
         packed = zstandard.ZstdCompressor(level=LEVEL).compress(index.encode())
         self.out.write(packed + len(packed).to_bytes(8, "little") + MAGIC)
 
 
 class PlaneReader:
-    """Reads by the index: no more than one chunk and one document are in memory."""
+    """Reads by the index: no more than one chunk, one block of the list of documents and one document are in memory."""
 
     def __init__(self, file) -> None:
         self.file = file
@@ -120,9 +137,14 @@ class PlaneReader:
             raw = raw[length:]
         return from_planes(planes, n, self.dtype, self.index["planes"])
 
+    def _listed(self) -> Iterator[tuple[int | None, int]]:
+        for at, length in self.index["blocks"]:
+            self.file.seek(at)
+            yield from zip(*json.loads(zstandard.ZstdDecompressor().decompress(self.file.read(length))), strict=True)
+
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         held, chunks = np.zeros(0, self.dtype), iter(range(len(self.index["chunks"])))
-        for document, n in zip(self.index["documents"], self.index["tokens"], strict=True):
+        for document, n in self._listed():
             parts, missing = [held[:n]], n - min(n, len(held))
             held = held[n:]
             while missing:
@@ -142,8 +164,8 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, to: str | Non
     """Encode every text and write the ids, with ``end_id`` after each document, in ascending ``doc_id`` order.
 
     Each range of ids becomes one file in ``to`` (a folder that all executors reach; by default a new one in
-    the shared folder). Returns the list of files: ``shard``, ``path``, ``documents``, ``tokens``. Null texts count as
-    empty; null ids come first; rows with the same id stay together, ordered by text. Other columns are not
+    the shared folder); files hold about FILE_BYTES of text each, or less, as there is one for each task at least. Returns the list of files: ``shard``, ``path``, ``documents``, ``tokens``. Null texts count as
+    empty; null ids come first; rows with the same id are ordered by a hash of the text, then by the text, and may be spread over several files. Other columns are not
     read. An empty table writes no file. A task that runs again writes the same bytes under a name of its own and
     moves them into place, so a lost executor leaves no broken file.
     """
@@ -169,10 +191,12 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, to: str | Non
             out.close()
             store.move(draft, name)
             path = folder.rstrip("/") + f"/shard-{shard:06d}.planes"
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "documents": len(writer.counts), "tokens": sum(writer.counts)}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "documents": writer.n_documents, "tokens": writer.n_tokens}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    files = max(partitions(spark), int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / FILE_BYTES) + 1)
+    order = ["doc_id", F.xxhash64("text")]
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     return cut_lineage(dealt.mapInArrow(run, "shard bigint, path string, documents bigint, tokens bigint"))
 
 
