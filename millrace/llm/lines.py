@@ -18,14 +18,18 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHasher, by_bytes, keep, mix, partitions, small_batches, utf8
 
-#: Lines of fewer words are dropped only for an earlier line of the same words.
+#: The usual ``least_words``: at 8, one edit is at most an eighth of a line. Short lines ("Chapter 3", "Read more") mean something else with each word.
 LEAST_WORDS = 8
 _SECOND = U64(0xE7037ED1A0B428DB)
+#: Stands for a null id: the smallest there is.
+_NO_ID = -(1 << 63)
 POSITION = ["doc", "text_hash", "line"]
 _POSITION_TYPE = "doc bigint, text_hash bigint, line int"
 _POSITION = np.dtype([("doc", "<i8"), ("text_hash", "<i8"), ("line", "<i4")])
 #: Numbers in the list of lines that are looked at again (8 bytes each), up to which the list is broadcast; a longer one is joined by shuffle.
 BROADCAST_NUMBERS = 2_000_000
+#: Characters for each key that a line emits, at least about; and keys that one reducer task takes, about.
+CHARS_PER_KEY, REDUCER_KEYS = 4, 4_000_000
 
 
 class Sequences:
@@ -69,12 +73,16 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _lines_with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines_with_keys(least_words: int):
     """Each line that has words: position, hash, words, and the hashes of its halves.
 
     One edit leaves the first or the last c words alone, with c half the length of the shorter line; so
     lines that share none of these hashes with another line have no neighbour.
     """
+    return lambda batches: _keyed(batches, least_words)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
         for part in by_bytes(batch, "text"):
@@ -92,8 +100,8 @@ def _lines_with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 for side, (s, e) in enumerate(((first, first + c), (end - c, end))):
                     keys.append(mix(sequences.runs(s, e)[0] + U64(side)))
             flat = np.stack(keys, 1)
-            flat = flat[n >= LEAST_WORDS].reshape(-1)
-            sizes = np.where(n >= LEAST_WORDS, 4, 0)
+            flat = flat[n >= least_words].reshape(-1)
+            sizes = np.where(n >= least_words, 4, 0)
             halves = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), _signed(flat))
             row = pa.array(rows[line])
             yield pa.RecordBatch.from_arrays([part.column("doc").take(row), part.column("text_hash").take(row), pa.array(numbers[line], pa.int32()), _signed(a), _signed(b), halves], [*POSITION, "a", "b", "halves"])
@@ -165,7 +173,9 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     whole = np.repeat(heads[run], np.diff(np.r_[run, len(heads)]))
     cut = np.flatnonzero((word[whole] < 0) & (word[heads] >= 0))
     mine, its = at[heads[cut]], at[whole[cut]]
-    its_first = np.array([tuple(a) < tuple(b) for a, b in zip(its.tolist(), mine.tolist(), strict=True)], bool)
+    its_first = its["line"] < mine["line"]
+    for c in reversed(POSITION[:-1]):
+        its_first = np.where(its[c] == mine[c], its_first, its[c] < mine[c])
     found.append(_pairs(mine[its_first], its[its_first]))
     found.append(_pairs(its[~its_first], mine[~its_first]))
     return pd.concat(found)
@@ -214,27 +224,28 @@ def _near_earlier(firsts: DataFrame, documents: DataFrame) -> DataFrame:
     small = by_document.agg(F.sum(F.size("numbers") + 6)).first()[0] or 0
     asked = F.broadcast(by_document) if small <= BROADCAST_NUMBERS else by_document
     d, q = documents.select("doc", "text_hash", "text").alias("d"), asked.alias("q")
-    lines = d.join(q, F.col("d.doc").eqNullSafe(F.col("q.doc")) & (F.col("d.text_hash") == F.col("q.text_hash"))).select("d.doc", "d.text_hash", "numbers", F.split("text", "\n").alias("lines"))
+    lines = d.join(q, (F.col("d.doc") == F.col("q.doc")) & (F.col("d.text_hash") == F.col("q.text_hash"))).select("d.doc", "d.text_hash", "numbers", F.split("text", "\n").alias("lines"))
     lines = lines.select("doc", "text_hash", F.explode("numbers").alias("line"), "lines").select(*POSITION, F.get("lines", F.col("line")).alias("text"))
-    lines = keep(lines.where("doc is not null"))
+    lines = keep(lines)
 
-    n_reducers = partitions(spark)
+    n_keys = (lines.agg(F.sum(F.length("text"))).first()[0] or 0) / CHARS_PER_KEY
+    n_reducers = max(partitions(spark), int(n_keys / REDUCER_KEYS) + 1)
     blobs = lines.mapInArrow(_neighbourhoods(n_reducers), "reducer int, positions binary, keys binary, words binary")
     blobs = blobs.withColumn("salt", F.when(F.col("reducer") < 0, F.xxhash64("positions")).otherwise(0))
     found = blobs.groupBy("reducer", "salt").applyInPandas(_meet, f"{_POSITION_TYPE}, earlier_doc bigint, earlier_text_hash bigint, earlier_line int")
-    pairs = found.groupBy(*POSITION).agg(F.min(F.struct(*(f"earlier_{c}" for c in POSITION))).alias("e")).select(*POSITION, "e.*")
+    pairs = found.distinct()
     texts = lines.dropDuplicates(POSITION)
     its = texts.select(*(F.col(c).alias(f"earlier_{c}") for c in POSITION), F.col("text").alias("earlier_text"))
     checked = pairs.join(texts, POSITION).join(its, [f"earlier_{c}" for c in POSITION])
-    return checked.where(F.pandas_udf(_verified, "boolean")("text", "earlier_text")).select(*POSITION)
+    return checked.where(F.pandas_udf(_verified, "boolean")("text", "earlier_text")).select(*POSITION).distinct()
 
 
-def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``df`` with each text reduced to the lines that have no earlier near copy, and ``n_lines``, ``n_kept``: its lines with words before and after.
 
-    A line goes if an earlier line of any document has the same words, or, both having LEAST_WORDS or more, words within one edit;
-    whether that earlier line itself stays does not matter. Earlier: by id (null first), then by a hash of the
-    text, then by place. Lines of rows with a null id are compared as wholes only. Blank lines are never dropped or counted, except that a text none of whose lines is kept
+    A line goes if an earlier line of any document has the same words, or, both having ``least_words`` or more (2 at least), words within one edit;
+    whether that earlier line itself stays does not matter. Earlier: by id, then by a hash of the
+    text, then by place. A null id counts as the smallest. Blank lines are never dropped or counted, except that a text none of whose lines is kept
     becomes empty. Rows that agree in id and text are one document and keep the same lines. A null text stays null.
     Columns of ``df`` named n_lines or n_kept are replaced, all others kept.
 
@@ -242,15 +253,14 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     as text to emit their deletions: no other line can have a neighbour.
     """
     kept_columns = [c for c in df.columns if c not in ("n_lines", "n_kept")]
-    documents = small_batches(df).select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(F.col(text_column)).alias("text_hash"), F.col(text_column).alias("text"), F.struct(*kept_columns).alias("row"))
-    keyed = documents.select("doc", "text_hash", "text").mapInArrow(_lines_with_keys, f"{_POSITION_TYPE}, a bigint, b bigint, halves array<bigint>")
+    documents = small_batches(df).select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.col(text_column)).alias("text_hash"), F.col(text_column).alias("text"), F.struct(*kept_columns).alias("row"))
+    keyed = documents.select("doc", "text_hash", "text").mapInArrow(_lines_with_keys(max(least_words, 2)), f"{_POSITION_TYPE}, a bigint, b bigint, halves array<bigint>")
     firsts = keyed.groupBy("a", "b").agg(F.min(F.struct(*POSITION, "halves")).alias("first")).select("first.*")
     firsts = keep(firsts.withColumn("id", F.monotonically_increasing_id()))
     near = _near_earlier(firsts, documents)
-    same = F.struct(*(F.col(f"f.{c}") for c in POSITION)).eqNullSafe(F.struct(*(F.col(f"g.{c}") for c in POSITION)))
-    staying = firsts.select(*POSITION).alias("f").join(near.alias("g"), same, "left_anti")
+    staying = firsts.select(*POSITION).join(near, POSITION, "left_anti")
     kept = staying.groupBy("doc", "text_hash").agg(F.collect_list("line").alias("kept"))
-    joined = documents.alias("d").join(kept.alias("k"), F.col("d.doc").eqNullSafe(F.col("k.doc")) & (F.col("d.text_hash") == F.col("k.text_hash")), "left")
+    joined = documents.alias("d").join(kept.alias("k"), (F.col("d.doc") == F.col("k.doc")) & (F.col("d.text_hash") == F.col("k.text_hash")), "left")
     built = joined.select("row", "kept", F.pandas_udf(_rebuilt, "text string, n_lines int, n_kept int")("text", "kept").alias("new"))
     columns = [F.col("new.text").alias(c) if c == text_column else F.col(f"row.{c}").alias(c) for c in kept_columns]
     return built.select(*columns, "new.n_lines", "new.n_kept")
