@@ -84,12 +84,12 @@ def mixed_rows(df: DataFrame, weight: Callable[[Column], Column], max_epochs: fl
     are repeated with their source, as often as that is taken whole. The texts are shuffled once, to meet what ``mix`` says.
     """
     plan = mix(df, weight, max_epochs, seed, None, id_column, source_column, text_column)
-    plan = plan.groupBy(F.struct("doc_id", "source", "size").alias("_key")).agg(F.max("whole").alias("_whole"), F.max("part").alias("_part"))
+    plan = plan.groupBy(F.struct("doc_id", "source", "size").alias("key")).agg(F.max("whole").alias("whole"), F.max("part").alias("part"))
     own = F.struct(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), n_words(F.col(text_column)).alias("size"))
-    joined = df.withColumn("_key", own).join(plan, "_key")
-    part, size = F.col("_part"), F.col("_key.size")
-    whole = F.array_repeat(F.col(text_column), (F.col("_whole") + F.when((part > 0) & (part == size), 1).otherwise(0)).cast("int"))
-    spaced = F.regexp_extract_all(text_column, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    joined = df.select(own.alias("key"), F.struct(*df.columns).alias("row")).join(plan, "key")
+    part, size, text = F.col("part"), F.col("key.size"), F.col(f"row.{text_column}")
+    whole = F.array_repeat(text, (F.col("whole") + F.when((part > 0) & (part == size), 1).otherwise(0)).cast("int"))
+    spaced = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.when((part > 0) & (part < size), F.array(F.array_join(F.slice(spaced, F.lit(1), part.cast("int")), ""))).otherwise(F.array().cast("array<string>"))
-    taken = joined.withColumn("_text", F.explode(F.concat(whole, first)))
-    return taken.select(*(F.col("_text").alias(c) if c == text_column else F.col(c) for c in df.columns))
+    taken = joined.select("row", F.explode(F.concat(whole, first)).alias("text"))
+    return taken.select(*(F.col("text").alias(c) if c == text_column else F.col(f"row.{c}") for c in df.columns))
