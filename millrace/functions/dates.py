@@ -37,7 +37,9 @@ def add_days(day: Column, days: int | Column) -> Column:
 
 
 def local_today(now: Column, zone: Column) -> Column:
-    return F.from_utc_timestamp(now, zone).cast("date").cast("string")
+    """The day that the zone's calendars show at an instant, whatever the session's own zone."""
+    seconds = F.unix_seconds(F.from_utc_timestamp(now, zone))
+    return F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")).cast("string")
 
 
 def offset_seconds(at: Column, zone: Column) -> Column:
@@ -47,7 +49,8 @@ def offset_seconds(at: Column, zone: Column) -> Column:
 
 def wall_time_to_utc(day: Column, time: Column, zone: Column) -> Column:
     """The instant at which the zone's clocks show this. Two rounds settle the offset; in the gap of spring the earlier reading wins, in the overlap of autumn the first."""
-    naive = F.unix_seconds(F.to_timestamp(F.concat(day, F.lit(" "), time), "yyyy-MM-dd HH:mm"))
+    of_day = F.split_part(time, F.lit(":"), F.lit(1)).cast("int") * 3600 + F.split_part(time, F.lit(":"), F.lit(2)).cast("int") * 60
+    naive = (F.unix_date(day.cast("date")).cast("long") * 86_400 + of_day).cast("long")
     guess = naive - offset_seconds(F.timestamp_seconds(naive), zone)
     return F.timestamp_seconds(naive - offset_seconds(F.timestamp_seconds(guess), zone))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import box_around, haversine_km, in_box
+from .selection import numbered
 
 #: Statuses of dated, current events; event types that count as charity; most rows of an API answer.
 LISTED_STATUSES = ("open", "waitlist", "sold_out", "cancelled")
@@ -186,6 +187,5 @@ def matches_filters(max_distance_miles: float | None, distance_miles: Column, ma
 
 
 def in_files(urls: DataFrame, order: tuple[str, ...], per_file: int = 45_000) -> DataFrame:
-    """Sitemap URLs of each kind numbered into files."""
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
-    return urls.withColumn("file", F.floor((place - 1) / per_file).cast("long"))
+    """Sitemap URLs of each kind numbered into files; nearly all are of one kind, so they are dealt by range."""
+    return numbered(urls, list(order), ("kind",)).withColumn("file", F.floor(F.col("place") / per_file).cast("long")).drop("place")

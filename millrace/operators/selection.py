@@ -76,19 +76,31 @@ def capped_prefix(rows: DataFrame, order: list, key: str, most_rows: int, weight
     return rows.join(head.select(key).withColumn("_taken", F.lit(True)), key, "left").withColumn("taken", F.coalesce("_taken", F.lit(False))).drop("_taken")
 
 
+def numbered(rows: DataFrame, order: list, within: tuple[str, ...] = (), name: str = "place") -> DataFrame:
+    """``rows`` with their place (from 0) in the order, within each value of the columns ``within`` (no nulls there).
+
+    Rows are dealt by range and numbered inside their partitions; only one row for each partition is summed up in one task. The dealt rows are cached, as both
+    branches read them; partitions that are lost are dealt alike again, from the same ranges.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *within, *order).withColumn("_part", F.spark_partition_id()).persist()
+    before = Window.partitionBy(*within or [F.lit(1)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*within, "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_in", inside).join(starts, [*within, "_part"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+
+
 def rotation(rows: DataFrame, order: list, nights: int, night: int) -> DataFrame:
     """Every nights-th row of an order, another each night."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("place", place).where(F.col("place") % nights == night % nights)
+    return numbered(rows, order).where(F.col("place") % nights == night % nights)
 
 
 def rotating_window(rows: DataFrame, order: list, cap: int, run: int) -> DataFrame:
     """The run's ``cap`` rows of an order that goes round and round; all rows if there are no more than that."""
     n = rows.count()
-    place = F.row_number().over(Window.orderBy(*order)) - 1
     start = (run * cap) % n if n else 0
     step = F.pmod(F.col("place") - start, F.lit(max(n, 1)))
-    return rows.withColumn("place", place).withColumn("step", step).where(F.col("step") < cap)
+    return numbered(rows, order).withColumn("step", step).where(F.col("step") < cap)
 
 
 def fnv1a(text: Column) -> Column:

@@ -121,7 +121,7 @@ def count_by_city(d: Directory) -> DataFrame:
 @reading("outing_by_slug", f"SELECT {_CARD}, course_id, organizer_id, confidence FROM rows WHERE published = 1 AND slug IN (SELECT slug FROM outings WHERE id = 42)")
 def outing_by_slug(d: Directory) -> DataFrame:
     slug = d.outings.where("id = 42").select("slug")
-    return rows(d).where("published = 1").join(F.broadcast(slug), "slug", "left_semi").limit(1).select(*CARD, "course_id", "organizer_id", "confidence")
+    return rows(d).where("published = 1").join(slug, "slug", "left_semi").limit(1).select(*CARD, "course_id", "organizer_id", "confidence")
 
 
 @reading("next_outings", "SELECT a.id, b.id AS next_id, b.slug AS next_slug FROM rows a JOIN rows b ON a.next_outing_id = b.id AND b.published = 1")
@@ -168,7 +168,7 @@ def zip_lookup(d: Directory) -> DataFrame:
 @plans.query("all_zips", "SELECT z.zip, c.name AS city, c.state FROM zips z LEFT JOIN cities c ON z.city_id = c.id", ("zips", "cities"))
 def all_zips(d: Directory) -> DataFrame:
     c = d.cities.select(F.col("id").alias("city_id"), F.col("name").alias("city"), "state")
-    return d.zips.join(F.broadcast(c), "city_id", "left").select("zip", "city", "state")
+    return d.zips.join(c, "city_id", "left").select("zip", "city", "state")
 
 
 @plans.query("prefix_search", "SELECT slug, name, state FROM cities WHERE lower(name) LIKE 'nation 1%' ORDER BY population DESC, name LIMIT 10", ("cities",))
@@ -280,7 +280,7 @@ def list_description(d: Directory) -> DataFrame:
 @plans.query("guide_links", "SELECT t.ord, p.p_name AS title FROM (SELECT * FROM (VALUES (0, 5), (1, 3), (2, 100000000), (3, 9)) v(ord, k)) t JOIN part p ON p.p_partkey = t.k")
 def guide_links(d: Directory) -> DataFrame:
     asked = d.spark.createDataFrame([([5, 3, 100_000_000, 9],)], "ids array<bigint>").select(F.posexplode("ids").alias("ord", "p_partkey"))
-    return d.base("part").join(F.broadcast(asked), "p_partkey").select("ord", F.col("p_name").alias("title")).orderBy("ord")
+    return d.base("part").join(asked, "p_partkey").select("ord", F.col("p_name").alias("title")).orderBy("ord")
 
 
 @reading("city_page", f"SELECT state, city, count(*) FILTER (WHERE {_UP}) AS upcoming, count(*) FILTER (WHERE published = 1 AND status = 'expected') AS expected, count(*) FILTER (WHERE {_INDEX}) > 0 AS listed FROM rows WHERE city IS NOT NULL GROUP BY state, city")

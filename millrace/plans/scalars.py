@@ -33,7 +33,7 @@ def url_domain(d: Directory) -> DataFrame:
 def host_suffix_join(d: Directory) -> DataFrame:
     listed = d.spark.createDataFrame([("example.org",), ("ththin.example.com",), ("net",)], "domain string")
     pages = d.base("pages").select("page_id", F.explode(U.suffixes(U.host(F.col("url")))).alias("domain"))
-    return pages.join(F.broadcast(listed), "domain").select("page_id", "domain")
+    return pages.join(listed, "domain").select("page_id", "domain")
 
 
 @plans.query("excluded_urls", f"SELECT page_id FROM pages WHERE {_HOST} = 'm.tionsh.example.net' OR ends_with({_HOST}, '.example.org') OR url SIMILAR TO 'http.*/de/1.*'")

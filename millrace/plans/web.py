@@ -14,7 +14,7 @@ from ..sources import readers as R
 from ..sources import sinks as S
 from ..sources.directory import Directory
 from .core import Plans
-from .reads import ROWS, _ALL, rows, sitemap
+from .reads import ROWS, _ALL, _SITEMAP, rows, sitemap
 
 plans = Plans()
 
@@ -70,7 +70,16 @@ def sql_inserts(d: Directory) -> DataFrame:
     return S.insert_statements(d.base("nation"), "nation", ["n_nationkey"], per_statement=10, buckets=2)
 
 
-@plans.query("sitemap_xml")
+_PLACE = "'https://directory.example' || path"
+for _c, _e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")):
+    _PLACE = f"replace({_PLACE}, '{_c}', '{_e}')"
+
+
+@reading(
+    "sitemap_xml",
+    f"""SELECT kind, CAST((rn - 1) // 45000 AS BIGINT) AS file, '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || string_agg('<url><loc>' || {_PLACE} || '</loc><lastmod>' || substr(CAST(lastmod AS VARCHAR), 1, 10) || '</lastmod></url>', '' ORDER BY path) || '</urlset>' AS xml
+      FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path) AS rn FROM ({_SITEMAP})) GROUP BY 1, 2""",
+)
 def sitemap_xml(d: Directory) -> DataFrame:
     return S.sitemap_xml(L.in_files(sitemap(d), ("path",)), "https://directory.example")
 
@@ -111,10 +120,26 @@ def first_links(d: Directory) -> DataFrame:
     return C.event_links(links).select("href", "page_id")
 
 
-@plans.query("address_checks", "SELECT a, b FROM (VALUES ('10.1.2.3', TRUE), ('8.8.8.8', FALSE), ('172.32.0.1', FALSE), ('172.31.255.255', TRUE), ('256.1.1.1', TRUE), ('::1', TRUE), ('2606:4700::1111', FALSE), ('fd00::1', TRUE), ('2001:db8::1', TRUE), ('x', TRUE)) t(a, b)")
+_OCTETS = ["event_id * 7 % 256", "event_id * 31 % 256", "event_id * 101 % 256", "event_id % 256"]
+_NUMBER = " + ".join(f"({o}) * {256 ** (3 - i)}" for i, o in enumerate(_OCTETS))
+
+
+def _network(network: str) -> str:
+    base, bits = network.split("/")
+    low = sum(int(x) << 8 * (3 - i) for i, x in enumerate(base.split(".")))
+    return f"n BETWEEN {low} AND {low + (1 << 32 - int(bits)) - 1}"
+
+
+@plans.query(
+    "address_checks",
+    f"""SELECT event_id, CASE event_id % 10 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN TRUE ELSE {' OR '.join(map(_network, C.PRIVATE_V4))} END AS blocked FROM (SELECT event_id, {_NUMBER} AS n FROM events)""",
+)
 def address_checks(d: Directory) -> DataFrame:
-    given = [("10.1.2.3",), ("8.8.8.8",), ("172.32.0.1",), ("172.31.255.255",), ("256.1.1.1",), ("::1",), ("2606:4700::1111",), ("fd00::1",), ("2001:db8::1",), ("x",)]
-    return d.spark.createDataFrame(given, "a string").select("a", C.is_blocked_address(F.col("a")).alias("b"))
+    """IPv4 addresses of all networks; some IPv6 ones, and texts that are no address."""
+    i = F.col("event_id")
+    v4 = F.concat_ws(".", *(F.expr(f"cast({o} as string)") for o in _OCTETS))
+    address = F.when(i % 10 == 0, F.concat(F.lit("fd00::"), F.hex(i))).when(i % 10 == 1, F.concat(F.lit("2606:4700::"), F.lower(F.hex(i % 65536)))).when(i % 10 == 2, F.concat(F.lit("2001:db8::"), F.lower(F.hex(i % 65536)))).when(i % 10 == 3, F.concat(v4, F.lit(".9"))).otherwise(v4)
+    return d.base("events").select("event_id", C.is_blocked_address(address).alias("blocked"))
 
 
 @plans.query("map_features", "SELECT 'node/' || CAST(c_custkey AS VARCHAR) AS ref, 40.5e0 AS lat, CASE WHEN c_custkey % 3 = 0 THEN 'private' WHEN c_custkey % 3 = 1 THEN 'municipal' END AS kind, c_custkey % 10 = 0 AS excluded FROM customer WHERE c_custkey % 4 <> 0")

@@ -83,11 +83,16 @@ def zip_entries(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, entry string, content binary")
 
 
+#: Bytes 128 to 159, which ISO-8859-1 reads as control characters, in windows-1252, which browsers take for both names.
+_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore"))
+_WINDOWS = "".join(bytes([ord(c)]).decode("cp1252") for c in _CONTROLS)
+
+
 def decoded_body(body: Column, content_type: Column) -> Column:
-    """Text of a body by the charset of its header, else of a <meta> in its first 2 KB, else UTF-8; unknown charsets are read as UTF-8."""
+    """Text of a body by the charset of its header, else of a <meta> in its first 2 KB, else UTF-8. ISO-8859-1 is read as windows-1252, as browsers do; charsets that Spark does not know are read as UTF-8."""
     head = F.decode(F.substring(body, 1, 2048), "ISO-8859-1")
     named = F.upper(F.coalesce(F.nullif(F.regexp_extract(content_type, r"(?i)charset=[\"']?([\w-]+)", 1), F.lit("")), F.regexp_extract(head, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1)))
-    return F.when(named.isin("ISO-8859-1", "LATIN1", "WINDOWS-1252"), F.decode(body, "ISO-8859-1")).when(named == "UTF-16", F.decode(body, "UTF-16")).otherwise(F.decode(body, "UTF-8"))
+    return F.when(named.isin("ISO-8859-1", "LATIN1", "WINDOWS-1252"), F.translate(F.decode(body, "ISO-8859-1"), _CONTROLS, _WINDOWS)).when(named == "UTF-16", F.decode(body, "UTF-16")).otherwise(F.decode(body, "UTF-8"))
 
 
 def split_valid(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -129,3 +129,20 @@ def test_structured_events(spark):
     rows = spark.createDataFrame([(blocks,), (None,), ([],)], "b array<string>").select(structured_events(F.col("b")).alias("e")).collect()
     assert [tuple(e) for e in rows[0].e] == [("Cup", "2026-05-01", "08:30", "Oak Hill", "1 A St, Rye, NY 10580"), ("Day", "2026-06-01", None, "Town hall", None)]
     assert rows[1].e == rows[2].e == []
+
+
+def test_zones_do_not_depend_on_the_session(spark):
+    rows = spark.createDataFrame([("2026-03-08", "02:30"), ("2026-07-01", "00:15")], "d string, t string")
+    asked = lambda: [tuple(r) for r in rows.select(F.unix_seconds(D.wall_time_to_utc(F.col("d"), F.col("t"), F.lit("America/New_York"))), D.local_today(F.timestamp_seconds(F.lit(1_772_000_000)), F.lit("America/New_York")), D.zoned_iso(F.col("d"), F.col("t"), F.lit("America/Chicago"))).collect()]
+    want = asked()
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert asked() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_slug_titles(spark):
+    rows = [("NKF Golf Classic at Winged Foot Golf Club", "Winged Foot Golf Club"), ("Day at Oak Hill", "Pine Valley"), ("The Pine Valley Open", "Pine Valley"), ("Pine Valley", "Pine Valley")]
+    df = spark.createDataFrame(rows, "t string, c string")
+    assert [r[0] for r in df.select(T.slug_title(F.col("t"), F.col("c"))).collect()] == ["NKF Golf Classic", "Day at Oak Hill", "The   Open", "Pine Valley"]
