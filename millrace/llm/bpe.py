@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, small_batches
 
-#: Pre-tokens whose ids one worker keeps in each of two generations (about 20 MB each). Results do not depend on it.
-CACHED = 100_000
+#: Pre-tokens whose ids one worker keeps in each of two generations, of at most so many characters each (about 20 MB of usual text, under 100 MB of the longest). Results do not depend on it.
+CACHED, CACHED_CHARS = 100_000, 64
 
 
 def byte_characters() -> dict[int, str]:
@@ -44,6 +44,8 @@ class _Known(dict):
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > CACHED_CHARS:
+            return self.ids_of(key)
         found = self.older.get(key)
         if found is None:
             found = self.ids_of(key)
@@ -79,7 +81,7 @@ class JsonEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
+        if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space or not tokenizer.pre_tokenizer.use_regex:  # PATTERN is the one that ByteLevel has
             raise ValueError(f"{path} is not a plain byte-level vocabulary")
         model = tokenizer.model
         self.cache = PieceCache(public_tokenizers.PATTERN, lambda piece: [t.id for t in model.tokenize(as_characters(piece))], 4 * CACHED)
