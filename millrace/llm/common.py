@@ -144,12 +144,14 @@ def shingles(row: np.ndarray, hashed: np.ndarray, width: int = 5) -> tuple[np.nd
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's. A temporary one only on a local master, which has no other machines."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         sc = spark.sparkContext
         named = sc.getCheckpointDir()
         if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="millrace-")
             sc.setCheckpointDir(f"file://{named}")
             named = sc.getCheckpointDir()
@@ -196,7 +198,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, column: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text, whole rows each; at its end Arrow's free memory goes back."""
     _, offsets = utf8(batch.column(column))
     at = 0
@@ -204,11 +206,16 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterato
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
+
 
+#: Rows of a file that ``keep`` writes, at least about, where the number of rows is known to be small.
+FILE_ROWS = 10_000
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage of tables that several steps read."""
+
+def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage of tables that several steps read. ``rows``: how many there are at most, so that few rows don't make as many files as there are shuffle partitions."""
     path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    written = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    written.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-    pa.default_memory_pool().release_unused()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import U64, WordHasher, by_bytes, mix, small_batches, utf8
+from .common import U64, WordHasher, by_bytes, keep, mix, small_batches, utf8
 
 #: Hashed features: words and their beginnings go to the first BUCKETS, text statistics to the rest.
 BUCKETS = 1 << 18
@@ -87,85 +87,136 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -30, 30)))
 
 
-def fit(texts: list[str | None], grades: list[int], n_grades: int, decay: float = 5e-3, rate: float = 0.05) -> Model:
-    """Maximum likelihood with weight decay by Adam; thresholds are the first plus positive steps, so they stay ordered.
-
-    A feature enters with the largest log ratio of its shares in two neighbouring parts of the grades, so that the decay holds
-    down what says little about them. The same rows give the same model.
-    """
-    n, grade, parts = len(texts), np.asarray(grades), []
-    features = Features()
-    for at in range(0, n, 256):
-        row, column = features(*utf8(pa.array(texts[at : at + 256], pa.large_string())))
-        parts.append(((row + at).astype(np.int32), column.astype(np.int32)))
-    rows, columns = (np.concatenate(x) for x in zip(*parts, strict=True))
-    often = np.bincount(columns, minlength=DIMENSIONS) >= min(LEAST_TEXTS, max(1, n // 50))
-    rows, columns = rows[often[columns]], columns[often[columns]]
-    used, column = np.unique(columns, return_inverse=True)
-    counts = np.bincount(grade, minlength=n_grades).astype(float)
-    weight = (n / (n_grades * np.maximum(counts, 1)))[grade]  # each grade matters alike
-    within = np.array([np.bincount(column, grade[rows] == g, len(used)) for g in range(n_grades)])
+def telling(within: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How far each feature enters a fit, 0 for not at all: the largest log ratio of its shares in two grades, less what chance gives. within: texts of each grade with the feature; counts: all of them."""
     ratios = []
-    for a in range(n_grades):
+    for a in range(len(counts)):
         for b in range(a):
             share_a, share_b = ((within[g] + 1) / (counts[g] + 2) for g in (a, b))
             error = np.sqrt(1 / (within[a] + 1) + 1 / (within[b] + 1))
             ratios.append(np.abs(np.log(share_a / share_b)) - ERRORS * error)
-    scale = np.maximum(np.max(ratios, axis=0) - LEAST_RATIO, 0)
-    telling = scale > 0
-    rows, column = rows[telling[column]], (np.cumsum(telling) - 1)[column[telling[column]]]
-    used, scale = used[telling], scale[telling]
-    values = scale[column]
+    often = within.sum(0) >= min(LEAST_TEXTS, max(1, int(counts.sum()) // 50))
+    return np.where(often, np.maximum(np.max(ratios, axis=0) - LEAST_RATIO, 0), 0)
+
+
+def gradient(parameters: np.ndarray, rows: np.ndarray, column: np.ndarray, scale: np.ndarray, grade: np.ndarray, weight: np.ndarray, decay: float) -> np.ndarray:
+    """Of the weighted mean negative log likelihood plus decay/2 times the squared weights. parameters: weights, the first threshold, logs of the steps to the next ones."""
+    n, n_used = len(grade), len(scale)
+    w, t0, gaps = parameters[:n_used], parameters[n_used], np.exp(parameters[n_used + 1 :])
+    thresholds = t0 + np.r_[0, np.cumsum(gaps)]
+    score = np.bincount(rows, (w * scale).astype(np.float32)[column], n)
+    tail = 1 / (1 + np.exp(np.clip(thresholds[None, :] - score[:, None], -30, 30)))
+    upper = np.c_[np.ones(n), tail][np.arange(n), grade]
+    lower = np.c_[tail, np.zeros(n)][np.arange(n), grade]
+    p = np.maximum(upper - lower, 1e-9)
+    d_score = -weight * (upper * (1 - upper) - lower * (1 - lower)) / p / n
+    d_threshold = np.zeros(len(thresholds))
+    for k in range(len(thresholds)):
+        slope = tail[:, k] * (1 - tail[:, k]) * weight / p / n
+        d_threshold[k] = slope[grade == k + 1].sum() - slope[grade == k].sum()
+    above = np.cumsum(d_threshold[::-1])[::-1]
+    return np.r_[scale * np.bincount(column, d_score.astype(np.float32)[rows], n_used) + decay * w, above[0], above[1:] * gaps]
+
+
+def fit_features(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, n_grades: int, scale: np.ndarray, decay: float = 5e-3, rate: float = 0.05) -> Model:
+    """Maximum likelihood with weight decay by Adam; thresholds are the first plus positive steps, so they stay ordered.
+
+    rows and columns: features of the texts (32-bit). A feature enters with its ``scale`` (see ``telling``), so that the decay holds
+    down what says little about the grades. The same rows give the same model.
+    """
+    used = np.flatnonzero(scale > 0)
+    place = np.full(len(scale), -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    column = place[columns]
+    rows, column = rows[column >= 0], column[column >= 0]
+    counts = np.bincount(grade, minlength=n_grades).astype(float)
+    weight = (len(grade) / (n_grades * np.maximum(counts, 1)))[grade]  # each grade matters alike
     parameters = np.zeros(len(used) + n_grades - 1)
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     for step in range(1, EPOCHS + 1):
-        w, t0, gaps = parameters[: len(used)], parameters[len(used)], np.exp(parameters[len(used) + 1 :])
-        thresholds = t0 + np.r_[0, np.cumsum(gaps)]
-        score = np.bincount(rows, (w * scale)[column], n)
-        tail = 1 / (1 + np.exp(np.clip(thresholds[None, :] - score[:, None], -30, 30)))
-        upper = np.c_[np.ones(n), tail][np.arange(n), grade]
-        lower = np.c_[tail, np.zeros(n)][np.arange(n), grade]
-        p = np.maximum(upper - lower, 1e-9)
-        d_score = -weight * (upper * (1 - upper) - lower * (1 - lower)) / p / n
-        d_threshold = np.zeros(n_grades - 1)
-        for k in range(n_grades - 1):
-            slope = tail[:, k] * (1 - tail[:, k]) * weight / p / n
-            d_threshold[k] = slope[grade == k + 1].sum() - slope[grade == k].sum()
-        above = np.cumsum(d_threshold[::-1])[::-1]
-        gradient = np.r_[np.bincount(column, d_score[rows] * values, len(used)) + decay * w, above[0], above[1:] * gaps]
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
+        slope = gradient(parameters, rows, column, scale[used], grade, weight, decay)
+        first = 0.9 * first + 0.1 * slope
+        second = 0.999 * second + 0.001 * slope**2
         parameters -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(DIMENSIONS, np.float32)
-    weights[used] = parameters[: len(used)] * scale
-    gaps = np.exp(parameters[len(used) + 1 :])
-    return Model(weights, parameters[len(used)] + np.r_[0, np.cumsum(gaps)])
+    weights[used] = parameters[: len(used)] * scale[used]
+    return Model(weights, parameters[len(used)] + np.r_[0, np.cumsum(np.exp(parameters[len(used) + 1 :]))])
+
+
+def fit(texts: list[str | None], grades: list[int], n_grades: int) -> Model:
+    """The model of a few texts at hand; tables are fitted by ``fit_on``."""
+    row, column = Features()(*utf8(pa.array(texts, pa.large_string())))
+    grade = np.asarray(grades)
+    within = np.array([np.bincount(column[grade[row] == g], minlength=DIMENSIONS) for g in range(n_grades)])
+    return fit_features(row.astype(np.int32), column.astype(np.int32), grade, n_grades, telling(within, np.bincount(grade, minlength=n_grades)))
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    features = Features()
+    for batch in batches:
+        for part in by_bytes(batch, "text", 1 << 20):
+            row, column = features(*utf8(part.column("text")))
+            order = np.argsort(row, kind="stable")
+            starts = np.searchsorted(row[order], np.arange(part.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(column[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), lists], ["doc_id", "grade", "features"])
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, grade: Column, n_grades: int, most: int = FIT_ROWS) -> Model | None:
-    """Fit on at most ``most`` labelled documents, those with the smallest hashed ids; None if there is no labelled text."""
+    """Fit on at most ``most`` labelled documents, those with the smallest hashed ids; None if there is no labelled text.
+
+    Of documents or labels that repeat an id, the smallest text and the highest grade count. Tasks turn texts into features and count them; the driver gets the counts, of
+    at most DIMENSIONS features, and then the telling features of each chosen document.
+    """
     graded = labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], [r.grade for r in rows], n_grades) if rows else None
+    rows = small_batches(documents).select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade"))
+    featured = keep(rows.mapInArrow(_featured, "doc_id bigint, grade int, features array<int>"))
+    counts = np.zeros(n_grades, np.int64)
+    for r in featured.groupBy("grade").count().collect():
+        counts[r[0]] = r[1]
+    if not counts.sum():
+        return None
+    of_grade = [F.count_if(F.col("grade") == g).cast("int").alias(f"g{g}") for g in range(n_grades)]
+    found = featured.select("grade", F.explode("features").alias("feature")).groupBy("feature").agg(*of_grade).toArrow()
+    within = np.zeros((n_grades, DIMENSIONS), np.int32)
+    for g in range(n_grades):
+        within[g, found["feature"].to_numpy()] = found[f"g{g}"].to_numpy()
+    scale = telling(within, counts)
+    tells = scale > 0
+
+    def chosen_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("features")
+            values, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            kept = tells[values]
+            ends = np.r_[0, np.cumsum(kept)][starts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[kept]))], ["doc_id", "grade", "features"])
+
+    table = featured.mapInArrow(chosen_features, featured.schema).toArrow().sort_by("doc_id").combine_chunks()
+    lists = table["features"].combine_chunks()
+    rows_of = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    return fit_features(rows_of, lists.flatten().to_numpy(), table["grade"].to_numpy(), n_grades, scale)
 
 
 def score(df: DataFrame, model: Model | None, n_grades: int, carry: list[str], text_column: str = "text") -> DataFrame:
     """The columns ``carry`` of every row with ``expected_grade`` (0 to K-1) and ``top_probability`` (of the highest grade), over the whole text.
 
-    A null text scores as an empty one; null and repeated ids keep a row each; other columns are not read. Carried columns must not
-    have the names of the two results. Without a model (no labelled text) every document gets the highest grade. No shuffle.
+    A null text scores as an empty one; null and repeated ids keep a row each; other columns are not read. Carried columns with
+    the names of the two results give way to them. Without a model (no labelled text) every document gets the highest grade. No shuffle.
     """
-    source = small_batches(df).select(*carry, *([] if text_column in carry else [text_column]))
-    schema = StructType([*source.schema.fields[: len(carry)], StructField("expected_grade", DoubleType()), StructField("top_probability", DoubleType())])
+    results = ["expected_grade", "top_probability"]
+    carry = [c for c in carry if c not in results]
+    source = small_batches(df).select(*carry, F.col(text_column).alias("_scored_text"))
+    schema = StructType([*source.schema.fields[: len(carry)], *(StructField(c, DoubleType()) for c in results)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for part in by_bytes(batch, text_column, 1 << 20):
+            at = batch.num_columns - 1
+            for part in by_bytes(batch, at, 1 << 20):
                 n = part.num_rows
-                tails = model.tails(*features(*utf8(part.column(text_column))), n) if model else np.ones((n, n_grades - 1))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(tails.sum(1)), pa.array(np.ascontiguousarray(tails[:, -1]))], [*carry, "expected_grade", "top_probability"])
+                tails = model.tails(*features(*utf8(part.column(at))), n) if model else np.ones((n, n_grades - 1))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(at)), pa.array(tails.sum(1)), pa.array(np.ascontiguousarray(tails[:, -1]))], [*carry, *results])
 
     return source.mapInArrow(run, schema)
