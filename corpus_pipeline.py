@@ -40,10 +40,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4. Of each group of linked documents the one with the smallest id stays; documents without words or id stay."""
-    groups = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    others = groups.where("component_id < doc_id").select("doc_id")
-    return _documents(docs.join(others, "doc_id", "left_anti"))
+    """Operator 4. Of each group of linked documents the first stays, by id (null last) and then by a hash of the text; documents without words stay. Rows that agree in id and text are one document and stay or go together."""
+    others = jaccard_components(docs).where("not first").select(F.col("doc_id").alias("other_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    return _documents(docs.join(others, same, "left_anti"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

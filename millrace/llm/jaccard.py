@@ -10,7 +10,7 @@ in the bands below that hold smaller sets it may link with.
 too much to pair off. A set that keeps more than D keys that are not hot finds all its links by those. Other sets
 are *saturated*: links between two of them are sought by giving segments of three shingles or more a second unit, the
 one-deletion neighbourhood (a segment that differs by one shingle), where its keys are not hot. Sets that even this does not
-cover, such as tiny ones that leave segments empty, are compared among themselves by the shingles of their prefix.
+cover, such as tiny ones that leave segments empty, are compared among themselves by the rarest of the shingles that they share with others (``_compared``).
 
 Only connected components are wanted. So first some keys pair their members with their smallest one, each set tries the few partners with
 which it shares most keys, and the links found unite sets; later pairs are made only between different components.
@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, by_bytes, cut_lineage, keep, mix, partitions, shingles, small_batches, utf8
+from .common import U64, WordHasher, by_bytes, keep, mix, partitions, shingles, small_batches, utf8
 from .components import components
+from .hot_keys import fitting_pairs, opposite_pairs, shared_parts
 
 WIDTH, THRESHOLD = 5, 75
 #: Upper end of a band over its lower end.
@@ -46,8 +47,12 @@ SLICE_BYTES = 1 << 20
 STARS, PARTNERS = 16, 6
 #: Keys that one reducer task takes at once, about.
 REDUCER_KEYS = 2_000_000
-#: Rows of a table of sets (16 to 24 bytes each) up to which a join broadcasts it; beyond it, it is shuffled.
-BROADCAST_NODES = 1_000_000
+#: Rows of a table of sets (16 to 32 bytes each) up to which a join broadcasts it; beyond it, it is shuffled.
+BROADCAST_NODES = 100_000
+#: As that, for the ids of the documents whose texts are read again (16 bytes each): the shuffle that it spares is one of all texts.
+BROADCAST_IDS = 500_000
+#: Tags of keys: below the band, segment and side.
+_BAND_BITS = 40
 _SEGMENT_SEED, _SUBSET_SEED, _A, _B = (U64(x) for x in (0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -154,7 +159,7 @@ def _describe(width: int):
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
                 values, starts = sets_of(part.column("text"), hasher, width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts)), pa.array(nodes_of(values, starts))], ["doc_id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(starts)), pa.array(nodes_of(values, starts))], ["doc_id", "text_hash", "n_shingles", "node"])
 
     return run
 
@@ -250,8 +255,8 @@ def _meet(t: int):
     return meet
 
 
-def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node`` and its sorted distinct shingles of the wanted nodes (column node), read again from the text of one document of each."""
+def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, n: int) -> DataFrame:
+    """``node`` and its sorted distinct shingles of the wanted nodes (column node), read again from the text of one document of each. n: nodes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -260,9 +265,13 @@ def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int)
                 values, starts = sets_of(part.column("text"), hasher, width)
                 yield pa.RecordBatch.from_arrays([part.column("wanted"), pa.array(nodes_of(values, starts)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view(np.int64)))], ["wanted", "node", "shingles"])
 
-    asked = keep(nodes.join(wanted.select("node").distinct(), "node").where("first_doc is not null").select(F.col("node").alias("wanted"), F.col("first_doc").alias("doc_id")))
-    texts = documents.join(_small(asked), "doc_id").select("wanted", "text")
-    found = texts.mapInArrow(run, "wanted bigint, node bigint, shingles array<bigint>").where("wanted = node").drop("wanted")
+    asked = keep(nodes.join(_small(keep(wanted.select("node").distinct(), n)), "node").select(F.col("node").alias("wanted"), "first.doc_id", "first.text_hash"), n)
+    nameless = asked.where("doc_id is null").select("wanted", "text_hash")
+    texts = documents.join(_small(asked.where("doc_id is not null").select("wanted", "doc_id"), BROADCAST_IDS), "doc_id").select("wanted", "text")
+    read = lambda texts: texts.mapInArrow(run, "wanted bigint, node bigint, shingles array<bigint>").where("wanted = node").drop("wanted")
+    found = read(texts)
+    if not nameless.isEmpty():
+        found = found.unionByName(read(documents.where("doc_id is null").join(nameless, "text_hash").select("wanted", "text")).dropDuplicates(["node"]))
     return keep(found)
 
 
@@ -275,25 +284,30 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 def _neighbourhoods(t: int):
-    """Keys of saturated sets in one band: side 0, whole segments; side 1, segments of three or more without one shingle; one row of side 2 with the number of such segments. segment is -1 for smaller ones."""
+    """Keys of saturated sets in the bands where they are so: whole segments (side 0), and segments of three shingles or more without one of them (side 1).
+
+    One row for a set. A tag is the band, the segment plus one (zero for smaller segments) and the side; ``wide`` counts the segments of three or more of each band.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scopes = Scopes(t)
         for batch in batches:
-            lists, out = batch.column("shingles"), []
+            lists, bands, out = batch.column("shingles"), batch.column("bands").to_pylist(), []
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
-            for i, (node, band) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "band")), strict=True)):
-                values, m = flat[ends[i] : ends[i + 1]], int(scopes.segments[band])
-                slot, sums, size, member = segment_sums(values, np.zeros(len(values), np.int64), 1, m)
-                wide = size[member] > 2
-                with np.errstate(over="ignore"):
-                    less = key_of(sums[member][wide] - mix(values[wide] + _SUBSET_SEED), slot[member][wide], band)
-                key = np.concatenate([key_of(sums, slot, band).view(np.int64), less.view(np.int64), [int((size > 2).sum())]])
-                side = np.repeat(np.array([0, 1, 2], np.int32), [len(slot), len(less), 1])
-                segment = np.concatenate([np.where(size > 2, slot, -1), slot[member][wide], [-1]]).astype(np.int32)
-                out.append((np.full(len(key), node), np.full(len(key), band), key, side, segment))
-                if len(out) >= 2_000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["node", "band", "key", "side", "segment"])
+            for i in range(batch.num_rows):
+                values, keys, tags, wides = flat[ends[i] : ends[i + 1]], [], [], []
+                for band in bands[i]:
+                    slot, sums, size, member = segment_sums(values, np.zeros(len(values), np.int64), 1, int(scopes.segments[band]))
+                    wide = size[member] > 2
+                    with np.errstate(over="ignore"):
+                        keys += [key_of(sums, slot, band), key_of(sums[member][wide] - mix(values[wide] + _SUBSET_SEED), slot[member][wide], band)]
+                    tags += [(band << _BAND_BITS) + 2 * np.where(size > 2, slot + 1, 0), (band << _BAND_BITS) + 2 * (slot[member][wide] + 1) + 1]
+                    wides.append(int((size > 2).sum()))
+                out.append((np.concatenate(keys).view(np.int64), np.concatenate(tags), wides))
+                if len(out) >= 500 or i == batch.num_rows - 1:
+                    at, places = np.cumsum([0, *(len(x[0]) for x in out)]), np.arange(i + 1 - len(out), i + 1)
+                    lists_of = lambda j: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([x[j] for x in out])))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(places)) for c in ("node", "component")), lists_of(0), lists_of(1), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["entry", "component", "keys", "tags", "wide"])
                     out = []
 
     return run
@@ -307,42 +321,72 @@ def _spare(met: DataFrame) -> DataFrame:
     return joined.select("node", "band", "hot", (F.col("spare") - F.col("hot")).alias("spare"))
 
 
-def _saturated_pairs(spare: DataFrame, documents: DataFrame, nodes: DataFrame, links: DataFrame, united: DataFrame, width: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b) of different components among the saturated sets, in which every link between two of them is found, links found on the way, and the components with those.
+def _saturated_links(spare: DataFrame, documents: DataFrame, nodes: DataFrame, links: DataFrame, united: DataFrame, width: int, t: int, n: int) -> DataFrame:
+    """Links, with the given ones, that unite saturated sets as all links between these would.
 
-    A wide segment none of whose keys here is hot is worth two units. A set whose units exceed D in the band finds its links by keys that
-    are not hot. The others are compared by the shingles of their prefix, the rarest among them first: with t/100 of the shingles in
-    common, two sets share one of their rarest n - ceil(n t/100) + 1.
+    A wide segment none of whose keys is hot here is worth two units, as it is found unless two shingles of it differ. A set whose units exceed D in
+    the band finds its links by keys that are not hot. The rest are compared by their shingles (``_compared``).
+    """
+    saturated = spare.where("spare <= 0").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "hot", "spare"))).alias("bands"))
+    saturated = keep(saturated.join(united, "node", "left").withColumn("component", F.coalesce("component", "node")), n)
+    if saturated.isEmpty():
+        return links
+    sets = _sets(documents, nodes, saturated, width, n)
+    bands = _small(saturated)
+    described = sets.join(bands, "node").select("node", "component", F.transform("bands", lambda b: b["band"]).alias("bands"), "shingles")
+    entries = keep(described.mapInArrow(_neighbourhoods(t), "entry bigint, component bigint, keys array<bigint>, tags array<bigint>, wide array<int>"))
+    pairs, hot = opposite_pairs(entries, HOT)
+
+    def spoiled(band: Column) -> Column:
+        of_band = F.filter("tags", lambda x: (F.shiftright(x, _BAND_BITS) == band) & (F.shiftright(x, 1) % (1 << _BAND_BITS - 1) > 0))
+        return F.coalesce(F.size(F.array_distinct(F.transform(of_band, lambda x: F.shiftright(x, 1)))), F.lit(0))
+
+    units = entries.select(F.col("entry").alias("node"), "wide").join(bands, "node").join(hot.select(F.col("entry").alias("node"), "tags"), "node", "left")
+    short = lambda b, wide: b["spare"] + F.greatest(wide - spoiled(b["band"]) - b["hot"], F.lit(0)) <= 0
+    rest = keep(units.where(F.exists(F.zip_with("bands", "wide", short), lambda x: x)).select("node", "component"), n)
+    rest = sets.join(_small(rest), "node").select(F.col("node").alias("entry"), F.size("shingles").cast("long").alias("size"), "component", F.col("shingles").alias("keys"), F.array().cast("array<bigint>").alias("tags"))
+    return _compared(keep(rest), pairs.select("a", "b"), sets, links, united, t)
+
+
+def _overlap_can(common: Column, r: Column, s: Column, t: int) -> Column:
+    """Sets of r and s shingles with so many in common link."""
+    return common * (100 + t) >= t * (r + s)
+
+
+def _compared(rest: DataFrame, also: DataFrame, sets: DataFrame, links: DataFrame, united: DataFrame, t: int) -> DataFrame:
+    """Links, with the given ones and those of the pairs ``also``, that unite the sets of ``rest`` (entry, size, component, keys: its shingles) as all their links would.
+
+    Only shingles that sets of another component have too can be in common with those: the *shared part* of a set; a set with too small a one is done. Of sets with the same
+    part (a passage that thousands have), each that links by it with any links with the smallest one too, and then links nothing that the smallest does not link; so these are
+    tried with the smallest only, and left out. Groups of near copies are tried by stars. When these have united what they can, the sets of different
+    components that are left meet by the rarest shingles of their parts, as many as must hold one of those in common, where sizes and places leave enough.
     """
-    saturated = spare.where("spare <= 0").select("node", "band", "hot", "spare")
-    sets = _sets(documents, nodes, saturated, width)
-    keys = keep(saturated.join(sets, "node").select("node", "band", "shingles").mapInArrow(_neighbourhoods(t), "node bigint, band bigint, key bigint, side int, segment int"))
-    own = keys.where("side < 2")
-    hot = _small(keep(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")))
-    ends_members = keep(own.join(hot, "key", "left_anti").select("key", "node", "side"))
-    spoiled = own.where("segment >= 0").join(hot, "key").select("node", "band", "segment").distinct().groupBy("node", "band").agg(F.count("*").alias("spoiled"))
-    wide = keys.where("side = 2").select("node", "band", F.col("key").alias("wide"))
-    units = saturated.join(wide, ["node", "band"]).join(spoiled, ["node", "band"], "left")
-    twice = F.greatest(F.col("wide") - F.coalesce("spoiled", F.lit(0)) - F.col("hot"), F.lit(0))
-    rest = units.where(F.col("spare") + twice <= 0).select("node").distinct()
-    items = keep(sets.join(rest, "node").select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
-    counted = items.groupBy("shingle").agg(F.count("*").alias("n"))
-    ranked = items.join(counted, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
-    length = (F.col("size") - F.ceil(F.col("size") * t / 100) + 1).cast("int")
-    prefix = ranked.select("node", "size", F.posexplode(F.slice("ranked", F.lit(1), length)).alias("place", "r")).where("r.n > 1").select(F.col("r.shingle").alias("key"), "node", "size", "place")
-    prefix = keep(prefix)
-    # groups of near copies end up here too: again the smallest set of each key is tried with the others before any pairs are made
-    stars = prefix.join(prefix.groupBy("key").agg(F.min("node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    found = keep(_linked(_apart(stars, united).select("a", "b"), sets, t))
-    all_united = _small(cut_lineage(components(links.unionByName(found))))
-    # behind the first shingle in common, neither set may have too few left for the overlap that a link takes
-    left = F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place"))
-    enough = left * (100 + t) >= t * (F.col("p.size") + F.col("q.size"))
-    return _cross_pairs(ends_members, all_united, F.col("p.side") != F.col("q.side")).unionByName(_cross_pairs(prefix, all_united, enough)).distinct(), found, all_united
-
-
-def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of members of a key that are in different components (columns key, node, side; ``apart``: also a condition on p and q).
+    parts, stars = shared_parts(rest)
+    sizes = rest.select("entry", "size", "component")
+    held = parts.withColumn("shared", F.size("keys").cast("long")).join(sizes, "entry").where(100 * F.col("shared") >= t * F.col("size")).withColumn("part", F.xxhash64("keys"))
+    held = keep(held, 10 * sizes.count())
+    first = held.groupBy("part").agg(F.min(F.struct("size", "entry")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    by_part = _overlap_can(F.col("shared"), F.col("size"), F.col("first.size"), t) & (F.col("entry") != F.col("first.entry"))
+    covered = keep(held.select("part", "entry", "size", "shared").join(first, "part").where(by_part).select(F.col("first.entry").alias("a"), F.col("entry").alias("b")), sizes.count())
+    sized = _small(keep(sizes.select("entry", "size")))
+    for side in ("a", "b"):
+        stars = stars.join(sized.select(F.col("entry").alias(side), F.col("size").alias(f"size_{side}")), side)
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), "a"))
+    tried = stars.where(_same_size(F.col("size_a"), F.col("size_b"), t)).withColumn("rank", rank).where(F.col("rank") <= PARTNERS)
+    links = links.unionByName(keep(_linked(also.unionByName(covered).unionByName(tried.select("a", "b")).distinct(), sets, t)))
+    left = held.join(_small(covered.select(F.col("b").alias("entry"))), "entry", "left_anti").drop("component")
+    now = _small(keep(components(links)))
+    left = left.join(now.withColumnRenamed("node", "entry"), "entry", "left").withColumn("component", F.coalesce("component", "entry"))
+    ranked = F.array_sort(F.arrays_zip(F.col("tags").alias("n"), F.col("keys").alias("key")))
+    length = (F.col("shared") - F.ceil(F.col("size") * t / 100) + 1).cast("int")
+    place = lambda x, i: F.shiftleft(F.col("size"), 32) + F.col("shared") - i
+    left = left.withColumn("rare", F.slice(ranked, F.lit(1), length)).select("entry", "component", F.transform("rare", lambda x: x["key"]).alias("keys"), F.transform("rare", place).alias("tags"))
+    found = keep(_linked(fitting_pairs(keep(left), t).select("a", "b"), sets, t))
+    return links.unionByName(found)
+
+
+def _cross_pairs(members: DataFrame, united: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a key (columns key, node) that are in different components.
 
     A key whose members are all in one component makes no pair. In the others, only the members outside the
     largest component are paired with the rest: a pair across components has at least one of them.
@@ -355,16 +399,14 @@ def _cross_pairs(members: DataFrame, united: DataFrame, apart: Column | None = N
     of_mixed = keep(of_several.join(largest, "key"))
     p, q = of_mixed.where("component <> largest").alias("p"), of_mixed.alias("q")
     on = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component"))
-    if apart is not None:
-        on &= apart
     # a pair of which neither is in the largest component comes up from both sides
     on &= (F.col("q.component") == F.col("q.largest")) | (F.col("p.node") < F.col("q.node"))
     return p.join(q, on).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """``table`` for a join: broadcast if it has no more than BROADCAST_NODES rows, else as it is."""
-    return F.broadcast(table) if table.count() <= BROADCAST_NODES else table
+def _small(table: DataFrame, most: int | None = None) -> DataFrame:
+    """``table`` (a kept one, whose count costs no scan) for a join: broadcast if it has no more than ``most`` rows, BROADCAST_NODES if not given; else as it is."""
+    return F.broadcast(table) if table.count() <= (BROADCAST_NODES if most is None else most) else table
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -383,7 +425,7 @@ def _same_size(a: Column, b: Column, t: int) -> Column:
 
 
 def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links, itself included) of every row.
+    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links, itself included) of every row; further ``text_hash`` (xxhash64 of the text) and ``first``: whether the row is its component's first document, by id (null last), then by text_hash. Rows without a set are the first of their own.
 
     A document's set holds the distinct runs of ``width`` words (lower-case A-Z; separated by ASCII white space), as 64-bit hashes; with
     fewer words, all of them as one run. Sets link when 100 * intersection >= ``t`` * union. Null and empty texts have no set and
@@ -392,19 +434,19 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     id. Other columns are not read. An empty table gives no rows.
     """
     spark = small_batches(df).sparkSession
-    documents = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    described = keep(documents.mapInArrow(_describe(width), "doc_id bigint, n_shingles bigint, node bigint"))
-    nodes = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size"))
-    nodes = keep(nodes)
-
-    keys = (described.agg(F.sum("n_shingles")).first()[0] or 0) * 0.8
+    documents = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("text_hash"))
+    described = keep(documents.mapInArrow(_describe(width), "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
+    nodes = described.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.first("n_shingles").alias("size"))
+    n, keys = described.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0)) * 0.8).first()
+    nodes = keep(nodes, n)
     n_reducers = 4 * max(partitions(spark), int(keys / REDUCER_KEYS / 4) + 1)
-    blobs = documents.mapInArrow(_emit(width, t, n_reducers), "reducer int, nodes binary, bands binary, counts binary, key_bytes binary")
+    blobs = documents.select("text").mapInArrow(_emit(width, t, n_reducers), "reducer int, nodes binary, bands binary, counts binary, key_bytes binary")
     met = keep(blobs.groupBy("reducer").applyInPandas(_meet(t), "kind int, x bigint, y bigint, n bigint"))
 
-    spare = keep(_spare(met))
+    spare = keep(_spare(met), 3 * n)
     least = spare.groupBy("node").agg(F.min("spare").alias("least"))
-    sized = _small(keep(nodes.select("node", "size").join(least, "node")))
+    sized = _small(keep(nodes.select("node", "size").join(least, "node"), n))
 
     def with_sizes(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes can link, with what the two sets have to share."""
@@ -416,22 +458,22 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     near = met.where("kind in (0, 4)").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
     likely = with_sizes(near).where("8 * n >= least or n >= 4")
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), F.xxhash64("a", "b"), "a"))
-    best = keep(likely.withColumn("rank", rank).where(F.col("rank") <= PARTNERS).select("a", "b"))
-    links = keep(_linked(best, _sets(documents, nodes, _ends(best), width), t))
-    united = _small(cut_lineage(components(links)))
+    best = keep(likely.withColumn("rank", rank).where(F.col("rank") <= PARTNERS).select("a", "b"), PARTNERS * n)
+    links = keep(_linked(best, _sets(documents, nodes, _ends(best), width, n), t), PARTNERS * n)
+    united = _small(keep(components(links), n))
 
     # then every pair of sets in different components: of saturated sets, and of those that share as many keys as they have to
-    tight, found, united = _saturated_pairs(spare, documents, nodes, links, united, width, t)
-    links = links.unionByName(found)
-    tight = with_sizes(tight)
+    links = _saturated_links(spare, documents, nodes, links, united, width, t, n)
     two = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "n")
     several = _cross_pairs(met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node")), united).withColumn("n", F.lit(1))
     enough = with_sizes(_apart(two.unionByName(several).groupBy("a", "b").agg(F.sum("n").alias("n")), united)).where("n >= least")
-    more = keep(enough.select("a", "b").unionByName(tight.select("a", "b")).distinct())
-    final = components(links.unionByName(_linked(more, _sets(documents, nodes, _ends(more), width), t)))
-
-    of_node = nodes.join(final, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("component"))
-    smallest = of_node.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = of_node.join(smallest, "component").select("node", "component_id")
-    some = described.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    more = keep(enough.select("a", "b"))
+    more = _linked(more, _sets(documents, nodes, _ends(more), width, n), t)
+    final = _small(keep(components(links.unionByName(more)), n))
+
+    of_node = nodes.join(final, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    smallest = _small(keep(of_node.groupBy("component").agg(F.min("first").alias("first")), n))
+    named = _small(keep(of_node.drop("first").join(smallest, "component").select("node", F.col("first").alias("named")), n))
+    own = F.col("doc_id").eqNullSafe(F.col("named.doc_id")) & (F.col("text_hash") == F.col("named.text_hash"))
+    some = described.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", F.col("named.doc_id").alias("component_id"), "text_hash", own.alias("first"))
+    return some.unionByName(described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(True).alias("first")))

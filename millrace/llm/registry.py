@@ -37,7 +37,7 @@ def op3_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
-    return jaccard_components(_documents(spark, sf_dir))
+    return jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,14 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_rows_without_ids_link_and_one_is_first(spark):
+    """A set that only rows without an id have joins two documents; of each component one document is the first, whatever its ids."""
+    words = [f"n{i}" for i in range(44)]
+    rows = [(3, " ".join(words[:36])), (None, " ".join(words[:40])), (None, " ".join(words[:40])), (1, " ".join(words[4:44])), (1, "quite another text of six words"), (None, "some text that nobody else has got"), (None, "some text that nobody else has  got")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.first) for r in got) == sorted([(3, 1, False), (0, 1, False), (0, 1, False), (1, 1, True), (1, 1, True), (0, 0, True), (0, 0, False)])
+
+
 def test_sizes_where_sets_may_link():
     scopes = jaccard.Scopes()
     for r in range(1, 400):
@@ -209,3 +217,30 @@ def test_lines_edges(spark):
 @pytest.mark.parametrize("a, b, near", [("a b c", "a b c", True), ("a b c", "a c", True), ("a c", "a b c", True), ("a b c", "a x c", True), ("a b c", "x b y", False), ("a b", "b a", False), ("", "a", True)])
 def test_within_one_edit(a, b, near):
     assert lines.within_one_edit(a.split(), b.split()) is near
+
+
+def test_a_passage_that_thousands_of_short_documents_share(spark):
+    """They share most of their words but hardly any of them link; a few do."""
+    draw = random.Random(21)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {i: " ".join([f"a{i}_{j}" for j in range(3 + i % 9)] + passage + [f"b{i}_{j}" for j in range(draw.randrange(6))]) for i in range(600)}
+    other = passage[:30] + [f"q{i}" for i in range(6)]
+    texts |= {2000 + i: " ".join(other + [f"c{i}_{j}" for j in range(1 + i % 12)]) for i in range(150)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == groups(texts)
+
+
+@pytest.mark.parametrize("seed, hot", [(1, 1), (2, 2), (3, 6)])
+def test_sets_of_few_hot_parts(spark, monkeypatch, seed, hot):
+    """Texts put together from a few shared passages: hot parts of all kinds, at several levels."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    draw = random.Random(seed)
+    parts = [[f"s{k}_{i}" for i in range(draw.choice([6, 9, 15]))] for k in range(7)]
+    texts = {}
+    for i in range(160):
+        chosen = [w for k in sorted(draw.sample(range(7), draw.choice([1, 2, 3]))) for w in parts[k]]
+        texts[i] = " ".join(chosen + [f"u{i}_{j}" for j in range(draw.choice([0, 0, 1, 3, 6]))])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == groups(texts)

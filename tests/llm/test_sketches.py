@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -72,6 +73,69 @@ def test_edited_texts(spark):
     assert single.near_next == 1.0 and single.edited_sha256 == sha("abcdefabc")
 
 
+def xx(*values):
+    """Spark's xxhash64 of texts, (value, bytes) integers, or a list of texts."""
+    h = 42
+    for v in values:
+        for x in v if isinstance(v, list) else [v]:
+            data = x.encode() if isinstance(x, str) else x[0].to_bytes(x[1], "little", signed=True)
+            h = xxhash.xxh64(data, seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_fingerprint(text):
+    """One k-mer at a time: number the repeats, hash onto the ring, and of each point take what follows, in the text's order."""
+    token, low = order_minhash._TOKEN, (1 << 30) - 1
+    kmers = [m.group(1) for m in re.finditer(f"(?=((?:{token}){{1,{order_minhash.K}}}))(?:{token})", text or "", re.S)]
+    if not kmers:
+        return [0] * order_minhash.M
+    seen, ring = Counter(), []
+    for i, kmer in enumerate(kmers):
+        upper = xx(kmer) >> 30
+        ring.append((xx((upper, 8), (seen[upper], 4)) & ~low | i))
+        seen[upper] += 1
+    ring.sort()
+    out = []
+    for b in range(order_minhash.M):
+        point = -(1 << 63) + b * ((1 << 64) // order_minhash.M)
+        first = next((i for i, x in enumerate(ring) if x >= point), len(ring))
+        places = sorted(ring[(first + j) % len(ring)] & low for j in range(order_minhash.L))
+        out.append(xx([kmers[p] for p in places]) >> 32)
+    return out
+
+
+def test_fingerprints_against_plain_python(spark):
+    draw = random.Random(11)
+    texts = ["", "a", "ab ab ab ab", "Ünïcode, and\nlines\n", "x" * 50]
+    texts += [" ".join(draw.choice(["the", "of", "lorem", "ipsum,", "X", "7", "longerword"]) for _ in range(draw.randrange(1, 120))) for _ in range(25)]
+    assert fingerprint(spark, *texts) == [plain_fingerprint(t) for t in texts]
+    got = sorted(order_minhash.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    shown = lambda f: "".join(f"{x & 0xFFFFFFFF:08X}" for x in f)
+    for i, r in enumerate(got):
+        text, following = texts[i], texts[i - 1]  # descending order of ids; after the smallest comes the largest
+        third = len(text) // 3
+        own, other, after = (plain_fingerprint(t) for t in (text, text[: len(text) - third] + following[:third], following))
+        assert (r.fingerprint.upper(), r.edited_fingerprint.upper()) == (shown(own), shown(other))
+        assert (r.near_edited, r.near_next) == (like(own, other), like(own, after))
+
+
+def test_likeness_falls_with_edits(spark):
+    """What the README says of texts of several lengths: likeness after replacing a share of the words."""
+    draw, texts, shares = random.Random(5), [], (0.02, 0.1, 0.3)
+    for n in (30, 100, 1000):
+        base = [f"word{draw.randrange(10**6)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for share in shares:
+            copy = list(base)
+            for at in draw.sample(range(n), max(1, int(n * share))):
+                copy[at] = f"other{draw.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    prints = fingerprint(spark, *texts)
+    for i in range(0, len(texts), 4):
+        near = [like(prints[i], prints[i + 1 + k]) for k in range(3)]
+        assert near[0] > near[1] > near[2] and near[0] >= 0.6, near
+
+
 # ---- 2
 
 
@@ -116,7 +180,7 @@ def test_wrapped_licences(spark, width, mark):
     prose = "\n".join(f"some other line number {i} about nothing" for i in range(40))
     rest = "The above copyright notice shall be included in all copies or substantial portions of the Software."
     wanted = [(name, text) for name, texts in licences.TEMPLATES.items() for text in texts if len(text) > width]
-    wrap = lambda t: "\n".join(mark + line for line in textwrap.wrap(t, width))
+    wrap = lambda t: "\n".join(mark + line for line in textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False))
     rows = [(i, f"{prose}\n\n{wrap(text)}\n\n{wrap(rest)}\n{prose}") for i, (_, text) in enumerate(wanted)]
     rows += [(100 + i, f"{prose}\n{wrap(text)}\n{prose}\n{wrap('Indeed: ' + text)}\n{prose}") for i, (_, text) in enumerate(wanted)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -163,6 +227,18 @@ def test_vectors_that_take_no_part(spark):
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("factor", [1.0, 2.0])
+def test_ties_go_to_the_smallest_ids(spark, factor):
+    """Far more distinct vectors than places have the same product with a query, exact in integers."""
+    draw = random.Random(8)
+    rows = [(0, [1.0] + [0.0] * 7)]
+    rows += [(i, [1.0] + [float(draw.randrange(-3, 4)) for _ in range(7)]) for i in range(1, 620)]
+    rows += [(i, [2.0 if i % 90 == 0 else 0.0] + [float(draw.randrange(-3, 4)) for _ in range(7)]) for i in range(620, 1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in vptree.nearest(df, F.col("vec_id") == 0, factor=factor).orderBy("rank").collect()]
+    assert got == [(i, 2.0) for i in range(630, 1000, 90)] + [(i, 1.0) for i in range(1, 16)] + []
+
+
 # ---- 7
 
 
@@ -214,6 +290,12 @@ def test_mixed_rows_have_the_words(spark):
     assert sum(words(out).values()) == pytest.approx(sum(words(docs).values()), abs=12)
 
 
+def test_mixed_rows_carry_any_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 1, 2), (2, None, None, 3, 4), (3, "d e", "s", 5, 6), (3, "d e", "s", 5, 6)], "doc_id long, text string, source string, _part int, key int")
+    out = mixing.mixed_rows(docs, lambda place: place % 3 + 1)
+    assert out.columns == docs.columns and {(r["_part"], r.key) for r in out.collect()} <= {(1, 2), (3, 4), (5, 6)}
+
+
 # ---- 9
 
 
@@ -258,6 +340,51 @@ def test_classifier_edges(spark):
     assert ordinal.score(docs.limit(0), model, 3, ["doc_id"]).count() == 0
 
 
+def test_gradient_and_probabilities_against_plain_python():
+    """The gradient against differences of the likelihood; probabilities against sums over one text's features at a time."""
+    draw = np.random.default_rng(3)
+    n, n_used, n_grades = 40, 7, 3
+    rows, column = np.repeat(np.arange(n), 3).astype(np.int32), draw.integers(0, n_used, 3 * n).astype(np.int32)
+    scale, grade, weight = draw.uniform(0.5, 2, n_used), draw.integers(0, n_grades, n), draw.uniform(0.5, 2, n)
+    parameters = draw.normal(size=n_used + n_grades - 1) / 3
+
+    def loss(p):
+        thresholds = [p[n_used], p[n_used] + math.exp(p[n_used + 1])]
+        total = 0.0
+        for i in range(n):
+            z = sum(p[c] * scale[c] for c in column[rows == i])
+            above = [1.0, *(1 / (1 + math.exp(t - z)) for t in thresholds), 0.0]
+            total -= weight[i] * math.log(above[grade[i]] - above[grade[i] + 1])
+        return total / n + 5e-3 / 2 * sum(x * x for x in p[:n_used])
+
+    got = ordinal.gradient(parameters, rows, column, scale, grade, weight, 5e-3)
+    for j in range(len(parameters)):
+        step = np.zeros(len(parameters))
+        step[j] = 1e-4
+        assert got[j] == pytest.approx((loss(parameters + step) - loss(parameters - step)) / 2e-4, abs=2e-5)
+
+    texts = [t for _, t, _ in graded(50, 4)] + ["", None]
+    model = ordinal.fit([t for _, t, _ in graded(300, 1)], [g for *_, g in graded(300, 1)], 3)
+    import pyarrow as pa
+
+    row, columns = ordinal.Features()(*ordinal.utf8(pa.array(texts)))
+    tails = model.tails(row, columns, len(texts))
+    for i in range(len(texts)):
+        z = float(sum(model.weights[c] for c in columns[row == i]))
+        assert tails[i] == pytest.approx([1 / (1 + math.exp(t - z)) for t in model.thresholds], abs=1e-6)
+
+
+def test_fit_on_a_table_is_the_fit_of_its_texts(spark):
+    rows = graded(200, 7)
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(5, "zzz", "x"), (None, "y", "x")], "doc_id long, text string, grade string")
+    labels = spark.createDataFrame([(i, int(g > 0), int(g == 1)) for i, _, g in rows] + [(9999, 1, 0)], "doc_id long, quality int, toxic int")
+    got = ordinal.fit_on(docs, labels, registry.grade(), 3)
+    want = ordinal.fit([t for _, t, _ in rows], [g for *_, g in rows], 3)
+    assert got.thresholds == pytest.approx(want.thresholds, abs=1e-4) and np.abs(got.weights - want.weights).max() < 1e-3
+    clash = ordinal.score(docs.withColumn("top_probability", F.lit("mine")), got, 3, ["doc_id", "top_probability", "grade"])
+    assert clash.columns == ["doc_id", "grade", "expected_grade", "top_probability"] and clash.count() == docs.count()
+
+
 # ---- the pipeline
 
 
@@ -281,6 +408,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(junk & ids[1]) <= 0.4 * len(junk)
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null ids, texts and sources, empty and repeated rows, an unknown column whose name the stages use; then no rows at all."""
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words), (1, words), (2, words + " more"), (3, None), (4, ""), (None, words), (None, "some other words that stand alone here"), (5, "\n\n")]
+    docs = spark.createDataFrame([(a, b, "en", None if i % 2 else "s", 9, "x", 0.5) for i, (a, b) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _part string, top_probability double")
+    for name, table in (("few", docs), ("none", docs.limit(0))):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, table, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{i}"))
+            table = spark.read.parquet(str(tmp_path / f"{name}{i}"))
+            assert i == 4 or table.columns == corpus_pipeline.COLUMNS
+        assert (table.count() > 0) == (name == "few") and table.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def test_the_registry_has_all_ten():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
