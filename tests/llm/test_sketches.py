@@ -410,7 +410,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_pipeline_edges(spark, tmp_path):
     """Null ids, texts and sources, empty and repeated rows, an unknown column whose name the stages use; then no rows at all."""
-    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(99, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     words = " ".join(f"w{i}" for i in range(30))
     rows = [(1, words), (1, words), (2, words + " more"), (3, None), (4, ""), (None, words), (None, "some other words that stand alone here"), (5, "\n\n")]
     docs = spark.createDataFrame([(a, b, "en", None if i % 2 else "s", 9, "x", 0.5) for i, (a, b) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _part string, top_probability double")
