@@ -93,6 +93,31 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents, model, GRADES, ["doc_id"]).withColumn("keep", F.col("top_probability") >= KEEP)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spellings import spelling_variants
+
+    return spelling_variants(_documents(spark, sf_dir))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damage, repair_reports
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_reports(conversations, damage(conversations))
+
+
+#: The shards that the documents are in before, by source, and afterwards.
+OLD_SHARDS, SHARDS = 6, 8
+
+
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resharding import reshard_by_bytes
+
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
+    rows = reshard_by_bytes(_documents(spark, sf_dir).select("doc_id", "text", "source"), old, SHARDS).read()
+    return rows.select("row.doc_id", "size", F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_order_minhash": op1_order_minhash,
@@ -105,6 +130,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_resharding": op13_resharding,
     }
 
 
