@@ -98,19 +98,59 @@ def _for_clusters(d: Directory) -> DataFrame:
     names = d.organizers.select(F.col("id").alias("organizer_id"), F.col("name").alias("organizer"))
     rows = d.outings.where("start_date is not null").join(names, "organizer_id", "left")
     kind = F.element_at(F.array(F.lit("organizer"), F.lit("listing"), F.lit("search")), (F.col("id") % 3 + 1).cast("int"))
-    return rows.select(F.col("id").alias("event_id"), (F.col("course_id") % 5).alias("course_id"), F.substring("start_date", 1, 7).alias("start_date"), "organizer", "title", kind.alias("kind"), "confidence", F.col("id").alias("ord"))
+    return rows.select(F.col("id").alias("event_id"), "course_id", "start_date", "organizer", "title", kind.alias("kind"), "confidence", F.col("id").alias("ord"))
+
+
+_quoted = lambda texts: ", ".join(f"'{t}'" for t in texts)
+_MINE = f"list_filter(string_split_regex(lower(coalesce({{0}}, '')), '[^a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_quoted(T.GENERIC_WORDS)}))"
+_TITLE = "lower(title)"
+for _pattern in (T.ORDINALS, *T.YEARLY):
+    _TITLE = f"regexp_replace({_TITLE}, '{_pattern}', ' ', 'g')"
+_TITLE = f"list_filter(string_split_regex({_TITLE}, '[^a-z0-9]+'), lambda w: w <> '')"
+_TEXT = f"array_to_string({_TOKENS}, ' ')"
+_ALIKE = "({0} <> '' AND {1} <> '' AND 1 - levenshtein({0}, {1}) / CAST(greatest(length({0}), length({1})) AS DOUBLE) >= 0.8)"
+#: Pairs of one course and day that are about one event, among tables ``ev`` (id, course_id, start_date, organizer, title, r: the order there).
+_SAME = f"""prep AS (SELECT *, {_MINE.format("organizer")} AS mine, {_TITLE} AS words, {_TEXT.format("coalesce(organizer, '')")} AS org_text, {_TEXT.format("title")} AS title_text FROM ev),
+  met AS (SELECT a.id AS a, b.id AS b, a.r AS ar, a.organizer IS NULL AS na, b.organizer IS NULL AS nb, a.org_text AS oa, b.org_text AS ob, a.title_text AS ta, b.title_text AS tb, a.words AS wa, b.words AS wb, a.mine AS ma, b.mine AS mb,
+      a.organizer IS NOT NULL AND b.organizer IS NOT NULL AND (len(list_filter(a.words, lambda w: list_contains(a.mine, w) AND NOT list_contains(b.mine, w))) > 0 OR len(list_filter(b.words, lambda w: list_contains(b.mine, w) AND NOT list_contains(a.mine, w))) > 0) AS guarded
+    FROM prep a JOIN prep b ON a.course_id = b.course_id AND a.start_date = b.start_date AND a.r < b.r),
+  keyed AS (SELECT *, array_to_string(CASE WHEN guarded THEN wa ELSE list_filter(wa, lambda w: NOT list_contains(ma, w) AND NOT list_contains(mb, w)) END, ' ') AS ka, array_to_string(CASE WHEN guarded THEN wb ELSE list_filter(wb, lambda w: NOT list_contains(ma, w) AND NOT list_contains(mb, w)) END, ' ') AS kb FROM met),
+  texts AS (SELECT *, {_TEXT.format("ka")} AS xa, {_TEXT.format("kb")} AS xb FROM keyed),
+  same AS (SELECT a, b, ar FROM texts WHERE (na AND nb) OR (NOT na AND NOT nb AND {_ALIKE.format("oa", "ob")}) OR CASE WHEN ka = '' OR kb = '' THEN {_ALIKE.format("ta", "tb")} ELSE ka = kb OR {_ALIKE.format("xa", "xb")} END)"""
 
 
-@plans.query("event_clusters")
+@plans.query(
+    "event_clusters",
+    f""", ev AS (SELECT o.id, o.course_id, o.start_date, s.name AS organizer, title, row_number() OVER (PARTITION BY o.course_id, o.start_date ORDER BY o.id % 3, -o.confidence, o.id) AS r FROM outings o LEFT JOIN organizers s ON o.organizer_id = s.id WHERE o.start_date IS NOT NULL), {_SAME},
+      lk AS (SELECT b AS id, list(a ORDER BY ar) AS likes FROM same GROUP BY b),
+      w AS (SELECT course_id, start_date, r, id, [id] AS leaders, id AS leader FROM ev WHERE r = 1
+        UNION ALL SELECT e.course_id, e.start_date, e.r, e.id, CASE WHEN len(list_filter(w.leaders, lambda l: list_contains(coalesce(lk.likes, []), l))) = 0 THEN list_append(w.leaders, e.id) ELSE w.leaders END, coalesce(list_filter(w.leaders, lambda l: list_contains(coalesce(lk.likes, []), l))[1], e.id)
+          FROM w JOIN ev e ON e.course_id = w.course_id AND e.start_date = w.start_date AND e.r = w.r + 1 LEFT JOIN lk ON lk.id = e.id)
+      SELECT id AS event_id, leader FROM w""",
+    ("outings", "organizers"),
+)
 def event_clusters(d: Directory) -> DataFrame:
     return K.cluster_events(_for_clusters(d))
 
 
-@plans.query("claim_existing")
+_MONTH = "(CAST(substr({0}, 1, 4) AS INT) * 12 + CAST(substr({0}, 6, 2) AS INT))"
+
+
+@plans.query(
+    "claim_existing",
+    f""", e AS (SELECT id AS event_id, course_id, organizer_id, coalesce(start_date, expected_month || '-15') AS day FROM outings WHERE id % 2 = 0),
+      op AS (SELECT e.event_id, e.course_id, o.id AS outing_id, CASE WHEN o.status <> 'expected' THEN 0 ELSE abs({_MONTH.format("e.day")} - {_MONTH.format("o.expected_month")}) + 1 END AS gap FROM e JOIN outings o ON o.course_id = e.course_id AND o.organizer_id IS NOT DISTINCT FROM e.organizer_id
+        AND CASE WHEN o.status <> 'expected' THEN o.start_date = e.day ELSE abs({_MONTH.format("e.day")} - {_MONTH.format("o.expected_month")}) <= 1 END),
+      ev AS (SELECT event_id, course_id, options, row_number() OVER (PARTITION BY course_id ORDER BY event_id) AS r FROM (SELECT event_id, course_id, list(outing_id ORDER BY gap, outing_id) AS options FROM op GROUP BY 1, 2)),
+      w AS (SELECT course_id, r, event_id, options[1] AS outing_id, [options[1]] AS taken FROM ev WHERE r = 1
+        UNION ALL SELECT ev.course_id, ev.r, ev.event_id, list_filter(ev.options, lambda o: NOT list_contains(w.taken, o))[1], list_append(w.taken, list_filter(ev.options, lambda o: NOT list_contains(w.taken, o))[1]) FROM w JOIN ev ON ev.course_id = w.course_id AND ev.r = w.r + 1)
+      SELECT event_id, outing_id FROM w WHERE outing_id IS NOT NULL""",
+    ("outings",),
+)
 def claim_existing(d: Directory) -> DataFrame:
-    o = d.outings.select("id", (F.col("course_id") % 50).alias("course_id"), (F.col("organizer_id") % 2).alias("organizer_id"), "start_date", "expected_month", "status")
-    events = o.where("id % 2 = 0 and start_date is not null").select(F.col("id").alias("event_id"), "course_id", "organizer_id", "start_date", F.col("id").alias("ord"))
-    return K.claim_existing(events, o.where("id % 2 = 1 or status = 'expected'"))
+    day = F.coalesce("start_date", F.concat("expected_month", F.lit("-15")))
+    events = d.outings.where("id % 2 = 0").select(F.col("id").alias("event_id"), "course_id", "organizer_id", day.alias("start_date"), F.col("id").alias("ord"))
+    return K.claim_existing(events, d.outings)
 
 
 _DIST = "2 * 6371.0088 * asin(least(1.0, sqrt(power(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * power(sin(radians(c.lng - p.lng) / 2), 2))))"
