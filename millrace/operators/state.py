@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from .kept import keep
+
+#: A slug with a number that a collision may have given it: 2 or more, without leading zeros.
+NUMBERED = r"^(.+)-([2-9]|[1-9][0-9]{1,8})$"
 
 #: Least confidence of a published event; misses after which a source counts as gone; days that pages and holds are left alone; tries of a queued page.
 PUBLISH_CONFIDENCE, GONE_MISSES, RECENT_DAYS, HOLD_DAYS, TRIES = 0.75, 2, 7, 30, 3
@@ -95,6 +99,81 @@ def roll_forward(outings: DataFrame, today: str) -> DataFrame:
     return fresh.select(F.col("id").alias("previous_id"), "course_id", "organizer_id", F.lit("expected").alias("status"), F.col("month").alias("expected_month"), F.replace("title", year, following).alias("title"), F.concat(following, F.substring("slug", 5, 1000)).alias("slug"))
 
 
+def alternates(outings: DataFrame, sources: DataFrame, links: DataFrame) -> DataFrame:
+    """``id``, ``canonical_source_url``, ``source_gone`` of outings whose source is gone or came back. sources: id, url, misses, http_status; links: source_id, outing_id.
+
+    A canonical source is gone after GONE_MISSES misses in a row. Then the first other linked source that is alive (no misses, a status below 400), by url, takes its place; without one the
+    outing's source is marked as gone. The mark goes when the canonical source is alive again.
+    """
+    alive = (F.col("misses") == 0) & F.coalesce(F.col("http_status") < 400, F.lit(False))
+    state = sources.select("id", "url", "misses", alive.alias("alive"))
+    own = state.select(F.col("url").alias("canonical_source_url"), "misses", "alive")
+    other = links.join(state.where("alive").select(F.col("id").alias("source_id"), "url"), "source_id").join(outings.select(F.col("id").alias("outing_id"), "canonical_source_url"), "outing_id")
+    next_ = other.where("url <> canonical_source_url").groupBy("outing_id").agg(F.min("url").alias("next"))
+    joined = outings.select("id", "canonical_source_url", F.col("source_gone").alias("was")).join(own, "canonical_source_url", "left").join(next_, F.col("id") == F.col("outing_id"), "left")
+    gone = F.coalesce(F.col("misses") >= GONE_MISSES, F.lit(False))
+    url = F.when(gone, F.coalesce("next", "canonical_source_url")).otherwise(F.col("canonical_source_url"))
+    mark = F.when(gone, F.when(F.col("next").isNotNull(), 0).otherwise(1)).when(F.col("alive"), 0).otherwise(F.col("was"))
+    out = joined.select("id", F.col("canonical_source_url").alias("old"), "was", url.alias("canonical_source_url"), mark.alias("source_gone"))
+    return out.where((F.col("old") != F.col("canonical_source_url")) | (F.col("was") != F.col("source_gone"))).select("id", "canonical_source_url", "source_gone")
+
+
+def expected_misses(outings: DataFrame, now: Column, zone: Column) -> DataFrame:
+    """``id``, ``expected_month``, ``expected_misses``, ``published``, ``hold_reason`` of expected outings that nothing confirmed until a month after their month: at first they move on a year, the second time they are taken down as stale. ``zone``: a column of ``outings``."""
+    month = F.substring(D.local_today(now, zone), 1, 7)
+    due = outings.where((F.col("status") == "expected") & F.col("expected_month").isNotNull() & ~F.coalesce(F.col("hold_reason") == "expected_stale", F.lit(False)) & (month > D.add_months(F.col("expected_month"), 1)))
+    again = F.col("expected_misses") > 0
+    return due.select(
+        "id", F.when(again, F.col("expected_month")).otherwise(D.add_months(F.col("expected_month"), 12)).alias("expected_month"), F.when(again, 2).otherwise(1).alias("expected_misses"),
+        F.when(again, 0).otherwise(F.col("published")).alias("published"), F.when(again, "expected_stale").otherwise(F.col("hold_reason")).alias("hold_reason"),
+    )
+
+
+def recheck(outings: DataFrame, sources: DataFrame, links: DataFrame, now: Column, zone: Column) -> DataFrame:
+    """The changes of a recheck, one row for each outing that changes or comes new: ``id`` (null: a new one), ``op``, ``previous_id`` and the new ``status``, ``canonical_source_url``, ``source_gone``, ``expected_month``, ``expected_misses``, ``published``, ``hold_reason``, ``next_outing_id``, ``slug``, ``title``.
+
+    outings: id, course_id, organizer_id, slug, title, status, start_date, end_date, expected_month, expected_misses, published, hold_reason, source_gone, next_outing_id, canonical_source_url; ``zone`` of each. Dated
+    ones that are over, by the calendar of their zone, become past; past ones with an organizer lead to next year's: to the first outing (by id) of their course and organizer within a month of
+    that month, else to a new expected row, one for each course, organizer and month, whose slug is made free; none where that month is over by a month already.
+    ``alternates`` and ``expected_misses`` change the rest. The new row's number is its predecessor's ``next_outing_id`` once it is stored.
+    """
+    rows = keep(outings.withColumn("_zone", zone))
+    dated = F.col("status").isin("open", "waitlist", "sold_out", "cancelled")
+    over = dated & F.col("start_date").isNotNull() & D.is_past(F.col("start_date"), F.col("end_date"), now, F.col("_zone"))
+    over = F.coalesce(over, F.lit(False))
+    month = D.add_months(F.substring("start_date", 1, 7), 12)
+    ended = keep(rows.where((over | (F.col("status") == "past")) & F.col("next_outing_id").isNull() & F.col("organizer_id").isNotNull() & F.col("start_date").isNotNull()).select("id", "course_id", "organizer_id", "start_date", "slug", "title", "canonical_source_url", "_zone", month.alias("month")))
+    of = F.when(F.col("status") == "expected", F.col("expected_month")).when(dated, F.substring("start_date", 1, 7))
+    # months next to each other are equal keys of one of three copies
+    there = rows.select("course_id", "organizer_id", F.col("id").alias("next_id"), of.alias("held")).where("held is not null").select("course_id", "organizer_id", "next_id", F.explode(F.array(*(D.add_months(F.col("held"), n) for n in (-1, 0, 1)))).alias("month"))
+    met = ended.join(there, ["course_id", "organizer_id", "month"]).where("id <> next_id").groupBy("id").agg(F.min("next_id").alias("next_id"))
+    fresh = ended.join(met, "id", "left_anti").where(~(D.add_months(F.col("month"), 1) < F.substring(D.local_today(now, F.col("_zone")), 1, 7)))
+    rank = F.row_number().over(Window.partitionBy("course_id", "organizer_id", "month").orderBy("id"))
+    fresh = fresh.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    year = F.substring("start_date", 1, 4)
+    following = (year.cast("int") + 1).cast("string")
+    rest = F.when(F.col("slug").contains("/"), F.expr("substring(slug, position('/' in slug) + 1)")).otherwise(F.col("slug"))
+    fresh = fresh.select("id", "course_id", "organizer_id", "month", F.concat(following, F.lit("/"), rest).alias("base"), F.regexp_replace("title", F.concat(F.lit(r"\b"), year, F.lit(r"\b")), following).alias("title"), "canonical_source_url")
+    new = free_slugs(fresh, rows.select("slug"), order="id")
+
+    changed = rows.select("id", "status", "canonical_source_url", "source_gone", "expected_month", "expected_misses", "published", "hold_reason", "next_outing_id", over.alias("_over"))
+    for part, name in ((alternates(rows, sources, links), "a"), (expected_misses(rows, now, F.col("_zone")), "m")):
+        changed = changed.join(part.select(F.col("id"), F.struct(*[c for c in part.columns if c != "id"]).alias(name)), "id", "left")
+    changed = changed.join(met.select("id", "next_id"), "id", "left")
+    pick = lambda part, c: F.when(F.col(part).isNotNull(), F.col(part)[c]).otherwise(F.col(c)).alias(c)
+    updates = changed.where("_over or a is not null or m is not null or next_id is not null").select(
+        "id", F.lit("update").alias("op"), F.lit(None).cast("long").alias("previous_id"), F.when(F.col("_over"), "past").otherwise(F.col("status")).alias("status"),
+        *(pick("a", c) for c in ("canonical_source_url", "source_gone")), *(pick("m", c) for c in ("expected_month", "expected_misses", "published", "hold_reason")),
+        F.coalesce("next_id", "next_outing_id").alias("next_outing_id"), F.lit(None).cast("string").alias("slug"), F.lit(None).cast("string").alias("title"),
+    )
+    promoted = new.join(updates.select("id", F.col("canonical_source_url").alias("promoted")), "id", "left")
+    inserts = promoted.select(
+        F.lit(None).cast("long").alias("id"), F.lit("insert").alias("op"), F.col("id").alias("previous_id"), F.lit("expected").alias("status"), F.coalesce("promoted", "canonical_source_url").alias("canonical_source_url"),
+        F.lit(0).alias("source_gone"), F.col("month").alias("expected_month"), F.lit(0).alias("expected_misses"), F.lit(0).alias("published"), F.lit(None).cast("string").alias("hold_reason"), F.lit(None).cast("long").alias("next_outing_id"), "slug", "title",
+    )
+    return updates.unionByName(inserts)
+
+
 def source_misses(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     """Misses of each source after a run and whether it is gone: 404 and 410 count, anything else that came through starts anew."""
     joined = sources.join(fetched.select("id", F.col("outcome")), "id", "left")
@@ -102,21 +181,40 @@ def source_misses(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     return joined.withColumn("misses", misses).withColumn("gone", F.col("misses") >= GONE_MISSES)
 
 
+def _numbers(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """``rows`` (base, ord) with ``n``: the place-th number from 1 that is not among the ``used`` (base, n; distinct) of its base."""
+    upto = Window.partitionBy("base").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a used number moves on all places from the number of free ones below it on
+    moved = used.withColumn("place", F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n")) + 1).select("base", "place", F.lit(1).alias("moves"), F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"))
+    placed = rows.withColumn("place", F.row_number().over(upto.orderBy("ord"))).select("base", "place", F.lit(0).alias("moves"), "ord")
+    passed = F.sum("moves").over(Window.partitionBy("base").orderBy("place", F.col("moves").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return moved.unionByName(placed).withColumn("n", F.col("place") + passed).where("moves = 0").select("base", "ord", "n")
+
+
 def free_slugs(wanted: DataFrame, taken: DataFrame, base: str = "base", order: str = "ord") -> DataFrame:
-    """``slug`` of each wanted base: itself, or with the first free -2, -3, ... ``taken``: slug.
+    """``wanted`` with ``slug``: the first of base, base-2, base-3, ... that is neither ``taken`` (slug) nor given to an earlier row; ``order`` tells rows apart.
 
-    Rows of one base take numbers in order, past those that are taken. Numbers that another base spells are taken too,
-    which one more round after this finds; bases here are slugs without such an ending.
+    Rows of one base take its free numbers in order. Where a base spells another's number ("a-2"), both may come to one slug: the earlier row has it, and the other base passes it
+    from then on, until no slug is given twice. Earlier rows are never moved by later ones, so this ends where taking turns ends. Each round numbers only bases that met, and is kept.
     """
-    number = F.regexp_extract("slug", r"^(.*)-([0-9]+)$", 2)
-    held = taken.select(F.when(number != "", F.regexp_extract("slug", r"^(.*)-([0-9]+)$", 1)).otherwise(F.col("slug")).alias(base), F.when(number != "", number.try_cast("int")).otherwise(1).alias("n"))
-    own = taken.select(F.col("slug").alias(base), F.lit(1).alias("n"))
-    used = held.unionByName(own).where("n >= 1").groupBy(base).agg(F.array_sort(F.collect_set("n")).alias("used"))
-    place = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    ranked = wanted.withColumn("place", place).join(used, base, "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    # the place-th number that is not used: each used number at or below it moves it on by one
-    n = F.aggregate("used", F.col("place"), lambda at, u: F.when(u <= at, at + 1).otherwise(at))
-    return ranked.withColumn("slug", F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), n.cast("string")))).drop("place", "used")
+    rows = keep(wanted.select(F.col(base).alias("base"), F.col(order).alias("ord")))
+    parts = lambda slug: (F.regexp_extract(slug, NUMBERED, 1), F.regexp_extract(slug, NUMBERED, 2).try_cast("int"))
+    stem, number = parts(F.col("slug"))
+    held = taken.select("slug").distinct()
+    used = held.select(F.col("slug").alias("base"), F.lit(1).alias("n")).unionByName(held.where(stem != "").select(stem.alias("base"), number.alias("n")).where("n is not null"))
+    used = keep(used.join(rows.select("base").distinct(), "base", "left_semi"))
+    slug = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
+    given = keep(_numbers(rows, used).withColumn("slug", slug))
+    while True:
+        first = given.groupBy("slug").agg(F.min("ord").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+        lost = keep(given.join(first, "slug").where(F.col("ord") != F.col("first")).select("base", "n").distinct())
+        if lost.isEmpty():
+            break
+        used = keep(used.unionByName(lost))
+        met = lost.select("base").distinct()
+        again = _numbers(rows.join(met, "base", "left_semi"), used.join(met, "base", "left_semi")).withColumn("slug", slug)
+        given = keep(given.join(met, "base", "left_anti").unionByName(again))
+    return wanted.join(given.select(F.col("ord").alias(order), "slug"), order)
 
 
 def queue_bookkeeping(queue: DataFrame, results: DataFrame) -> DataFrame:

@@ -351,13 +351,57 @@ def source_misses(d: Directory) -> DataFrame:
     return S.source_misses(d.sources, fetched).select("id", "misses", "gone")
 
 
-@plans.query("free_slugs")
+#: Slugs by taking turns, family by family (slugs that agree but for numbers at their ends), among tables ``wanted`` (ord, base) and ``taken`` (slug).
+_STEM = "regexp_replace({0}, '(-[0-9]+)+$', '')"
+_TURNS = f"""f AS (SELECT *, {_STEM.format("base")} AS family, row_number() OVER (PARTITION BY {_STEM.format("base")} ORDER BY ord) AS r FROM wanted),
+  h AS (SELECT {_STEM.format("slug")} AS family, list(DISTINCT slug) AS slugs FROM taken GROUP BY 1),
+  turns AS (SELECT f.family, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS slug, coalesce(h.slugs, CAST([] AS VARCHAR[])) AS gone FROM f LEFT JOIN h ON h.family = f.family WHERE f.r = 1
+    UNION ALL SELECT family, r, ord, slug, list_append(gone, slug) FROM (SELECT f.family, f.r, CAST(f.ord AS BIGINT) AS ord, t.gone, list_filter(list_prepend(f.base, list_transform(range(2, len(t.gone) + 3), lambda n: f.base || '-' || CAST(n AS VARCHAR))), lambda s: NOT list_contains(t.gone, s))[1] AS slug FROM turns t JOIN f ON f.family = t.family AND f.r = t.r + 1))"""
+
+
+@plans.query(
+    "free_slugs",
+    f"""WITH RECURSIVE wanted AS (SELECT p_partkey AS ord, replace(lower(p_name), ' ', '-') || CASE p_partkey % 11 WHEN 0 THEN '-2' WHEN 1 THEN '-3-2' ELSE '' END AS base FROM part),
+      taken AS (SELECT replace(lower(p_name), ' ', '-') || CASE p_partkey % 10 WHEN 0 THEN '' ELSE '-3' END AS slug FROM part WHERE p_partkey % 5 = 0), {_TURNS}
+      SELECT ord, slug FROM turns WHERE r > 0""",
+)
 def free_slugs(d: Directory) -> DataFrame:
-    wanted = d.base("part").select(T.kebab(F.col("p_name")).alias("base"), F.col("p_partkey").alias("ord"))
+    """Bases that end as another base's numbers do come to its slugs."""
+    ending = F.when(F.col("p_partkey") % 11 == 0, "-2").when(F.col("p_partkey") % 11 == 1, "-3-2").otherwise("")
+    wanted = d.base("part").select(F.concat(T.kebab(F.col("p_name")), ending).alias("base"), F.col("p_partkey").alias("ord"))
     taken = d.base("part").where("p_partkey % 5 = 0").select(F.concat(T.kebab(F.col("p_name")), F.when(F.col("p_partkey") % 10 == 0, "").otherwise("-3")).alias("slug")).distinct()
     return S.free_slugs(wanted, taken).select("ord", "slug")
 
 
+_LATER = "strftime(CAST({0} || '-01' AS DATE) + INTERVAL {1} MONTH, '%Y-%m')"
+#: Outings whose slugs are shared by many but for their numbers, and that were missed once already or not.
+_CHECKED = "SELECT o.*, o.id % 2 AS expected_misses, substr(coalesce(o.start_date, o.expected_month), 1, 4) || '/event-' || CAST(o.id % 40 AS {text}) || CASE WHEN o.id % 7 = 0 THEN '-2' ELSE '' END AS shared_slug, c.time_zone FROM {outings} o JOIN {courses} c ON o.course_id = c.id"
+
+
+@plans.query(
+    "recheck_changes",
+    f""", o AS ({_CHECKED.format(text="VARCHAR", outings="outings", courses="courses")}),
+      alive AS (SELECT id, url FROM sources WHERE misses = 0 AND http_status < 400),
+      alt AS (SELECT l.outing_id, min(a.url) AS next FROM source_outings l JOIN alive a ON a.id = l.source_id JOIN o ON o.id = l.outing_id AND a.url <> o.canonical_source_url GROUP BY 1),
+      j AS (SELECT o.*, strftime(timezone(o.time_zone, timezone('UTC', TIMESTAMP '{NOW}')), '%Y-%m-%d') AS today, s.misses >= 2 AS gone, s.misses = 0 AND s.http_status < 400 AS up, alt.next FROM o LEFT JOIN sources s ON s.url = o.canonical_source_url LEFT JOIN alt ON alt.outing_id = o.id),
+      k AS (SELECT *, status IN ('open', 'waitlist', 'sold_out', 'cancelled') AS dated, CASE WHEN gone THEN coalesce(next, canonical_source_url) ELSE canonical_source_url END AS url, CASE WHEN gone THEN CASE WHEN next IS NULL THEN 1 ELSE 0 END WHEN up THEN 0 ELSE source_gone END AS mark FROM j),
+      l AS (SELECT *, coalesce(dated AND coalesce(end_date, start_date) < today, FALSE) AS over, coalesce(status = 'expected' AND coalesce(hold_reason, '') <> 'expected_stale' AND substr(today, 1, 7) > {_LATER.format("expected_month", 1)}, FALSE) AS missed FROM k),
+      ended AS (SELECT *, {_LATER.format("substr(start_date, 1, 7)", 12)} AS month FROM l WHERE (over OR status = 'past') AND next_outing_id IS NULL AND organizer_id IS NOT NULL AND start_date IS NOT NULL),
+      held AS (SELECT id, course_id, organizer_id, CASE WHEN status = 'expected' THEN expected_month WHEN dated THEN substr(start_date, 1, 7) END AS month FROM l),
+      met AS (SELECT e.id, min(h.id) AS next_id FROM ended e JOIN held h ON h.course_id = e.course_id AND h.organizer_id = e.organizer_id AND h.id <> e.id AND h.month IS NOT NULL AND abs({_MONTH.format("h.month")} - {_MONTH.format("e.month")}) <= 1 GROUP BY 1),
+      fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY course_id, organizer_id, month ORDER BY id) AS rn FROM ended WHERE id NOT IN (SELECT id FROM met) AND NOT {_LATER.format("month", 1)} < substr(today, 1, 7)) WHERE rn = 1),
+      wanted AS (SELECT id AS ord, CAST(CAST(substr(start_date, 1, 4) AS INT) + 1 AS VARCHAR) || substr(shared_slug, 5) AS base FROM fresh), taken AS (SELECT shared_slug AS slug FROM o), {_TURNS}
+      SELECT l.id, 'update' AS op, NULL AS previous_id, CASE WHEN over THEN 'past' ELSE status END AS status, url AS canonical_source_url, mark AS source_gone, CASE WHEN missed AND expected_misses = 0 THEN {_LATER.format("expected_month", 12)} ELSE expected_month END AS expected_month,
+        CASE WHEN missed THEN expected_misses + 1 ELSE expected_misses END AS expected_misses, CASE WHEN missed AND expected_misses > 0 THEN 0 ELSE published END AS published, CASE WHEN missed AND expected_misses > 0 THEN 'expected_stale' ELSE hold_reason END AS hold_reason, coalesce(met.next_id, next_outing_id) AS next_outing_id, NULL AS slug, NULL AS title
+      FROM l LEFT JOIN met ON met.id = l.id WHERE over OR missed OR met.next_id IS NOT NULL OR url <> canonical_source_url OR mark <> source_gone
+      UNION ALL SELECT NULL, 'insert', f.id, 'expected', url, 0, month, 0, 0, NULL, NULL, t.slug, replace(title, substr(start_date, 1, 4), CAST(CAST(substr(start_date, 1, 4) AS INT) + 1 AS VARCHAR)) FROM fresh f JOIN turns t ON t.ord = f.id""",
+    ("outings", "courses", "sources", "source_outings"),
+)
+def recheck_changes(d: Directory) -> DataFrame:
+    outings = d.spark.sql(_CHECKED.format(text="STRING", outings="{outings}", courses="{courses}"), outings=d.outings, courses=d.courses).drop("slug").withColumnRenamed("shared_slug", "slug")
+    return S.recheck(outings, d.sources, d.source_outings, F.lit(NOW).cast("timestamp"), F.col("time_zone"))
+
+
 @plans.query("queue_bookkeeping", "SELECT id AS url, CASE WHEN http_status % 100 = 1 THEN 'keep' WHEN http_status = 304 OR http_status IN (404, 410, 200) THEN 'done' WHEN misses + 1 >= 3 THEN 'given_up' ELSE 'retry' END AS what FROM sources", ("sources",))
 def queue_bookkeeping(d: Directory) -> DataFrame:
     queue = d.sources.select(F.col("id").alias("url"), F.col("misses").alias("tries"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 from millrace.operators import linkage as K
 from millrace.operators import overlap
+from millrace.operators import state as S
 
 
 def walked(nodes, pairs):
@@ -79,3 +80,17 @@ def test_clusters_and_claims_of_whole_tables_follow_the_walk(spark):
         if expected[r[0]] == r[0]:
             leaders.append(r)
     assert {r.event_id: r.leader for r in K.cluster_events(events).collect()} == expected
+
+
+def test_free_slugs_by_taking_turns(spark):
+    draw = random.Random(5)
+    for seed in range(3):
+        bases = [draw.choice(["a", "b", "a-2", "a-2-2", "a-3", "a-02", "a-1", "b-2", "-2"]) for _ in range(60)]
+        taken = {draw.choice(["a", "a-2", "a-4", "a-02", "a-1", "b-2-2", "a-2-3", "a-9", "c"]) for _ in range(seed * 4)}
+        given, expected = set(taken), {}
+        for i, base in enumerate(bases):
+            expected[i] = next(s for s in [base, *(f"{base}-{n}" for n in range(2, 100))] if s not in given)
+            given.add(expected[i])
+        df = spark.createDataFrame([(b, i, "kept") for i, b in enumerate(bases)], "base string, ord long, other string")
+        held = spark.createDataFrame([(t,) for t in taken], "slug string")
+        assert {r.ord: r.slug for r in S.free_slugs(df, held).collect()} == expected
