@@ -43,9 +43,9 @@ def _pieces(text: str) -> Iterator[str]:
         at = end
 
 
-def faulty(doc_id: object, run: str, every: int) -> str:
-    """The run with the code point gone that the checksum of its document and itself draws, if it draws one."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+def faulty(run: str, start: int, every: int) -> str:
+    """The run with the code point gone that its checksum, carried on from its document's (``start``), draws, if it draws one."""
+    h = zlib.crc32(run.encode(), start)
     if h % every:
         return run
     at = h % len(run)
@@ -69,11 +69,13 @@ def word_counts(df: DataFrame, every: int = 97, least_chars: int = 5, least_n: i
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 for doc_id, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
                     for piece in _pieces(text or ""):
                         for word, n in Counter(RUN.findall(piece.translate(_LOWER))).items():
-                            word = faulty(doc_id, word, every)
-                            if len(word) >= least_chars:
-                                counts[word] += n
+                            if len(word) >= least_chars:  # a fault only shortens
+                                word = faulty(word, start, every)
+                                if len(word) >= least_chars:
+                                    counts[word] += n
                         if len(counts) >= COUNTED:
                             yield given()
         if counts:
