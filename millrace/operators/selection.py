@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import keep
+
 #: Fixed value: the share of a run's fetches that may go to events already known.
 RECHECK_SHARE = 0.4
 
@@ -79,11 +81,11 @@ def capped_prefix(rows: DataFrame, order: list, key: str, most_rows: int, weight
 def numbered(rows: DataFrame, order: list, within: tuple[str, ...] = (), name: str = "place") -> DataFrame:
     """``rows`` with their place (from 0) in the order, within each value of the columns ``within`` (no nulls there).
 
-    Rows are dealt by range and numbered inside their partitions; only one row for each partition is summed up in one task. The dealt rows are cached, as both
-    branches read them; partitions that are lost are dealt alike again, from the same ranges.
+    Rows are dealt by range and numbered inside their partitions; only one row for each partition is summed up in one task. The dealt rows are kept, as both
+    branches read them.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *within, *order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = keep(rows.repartitionByRange(n, *within, *order).withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(*within or [F.lit(1)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*within, "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order)) - 1
