@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.geo import haversine_km
+from ..operators import content as N
 from ..operators import linkage as K
 from ..operators import listing as L
 from ..operators import reports as R
 from ..operators import selection as C
+from ..operators import similar as M
 from ..operators import state as S
+from ..operators import write_plan as W
 from ..sources.directory import NOW, TODAY, Directory
 from .core import Plans
 from .scalars import _TOKENS
@@ -300,6 +303,82 @@ def publish_decision(d: Directory) -> DataFrame:
     return d.outings.join(zones, "course_id").withColumn("v", verdict).select("id", "v.why", "v.publish", "v.hold")
 
 
+#: Rules of listed platforms: one is not allowed, one has listing pages, one is a directory.
+_RULES = [(0, "site7", False, "site7.org", None, False, None), (1, "site8", True, "site8.org", "^/e/[0-9]*8$", False, None), (2, "site9", True, "site9.org", None, True, "/E/[0-9]*59$"), (3, "late", False, "site8.org", None, False, None)]
+
+
+def _verdicts(d: Directory, urls: DataFrame) -> DataFrame:
+    rules = d.spark.createDataFrame(_RULES, "ord int, platform string, allowed boolean, domain string, listing_pattern string, directory boolean, event_pattern string")
+    urls = urls.distinct()
+    return N.platform_verdicts(urls.select(F.col("url").alias("page_id"), "url"), rules).withColumnRenamed("page_id", "url")
+
+
+@plans.query(
+    "publish_plan",
+    f""", base AS (SELECT o.*, CASE WHEN o.id % 31 = 0 THEN 'removed' WHEN o.status = 'expected' AND o.expected_month IS NULL THEN 'no_expected_month' WHEN o.status = 'expected' AND o.organizer_id IS NULL THEN 'no_organizer'
+        WHEN o.status = 'expected' THEN 'expected' WHEN o.status = 'past' THEN 'past' WHEN o.start_date IS NULL THEN 'no_date' WHEN {_PAST} THEN 'past_date' WHEN o.confidence < 0.75 THEN 'low_confidence' ELSE 'dated' END AS why FROM outings o JOIN courses c ON o.course_id = c.id),
+      v AS (SELECT DISTINCT url, domain <> 'site7.org' AS allowed, (domain = 'site8.org' AND id % 10 = 8) OR (domain = 'site9.org' AND id % 100 <> 59) AS listing, domain = 'site9.org' AS directory FROM sources WHERE domain IN ('site7.org', 'site8.org', 'site9.org')),
+      pages AS (SELECT outing_id AS id, url FROM source_outings l JOIN sources s ON s.id = l.source_id UNION ALL SELECT id, canonical_source_url FROM outings),
+      blocked AS (SELECT p.id, min(CASE WHEN NOT coalesce(v.allowed, TRUE) OR coalesce(v.listing, FALSE) THEN 1 ELSE 0 END) AS b FROM pages p LEFT JOIN v ON v.url = p.url GROUP BY 1),
+      j AS (SELECT base.*, CASE why WHEN 'expected' THEN 1 WHEN 'dated' THEN 1 WHEN 'past' THEN published ELSE 0 END AS p0, CASE why WHEN 'removed' THEN 'removed' WHEN 'past' THEN hold_reason WHEN 'no_expected_month' THEN 'no_date' WHEN 'no_date' THEN 'no_date' WHEN 'low_confidence' THEN 'low_confidence' END AS hold, coalesce(v.listing, FALSE) AS listing, coalesce(v.directory, FALSE) AS directory, b FROM base LEFT JOIN v ON v.url = canonical_source_url JOIN blocked ON blocked.id = base.id),
+      k AS (SELECT *, CASE WHEN p0 = 1 THEN CASE WHEN listing THEN 'platform_listing' WHEN b = 1 THEN 'platform_not_allowed' WHEN directory THEN 'directory_page' END END AS veto FROM j),
+      l AS (SELECT *, CASE WHEN veto IS NULL THEN p0 ELSE 0 END AS publish FROM k)
+      SELECT id, publish, hold, coalesce(veto, why) AS why, publish <> published OR hold IS DISTINCT FROM hold_reason AS write, publish = 1 AND (published = 0 OR id % 5 = 0) AND status <> 'past' AS ping FROM l""",
+    ("outings", "courses", "sources", "source_outings"),
+)
+def publish_plan(d: Directory) -> DataFrame:
+    zones = d.courses.select(F.col("id").alias("course_id"), "time_zone")
+    outings = d.outings.join(zones, "course_id")
+    pages = d.source_outings.join(d.sources.select(F.col("id").alias("source_id"), "url"), "source_id").select("outing_id", "url")
+    verdicts = _verdicts(d, d.sources.select("url").union(d.outings.select("canonical_source_url")))
+    return W.publish_plan(outings, pages, verdicts, d.outings.where("id % 31 = 0"), d.outings.where("id % 5 = 0"), F.lit(NOW).cast("timestamp"), F.col("time_zone"))
+
+
+_SIMILAR = f"SELECT DISTINCT array_to_string({_TOKENS.format('name')}, ' ') AS text FROM (SELECT p_name || ' ' || p_type || ' Inc.' AS name FROM part)"
+
+
+@plans.query("similar_names", f"WITH t AS MATERIALIZED ({_SIMILAR}) SELECT a.text AS a, b.text AS b FROM t a JOIN t b ON a.text < b.text AND abs(length(a.text) - length(b.text)) <= 0.1 * greatest(length(a.text), length(b.text)) WHERE 1 - levenshtein(a.text, b.text) / CAST(greatest(length(a.text), length(b.text)) AS DOUBLE) >= 0.92")
+def similar_names(d: Directory) -> DataFrame:
+    text = F.array_join(T.name_tokens(F.concat("p_name", F.lit(" "), "p_type", F.lit(" Inc."))), " ").alias("text")
+    names = d.base("part").select(text).distinct()
+    return M.similar_texts(names.select(F.col("text").alias("a"), "text"), names.select(F.col("text").alias("b"), "text"), 0.92).where("a < b")
+
+
+def _run(d: Directory) -> tuple[DataFrame, W.Tables, DataFrame]:
+    """A run that read the pages of half of the outings again: their events are stored, have moved a day, have another organizer, or are new."""
+    city = F.coalesce(F.regexp_replace("city", "[0-9_]+", ""), F.lit("Elsewhere"))
+    places = d.courses.select(F.col("id").alias("course_id"), F.col("name").alias("course_name"), city.alias("city"))
+    names = d.organizers.select(F.col("id").alias("organizer_id"), F.col("name").alias("_name"))
+    kind = F.element_at(F.array(F.lit("organizer"), F.lit("listing"), F.lit("search")), (F.col("id") % 3 + 1).cast("int"))
+    day = F.coalesce("start_date", F.concat("expected_month", F.lit("-15")))
+    n = lambda k: F.col("id") % k == 0
+    rows = d.outings.where("id % 2 = 0").join(places, "course_id").join(names, "organizer_id", "left")
+    events = rows.select(
+        F.col("id").alias("event_id"), F.col("id").alias("ord"), F.col("id").alias("source_id"), F.col("canonical_source_url").alias("url"), kind.alias("kind"), F.regexp_extract("canonical_source_url", "www[.]([^/]+)/", 1).alias("domain"), n(26).alias("excluded"),
+        F.when(n(18), "low_confidence").alias("hold_reason"), "confidence", F.when(~n(38), F.col("course_id")).alias("course_id"), "course_name", F.when(n(14), F.date_add(day.cast("date"), 1).cast("string")).otherwise(day).alias("start_date"), "end_date",
+        F.when(n(22), F.concat(F.lit("Friends of "), "city")).otherwise(F.col("_name")).alias("organizer"), F.lit(None).cast("string").alias("ein"), "title", "outing_type", "shotgun_time", "format", "single_price_cents", F.when(n(10), "unknown").otherwise(F.lit("open")).alias("status"),
+    )
+    organizers = d.organizers.select("id", "slug", "name", F.lit(None).cast("string").alias("ein"))
+    tables = W.Tables(organizers, d.outings.select("id", "slug", "course_id", "published", *W.FIELDS), d.source_outings, d.sources.select("id", "hold_reason"))
+    return W.unmatched_holds(events), tables, d.sources.where("id % 2 = 0 or id % 3 = 1").select(F.col("id").alias("source_id"))
+
+
+@plans.query("write_plan")
+def write_plan(d: Directory) -> DataFrame:
+    """All changes of the plan, one row each; tests follow its rules event by event."""
+    plan = W.write_plan(*_run(d), lambda url: url.rlike("/e/[0-9]*8$"), lambda url: F.regexp_extract(url, "www[.]([^/]+)/", 1))
+    none = F.lit(None).cast("string")
+    row = lambda df, table, op, key, other, text: df.select(F.lit(table).alias("target"), op.alias("op"), key.cast("long").alias("id"), other.cast("long").alias("other_id"), text.alias("value"))
+    parts = [
+        row(plan.organizers, "organizers", F.lit("insert"), F.col("id"), F.lit(None), F.col("slug")), row(plan.outings, "outings", F.col("op"), F.col("id"), F.col("organizer_id"), F.col("slug")), row(plan.links, "source_outings", F.lit("insert"), F.col("source_id"), F.col("outing_id"), none),
+        row(plan.sources, "sources", F.lit("update"), F.col("id"), F.lit(None), F.col("hold_reason")), row(plan.outcomes, "outcomes", F.col("action"), F.col("event_id"), F.col("outing_id"), F.col("hold_reason")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @plans.query("confidence_scores", "SELECT event_id, (100 - CASE WHEN event_id % 3 = 0 THEN 30 ELSE 0 END - CASE WHEN event_id % 5 = 0 THEN 20 ELSE 0 END - CASE WHEN event_id % 7 = 0 THEN 20 ELSE 0 END - CASE WHEN event_id % 2 = 0 AND event_id % 11 <> 0 THEN 10 ELSE 0 END - CASE WHEN event_id % 13 = 0 THEN 20 ELSE 0 END) / 100.0e0 AS confidence FROM events")
 def confidence_scores(d: Directory) -> DataFrame:
     m = lambda n: F.col("event_id") % n == 0
