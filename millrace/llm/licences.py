@@ -92,6 +92,8 @@ TEMPLATES = {
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     ],
 }
+#: Paragraphs (licence, place in its list) that other licences hold word for word too: a match says nothing where one of those is found as well.
+SHARED = {("Apache-2.0", 2): ["ECL-2.0"], ("BSD-2-Clause", 1): ["BSD-3-Clause", "BSD-4-Clause"], ("BSD-3-Clause", 1): ["BSD-4-Clause"], ("MIT", 2): ["JSON"], ("MIT", 3): ["JSON"]}
 THRESHOLD = 0.75
 
 
@@ -109,7 +111,7 @@ def _template_rows(threshold: float) -> list[dict]:
             n = len(bigrams)
             low, high = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
             shared = max(1, math.ceil(threshold * (n + low) / 2 - 1e-9))
-            rows.append({"licence": name, "number": number, "bigrams": bigrams, "low": low, "high": high, "longest": math.ceil(len(words) * (2 - threshold) / threshold), "probes": sorted(bigrams, key=len, reverse=True)[: n - shared + 1]})
+            rows.append({"licence": name, "number": number, "yields": SHARED.get((name, number), []), "bigrams": bigrams, "low": low, "high": high, "longest": math.ceil(len(words) * (2 - threshold) / threshold), "probes": sorted(bigrams, key=len, reverse=True)[: n - shared + 1]})
     return rows
 
 
@@ -186,7 +188,8 @@ def wrapped(text: Column, threshold: float) -> Column:
 def scan_licences(df: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row's licence finding: ``doc_id``, ``licence`` (of the best-matching template; null if none reaches ``threshold``), ``dice`` and ``n_matches`` (passages that reach it; of overlapping runs across line breaks the best).
 
-    The best match has the highest coefficient; ties go to the licence name that sorts first. Null and empty texts have no
+    Of each passage the best match has the highest coefficient, and so has the finding; ties go to the licence name that sorts first. A paragraph that several licences share (``SHARED``)
+    only counts where none of the others is a passage's best match. Null and empty texts have no
     match; null and repeated ids keep a row each; other columns are not read. No shuffle: a row is scanned where it is
     read, and only rows with a probe bigram are cut into passages.
     """
@@ -195,12 +198,12 @@ def scan_licences(df: DataFrame, threshold: float = THRESHOLD, id_column: str =
     apart = r"[^\p{L}\p{N}]+"
     anchor = r"(?<![\p{L}\p{N}])" + _any_of(probes, apart) + r"(?![\p{L}\p{N}])"
     table = F.array(
-        *(F.struct(F.lit(r["licence"]).alias("licence"), F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high"), F.array(*map(F.lit, r["bigrams"])).alias("bigrams")) for r in rows)
+        *(F.struct(F.lit(r["licence"]).alias("licence"), F.array(*map(F.lit, r["yields"])).cast("array<string>").alias("yields"), F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high"), F.array(*map(F.lit, r["bigrams"])).alias("bigrams")) for r in rows)
     )
 
     def against(passage: Column) -> Column:
         fits = F.filter(table, lambda t: (t["low"] <= F.size(passage)) & (F.size(passage) <= t["high"]))
-        scored = F.transform(fits, lambda t: F.struct((2 * F.size(F.array_intersect(t["bigrams"], passage)) / (F.size(t["bigrams"]) + F.size(passage))).alias("dice"), t["licence"].alias("licence")))
+        scored = F.transform(fits, lambda t: F.struct((2 * F.size(F.array_intersect(t["bigrams"], passage)) / (F.size(t["bigrams"]) + F.size(passage))).alias("dice"), t["licence"].alias("licence"), t["yields"].alias("yields")))
         return F.filter(scored, lambda s: s["dice"] >= threshold)
 
     source = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
@@ -210,9 +213,10 @@ def scan_licences(df: DataFrame, threshold: float = THRESHOLD, id_column: str =
     # a one-element array gives an expression a name, so that it is computed once
     words = F.transform(passages, lambda p: F.get(F.transform(F.array(words_of(p)), bigrams_of), F.lit(0)))
     found = F.transform(words, against)
-    best = F.transform(F.filter(found, lambda m: F.size(m) > 0), lambda m: F.array_max(F.transform(m, lambda s: F.struct(s["dice"].alias("dice"), F.translate(s["licence"], _ORDER, _REVERSED).alias("key"), s["licence"].alias("licence")))))
+    best = F.transform(F.filter(found, lambda m: F.size(m) > 0), lambda m: F.array_max(F.transform(m, lambda s: F.struct(s["dice"].alias("dice"), F.translate(s["licence"], _ORDER, _REVERSED).alias("key"), s["licence"].alias("licence"), s["yields"].alias("yields")))))
     matched = source.select("doc_id", best.alias("matches"))
-    top = F.array_max("matches")
+    seen = F.transform("matches", lambda m: m["licence"])
+    top = F.array_max(_let(seen, lambda names: F.filter("matches", lambda m: ~F.arrays_overlap(m["yields"], names))))
     return matched.select("doc_id", top["licence"].alias("licence"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"))
 
 

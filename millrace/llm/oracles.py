@@ -30,11 +30,14 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
 
 def licences() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    templates = ", ".join(f"({quoted(r['licence'])}, [{', '.join(map(quoted, r['bigrams']))}])" for r in _template_rows(THRESHOLD))
-    return rf"""WITH t AS (SELECT * FROM (VALUES {templates}) v(licence, grams)),
+    listed = lambda x: f"CAST([{', '.join(map(quoted, x))}] AS VARCHAR[])"
+    templates = ", ".join(f"({quoted(r['licence'])}, {listed(r['yields'])}, {listed(r['bigrams'])})" for r in _template_rows(THRESHOLD))
+    return rf"""WITH t AS (SELECT * FROM (VALUES {templates}) v(licence, yields, grams)),
   p AS (SELECT DISTINCT doc_id, unnest(list_append(string_split(replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), text)) AS part FROM documents WHERE text IS NOT NULL),
   w AS (SELECT doc_id, part, list_filter(string_split_regex(lower(part), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM p),
   g AS (SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w),
-  m AS (SELECT doc_id, part, licence, 2 * len(list_intersect(g.grams, t.grams)) / CAST(len(g.grams) + len(t.grams) AS DOUBLE) AS dice FROM g JOIN t ON len(g.grams) BETWEEN len(t.grams) * {THRESHOLD / (2 - THRESHOLD)} - 0.000001 AND len(t.grams) * {(2 - THRESHOLD) / THRESHOLD} + 0.000001),
-  b AS (SELECT doc_id, count(DISTINCT part) AS n, max(dice) AS dice FROM m WHERE dice >= {THRESHOLD} GROUP BY doc_id)
-SELECT d.doc_id, (SELECT min(licence) FROM m WHERE m.doc_id = d.doc_id AND m.dice = b.dice) AS licence, coalesce(b.dice, 0) AS dice, coalesce(b.n, 0) AS n_matches FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id"""
+  m AS (SELECT doc_id, part, licence, yields, 2 * len(list_intersect(g.grams, t.grams)) / CAST(len(g.grams) + len(t.grams) AS DOUBLE) AS dice FROM g JOIN t ON len(g.grams) BETWEEN len(t.grams) * {THRESHOLD / (2 - THRESHOLD)} - 0.000001 AND len(t.grams) * {(2 - THRESHOLD) / THRESHOLD} + 0.000001),
+  tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY dice DESC, licence) AS rn FROM m WHERE dice >= {THRESHOLD}) WHERE rn = 1),
+  b AS (SELECT doc_id, count(*) AS n, list(DISTINCT licence) AS names FROM tops GROUP BY doc_id),
+  best AS (SELECT doc_id, licence, dice FROM (SELECT t.doc_id, licence, dice, row_number() OVER (PARTITION BY t.doc_id ORDER BY dice DESC, licence) AS rn FROM tops t JOIN b ON b.doc_id = t.doc_id WHERE NOT list_has_any(yields, names)) WHERE rn = 1)
+SELECT d.doc_id, best.licence, coalesce(best.dice, 0) AS dice, coalesce(b.n, 0) AS n_matches FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id"""

@@ -174,6 +174,23 @@ def test_licences(spark):
     assert licences.scan_licences(df.limit(0)).count() == 0
 
 
+def test_shared_paragraphs_do_not_decide(spark):
+    t = licences.TEMPLATES
+    clauses = "1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce it."
+    texts = {
+        "BSD-2-Clause": f"Copyright 2020 Someone.\n{t['BSD-2-Clause'][1]}\n{clauses}",
+        "BSD-3-Clause": f"Copyright 2020 Someone.\n{t['BSD-2-Clause'][1]}\n{clauses}\n3. {t['BSD-3-Clause'][1]}",
+        "BSD-4-Clause": f"{t['BSD-2-Clause'][1]}\n{clauses}\n{t['BSD-4-Clause'][0]}\n{t['BSD-3-Clause'][1]}",
+        "MIT": f"{t['MIT'][2]}\n{t['MIT'][3]}",
+        "JSON": f"{t['MIT'][2]}\n{t['MIT'][3]}\n{t['JSON'][0]}",
+        "ECL-2.0": f"{t['ECL-2.0'][0]}\n{t['Apache-2.0'][2]}",
+        "Apache-2.0": f"{t['Apache-2.0'][1]}\n{t['Apache-2.0'][2]}",
+        "NCSA": f"{t['NCSA'][0]}\n{clauses}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r.doc_id: r.licence for r in licences.scan_licences(df).collect()} == {name: name for name in texts}
+
+
 @pytest.mark.parametrize("width, mark", [(30, ""), (72, " * "), (80, "# ")])
 def test_wrapped_licences(spark, width, mark):
     """Notices wrapped at some columns, plain or as comments, once or twice within other text."""
