@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,33 @@ def counters(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("name").agg(F.sum("n").alias("n"))
+
+
+#: Fixed value: errors that a run's row keeps.
+STORED_ERRORS = 200
+
+
+def last_errors(errors: DataFrame, most: int = STORED_ERRORS) -> DataFrame:
+    """The last ``most`` errors of each run: id, at, stage, ord (tells a stage's errors apart), kind, message. By time, then stage and place.
+
+    A bounded state that merges: the last of several parts' last ones are those of all rows, in any order of merging, and each task passes on no more than ``most`` of a run.
+    """
+    late = F.row_number().over(Window.partitionBy("id").orderBy(F.col("at").desc(), F.col("stage").desc(), F.col("ord").desc()))
+    return errors.withColumn("_late", late).where(F.col("_late") <= most).drop("_late")
+
+
+def run_accounts(runs: DataFrame, updates: DataFrame, errors: DataFrame, metered: list[str], added: list[str]) -> DataFrame:
+    """Rows of runs after the updates of their stages, which may run side by side: ``id``, ``stages_done`` (in order of their first end), metered and added columns, ``errors`` (JSON, the oldest of the last first).
+
+    runs: id and all these columns, stages_done as an array, errors as rows of ``errors`` (before any update). updates: id, at, stage, done, and the columns: metered ones are what has been spent so far, so the highest counts; added ones
+    add up. A run without updates stays as it is.
+    """
+    ends = updates.where("done").groupBy("id", "stage").agg(F.min("at").alias("at"))
+    stages = ends.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stage"))), lambda x: x["stage"]).alias("_new"))
+    spent = updates.groupBy("id").agg(*(F.max(c).alias(f"_{c}") for c in metered), *(F.sum(c).alias(f"_{c}") for c in added))
+    kept = last_errors(errors).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "stage", "ord", "kind", "message"))).alias("_e"))
+    text = F.to_json(F.transform(F.coalesce("_e", F.array().cast("array<struct<at:timestamp,stage:string,ord:int,kind:string,message:string>>")), lambda e: F.struct(e["stage"].alias("stage"), e["kind"].alias("kind"), e["message"].alias("message"))))
+    joined = runs.join(stages, "id", "left").join(spent, "id", "left").join(kept, "id", "left")
+    before = F.coalesce("stages_done", F.array().cast("array<string>"))
+    done = F.concat(before, F.array_except(F.coalesce("_new", F.array().cast("array<string>")), before))
+    return joined.select("id", done.alias("stages_done"), *(F.coalesce(F.greatest(c, f"_{c}"), F.lit(0)).alias(c) for c in metered), *((F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in added), text.alias("errors"))

@@ -144,3 +144,80 @@ def between_shown(items: DataFrame, page: list[str], order: list) -> DataFrame:
 def top_per_group(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return rows.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def running_sum(rows: DataFrame, order: list, weight: str, name: str = "upto") -> DataFrame:
+    """``rows`` with the sum of ``weight`` up to and with each row, in an order that tells rows apart. Rows are dealt by range and summed inside their partitions; one row for each partition is summed up in one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.sum(weight).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("_in", inside).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+
+
+#: Child sitemaps of a list that are read; links of a source that a run takes; the order of feeds.
+CHILD_SITEMAPS, SOURCE_LINKS = 5, 40
+FEEDS = ("series", "platform", "association", "directory")
+
+
+def feed_links(sources: DataFrame, reads: DataFrame, links: DataFrame, day: int, budget: int, most: int = SOURCE_LINKS) -> DataFrame:
+    """The links that a run takes from its sources, under one budget of pages read: ``source``, ``url``, ``title``, ``place`` (its order among the source's).
+
+    sources: source, feed, ord, allowed, cadence, slug; reads: source, list, child (null: the list itself), the pages that a source would have read; links: source, list, child, ord, url, title. Feeds come in
+    order, sources in theirs. Those that are not allowed or not due tonight are left out. Of a list's children only the first CHILD_SITEMAPS are read. A source whose pages the budget no longer covers ends
+    the run's reading, with all sources after it. Of one URL of a source the first link counts. A series gives its first ``most`` links, others the window that their nights have come to.
+    """
+    feed = F.lit(len(FEEDS))
+    for i, name in enumerate(FEEDS):
+        feed = F.when(F.col("feed") == name, i).otherwise(feed)
+    due = (F.col("feed") == "series") | (F.col("allowed") & due_tonight(F.col("slug"), F.col("cadence"), day))
+    open_ = sources.where(due).select("source", feed.alias("feed"), "ord", "cadence")
+    in_reach = F.col("child").isNull() | (F.col("child") < CHILD_SITEMAPS)
+    pages = reads.where(in_reach).groupBy("source").agg(F.count("*").alias("pages"))
+    costed = running_sum(open_.join(pages, "source", "left").withColumn("pages", F.coalesce("pages", F.lit(0))), ["feed", "ord", "source"], "pages")
+    read = keep(costed.where(F.col("upto") <= budget).select("source", "feed", "cadence"))
+
+    at = F.struct("list", F.coalesce("child", F.lit(-1)).alias("child"), "ord")
+    first = links.where(in_reach).join(read, "source").groupBy("source", "feed", "cadence", "url").agg(F.min(at).alias("at"), F.min_by("title", at).alias("title"))
+    placed = numbered(first.withColumn("_at", F.col("at")), ["_at", "url"], ("source",)).drop("_at")
+    counted = keep(placed).join(first.groupBy("source").agg(F.count("*").alias("n")), "source")
+    run = F.when(F.col("cadence") == "daily", day).otherwise(day // 7)
+    turned = F.pmod(F.col("place") - F.pmod(run * most, F.col("n")), F.col("n"))
+    place = F.when((F.col("feed") == 0) | (F.col("n") <= most), F.col("place")).otherwise(turned)
+    return counted.withColumn("place", place).where(F.col("place") < most).select("source", "url", "title", "place")
+
+
+def search_plan(metros: DataFrame, courses: DataFrame, day: str, cap: int, states: list[str] | None = None, backfill: int | None = None) -> DataFrame:
+    """The search queries of a night, within a cap: ``place`` (from 0), ``kind``, ``q``, ``subject``.
+
+    metros: ord (their order), name, state; courses: id, name, state (those worth a query). ``states`` come first, in their order and whatever the night; then what tonight's turn brings: metros by weekday
+    from April to September, else by day of the month, as courses always. Years are this one, from September the next one too, from December only that.
+    ``backfill`` takes one page (from 1) of metros that fit the cap in place of tonight's. No more than ``cap`` subjects can have a query, so only those are written out and counted in order.
+    """
+    date = pd.Timestamp(day)
+    years = [date.year + 1] if date.month == 12 else [date.year, date.year + 1] if date.month >= 9 else [date.year]
+    number, days, weekly = (date - pd.Timestamp("1970-01-01")).days, date.days_in_month, 4 <= date.month <= 9
+    order = [s.upper() for s in states or []]
+    rank = F.lit(len(order))
+    for i, state in enumerate(order):
+        rank = F.when(F.upper("state") == state, i).otherwise(rank)
+    size = max(1, cap // (2 * len(years) + 1))
+    tonight = F.col("place") % 7 == number % 7 if weekly else F.col("place") % days == date.day - 1
+    city, subject = F.concat_ws(" ", "name", "state"), F.concat_ws(", ", "name", "state")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    queries = [*(say("golf outing ", city, f" {y}") for y in years), *(say("charity golf tournament ", city, f" {y}") for y in years), say("golf scramble ", city, f" {date.month_name()}")]
+    placed = numbered(metros, ["ord"])
+    if backfill is None:
+        placed = placed.withColumn("rank", rank).where((F.col("rank") < len(order)) | tonight)
+    else:
+        placed = placed.where(F.floor(F.col("place") / size) == backfill - 1).withColumn("rank", F.lit(-1))
+    by_place = placed.select("rank", F.lit(0).alias("feed"), "place", F.lit("place").alias("kind"), subject.alias("subject"), F.array(*queries).alias("q"))
+    name = F.replace("name", F.lit('"'))
+    asked = [*(say('"', name, f'" golf outing {y}') for y in years), say('"', name, '" golf classic register')]
+    by_course = numbered(courses, ["id"]).withColumn("rank", rank).where((F.col("rank") < len(order)) | (F.col("place") % days == date.day - 1))
+    by_course = by_course.select("rank", F.lit(1).alias("feed"), "place", F.lit("course").alias("kind"), F.col("id").cast("string").alias("subject"), F.array(*asked).alias("q"))
+    subjects = by_place.unionByName(by_course).orderBy("rank", "feed", "place").limit(cap)
+    first = subjects.select("rank", "feed", F.col("place").alias("subject_place"), "kind", "subject", F.posexplode("q").alias("n", "q")).orderBy("rank", "feed", "subject_place", "n").limit(cap)
+    in_order = Window.orderBy("rank", "feed", "subject_place", "n")
+    return first.withColumn("place", (F.row_number().over(in_order) - 1).cast("long")).select("place", "kind", "q", "subject")

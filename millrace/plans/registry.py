@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reads", "scalars", "flows", "web", "crawl")
+MODULES = ("reads", "scalars", "flows", "web", "crawl", "night")
 
 
 def _plans():

@@ -60,6 +60,63 @@ def date_blocks(d: Directory) -> DataFrame:
     return d.outings.where("end_date is null").withColumn("b", leaf).select("id", "b.top", "b.big")
 
 
+def _sql_without(html: str, *tags: str) -> str:
+    for tag in tags:
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
+    return f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+
+
+def _sql_decoded(text: str) -> str:
+    for entity, character in H.ENTITIES.items():
+        text = f"replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+def _sql_lines(text: str) -> str:
+    return f"regexp_replace(regexp_replace(array_to_string(list_transform(string_split({text}, chr(10)), lambda line: trim(regexp_replace(line, '[ \\t\\x{{00a0}}\\r\\f]+', ' ', 'g'))), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+_BODY = "CASE WHEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1) <> '' THEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1) ELSE html END"
+
+
+def _sql_blocks(html: str) -> str:
+    """``block_text``."""
+    broken = f"regexp_replace({_sql_without(html, *H.UNSEEN)}, '({H.BLOCK_END})', '\\1' || chr(10), 'g')"
+    return _sql_lines(_sql_decoded(f"regexp_replace({broken}, '(?s)<[^>]*>', '', 'g')"))
+
+
+@plans.query("block_texts", f"SELECT page_id, {_sql_blocks('html')} AS text FROM pages")
+def block_texts(d: Directory) -> DataFrame:
+    return d.base("pages").select("page_id", H.block_text(F.col("html")).alias("text"))
+
+
+_PIECES = f"regexp_replace(regexp_replace({_sql_without('body', *H.UNSEEN)}, '(?i)<a\\b[^>]*>', chr(1), 'g'), '(?i)</a\\s*>', chr(2), 'g')"
+_PIECES = f"string_split(regexp_replace(regexp_replace({_PIECES}, '{H.BLOCK_TAG}', chr(3), 'g'), '(?s)<[^>]*>', '', 'g'), chr(3))"
+_COUNT = "len(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''))"
+_BLOCKS = f"""b AS (SELECT page_id, html, {_BODY} AS body FROM pages),
+  p AS (SELECT page_id, unnest({_PIECES}) AS piece, generate_subscripts({_PIECES}, 1) AS k FROM b),
+  w AS (SELECT page_id, k, {_sql_lines(_sql_decoded("regexp_replace(piece, '[' || chr(1) || chr(2) || ']', '', 'g')"))} AS text, {_COUNT.format(_sql_decoded("regexp_replace(piece, '[' || chr(1) || chr(2) || ']', '', 'g')"))} AS words,
+    {_COUNT.format(_sql_decoded("array_to_string(regexp_extract_all(piece, chr(1) || '([^' || chr(1) || chr(2) || ']*)', 1), ' ')"))} AS linked FROM p),
+  n AS (SELECT *, linked / CAST(words AS DOUBLE) AS density FROM w WHERE words > 0),
+  s AS (SELECT *, coalesce(lag(words) OVER q, 0) AS w0, coalesce(lead(words) OVER q, 0) AS w2, coalesce(lag(density) OVER q, 0) AS d0, row_number() OVER q - 1 AS place FROM n WINDOW q AS (PARTITION BY page_id ORDER BY k)),
+  c AS (SELECT *, density <= 0.333333 AND CASE WHEN d0 <= 0.555556 THEN words > 16 OR w2 > 15 OR w0 > 4 ELSE words > 40 OR w2 > 17 END AS content FROM s)"""
+
+
+@plans.query("page_blocks", f"WITH {_BLOCKS} SELECT page_id, place, text, words, linked, content FROM c")
+def page_blocks(d: Directory) -> DataFrame:
+    blocks = d.base("pages").select("page_id", F.posexplode(H.text_blocks(F.col("html"))).alias("place", "b"))
+    return blocks.select("page_id", "place", "b.text", "b.words", "b.linked", "b.content")
+
+
+@plans.query(
+    "dense_texts",
+    f"""WITH {_BLOCKS}, t AS (SELECT page_id, string_agg(text, chr(10) ORDER BY k) FILTER (WHERE content) AS text FROM c GROUP BY 1), r AS (SELECT page_id, {_sql_without("body", *H.ASIDE)} AS bare FROM b), f AS (SELECT page_id, {_sql_blocks("bare")} AS rest FROM r)
+      SELECT f.page_id, substr(CASE WHEN length(coalesce(text, '')) >= 400 AND length(coalesce(text, '')) >= 0.25 * length(rest) THEN text ELSE rest END, 1, 12000) AS text FROM f LEFT JOIN t ON t.page_id = f.page_id""",
+)
+def dense_texts(d: Directory) -> DataFrame:
+    return d.base("pages").select("page_id", H.dense_text(F.col("html")).alias("text"))
+
+
 @plans.query("includes_texts", "SELECT id, CASE WHEN id % 3 = 0 THEN 'Includes lunch and cart.' ELSE '' END AS text FROM outings", ("outings",))
 def includes_texts(d: Directory) -> DataFrame:
     return d.outings.select("id", M.includes(L.string_list(F.col("includes"))).alias("text"))
