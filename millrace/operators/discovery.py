@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from .kept import keep
 
 #: Paths and sites that are no event's, and words that an event's link has.
 NAVIGATION = r"(?i)\/(privacy|terms|legal|login|log-in|signin|sign-in|signup|register-account|account|cart|checkout|contact|about|careers|jobs|news|blog|press|search|donate|shop|faq|help|sitemap|wp-admin|wp-login|feed|tag|category|author)(\/|$|\?)"
@@ -44,23 +45,26 @@ def directory_links(pages: DataFrame, known: DataFrame, blocked: DataFrame, most
     that are not blocked count. It must leave the directory's domain and look like an organizer's.
 
     A page that has its number of links leaves those after them to later pages. So links are claimed in rounds, each by the first page that has not left
-    them, until no page has too many; there are about as many rounds as full pages that stand in a row for the same links.
+    them, until no page has too many; there are about as many rounds as full pages that stand in a row for the same links. Each is kept.
     """
     links = pages.select("page_id", "url", F.posexplode(H.links(F.col("html"))).alias("ord", "link"))
     target = U.normalize(F.when(F.col("link.href").startswith("/"), F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.col("link.href"))).otherwise(F.col("link.href")))
     links = links.select("page_id", "ord", target.alias("target"), F.col("link.text").alias("text"), U.domain(U.host(F.col("url"))).alias("home"))
     links = links.where(F.col("target").isNotNull() & (U.domain(U.host(F.col("target"))) != F.col("home")) & is_organizer_link(F.col("target"), F.col("text")))
     links = links.groupBy("page_id", "target").agg(F.min("ord").alias("ord")).join(known.select(F.col("url").alias("target")).distinct(), "target", "left_anti")
-    links = links.join(blocked.groupBy(F.col("url").alias("target")).agg(F.first("reason").alias("reason")), "target", "left").persist()
+    links = links.join(blocked.groupBy(F.col("url").alias("target")).agg(F.first("reason").alias("reason")), "target", "left")
+    links = keep(links)
     first = Window.partitionBy("target").orderBy("page_id")
     before = F.count(F.when(F.col("reason").isNull(), 1)).over(Window.partitionBy("page_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     while True:
-        owned = links.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank").withColumn("before", before).persist()
+        owned = links.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank").withColumn("before", before)
+        owned = keep(owned)
         full = owned.where(F.col("before") >= most)
         if full.isEmpty():
             return owned.select("page_id", "ord", F.col("target").alias("url"), "reason")
         # a page that is full leaves what comes after; links that it may still get only push these further back
-        links = links.join(full.select("page_id", "target"), ["page_id", "target"], "left_anti").persist()
+        links = links.join(full.select("page_id", "target"), ["page_id", "target"], "left_anti")
+        links = keep(links)
 
 
 def not_removed(outings: DataFrame, ids: DataFrame, urls: DataFrame) -> DataFrame:

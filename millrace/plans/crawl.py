@@ -16,20 +16,34 @@ from ..operators import reports as R
 from ..operators import selection as S
 from ..sources.directory import NOW, TODAY, Directory
 from .core import Plans
+from .scalars import _TEXT
+from .web import _sql_blocks, _sql_decoded
 
 plans = Plans()
 _HOST = "regexp_extract(url, '^https?://([^/?#:]+)', 1)"
 
 
+_HOSTS = f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN {_HOST} WHEN 1 THEN {_HOST} || '.' || suffix WHEN 2 THEN suffix WHEN 3 THEN 'w' || page_id || '.' || place || '.ny.us' ELSE '10.0.' || page_id % 7 || '.' || page_id % 250 END AS host
+  FROM pages JOIN (VALUES {", ".join(f"({i}, '{x}', '{(*U.US_LOCALITIES, 'glendale', 'co')[i % 9]}')" for i, x in enumerate(U.SUFFIXES))}) v(i, suffix, place) ON i = page_id % {len(U.SUFFIXES)}"""
+_listed = lambda texts: ", ".join(f"'{t}'" for t in texts)
+
+
 @plans.query(
     "registrable_domains",
-    f"""WITH h AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'club' || page_id || '.wixsite.com' WHEN 1 THEN 'www.golf' || page_id || '.co.uk' WHEN 2 THEN 'a.b' || page_id || '.k12.ny.us' WHEN 3 THEN 'x.glendale' || page_id || '.ca.us' WHEN 4 THEN '10.0.0.' || page_id % 250 ELSE {_HOST} END AS host FROM pages)
-      SELECT page_id, CASE page_id % 6 WHEN 0 THEN host WHEN 1 THEN substr(host, 5) WHEN 2 THEN substr(host, 3) WHEN 3 THEN substr(host, 3) WHEN 4 THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM h""",
+    f"""WITH h AS ({_HOSTS}), l AS (SELECT *, string_split(host, '.') AS x, len(string_split(host, '.')) AS n FROM h),
+      k AS (SELECT *, CASE WHEN x[n] = 'us' AND x[n - 1] IN ({_listed(U.US_STATES)}) THEN CASE WHEN x[n - 2] IN ({_listed(U.US_LOCALITIES)}) THEN 3 ELSE 2 END WHEN n > 3 AND array_to_string(x[-3:], '.') IN ({_listed(U.SUFFIXES)}) THEN 3 WHEN n > 2 AND array_to_string(x[-2:], '.') IN ({_listed(U.SUFFIXES)}) THEN 2 ELSE 1 END AS suffix FROM l)
+      SELECT page_id, CASE WHEN regexp_matches(host, '^[0-9.]+$') OR n <= suffix THEN host ELSE array_to_string(x[n - suffix:], '.') END AS domain FROM k""",
 )
 def registrable_domains(d: Directory) -> DataFrame:
-    page = F.col("page_id").cast("string")
-    host = F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("club"), page, F.lit(".wixsite.com"))).when(F.col("page_id") % 6 == 1, F.concat(F.lit("www.golf"), page, F.lit(".co.uk"))).when(F.col("page_id") % 6 == 2, F.concat(F.lit("a.b"), page, F.lit(".k12.ny.us")))
-    host = host.when(F.col("page_id") % 6 == 3, F.concat(F.lit("x.glendale"), page, F.lit(".ca.us"))).when(F.col("page_id") % 6 == 4, F.concat(F.lit("10.0.0."), (F.col("page_id") % 250).cast("string"))).otherwise(U.host(F.col("url")))
+    """The hosts of all pages as they are, or below and at each listed suffix and locality."""
+    i, page = F.col("page_id"), F.col("page_id").cast("string")
+    known = F.array(*map(F.lit, U.SUFFIXES))
+    at = (i % len(U.SUFFIXES)).cast("int")
+    suffix = F.get(known, at)
+    place = F.get(F.array(*map(F.lit, (*U.US_LOCALITIES, "glendale", "co"))), at % 9)
+    own = U.host(F.col("url"))
+    host = F.when(i % 5 == 0, own).when(i % 5 == 1, F.concat_ws(".", own, suffix)).when(i % 5 == 2, suffix).when(i % 5 == 3, F.concat(F.lit("w"), page, F.lit("."), place, F.lit(".ny.us")))
+    host = host.otherwise(F.concat(F.lit("10.0."), (i % 7).cast("string"), F.lit("."), (i % 250).cast("string")))
     return d.base("pages").select("page_id", U.domain(host).alias("domain"))
 
 
@@ -72,18 +86,28 @@ def outing_types(d: Directory) -> DataFrame:
     return rows.select("id", charity.alias("charity"), E.outing_type(domain, organizer, hint, subsection, charity, ["access.example"], ["tour.example"]).alias("kind"))
 
 
+_YEARS = "list_transform(regexp_extract_all({0}, '\\b(19[5-9][0-9]|20[0-9][0-9])\\b', 1), lambda y: CAST(y AS INT))"
+
+
 @plans.query(
     "year_checks",
-    """, f AS (SELECT id, start_date, CASE id % 4 WHEN 0 THEN 'Monday, Oct. 9' WHEN 1 THEN 'May 3, 1996' WHEN 2 THEN NULL ELSE 'June 1, 1998' END AS quote, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'posted 1995. next Monday, Oct. 9 we play' WHEN 2 THEN 'played in ' || substr(start_date, 1, 4) ELSE 'no year here' END AS page FROM outings WHERE start_date IS NOT NULL)
-      SELECT id, CASE WHEN id % 4 = 1 THEN 'past: the page states 1996' WHEN page IS NULL THEN NULL WHEN NOT contains(page || ' ' || coalesce(quote, ''), substr(start_date, 1, 4)) THEN 'year ' || substr(start_date, 1, 4) || ' is not stated on the page' WHEN id % 4 = 0 AND id % 5 = 1 THEN 'past: the page is dated 1995' END AS problem FROM f""",
+    f""", f AS (SELECT id, start_date, title, CASE id % 4 WHEN 0 THEN strftime(CAST(start_date AS DATE), '%A, %b %-d') WHEN 1 THEN strftime(CAST(start_date AS DATE), '%b %-d, %Y') WHEN 3 THEN title END AS quote FROM outings WHERE start_date IS NOT NULL),
+      g AS (SELECT *, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'posted ' || substr(updated_at, 1, 4) || '. next ' || coalesce(quote, '') || ' we play' WHEN 2 THEN title || ' in ' || CAST(CAST(substr(start_date, 1, 4) AS INT) + id % 3 - 1 AS VARCHAR) ELSE title || ', ' || coalesce(quote, 'soon') END AS page FROM (SELECT f.*, o.updated_at FROM f JOIN outings o ON o.id = f.id)),
+      y AS (SELECT *, {_YEARS.format("coalesce(quote, '')")} AS quoted, CASE WHEN coalesce(quote, '') <> '' THEN strpos(lower(page), lower(substr(quote, 1, 40))) ELSE 0 END AS place FROM g),
+      z AS (SELECT *, list_filter(quoted, lambda q: q < 1997)[1] AS early, {_YEARS.format("CASE WHEN place > 400 THEN substr(page, place - 400, 400) ELSE substr(page, 1, greatest(place - 1, 0)::BIGINT) END")} AS dated FROM y)
+      SELECT id, CASE WHEN early IS NOT NULL THEN 'past: the page states ' || early WHEN page IS NULL THEN NULL WHEN NOT contains(page || ' https://x.org/a b ' || title || ' ' || coalesce(quote, ''), substr(start_date, 1, 4)) THEN 'year ' || substr(start_date, 1, 4) || ' is not stated on the page'
+        WHEN len(quoted) = 0 AND place > 0 AND dated[-1] < 1997 THEN 'past: the page is dated ' || dated[-1] END AS problem FROM z""",
     ("outings",),
 )
 def year_checks(d: Directory) -> DataFrame:
+    """Quotes and pages made of every dated outing's own columns: its day with and without a year, its title, years near its own."""
     i, start = F.col("id"), F.col("start_date")
-    quote = F.when(i % 4 == 0, "Monday, Oct. 9").when(i % 4 == 1, "May 3, 1996").when(i % 4 == 2, None).otherwise("June 1, 1998")
-    page = F.when(i % 5 == 0, None).when(i % 5 == 1, "posted 1995. next Monday, Oct. 9 we play").when(i % 5 == 2, F.concat(F.lit("played in "), F.substring(start, 1, 4))).otherwise("no year here")
     rows = d.outings.where("start_date is not null")
-    return rows.select("id", E.year_problem(start, quote, page, F.lit("https://x.org/a%20b"), F.lit("Golf Day"), 1998).alias("problem"))
+    day = start.cast("date")
+    quote = F.when(i % 4 == 0, F.date_format(day, "EEEE, MMM d")).when(i % 4 == 1, F.date_format(day, "MMM d, yyyy")).when(i % 4 == 3, F.col("title"))
+    near = (F.substring(start, 1, 4).cast("int") + i % 3 - 1).cast("string")
+    page = F.when(i % 5 == 0, None).when(i % 5 == 1, F.concat(F.lit("posted "), F.substring("updated_at", 1, 4), F.lit(". next "), F.coalesce(quote, F.lit("")), F.lit(" we play"))).when(i % 5 == 2, F.concat("title", F.lit(" in "), near)).otherwise(F.concat("title", F.lit(", "), F.coalesce(quote, F.lit("soon"))))
+    return rows.select("id", E.year_problem(start, quote, page, F.lit("https://x.org/a%20b"), F.col("title"), 1997).alias("problem"))
 
 
 @plans.query(
@@ -106,47 +130,79 @@ def preferred_dates(d: Directory) -> DataFrame:
     return d.outings.select("id", E.preferred_date(start, dates, i % 3 == 0).alias("p")).select("id", "p.*")
 
 
-@plans.query("summary_links", "SELECT page_id, page_id % 4 IN (0, 1, 2) AS links, CASE page_id % 3 WHEN 0 THEN 'a quote' END AS quote, 3 AS n FROM pages")
+_FIRST = "regexp_replace(split_part(text, '.', 1), '^\\s+|\\s+$', '', 'g')"
+
+
+@plans.query("summary_links", f"SELECT doc_id, regexp_matches(text, '{E.LINK}') OR regexp_matches(text, '{E.EMAIL}') AS links, CASE WHEN {_FIRST} <> '' AND len(list_filter(string_split_regex({_FIRST}, '\\s+'), lambda w: w <> '')) <= 20 THEN {_FIRST} END AS quote, len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) AS n FROM documents")
 def summary_links(d: Directory) -> DataFrame:
-    i = F.col("page_id")
-    text = F.when(i % 4 == 0, F.concat(F.lit("see "), F.col("url"))).when(i % 4 == 1, "ask me@club.example now").when(i % 4 == 2, "on club.example/day today").otherwise("as AmateurGolf.com wrote")
-    quote = F.when(i % 3 == 0, "  a quote ").when(i % 3 == 1, F.array_join(F.array_repeat(F.lit("word"), 21), " ")).otherwise(" ")
-    return d.base("pages").select("page_id", E.contains_url(text).alias("links"), E.clean_evidence(quote).alias("quote"), E.word_count(F.lit(" three  short words ")).alias("n"))
+    """All documents: whether they hold a link or an address, their first sentence as a quote, their words."""
+    text = F.col("text")
+    return d.base("documents").select("doc_id", E.contains_url(text).alias("links"), E.clean_evidence(F.substring_index(text, ".", 1)).alias("quote"), E.word_count(text).alias("n"))
+
+
+_PDF = "array_to_string(list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || chr(9)), chr(10)), lambda line: regexp_replace(regexp_replace(line, '[ \\t\\x{00a0}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), chr(10))"
 
 
-@plans.query("pdf_texts", "SELECT page_id, 'Page ' || page_id || chr(10) || chr(10) || 'two words' || chr(10) || 'end' AS text FROM pages")
+@plans.query("pdf_texts", f"SELECT doc_id, substr(regexp_replace(regexp_replace({_PDF}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 1, 12000) AS text FROM documents")
 def pdf_texts(d: Directory) -> DataFrame:
-    raw = F.concat(F.lit("\n Page  "), F.col("page_id").cast("string"), F.lit(" \t\n\n \n\n\n two  words\nend  \n"))
-    return d.base("pages").select("page_id", H.pdf_text(raw).alias("text"))
+    """All documents, their sentences apart as a PDF's paragraphs are."""
+    raw = F.replace("text", F.lit(". "), F.lit(".\n\n\n\t"))
+    return d.base("documents").select("doc_id", H.pdf_text(raw).alias("text"))
 
 
-@plans.query("event_blocks", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN ['{"@type":"GolfEvent","name":"' || page_id || '","offers":{"price":5}}'] WHEN 1 THEN list_transform(range(10), lambda i: '{"@type":["Thing","Event"],"n":' || i || '}') ELSE [] END AS events FROM pages""")
+_NAMES = """regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)"""
+
+
+@plans.query("event_blocks", f"""SELECT page_id, list_prepend('{{"@type":"GolfEvent","name":' || CAST(to_json(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS VARCHAR) || ',"offers":{{"price":5}}}}', list_transform({_NAMES}, lambda t: '{{"@type":["Thing","Event"],"name":' || CAST(to_json(t) AS VARCHAR) || '}}'))[1:10] AS events FROM pages""")
 def event_blocks(d: Directory) -> DataFrame:
-    i = F.col("page_id")
-    one = F.concat(F.lit('{"@graph":[{"@type":"GolfEvent","name":"'), i.cast("string"), F.lit('","image":"x","offers":{"price":5,"logo":1}}]}'))
-    many = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda n: F.concat(F.lit('{"@type":["Thing","Event"],"n":'), n.cast("string"), F.lit("}"))), ","), F.lit("]"))
-    blocks = F.when(i % 3 == 0, F.array(F.lit("no json"), one)).when(i % 3 == 1, F.array(many)).otherwise(F.array(F.lit('{"@type":"Person"}')))
-    return d.base("pages").select("page_id", X.event_blocks(blocks).alias("events"))
+    """Blocks made of every page's title and links, in graphs and lists, among blocks that hold no event."""
+    html = F.col("html")
+    name = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+    names = F.regexp_extract_all(html, F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))
+    quoted = lambda text: F.substring(F.to_json(F.struct(text.alias("v"))), F.lit(6), F.length(F.to_json(F.struct(text.alias("v")))) - 6)
+    one = F.concat(F.lit('{"@graph":[{"@type":"WebSite"},{"@type":"GolfEvent","name":'), quoted(name), F.lit(',"image":"x","offers":{"price":5,"logo":1}}]}'))
+    many = F.concat(F.lit("["), F.array_join(F.transform(names, lambda t: F.concat(F.lit('{"@type":["Thing","Event"],"name":'), quoted(t), F.lit(',"sameAs":["x"]}'))), ","), F.lit("]"))
+    return d.base("pages").select("page_id", X.event_blocks(F.array(F.lit("no json"), one, F.lit('{"@type":"Person"}'), many)).alias("events"))
+
+
+_LINKS = """SELECT page_id, k, coalesce(t, '') AS text, CASE (page_id + k) % 7 WHEN 0 THEN 'https://other.org/golf-day/' || k WHEN 1 THEN 'https://www.facebook.com/golf' WHEN 2 THEN 'https://other.org/login?golf' WHEN 3 THEN 'https://index.org/' WHEN 4 THEN 'https://classic.' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' WHEN 5 THEN 'https://www.index.org/list' ELSE 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' || k END AS link
+  FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), 1) AS k FROM pages)"""
 
 
-@plans.query("link_kinds", "SELECT page_id, page_id % 5 IN (0, 4) AS organizer, page_id % 5 = 0 AS event FROM pages")
+@plans.query(
+    "link_kinds",
+    f"""WITH l AS ({_LINKS}), p AS (SELECT *, regexp_extract(link, '^https?://([^/?#]+)', 1) AS host, CASE WHEN regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1) END AS path FROM l),
+      q AS (SELECT *, regexp_replace(host, '^www[.]', '') AS bare FROM p)
+      SELECT page_id, k, NOT regexp_matches(host, '{V.SOCIAL}') AND NOT regexp_matches(path, '{V.NAVIGATION}') AND regexp_matches(host || ' ' || path || ' ' || text, '{V.ORGANIZER_WORDS}') AS organizer,
+        link <> 'https://www.index.org/list' AND NOT regexp_matches(path, '{V.NAVIGATION}') AND NOT (path = '/' AND bare = 'index.org') AND regexp_matches(CASE WHEN path = '/' THEN bare ELSE path END || ' ' || text, '{V.EVENT_WORDS}') AS event FROM q""",
+)
 def link_kinds(d: Directory) -> DataFrame:
-    i = F.col("page_id")
-    url = F.when(i % 5 == 0, F.concat(F.lit("https://other.org/golf-day/"), i.cast("string"))).when(i % 5 == 1, "https://www.facebook.com/golf").when(i % 5 == 2, "https://other.org/login?golf").when(i % 5 == 3, "https://index.org/").otherwise("https://other.org/x")
-    text = F.when(i % 5 == 4, "Official sign up").when(i % 5 == 3, "").otherwise("more")
-    return d.base("pages").select("page_id", V.is_organizer_link(url, text).alias("organizer"), (V.is_event_link(url, text, F.lit("https://www.index.org/list")) & (i % 5 != 1)).alias("event"))
+    """The links of all pages with their texts, to other places, social sites, navigation and the index itself."""
+    host = F.concat(F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.lit("/"))
+    texts = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))
+    links = d.base("pages").select("page_id", host.alias("host"), F.posexplode(texts).alias("at", "text")).withColumn("k", F.col("at") + 1)
+    n, k = (F.col("page_id") + F.col("k")) % 7, F.col("k").cast("string")
+    url = F.when(n == 0, F.concat(F.lit("https://other.org/golf-day/"), k)).when(n == 1, "https://www.facebook.com/golf").when(n == 2, "https://other.org/login?golf").when(n == 3, "https://index.org/")
+    url = url.when(n == 4, F.concat(F.lit("https://classic."), "host")).when(n == 5, "https://www.index.org/list").otherwise(F.concat(F.lit("https://"), "host", k))
+    return links.select("page_id", "k", V.is_organizer_link(url, F.col("text")).alias("organizer"), V.is_event_link(url, F.col("text"), F.lit("https://www.index.org/list")).alias("event"))
+
+
+_TARGET = f"regexp_replace('https://golf.example.net/' || {_sql_decoded('href')}, '#.*$', '')"
 
 
 @plans.query(
     "directory_links",
-    """SELECT page_id, 'https://org' || (page_id // 2 * 7 + CASE WHEN page_id % 2 = 0 THEN k ELSE k + 5 END) || '.example/golf' AS url FROM pages, (SELECT unnest(range(5)) AS k) WHERE page_id % 2 = 0 OR k < 2""",
+    f"""WITH RECURSIVE h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="/([^"]*)"', 1), 1) AS k FROM pages WHERE NOT regexp_matches({_HOST}, 'example[.]net$')),
+      t AS (SELECT page_id, k, {_TARGET} AS target FROM h), l AS (SELECT page_id, target, min(k) AS k FROM t WHERE target <> 'https://golf.example.net/the' AND NOT regexp_matches(regexp_extract(target, '^https://[^/]*([^?]*)', 1), '{V.NAVIGATION}') GROUP BY 1, 2),
+      p AS (SELECT page_id, list(target ORDER BY k) AS targets, row_number() OVER (ORDER BY page_id) AS r FROM l GROUP BY page_id),
+      w AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS page_id, CAST([] AS VARCHAR[]) AS took, CAST([] AS VARCHAR[]) AS seen
+        UNION ALL SELECT r, page_id, took, list_concat(seen, took) FROM (SELECT p.r, p.page_id, w.seen, list_filter(p.targets, lambda x: NOT list_contains(w.seen, x))[1:5] AS took FROM w JOIN p ON p.r = w.r + 1))
+      SELECT page_id, unnest(took) AS url FROM w WHERE r > 0""",
 )
 def directory_links(d: Directory) -> DataFrame:
-    """Pages in pairs list the same seven organizers: the first takes five, the second the two that are left."""
-    first = F.floor(F.col("page_id") / 2) * 7
-    hrefs = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.concat(F.lit('<a href="https://org'), (first + k).cast("string"), F.lit('.example/golf">go</a>')))
-    pages = d.base("pages").select("page_id", F.lit("https://dir.example.net/list").alias("url"), F.concat(F.lit('<a href="/golf">own</a><a href="https://known.org/golf">k</a>'), F.array_join(hrefs, "")).alias("html"))
-    known = d.spark.createDataFrame([("https://known.org/golf",)], "url string")
+    """All pages as directories of one site's pages: words that many pages link go to the first page that has room for them."""
+    pages = d.base("pages").select("page_id", "url", F.regexp_replace("html", 'href="/', 'href="https://golf.example.net/').alias("html"))
+    known = d.spark.createDataFrame([("https://golf.example.net/the",)], "url string")
     return V.directory_links(pages, known, known.limit(0).withColumn("reason", F.lit("excluded"))).where("reason is null").select("page_id", "url")
 
 
@@ -175,13 +231,13 @@ def discover(d: Directory) -> DataFrame:
     return V.discover(found, ends("/13"), ends("/17"), ends("5")).drop("outing_id")
 
 
-@plans.query("render_fallback", "SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN 'rendered ' || page_id WHEN page_id % 3 = 0 THEN 'short' ELSE repeat('x', 400) END AS text, page_id % 6 = 0 AS was_rendered FROM pages")
+@plans.query("render_fallback", f"SELECT page_id, CASE WHEN page_id % 2 = 0 AND length({_TEXT.format('html')}) < 2000 THEN {_sql_blocks('html')} ELSE {_TEXT.format('html')} END AS text, page_id % 2 = 0 AND length({_TEXT.format('html')}) < 2000 AS was_rendered FROM pages")
 def render_fallback(d: Directory) -> DataFrame:
-    own = F.when(F.col("page_id") % 3 == 0, "short").otherwise(F.repeat(F.lit("x"), F.lit(400)))
-    address = F.concat(F.lit("https://p.org/"), F.col("page_id").cast("string")).alias("url")
-    pages = d.base("pages").select("page_id", address, own.alias("text"))
-    again = d.base("pages").where("page_id % 2 = 0").select(address, F.concat(F.lit("rendered "), F.col("page_id").cast("string")).alias("text"))
-    return V.with_rendered(pages, again).select("page_id", "text", "was_rendered")
+    """All pages' texts; those of half of them that are short give way to the text with lines."""
+    address = F.concat(F.col("url"), F.lit("#"), F.col("page_id").cast("string")).alias("url")
+    pages = d.base("pages").select("page_id", address, H.visible_text(F.col("html")).alias("text"))
+    again = d.base("pages").where("page_id % 2 = 0").select(address, H.block_text(F.col("html")).alias("text"))
+    return V.with_rendered(pages, again, least=2000).select("page_id", "text", "was_rendered")
 
 
 _DIST = "2 * 6371.0088 * asin(least(1.0, sqrt(power(sin(radians(c.lat - f.lat) / 2), 2) + cos(radians(f.lat)) * cos(radians(c.lat)) * power(sin(radians(c.lng - f.lng) / 2), 2))))"

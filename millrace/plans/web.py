@@ -48,16 +48,24 @@ def event_titles(d: Directory) -> DataFrame:
     return rows(d).select("id", title.alias("title"), M.price(F.col("single_price_cents"), F.lit(None).cast("long"), F.lit(False)).alias("price"))
 
 
-@plans.query("when_texts", "SELECT id, CASE WHEN status = 'expected' THEN 'Expected in ' || strftime(CAST(expected_month || '-01' AS DATE), '%B %Y') || ', date not yet announced' ELSE strftime(CAST(start_date AS DATE), '%A, %B %-d, %Y') END AS text FROM outings WHERE end_date IS NULL", ("outings",))
+_RANGE = f"""CASE WHEN year({_A}) = year({_B}) AND month({_A}) = month({_B}) THEN strftime({_A}, '%b %-d') || ' to ' || strftime({_B}, '%-d') || strftime({_A}, ', %Y') WHEN year({_A}) = year({_B}) THEN strftime({_A}, '%b %-d') || ' to ' || strftime({_B}, '%b %-d') || strftime({_A}, ', %Y') ELSE strftime({_A}, '%b %-d, %Y') || ' to ' || strftime({_B}, '%b %-d, %Y') END"""
+
+
+@plans.query("when_texts", f"SELECT id, CASE WHEN status = 'expected' THEN 'Expected in ' || strftime(CAST(expected_month || '-01' AS DATE), '%B %Y') || ', date not yet announced' WHEN end_date IS NOT NULL THEN {_RANGE} ELSE strftime({_A}, '%A, %B %-d, %Y') END AS text FROM outings", ("outings",))
 def when_texts(d: Directory) -> DataFrame:
     text = M.when(F.col("status"), F.col("start_date"), F.col("end_date"), F.col("expected_month"))
-    return d.outings.where("end_date is null").select("id", text.alias("text"))
+    return d.outings.select("id", text.alias("text"))
 
 
-@plans.query("date_blocks", "SELECT id, CASE WHEN status = 'expected' THEN 'Expected' ELSE strftime(CAST(start_date AS DATE), '%a') END AS top, CASE WHEN status = 'expected' THEN strftime(CAST(expected_month || '-01' AS DATE), '%b') ELSE strftime(CAST(start_date AS DATE), '%-d') END AS big FROM outings WHERE end_date IS NULL", ("outings",))
+@plans.query(
+    "date_blocks",
+    f"""SELECT id, CASE WHEN status = 'expected' THEN 'Expected' ELSE strftime({_A}, '%a') END AS top, CASE WHEN status = 'expected' THEN strftime(CAST(expected_month || '-01' AS DATE), '%b') ELSE strftime({_A}, '%-d') || CASE WHEN end_date IS NULL THEN '' ELSE '–' || strftime({_B}, '%-d') END END AS big,
+      CASE WHEN status = 'expected' THEN strftime(CAST(expected_month || '-01' AS DATE), '%Y') ELSE strftime({_A}, '%b') || CASE WHEN month({_A}) <> month({_B}) THEN '–' || strftime({_B}, '%b') ELSE '' END || strftime({_A}, ' %Y') END AS bottom FROM outings""",
+    ("outings",),
+)
 def date_blocks(d: Directory) -> DataFrame:
     leaf = M.date_block(F.col("status"), F.col("start_date"), F.col("end_date"), F.col("expected_month"))
-    return d.outings.where("end_date is null").withColumn("b", leaf).select("id", "b.top", "b.big")
+    return d.outings.withColumn("b", leaf).select("id", "b.top", "b.big", "b.bottom")
 
 
 def _sql_without(html: str, *tags: str) -> str:
