@@ -1,9 +1,12 @@
-"""Operator 8: drop lines that are within one word edit of an earlier line, by a deletion-neighbourhood join.
+"""Operator 8: drop lines that are within one edit of an earlier line, by a deletion-neighbourhood join.
 
 Lines are compared as their lower-cased words. Two lines are one insertion, deletion or replacement of a
 word apart exactly if one is a one-word deletion of the other, or both give the same line when the word at the same
 place is deleted. So each line emits itself and its deletions as hashed keys, and equal keys
 meet; a group of any size needs only its earliest line, never its pairs.
+
+An edit may be an eighth of a line at most: a word of lines of eight words or more, a character of shorter ones of eight characters or more. Digits are never edited, as
+"Chapter 2" is no copy of "Chapter 3".
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHasher, by_bytes, keep, mix, partitions, small_batches, utf8
 
-#: The usual ``least_words``: at 8, one edit is at most an eighth of a line. Short lines ("Chapter 3", "Read more") mean something else with each word.
-LEAST_WORDS = 8
+#: Words or, of lines of no more words, characters of a line that may have an edit.
+LEAST_WORDS = LEAST_CHARS = 8
 _SECOND = U64(0xE7037ED1A0B428DB)
 #: Stands for a null id: the smallest there is.
 _NO_ID = -(1 << 63)
@@ -73,12 +76,30 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _lines_with_keys(least_words: int):
-    """Each line that has words: position, hash, words, and the hashes of its halves.
+#: Tells keys of characters from keys of words.
+_CHARS = U64(0xC2B2AE3D27D4EB4F)
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts end to end, and where each text starts (one more for the end)."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return codes, np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+
 
-    One edit leaves the first or the last c words alone, with c half the length of the shorter line; so
-    lines that share none of these hashes with another line have no neighbour.
+def _halves(sequences: Sequences, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes of the first and the last c parts of each line, for c half of the line and half of one with one part less.
+
+    One edit leaves the first or the last c parts alone, with c half the length of the shorter line; so lines that share none of these with another line have no neighbour.
     """
+    n, keys = end - first, []
+    for c in (n // 2, (n - 1) // 2):
+        for side, (s, e) in enumerate(((first, first + c), (end - c, end))):
+            keys.append(mix(sequences.runs(s, e)[0] + U64(side)))
+    return np.stack(keys, 1)
+
+
+def _lines_with_keys(least_words: int):
+    """Each line that has words: position, hash, words, and the hashes of its halves, by words or characters as it may be edited."""
     return lambda batches: _keyed(batches, least_words)
 
 
@@ -95,22 +116,34 @@ def _keyed(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.R
             end, line = np.r_[first[1:], len(words)], line[first]
             sequences = Sequences(hasher, words)
             a, b = sequences.runs(first, end)
-            n, keys = end - first, []
-            for c in (n // 2, (n - 1) // 2):
-                for side, (s, e) in enumerate(((first, first + c), (end - c, end))):
-                    keys.append(mix(sequences.runs(s, e)[0] + U64(side)))
-            flat = np.stack(keys, 1)
-            flat = flat[n >= least_words].reshape(-1)
-            sizes = np.where(n >= least_words, 4, 0)
-            halves = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), _signed(flat))
+            n = end - first
+            by_words = np.flatnonzero(n >= least_words)
+            owners, keys = [by_words], [_halves(sequences, first[by_words], end[by_words])]
+            few = np.flatnonzero(n <= least_words)
+            texts = [_plain(data[starts[i] : starts[i + 1]].tobytes().decode()) for i in line[few]]
+            long = [i for i, t in enumerate(texts) if len(t) >= LEAST_CHARS]
+            if long:
+                codes, at = _characters([texts[i] for i in long])
+                owners.append(few[long])
+                keys.append(_halves(Sequences(hasher, mix(codes.astype(U64) + _CHARS)), at[:-1], at[1:]))
+            owner, flat = np.repeat(np.concatenate(owners), 4), np.concatenate(keys).reshape(-1)
+            order = np.argsort(owner, kind="stable")
+            halves = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(len(line) + 1)), pa.int32()), _signed(flat[order]))
             row = pa.array(rows[line])
             yield pa.RecordBatch.from_arrays([part.column("doc").take(row), part.column("text_hash").take(row), pa.array(numbers[line], pa.int32()), _signed(a), _signed(b), halves], [*POSITION, "a", "b", "halves"])
 
 
-def _neighbourhoods(n_reducers: int):
-    """Each line's own key (word -1), and its key without each of its words, packed for reducers.
+def _deletions(sequences: Sequences, first: np.ndarray, end: np.ndarray, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines (place -1) and of lines (``of``) without their part at ``at``: key, place and line of each."""
+    key = np.concatenate([sequences.runs(first, end)[0], sequences.without(first[of], end[of], at)[0]])
+    place = np.concatenate([np.full(len(first), -1, np.int32), (at - first[of]).astype(np.int32)])
+    return key, place, np.concatenate([np.arange(len(first)), of])
+
 
-    Of members that agree in key and word, all but the earliest of a batch already have their earlier line (reducer -1: its position);
+def _neighbourhoods(n_reducers: int, least_words: int):
+    """Each line's own key (place -1), and its key without each of its words, or characters, packed for reducers.
+
+    Of members that agree in key and place, all but the earliest of a batch already have their earlier line (reducer -1: its position);
     only the earliest goes on, so that a key with any number of lines sends one entry a batch.
     """
 
@@ -124,16 +157,25 @@ def _neighbourhoods(n_reducers: int):
                 position = np.rec.fromarrays([part.column(c).to_numpy(zero_copy_only=False) for c in POSITION], dtype=_POSITION)
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 end, line = np.r_[first[1:], len(words)], line[first]
-                sequences = Sequences(hasher, words)
-                of, at = np.repeat(np.arange(len(first)), end - first), np.arange(len(words))
-                key = np.concatenate([sequences.runs(first, end)[0], sequences.without(first[of], end[of], at)[0]])
-                word = np.concatenate([np.full(len(first), -1, np.int32), (at - first[of]).astype(np.int32)])
-                row = np.concatenate([line, line[of]])
+                n = end - first
+                many = np.flatnonzero(n >= least_words)
+                of = np.repeat(np.arange(len(many)), n[many])
+                at = np.concatenate([np.arange(a, b) for a, b in zip(first[many], end[many], strict=True)]) if len(many) else np.zeros(0, np.int64)
+                key, word, of = _deletions(Sequences(hasher, words), first[many], end[many], at, of)
+                row = line[many][of]
+                few = line[n <= least_words]
+                texts = [_plain(t) for t in part.column("text").take(pa.array(few)).to_pylist()]
+                long = [i for i, t in enumerate(texts) if len(t) >= LEAST_CHARS]
+                if long:
+                    codes, starts = _characters([texts[i] for i in long])
+                    letters = np.flatnonzero((codes < 48) | (codes > 57))
+                    more = _deletions(Sequences(hasher, mix(codes.astype(U64) + _CHARS)), starts[:-1], starts[1:], letters, np.searchsorted(starts, letters, "right") - 1)
+                    key, word, row = np.concatenate([key, mix(more[0] + _CHARS)]), np.concatenate([word, more[1]]), np.concatenate([row, few[long][more[2]]])
                 rank = np.empty(part.num_rows, np.int64)
                 rank[np.argsort(position, order=POSITION, kind="stable")] = np.arange(part.num_rows)
                 order = np.lexsort((rank[row], word, key))
                 key, word, row = key[order], word[order], row[order]
-                head = np.r_[True, (key[1:] != key[:-1]) | (word[1:] != word[:-1])]
+                head = np.r_[True, (key[1:] != key[:-1]) | (word[1:] != word[:-1])][: len(key)]
                 of_head = np.flatnonzero(head)[np.cumsum(head) - 1]
                 late = ~head & (row != row[of_head])
                 out = [(-1, position[row[late]].tobytes(), position[row[of_head][late]].tobytes(), b"")] if late.any() else []
@@ -145,6 +187,8 @@ def _neighbourhoods(n_reducers: int):
                 for r in np.flatnonzero(np.diff(ends)):
                     here = slice(ends[r], ends[r + 1])
                     out.append((int(r), position[row[here]].tobytes(), key[here].tobytes(), word[here].tobytes()))
+                if not out:
+                    continue
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["reducer", "positions", "keys", "words"])
 
@@ -181,8 +225,8 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(found)
 
 
-def within_one_edit(a: list[str], b: list[str]) -> bool:
-    """Whether one insertion, deletion or replacement of a word, or none, turns one list into the other."""
+def within_one_edit(a: list[str] | str, b: list[str] | str) -> bool:
+    """Whether one insertion, deletion or replacement of a word (or of a character of a text), or none, turns one list into the other."""
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > 1:
@@ -193,12 +237,30 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[i + 1 :] == b[i + (len(a) == len(b)) :]
 
 
+_LOWERED = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in range(9, 14)}
+
+
 def _words(line: str) -> list[str]:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line).replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").replace("\n", " ").split(" ")
+    return [w for w in line.translate(_LOWERED).split(" ") if w]
+
+
+def _plain(line: str) -> str:
+    return " ".join(_words(line))
+
+
+def near(a: str, b: str, least_words: int = LEAST_WORDS) -> bool:
+    """Whether two lines are within one edit: of a word if both have ``least_words`` or more, of a character that is no digit if both have no more than that and LEAST_CHARS characters."""
+    x, y = _words(a), _words(b)
+    if min(len(x), len(y)) >= least_words and within_one_edit(x, y):
+        return True
+    if max(len(x), len(y)) > least_words:
+        return False
+    x, y = " ".join(x), " ".join(y)
+    return min(len(x), len(y)) >= LEAST_CHARS and within_one_edit(x, y) and [c for c in x if "0" <= c <= "9"] == [c for c in y if "0" <= c <= "9"]
 
 
-def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within_one_edit([w for w in _words(x) if w], [w for w in _words(y) if w]) for x, y in zip(a, b, strict=True)])
+def _verified(least_words: int):
+    return F.pandas_udf(lambda a, b: pd.Series([near(x, y, least_words) for x, y in zip(a, b, strict=True)]), "boolean")
 
 
 def _rebuilt(text: pd.Series, kept: pd.Series) -> pd.DataFrame:
@@ -214,7 +276,7 @@ def _rebuilt(text: pd.Series, kept: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_kept"])
 
 
-def _near_earlier(firsts: DataFrame, documents: DataFrame) -> DataFrame:
+def _near_earlier(firsts: DataFrame, documents: DataFrame, least_words: int) -> DataFrame:
     """Positions of the distinct lines that are within one edit of an earlier one."""
     spark = firsts.sparkSession
     halves = firsts.where(F.size("halves") > 0).select("id", F.explode(F.array_distinct("halves")).alias("half"))
@@ -230,21 +292,21 @@ def _near_earlier(firsts: DataFrame, documents: DataFrame) -> DataFrame:
 
     n_keys = (lines.agg(F.sum(F.length("text"))).first()[0] or 0) / CHARS_PER_KEY
     n_reducers = max(partitions(spark), int(n_keys / REDUCER_KEYS) + 1)
-    blobs = lines.mapInArrow(_neighbourhoods(n_reducers), "reducer int, positions binary, keys binary, words binary")
+    blobs = lines.mapInArrow(_neighbourhoods(n_reducers, least_words), "reducer int, positions binary, keys binary, words binary")
     blobs = blobs.withColumn("salt", F.when(F.col("reducer") < 0, F.xxhash64("positions")).otherwise(0))
     found = blobs.groupBy("reducer", "salt").applyInPandas(_meet, f"{_POSITION_TYPE}, earlier_doc bigint, earlier_text_hash bigint, earlier_line int")
     pairs = found.distinct()
     texts = lines.dropDuplicates(POSITION)
     its = texts.select(*(F.col(c).alias(f"earlier_{c}") for c in POSITION), F.col("text").alias("earlier_text"))
     checked = pairs.join(texts, POSITION).join(its, [f"earlier_{c}" for c in POSITION])
-    return checked.where(F.pandas_udf(_verified, "boolean")("text", "earlier_text")).select(*POSITION).distinct()
+    return checked.where(_verified(least_words)("text", "earlier_text")).select(*POSITION).distinct()
 
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``df`` with each text reduced to the lines that have no earlier near copy, and ``n_lines``, ``n_kept``: its lines with words before and after.
 
-    A line goes if an earlier line of any document has the same words, or, both having ``least_words`` or more (2 at least), words within one edit;
-    whether that earlier line itself stays does not matter. Earlier: by id, then by a hash of the
+    A line goes if an earlier line of any document has the same words; or, both having ``least_words`` or more (2 at least), words within one edit; or, both having no more than that, words that are one character apart (words
+    joined by single spaces, LEAST_CHARS at least; an inserted, deleted or replaced digit is no edit). Whether that earlier line itself stays does not matter. Earlier: by id, then by a hash of the
     text, then by place. A null id counts as the smallest. Blank lines are never dropped or counted, except that a text none of whose lines is kept
     becomes empty. Rows that agree in id and text are one document and keep the same lines. A null text stays null.
     Columns of ``df`` named n_lines or n_kept are replaced, all others kept.
@@ -257,7 +319,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     keyed = documents.select("doc", "text_hash", "text").mapInArrow(_lines_with_keys(max(least_words, 2)), f"{_POSITION_TYPE}, a bigint, b bigint, halves array<bigint>")
     firsts = keyed.groupBy("a", "b").agg(F.min(F.struct(*POSITION, "halves")).alias("first")).select("first.*")
     firsts = keep(firsts.withColumn("id", F.monotonically_increasing_id()))
-    near = _near_earlier(firsts, documents)
+    near = _near_earlier(firsts, documents, max(least_words, 2))
     staying = firsts.select(*POSITION).join(near, POSITION, "left_anti")
     kept = staying.groupBy("doc", "text_hash").agg(F.collect_list("line").alias("kept"))
     joined = documents.alias("d").join(kept.alias("k"), (F.col("d.doc") == F.col("k.doc")) & (F.col("d.text_hash") == F.col("k.text_hash")), "left")

@@ -21,7 +21,12 @@ LINES = f"""WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS k, unnest(
   f AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS ord FROM (SELECT doc_id, k, w FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) AS rn FROM w WHERE len(w) > 0) WHERE rn = 1)),
   v AS (SELECT ord, unnest(range(1, len(w) + 1)) AS i, unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' '))) AS v FROM f WHERE len(w) >= 8
         UNION ALL SELECT ord, -1, array_to_string(w, ' ') FROM f WHERE len(w) >= 8),
-  near AS (SELECT ord FROM (SELECT ord, min(ord) OVER (PARTITION BY v, i) AS same FROM v WHERE i > 0) WHERE same < ord
+  s AS (SELECT ord, array_to_string(w, ' ') AS s FROM f WHERE len(w) <= 8 AND length(array_to_string(w, ' ')) >= 8),
+  c AS (SELECT ord, unnest(range(1, length(s) + 1)) AS i, unnest(list_transform(range(1, length(s) + 1), lambda i: substr(s, 1, i - 1) || substr(s, i + 1))) AS v, unnest(list_transform(range(1, length(s) + 1), lambda i: regexp_matches(substr(s, i, 1), '[0-9]'))) AS digit FROM s),
+  k AS (SELECT ord, i, v FROM c WHERE NOT digit UNION ALL SELECT ord, -1, s FROM s),
+  close AS (SELECT ord FROM (SELECT ord, min(ord) OVER (PARTITION BY v, i) AS same FROM k WHERE i > 0) WHERE same < ord
+        UNION SELECT ord FROM (SELECT ord, i, min(CASE WHEN i < 0 THEN ord END) OVER (PARTITION BY v) AS whole, min(CASE WHEN i > 0 THEN ord END) OVER (PARTITION BY v) AS cut FROM k) WHERE CASE WHEN i < 0 THEN cut ELSE whole END < ord),
+  near AS (SELECT ord FROM close UNION SELECT ord FROM (SELECT ord, min(ord) OVER (PARTITION BY v, i) AS same FROM v WHERE i > 0) WHERE same < ord
         UNION SELECT ord FROM (SELECT ord, i, min(CASE WHEN i < 0 THEN ord END) OVER (PARTITION BY v) AS whole, min(CASE WHEN i > 0 THEN ord END) OVER (PARTITION BY v) AS cut FROM v) WHERE CASE WHEN i < 0 THEN cut ELSE whole END < ord),
   kept AS (SELECT doc_id, k FROM f WHERE ord NOT IN (SELECT ord FROM near)),
   t AS (SELECT w.doc_id, count(*) FILTER (WHERE len(w.w) > 0) AS n_lines, count(kept.k) AS n_kept, string_agg(line, chr(10) ORDER BY w.k) FILTER (WHERE kept.k IS NOT NULL OR len(w.w) = 0) AS text FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id AND kept.k = w.k GROUP BY w.doc_id)
