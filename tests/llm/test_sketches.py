@@ -236,6 +236,37 @@ def test_vantage_trees_find_the_nearest(spark):
         assert right / 1500 >= least
 
 
+@pytest.mark.parametrize("factor", [1.0, 2.0])
+def test_many_balls_of_many_shards(spark, monkeypatch, factor):
+    """Clusters of vectors and one that very many share, over small balls, shards and blocks: factor 1 is exact, and both leave out balls."""
+    monkeypatch.setattr(vptree, "PIVOT_ROWS", 40)
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 60)
+    monkeypatch.setattr(vptree, "BLOCK_ROWS", 9)
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(12, 8)) * 4
+    vectors = np.round(centres[draw.integers(12, size=1500)] + draw.normal(size=(1500, 8)) * 0.2, 3)
+    vectors[:500] = vectors[0]
+    other = draw.normal(size=(30, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(2000 + i, v.tolist()) for i, v in enumerate(other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(vptree, "_visited", lambda c, v, *a, f=vptree._visited: (seen.append(v.count()), f(c, v, *a))[1])
+    got = {}
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, k=10, factor=factor).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for first, block in ((0, vectors), (2000, other)):
+        for q in range(0, len(block), 20):
+            scores = (block * block[q]).sum(1)
+            order = [i for i in np.lexsort((np.arange(len(block)), -scores)) if i != q][:10]
+            mine = sorted(got[first + q])
+            assert len(mine) == 10
+            hits += sum(s >= scores[order[-1]] - 1e-9 for _, _, s in mine)
+            if factor == 1:
+                assert [v for _, v, _ in mine] == [first + i for i in order]
+    assert hits >= 0.9 * 10 * 77 and seen[0] == 77 and seen[1] < 0.8 * 75 * 38
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (7, [2.0, 0.0, 1.0]), (None, [1.0, 1.0]), (20, [1.0, 1.0]), (6, [1.0, 1.0]), (8, [])]
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id long, embedding array<double>, rank string")
