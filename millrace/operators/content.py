@@ -71,8 +71,10 @@ def is_challenge(body: Column) -> Column:
 
 def platform_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``page_id``, ``platform``, ``allowed``, ``listing``, ``directory`` of pages (page_id, url) on a listed platform. rules: ord, platform, allowed, domain, listing_pattern, directory, event_pattern; the first rule of a domain counts. A domain "name.*" fits any ending."""
-    domain = U.domain(U.host(F.col("url")))
-    asked = pages.select("page_id", "url", F.explode(F.array(domain, F.concat(F.substring_index(domain, ".", 1), F.lit(".*")))).alias("domain"))
+    # a column for each step, which is then worked out once
+    hosts = pages.select("page_id", "url", U.host(F.col("url")).alias("_host"))
+    domains = hosts.select("page_id", "url", U.domain(F.col("_host")).alias("_domain"))
+    asked = domains.select("page_id", "url", F.explode(F.array(F.col("_domain"), F.concat(F.substring_index("_domain", ".", 1), F.lit(".*")))).alias("domain"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))
     first = asked.join(rules, "domain").withColumn("rank", rank).where("rank = 1")
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)

@@ -122,8 +122,12 @@ def write_plan(events: DataFrame, tables: Tables, collected: DataFrame, listing:
     ))
 
     stored = tables.outings.join(tables.organizers.select(F.col("id").alias("organizer_id"), F.col("name").alias("_organizer")), "organizer_id", "left")
-    same = K.same_outing(K.prepared(F.col("_organizer"), F.col("s.title")), K.prepared(F.col("m.organizer"), F.col("m.title"))) | F.coalesce(F.col("m.organizer_id") == F.col("s.organizer_id"), F.lit(False))
-    dated = merged.alias("m").join(stored.where("status <> 'expected'").alias("s"), (F.col("m.course_id") == F.col("s.course_id")) & (F.col("m.start_date") == F.col("s.start_date"))).where(same)
+    # names and titles are taken apart once for each row, and only where a course and day meet
+    place = ["course_id", "start_date"]
+    met = keep(stored.where("status <> 'expected'").join(merged.select(*place).distinct(), place, "left_semi").select("id", *place, "organizer_id", K.prepared(F.col("_organizer"), F.col("title")).alias("q")))
+    asked = keep(merged.join(met.select(*place).distinct(), place, "left_semi").select("event_id", "at", *place, "organizer_id", K.prepared(F.col("organizer"), F.col("title")).alias("p")))
+    same = F.coalesce(F.col("m.organizer_id") == F.col("s.organizer_id"), F.lit(False)) | K.same_outing(F.col("q"), F.col("p"))
+    dated = asked.alias("m").join(met.alias("s"), (F.col("m.course_id") == F.col("s.course_id")) & (F.col("m.start_date") == F.col("s.start_date"))).where(same)
     month = F.explode(F.array(*(S.D.add_months(F.substring("m.start_date", 1, 7), n) for n in (-1, 0, 1)))).alias("month")
     near = merged.alias("m").select("m.event_id", "m.at", "m.course_id", "m.organizer_id", month).alias("m")
     waiting = stored.where("status = 'expected'").select("id", "course_id", "organizer_id", F.coalesce("expected_month", F.substring("start_date", 1, 7)).alias("month")).alias("s")
