@@ -33,6 +33,22 @@ LINES = f"""WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS k, unnest(
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, CASE WHEN d.text IS NOT NULL THEN sha256(CASE WHEN n_kept > 0 OR n_lines = 0 THEN t.text ELSE '' END) END AS text_sha256 FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id"""
 
 
+#: The table of CRC-32, from its polynomial, and the checksum of the text ``{0}`` by it.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
+
+SPELLINGS = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+  g AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY 1, 2),
+  h AS (SELECT run, n, {_CRC.format("name")} AS h FROM g, (SELECT {_CRC_TABLE} AS t)),
+  w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+  d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))) AS v FROM w),
+  near AS (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.i = b.i AND a.v = b.v AND a.word <> b.word UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.v UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.v),
+  best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, n AS near_n, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS rn FROM near),
+  f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best b ON b.word = w.word AND rn = 1),
+  up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f e ON e.word = up.root AND e.form IS NULL"""
+
+
 def licences() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     listed = lambda x: f"CAST([{', '.join(map(quoted, x))}] AS VARCHAR[])"
