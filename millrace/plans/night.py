@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import extractions as X
 from ..operators import linkage as K
 from ..operators import reports as R
 from ..operators import selection as S
@@ -126,3 +127,45 @@ def reference_places(d: Directory) -> DataFrame:
     cities, zips, metros = K.reference_places(raw, codes, metros=20)
     rows = cities.select(F.lit("city").alias("kind"), F.concat_ws("/", "state", "slug").alias("key"), "id")
     return rows.unionByName(zips.select(F.lit("zip").alias("kind"), F.col("zip").alias("key"), F.col("city_id").alias("id"))).unionByName(metros.select(F.lit("metro").alias("kind"), F.col("name").alias("key"), "id"))
+
+
+# ---- answers
+
+_ANSWERED = """SELECT o.id, o.id // 3 AS page, CASE WHEN o.id % 41 = 0 THEN '' ELSE o.title END AS title, CASE WHEN o.id % 37 = 0 THEN 'see www.example.org' ELSE 'A day of golf' END AS summary, CASE WHEN o.id % 43 = 0 THEN '1998-13-01' ELSE o.start_date END AS start_date, CASE WHEN o.id % 47 = 0 THEN '1990-01-01' ELSE o.end_date END AS end_date, o.shotgun_time,
+    c.name AS course_name, CASE WHEN o.id % 4 = 0 THEN NULL ELSE c.state END AS venue_state, CASE WHEN o.id % 53 = 0 THEN 30000e0 WHEN o.id % 7 = 0 THEN 0e0 ELSE o.single_price_cents / 100e0 END AS single_price_usd, o.id % 6 <> 0 AS is_outing, CASE WHEN o.id % 10 = 0 THEN 'unknown' ELSE 'open' END AS status,
+    CASE WHEN o.id % 5 <> 0 THEN 'Come ' || o.start_date END AS quote, 'https://www.site' || CAST(o.id % 50 AS {text}) || '.org/register' AS registration_url, o.updated_at FROM {outings} o JOIN {courses} c ON c.id = o.course_id"""
+
+
+@plans.query(
+    "collected_events",
+    f""", a AS ({_ANSWERED.format(text="VARCHAR", outings="outings", courses="courses")}), x AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) - 1 AS event_index, count(*) OVER (PARTITION BY page) AS n, first_value(start_date) OVER (PARTITION BY page ORDER BY id) AS d FROM a),
+      f AS (SELECT DISTINCT page, CASE WHEN page % 31 = 0 THEN 'no request' WHEN page % 17 = 0 THEN 'batch result errored (overloaded)' WHEN page % 19 = 0 THEN 'stop_reason max_tokens' WHEN page % 23 = 0 THEN 'output is not JSON' WHEN page % 29 = 0 THEN 'output is not a list of events' END AS failure FROM a),
+      s AS (SELECT x.*, page % 5 = 0 AND d IS NOT NULL AND (n = 1 OR d IS NOT DISTINCT FROM start_date) AS structured, CASE WHEN page % 2 = 0 THEN string_agg(title || ' ' || coalesce(start_date, ''), ' ') OVER (PARTITION BY page ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS text FROM x JOIN f USING (page) WHERE failure IS NULL),
+      t AS (SELECT *, CASE WHEN structured THEN d ELSE start_date END AS day, structured AND start_date IS NOT NULL AND start_date <> d AS disagrees FROM s),
+      r AS (SELECT *, CASE WHEN single_price_usd > 25000 THEN 'schema' WHEN title = '' THEN 'empty title' WHEN start_date = '1998-13-01' THEN 'start_date does not parse' WHEN end_date IS NOT NULL AND (start_date IS NULL OR end_date < start_date) THEN 'end_date without or before start_date' WHEN id % 37 = 0 THEN 'summary contains a URL'
+        WHEN day IS NOT NULL AND NOT structured AND quote IS NOT NULL AND substr(start_date, 1, 4) < '1997' THEN 'past: the page states ' || substr(start_date, 1, 4) WHEN day IS NOT NULL AND NOT structured AND text IS NOT NULL AND NOT contains(text || ' ' || title || ' ' || coalesce(quote, ''), substr(day, 1, 4)) THEN 'year ' || substr(day, 1, 4) || ' is not stated on the page'
+        WHEN coalesce(CASE WHEN end_date >= day THEN end_date END, day) < '1997-03-01' THEN 'past: ' || day || ' before 1997-03-01' END AS reason FROM t),
+      g AS (SELECT *, is_outing AND NOT coalesce(single_price_usd = 0, FALSE) AS outing FROM r WHERE reason IS NULL),
+      k AS (SELECT *, (100 - CASE WHEN day IS NOT NULL AND (quote IS NOT NULL OR structured) THEN 0 ELSE 30 END - CASE WHEN venue_state IS NULL THEN 20 ELSE 0 END - CASE WHEN single_price_usd IS NULL AND outing THEN 10 ELSE 0 END - CASE WHEN disagrees THEN 20 ELSE 0 END) / 100e0 AS confidence FROM g)
+      SELECT 'event' AS kind, page, event_index, day AS start_date, confidence, CASE WHEN outing THEN CASE WHEN day IS NULL THEN 'no_date' WHEN status = 'unknown' THEN 'status_unknown' WHEN confidence < 0.75 THEN 'low_confidence' END END AS reason, CASE WHEN id % 50 IN (page % 50, 7) THEN registration_url END AS link FROM k
+      UNION ALL SELECT 'rejected', page, event_index, NULL, NULL, reason, NULL FROM r WHERE reason IS NOT NULL UNION ALL SELECT 'failed', page, NULL, NULL, NULL, failure, NULL FROM f WHERE failure IS NOT NULL""",
+    ("outings", "courses"),
+)
+def collected_events(d: Directory) -> DataFrame:
+    """Answers made of every three outings: some did not come through, some events do not hold."""
+    rows = d.spark.sql(_ANSWERED.format(text="STRING", outings="{outings}", courses="{courses}").replace("o.id // 3", "o.id div 3"), outings=d.outings, courses=d.courses)
+    event = F.struct("id", "title", "summary", "start_date", "end_date", "shotgun_time", "course_name", "venue_state", "single_price_usd", F.lit(False).alias("sponsor_only"), "is_outing", "status", "registration_url", F.struct(F.col("quote").alias("date")).alias("evidence"))
+    pages = rows.groupBy("page").agg(F.array_sort(F.collect_list(event)).alias("events"), F.min_by("start_date", "id").alias("d"))
+    n = lambda k: F.col("page") % k == 0
+    text = F.when(n(23), "no json").when(n(29), '{"x":1}').otherwise(F.to_json(F.struct("events")))
+    results = pages.select(F.col("page").alias("custom_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), F.when(n(17), "errored").otherwise("succeeded").alias("kind"), F.when(n(17), "overloaded").alias("error"), F.when(n(19), "max_tokens").otherwise("end_turn").alias("stop_reason"), text.alias("text"))
+    results = results.withColumn("text", F.when(F.col("ord") == 1, "a later answer").otherwise(F.col("text")))
+    url = F.concat(F.lit("https://www.site"), (F.col("page") % 50).cast("string"), F.lit(".org/"), F.col("page").cast("string"))
+    meta = pages.where("page % 31 <> 0").select(F.col("page").alias("custom_id"), url.alias("page_url"), F.when(n(2), F.array_join(F.transform("events", lambda e: F.concat(e["title"], F.lit(" "), F.coalesce(e["start_date"], F.lit("")))), " ")).alias("page_text"), F.when(n(5), F.array("d")).alias("dates"))
+    found = X.collected(results, meta, F.lit("1997-03-01 12:00:00").cast("timestamp"), lambda state: F.lit("America/Los_Angeles"), 1997, ["site7.org"])
+    page = F.regexp_extract("page_url", "([0-9]+)$", 1).cast("long").alias("page")
+    none = F.lit(None).cast("string")
+    events = found.events.select(F.lit("event").alias("kind"), page, "event_index", "start_date", "confidence", F.col("hold_reason").alias("reason"), F.col("registration_url").alias("link"))
+    rejected = found.rejected.select(F.lit("rejected").alias("kind"), page, "event_index", none.alias("start_date"), F.lit(None).cast("double").alias("confidence"), "reason", none.alias("link"))
+    failed = found.failed.select(F.lit("failed").alias("kind"), F.col("custom_id").alias("page"), F.lit(None).cast("int").alias("event_index"), none.alias("start_date"), F.lit(None).cast("double").alias("confidence"), "reason", none.alias("link"))
+    return events.unionByName(rejected).unionByName(failed)
