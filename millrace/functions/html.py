@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 #: Characters below which an article is not trusted, and the most that a page's text keeps.
 LEAST_TEXT, LONGEST_TEXT = 400, 12_000
-#: Elements whose end breaks a line; elements that part blocks; elements that are no text; elements that a page's body goes without.
+#: Elements whose end breaks a line; elements that part blocks; elements that are no text; elements that blocks are not looked for in, and that a page's body goes without.
 BLOCK_END = r"(?i)</(p|div|section|article|header|footer|li|ul|ol|h[1-6]|tr|table|blockquote|pre|dd|dt|figure|aside|main|nav)>|<br\s*/?>"
 BLOCK_TAG = r"(?i)</?(p|div|section|article|header|footer|li|ul|ol|dl|h[1-6]|tr|td|th|table|blockquote|pre|dd|dt|figure|aside|main|nav|form)\b[^>]*>"
 UNSEEN = ("script", "style", "noscript")
+FRAME = ("svg", "template", "nav", "footer", "form", "iframe")
 ASIDE = ("svg", "template", "nav", "header", "footer", "form", "iframe")
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
 
@@ -52,12 +53,12 @@ def block_text(html: Column) -> Column:
 
 
 def text_blocks(html: Column) -> Column:
-    """The blocks of a page's body that hold text, in order: ``text``, ``words``, ``linked`` (words within links) and ``content``.
+    """The blocks of a page's body that hold text, outside of navigation, footers and forms, in order: ``text``, ``words``, ``linked`` (words within links) and ``content``.
 
     Whether a block is content is told by the words and the share of linked words of itself and the blocks before and after it (Kohlschütter, Fankhauser and Nejdl, 2010: the
     classifier by numbers of words). Before the first and after the last block is an empty one.
     """
-    marked = F.regexp_replace(F.regexp_replace(_without(body_of(html), *UNSEEN), r"(?i)<a\b[^>]*>", "\u0001"), r"(?i)</a\s*>", "\u0002")
+    marked = F.regexp_replace(F.regexp_replace(_without(body_of(html), *UNSEEN, *FRAME), r"(?i)<a\b[^>]*>", "\u0001"), r"(?i)</a\s*>", "\u0002")
     pieces = F.split(F.regexp_replace(F.regexp_replace(marked, BLOCK_TAG, "\u0003"), r"(?s)<[^>]*>", ""), "\u0003")
     size = lambda text: F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     # a link that goes over the end of a block is closed with it

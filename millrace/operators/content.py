@@ -26,6 +26,8 @@ NO_CITY = [r"\d", r"(?i)\b(suite|ste|floor|fl|unit|apt|po box|box)\b", r"^[A-Z]{
 CITY_NAME, CITY_LENGTHS = r"^[A-Za-z][A-Za-z .'\-]*$", (2, 40)
 #: Lines of guides that are not allowed.
 HEADING, SETEXT, RAW_HTML, IMAGES = r"^\s{0,3}(#{1,6})(\s|$)", r"^\s{0,3}=+\s*$", r"(?i)</?[a-z][a-z0-9-]*(\s[^>]*)?/?>", [r"!\[[^\]]*\]\([^)]*\)", r"!\[[^\]]*\]\[[^\]]*\]"]
+#: Words that the site's texts never use.
+BANNED = ["exclusive", "elite", "prestigious", "bucket list"]
 #: IPv4 networks that are not public.
 PRIVATE_V4 = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
 LONGEST_DELAY = 30
@@ -134,7 +136,11 @@ def is_blocked_address(address: Column) -> Column:
         low = sum(int(p) << 8 * (3 - i) for i, p in enumerate(base.split(".")))
         private |= n.between(low, low + (1 << 32 - int(bits)) - 1)
     bare = F.lower(F.regexp_replace(address, r"^\[|\]$", ""))
-    v6 = bare.rlike(r"^[0-9a-f:]+$") & bare.contains(":")
+    groups = F.split(bare, ":")
+    full = F.filter(groups, lambda g: g != "")
+    # eight groups, or fewer around one gap
+    shape = F.when(bare.contains("::"), (F.size(F.split(bare, "::")) == 2) & ~bare.contains(":::") & (F.size(full) <= 7) & ~bare.rlike("(^:[^:]|[^:]:$)")).otherwise((F.size(groups) == 8) & (F.size(full) == 8))
+    v6 = bare.contains(":") & shape & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
     open_v6 = v6 & bare.rlike(r"^[23][0-9a-f]{3}:") & ~bare.rlike(r"^2002:|^2001:0?db8:|^2001:(0{0,3}[0-9a-f]?|0{0,2}[0-9a-f]{2}|0?1[0-9a-f]{2}):")
     return ~((n.isNotNull() & ~private) | (n.isNull() & open_v6))
 
@@ -164,6 +170,12 @@ def guide_problems(guides: DataFrame) -> DataFrame:
     return open_lines.select("guide_id", (F.col("i") + 1).alias("line"), F.explode(checks).alias("problem"))
 
 
+def banned_words(text: Column) -> Column:
+    """The BANNED words that a text uses, in their order; whole words, however they are spaced and written."""
+    found = [F.when(text.rlike(r"(?i)\b" + word.replace(" ", r"\s+") + r"\b"), word) for word in BANNED]
+    return F.array_compact(F.array(*found))
+
+
 def guide_words(body: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)```.*?```", " "), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[#>*_`|~-]+", " ")
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w.rlike("[A-Za-z0-9]")))

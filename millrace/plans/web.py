@@ -98,7 +98,7 @@ def block_texts(d: Directory) -> DataFrame:
     return d.base("pages").select("page_id", H.block_text(F.col("html")).alias("text"))
 
 
-_PIECES = f"regexp_replace(regexp_replace({_sql_without('body', *H.UNSEEN)}, '(?i)<a\\b[^>]*>', chr(1), 'g'), '(?i)</a\\s*>', chr(2), 'g')"
+_PIECES = f"regexp_replace(regexp_replace({_sql_without('body', *H.UNSEEN, *H.FRAME)}, '(?i)<a\\b[^>]*>', chr(1), 'g'), '(?i)</a\\s*>', chr(2), 'g')"
 _PIECES = f"string_split(regexp_replace(regexp_replace({_PIECES}, '{H.BLOCK_TAG}', chr(3), 'g'), '(?s)<[^>]*>', '', 'g'), chr(3))"
 _COUNT = "len(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''))"
 _BLOCKS = f"""b AS (SELECT page_id, html, {_BODY} AS body FROM pages),
@@ -197,16 +197,24 @@ def _network(network: str) -> str:
 
 @plans.query(
     "address_checks",
-    f"""SELECT event_id, CASE event_id % 10 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN TRUE ELSE {' OR '.join(map(_network, C.PRIVATE_V4))} END AS blocked FROM (SELECT event_id, {_NUMBER} AS n FROM events)""",
+    f"""SELECT event_id, CASE event_id % 10 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN TRUE WHEN 4 THEN event_id % 20 = 4 ELSE {' OR '.join(map(_network, C.PRIVATE_V4))} END AS blocked FROM (SELECT event_id, {_NUMBER} AS n FROM events)""",
 )
 def address_checks(d: Directory) -> DataFrame:
     """IPv4 addresses of all networks; some IPv6 ones, and texts that are no address."""
     i = F.col("event_id")
     v4 = F.concat_ws(".", *(F.expr(f"cast({o} as string)") for o in _OCTETS))
-    address = F.when(i % 10 == 0, F.concat(F.lit("fd00::"), F.hex(i))).when(i % 10 == 1, F.concat(F.lit("2606:4700::"), F.lower(F.hex(i % 65536)))).when(i % 10 == 2, F.concat(F.lit("2001:db8::"), F.lower(F.hex(i % 65536)))).when(i % 10 == 3, F.concat(v4, F.lit(".9"))).otherwise(v4)
+    address = F.when(i % 10 == 0, F.concat(F.lit("fd00::"), F.hex(i))).when(i % 10 == 1, F.concat(F.lit("2606:4700::"), F.lower(F.hex(i % 65536)))).when(i % 10 == 2, F.concat(F.lit("2001:db8::"), F.lower(F.hex(i % 65536)))).when(i % 10 == 3, F.concat(v4, F.lit(".9")))
+    address = address.when(i % 20 == 4, F.concat(F.lit("2600:1:"), F.lower(F.hex(i % 65536)))).when(i % 20 == 14, F.concat(F.lit("2600:1:2:3:4:5:6:"), F.lower(F.hex(i % 65536)))).otherwise(v4)
     return d.base("events").select("event_id", C.is_blocked_address(address).alias("blocked"))
 
 
+@plans.query("banned_words", "SELECT doc_id, array_to_string(list_filter(['exclusive', 'elite', 'prestigious', 'bucket list'], lambda w: regexp_matches(t, '(?i)\\b' || replace(w, ' ', '\\s+') || '\\b')), ',') AS words FROM (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' An Elite, non-exclusive club.' WHEN 1 THEN chr(10) || 'bucket' || chr(10) || 'list of elites' ELSE '' END AS t FROM documents)")
+def banned_words(d: Directory) -> DataFrame:
+    i = F.col("doc_id")
+    text = F.concat("text", F.when(i % 3 == 0, " An Elite, non-exclusive club.").when(i % 3 == 1, "\nbucket\nlist of elites").otherwise(""))
+    return d.base("documents").select("doc_id", F.array_join(C.banned_words(text), ",").alias("words"))
+
+
 @plans.query("map_features", "SELECT 'node/' || CAST(c_custkey AS VARCHAR) AS ref, 40.5e0 AS lat, CASE WHEN c_custkey % 3 = 0 THEN 'private' WHEN c_custkey % 3 = 1 THEN 'municipal' END AS kind, c_custkey % 10 = 0 AS excluded FROM customer WHERE c_custkey % 4 <> 0")
 def map_features(d: Directory) -> DataFrame:
     c = F.col("c_custkey").cast("string")

@@ -146,3 +146,22 @@ def test_slug_titles(spark):
     rows = [("NKF Golf Classic at Winged Foot Golf Club", "Winged Foot Golf Club"), ("Day at Oak Hill", "Pine Valley"), ("The Pine Valley Open", "Pine Valley"), ("Pine Valley", "Pine Valley")]
     df = spark.createDataFrame(rows, "t string, c string")
     assert [r[0] for r in df.select(T.slug_title(F.col("t"), F.col("c"))).collect()] == ["NKF Golf Classic", "Day at Oak Hill", "The   Open", "Pine Valley"]
+
+
+def test_blocks_and_dense_text(spark):
+    lines = "<ul><li>One<ul><li>Two <b>bo</b>ld</li></ul></li></ul><p hidden>Panel&nbsp;text<br>next</p><!-- gone --><script>x()</script>"
+    assert ask(spark, H.block_text(F.col("t")), t=lines) == "OneTwo bold\n\nPanel text\nnext"
+    said = " ".join(f"word{i}" for i in range(60))
+    side = "".join(f"<li><a href='/{i}'>link number {i}</a></li>" for i in range(30))
+    page = f"<html><body><nav>{side}</nav><div><div><ul>{side}</ul></div><div>{said}.</div><div aria-hidden='true'><p>{said} more</p></div><table><tr><td>{said} table</td></tr></table></div><footer>All rights</footer></body></html>"
+    assert ask(spark, H.dense_text(F.col("t")), t=page) == f"{said}.\n{said} more\n{said} table"
+    assert ask(spark, H.dense_text(F.col("t")), t="<p>Short</p><nav>x</nav>") == "Short"
+    for empty in (None, "", "<body></body>"):
+        assert not ask(spark, H.dense_text(F.col("t")), t=empty)
+
+
+@pytest.mark.parametrize("address, blocked", [("2600:1:2", True), ("2600::1:2", False), ("2600:1:2:3:4:5:6:7", False), ("2600:1:2:3:4:5:6:7:8", True), ("2600::1::2", True), ("2600:::2", True), ("2600:1:2:3:4:5:6:", True), ("fe80::1", True), ("[2606:4700::1111]", False)])
+def test_ipv6_addresses(spark, address, blocked):
+    from millrace.operators import content as C
+
+    assert ask(spark, C.is_blocked_address(F.col("t")), t=address) is blocked
