@@ -181,40 +181,59 @@ def source_misses(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     return joined.withColumn("misses", misses).withColumn("gone", F.col("misses") >= GONE_MISSES)
 
 
-def _numbers(rows: DataFrame, used: DataFrame) -> DataFrame:
-    """``rows`` (base, ord) with ``n``: the place-th number from 1 that is not among the ``used`` (base, n; distinct) of its base."""
-    upto = Window.partitionBy("base").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _slugs(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """``rows`` (ord, seq, head, base, own) with ``at``, the option that each asks for, and its ``slug``.
+
+    The options of a sequence are its head, if it has one, then its base with the numbers that are not ``used`` (base, n; distinct), 1 being the base itself. Rows of a sequence ask in order, none for an option that an earlier one
+    asks for, and none for one before its ``own``.
+    """
+    in_order = Window.partitionBy("seq").orderBy("ord")
+    i = F.row_number().over(in_order)
+    asked = rows.withColumn("_i", i).withColumn("at", F.max(F.col("own") - F.col("_i")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_i")).drop("_i")
+    asked = asked.withColumn("place", F.col("at") - F.col("head").isNotNull().cast("int"))
     # a used number moves on all places from the number of free ones below it on
-    moved = used.withColumn("place", F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n")) + 1).select("base", "place", F.lit(1).alias("moves"), F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"))
-    placed = rows.withColumn("place", F.row_number().over(upto.orderBy("ord"))).select("base", "place", F.lit(0).alias("moves"), "ord")
+    moved = used.withColumn("place", F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n")) + 1).select("base", "place", F.lit(1).alias("moves"))
+    places = asked.where("place > 0").select("base", "place", F.lit(0).alias("moves")).distinct()
     passed = F.sum("moves").over(Window.partitionBy("base").orderBy("place", F.col("moves").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return moved.unionByName(placed).withColumn("n", F.col("place") + passed).where("moves = 0").select("base", "ord", "n")
+    numbers = moved.unionByName(places).withColumn("n", F.col("place") + passed).where("moves = 0").select("base", "place", "n")
+    slug = F.when(F.col("place") == 0, F.col("head")).when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
+    return asked.join(numbers, ["base", "place"], "left").select("ord", "seq", "head", "base", "own", "at", slug.alias("slug"))
 
 
-def free_slugs(wanted: DataFrame, taken: DataFrame, base: str = "base", order: str = "ord") -> DataFrame:
-    """``wanted`` with ``slug``: the first of base, base-2, base-3, ... that is neither ``taken`` (slug) nor given to an earlier row; ``order`` tells rows apart.
+def _given(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """``ord``, ``slug``: each row (ord, head, base) in turn takes the first of its options that is free.
 
-    Rows of one base take its free numbers in order. Where a base spells another's number ("a-2"), both may come to one slug: the earlier row has it, and the other base passes it
-    from then on, until no slug is given twice. Earlier rows are never moved by later ones, so this ends where taking turns ends. Each round numbers only bases that met, and is kept.
+    Every slug prefers the earliest row, so taking turns gives the one stable matching, found in rounds: rows ask for an option, the earliest has it, the others go on. Rows of one sequence move on together, and only sequences that
+    lost a slug are looked at again. Each round is kept.
     """
-    rows = keep(wanted.select(F.col(base).alias("base"), F.col(order).alias("ord")))
-    parts = lambda slug: (F.regexp_extract(slug, NUMBERED, 1), F.regexp_extract(slug, NUMBERED, 2).try_cast("int"))
-    stem, number = parts(F.col("slug"))
-    held = taken.select("slug").distinct()
-    used = held.select(F.col("slug").alias("base"), F.lit(1).alias("n")).unionByName(held.where(stem != "").select(stem.alias("base"), number.alias("n")).where("n is not null"))
+    held = keep(taken.select("slug").distinct())
+    rows = rows.join(held.withColumn("_taken", F.lit(True)).withColumnRenamed("slug", "head"), "head", "left").withColumn("head", F.when(F.col("_taken").isNull(), F.col("head"))).drop("_taken")
+    rows = keep(rows.withColumn("seq", F.xxhash64("head", "base")).withColumn("own", F.lit(1).cast("long")))
+    stem, number = F.regexp_extract("slug", NUMBERED, 1), F.regexp_extract("slug", NUMBERED, 2).try_cast("long")
+    used = held.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("n")).unionByName(held.where(stem != "").select(stem.alias("base"), number.alias("n")).where("n is not null"))
     used = keep(used.join(rows.select("base").distinct(), "base", "left_semi"))
-    slug = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
-    given = keep(_numbers(rows, used).withColumn("slug", slug))
+    given = keep(_slugs(rows, used))
     while True:
-        first = given.groupBy("slug").agg(F.min("ord").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-        lost = keep(given.join(first, "slug").where(F.col("ord") != F.col("first")).select("base", "n").distinct())
+        winners = given.groupBy("slug").agg(F.min("ord").alias("winner"), F.count("*").alias("rows")).where("rows > 1")
+        lost = keep(given.join(winners, "slug").where(F.col("ord") != F.col("winner")).select("ord", "seq"))
         if lost.isEmpty():
-            break
-        used = keep(used.unionByName(lost))
-        met = lost.select("base").distinct()
-        again = _numbers(rows.join(met, "base", "left_semi"), used.join(met, "base", "left_semi")).withColumn("slug", slug)
-        given = keep(given.join(met, "base", "left_anti").unionByName(again))
-    return wanted.join(given.select(F.col("ord").alias(order), "slug"), order)
+            return given.select("ord", "slug")
+        met = lost.select("seq").distinct()
+        again = given.join(met, "seq", "left_semi").join(lost.select("ord", F.lit(1).alias("_lost")), "ord", "left")
+        again = again.select("ord", "seq", "head", "base", (F.col("at") + F.coalesce("_lost", F.lit(0))).alias("own"))
+        given = keep(given.join(met, "seq", "left_anti").unionByName(_slugs(again, used)))
+
+
+def free_slugs(wanted: DataFrame, taken: DataFrame, base: str = "base", order: str = "ord") -> DataFrame:
+    """``wanted`` with ``slug``: the first of base, base-2, base-3, ... that is neither ``taken`` (slug) nor given to an earlier row; ``order`` tells rows apart. Where a base spells another's number ("a-2"), the earlier row has it."""
+    rows = wanted.select(F.col(order).alias("ord"), F.lit(None).cast("string").alias("head"), F.col(base).alias("base"))
+    return wanted.join(_given(rows, taken).withColumnRenamed("ord", order), order)
+
+
+def place_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """``ord``, ``slug`` of new places: the base, else base-city, else base-city-2, -3, ..., the first that is neither ``taken`` (slug) nor given to an earlier one. wanted: ord (tells rows apart), base, city (as in slugs; null: the base itself is numbered)."""
+    head, base = F.when(F.col("city").isNotNull(), F.col("base")), F.concat_ws("-", "base", "city")
+    return _given(wanted.select("ord", head.alias("head"), base.alias("base")), taken)
 
 
 def queue_bookkeeping(queue: DataFrame, results: DataFrame) -> DataFrame:

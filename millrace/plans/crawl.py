@@ -14,6 +14,7 @@ from ..operators import content as C
 from ..operators import discovery as V
 from ..operators import reports as R
 from ..operators import selection as S
+from ..operators import state as L
 from ..sources.directory import NOW, TODAY, Directory
 from .core import Plans
 from .scalars import _TEXT
@@ -329,3 +330,22 @@ def recent_pages(d: Directory) -> DataFrame:
 @plans.query("searched_courses", "SELECT id, name, state FROM courses WHERE outing_count > 0 OR notable = 1", ("courses",))
 def searched_courses(d: Directory) -> DataFrame:
     return d.courses.where("outing_count > 0 or notable = 1").select("id", "name", "state")
+
+
+_PLACES = "SELECT id, lower(state) || '/' || CASE id % 4 WHEN 0 THEN 'oak-hill' WHEN 1 THEN 'oak-hill-springfield' WHEN 2 THEN 'links' ELSE 'links-' || CAST(id % 9 AS {text}) END AS base, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'springfield' ELSE 'city-' || CAST(id % 3 AS {text}) END AS city, id % 20 = 0 AS stored FROM {courses}"
+
+
+@plans.query(
+    "place_slugs",
+    f""", p AS ({_PLACES.format(text="VARCHAR", courses="courses")}), t AS (SELECT split_part(base, '/', 1) AS state, list(DISTINCT base || '-2') AS gone FROM p WHERE stored GROUP BY 1),
+      n AS (SELECT *, split_part(base, '/', 1) AS state, row_number() OVER (PARTITION BY split_part(base, '/', 1) ORDER BY id) AS r, CASE WHEN city IS NULL THEN base ELSE base || '-' || city END AS longer FROM p WHERE NOT stored),
+      w AS (SELECT n.state, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS slug, coalesce(t.gone, CAST([] AS VARCHAR[])) AS gone FROM n LEFT JOIN t ON t.state = n.state WHERE n.r = 1
+        UNION ALL SELECT state, r, id, slug, list_append(gone, slug) FROM (SELECT n.state, n.r, n.id, w.gone, list_filter(list_concat([n.base, n.longer], list_transform(range(2, len(w.gone) + 3), lambda k: n.longer || '-' || CAST(k AS VARCHAR))), lambda s: NOT list_contains(w.gone, s))[1] AS slug FROM w JOIN n ON n.state = w.state AND n.r = w.r + 1))
+      SELECT id, slug FROM w WHERE r > 0""",
+    ("courses",),
+)
+def place_slugs(d: Directory) -> DataFrame:
+    """New venues of few names: whose base is another's base with its city, or taken, and who share both."""
+    rows = d.spark.sql(_PLACES.format(text="STRING", courses="{courses}"), courses=d.courses)
+    taken = rows.where("stored").select(F.concat("base", F.lit("-2")).alias("slug"))
+    return L.place_slugs(rows.where("not stored").select(F.col("id").alias("ord"), "base", "city"), taken).select(F.col("ord").alias("id"), "slug")

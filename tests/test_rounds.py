@@ -84,7 +84,7 @@ def test_clusters_and_claims_of_whole_tables_follow_the_walk(spark):
 
 def test_free_slugs_by_taking_turns(spark):
     draw = random.Random(5)
-    for seed in range(3):
+    for seed in range(6):
         bases = [draw.choice(["a", "b", "a-2", "a-2-2", "a-3", "a-02", "a-1", "b-2", "-2"]) for _ in range(60)]
         taken = {draw.choice(["a", "a-2", "a-4", "a-02", "a-1", "b-2-2", "a-2-3", "a-9", "c"]) for _ in range(seed * 4)}
         given, expected = set(taken), {}
@@ -94,3 +94,16 @@ def test_free_slugs_by_taking_turns(spark):
         df = spark.createDataFrame([(b, i, "kept") for i, b in enumerate(bases)], "base string, ord long, other string")
         held = spark.createDataFrame([(t,) for t in taken], "slug string")
         assert {r.ord: r.slug for r in S.free_slugs(df, held).collect()} == expected
+
+
+def test_place_slugs_by_taking_turns(spark):
+    draw = random.Random(7)
+    for seed in range(4):
+        rows = [(i, draw.choice(["a", "b", "a-x", "a-2", "a-x-2"]), draw.choice(["x", "y", "x-2", None])) for i in draw.sample(range(100), 50)]
+        given = {"b", "a-x-3", "b-y-2"} if seed % 2 else set()
+        taken, expected = spark.createDataFrame([(t,) for t in given], "slug string"), {}
+        for i, base, city in sorted(rows):
+            longer = base if city is None else f"{base}-{city}"
+            expected[i] = next(s for s in [base, longer, *(f"{longer}-{n}" for n in range(2, 99))] if s not in given)
+            given.add(expected[i])
+        assert {r.ord: r.slug for r in S.place_slugs(spark.createDataFrame(rows, "ord long, base string, city string"), taken).collect()} == expected
