@@ -182,46 +182,45 @@ def source_misses(sources: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def _slugs(rows: DataFrame, used: DataFrame) -> DataFrame:
-    """``rows`` (ord, seq, head, base, own) with ``at``, the option that each asks for, and its ``slug``.
+    """``rows`` (ord, head, base, place) with the place that each asks for, and its ``slug``.
 
-    The options of a sequence are its head, if it has one, then its base with the numbers that are not ``used`` (base, n; distinct), 1 being the base itself. Rows of a sequence ask in order, none for an option that an earlier one
-    asks for, and none for one before its ``own``.
+    Place 0 is the head, place 1 and on the base with the numbers that are not ``used`` (base, n; distinct), 1 being the base itself. Rows of a base that ask for a number ask in order, none for one that an earlier one
+    asks for, and none for a place before its own.
     """
-    in_order = Window.partitionBy("seq").orderBy("ord")
-    i = F.row_number().over(in_order)
-    asked = rows.withColumn("_i", i).withColumn("at", F.max(F.col("own") - F.col("_i")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_i")).drop("_i")
-    asked = asked.withColumn("place", F.col("at") - F.col("head").isNotNull().cast("int"))
+    in_order = Window.partitionBy("base").orderBy("ord")
+    heads = rows.where("place = 0").withColumn("slug", F.col("head"))
+    asked = rows.where("place > 0").withColumn("_i", F.row_number().over(in_order))
+    asked = asked.withColumn("place", F.max(F.col("place") - F.col("_i")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_i")).drop("_i")
     # a used number moves on all places from the number of free ones below it on
-    moved = used.withColumn("place", F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n")) + 1).select("base", "place", F.lit(1).alias("moves"))
-    places = asked.where("place > 0").select("base", "place", F.lit(0).alias("moves")).distinct()
+    moved = used.withColumn("place", F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n")) + 1).select("base", "place", F.lit(1).alias("moves"), F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("head"))
     passed = F.sum("moves").over(Window.partitionBy("base").orderBy("place", F.col("moves").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbers = moved.unionByName(places).withColumn("n", F.col("place") + passed).where("moves = 0").select("base", "place", "n")
-    slug = F.when(F.col("place") == 0, F.col("head")).when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
-    return asked.join(numbers, ["base", "place"], "left").select("ord", "seq", "head", "base", "own", "at", slug.alias("slug"))
+    numbered = moved.unionByName(asked.withColumn("moves", F.lit(0))).withColumn("n", F.col("place") + passed).where("moves = 0")
+    slug = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
+    return heads.unionByName(numbered.select("ord", "head", "base", "place", slug.alias("slug")))
 
 
 def _given(rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """``ord``, ``slug``: each row (ord, head, base) in turn takes the first of its options that is free.
+    """``ord``, ``slug``: each row (ord, head, base) in turn takes the first of its options that is free: its head, if it has one, then its base and the base's numbers.
 
-    Every slug prefers the earliest row, so taking turns gives the one stable matching, found in rounds: rows ask for an option, the earliest has it, the others go on. Rows of one sequence move on together, and only sequences that
-    lost a slug are looked at again. Each round is kept.
+    Every slug prefers the earliest row, so taking turns gives the one stable matching, found in rounds: rows ask for an option, the earliest has it, the others go on. Rows of one base move on together, and only bases whose
+    rows lost a slug are looked at again; there are as many rounds as slugs that one base spells and another numbers stand in a row. Each is kept.
     """
     held = keep(taken.select("slug").distinct())
-    rows = rows.join(held.withColumn("_taken", F.lit(True)).withColumnRenamed("slug", "head"), "head", "left").withColumn("head", F.when(F.col("_taken").isNull(), F.col("head"))).drop("_taken")
-    rows = keep(rows.withColumn("seq", F.xxhash64("head", "base")).withColumn("own", F.lit(1).cast("long")))
+    rows = rows.join(held.withColumn("_taken", F.lit(True)).withColumnRenamed("slug", "head"), "head", "left")
+    rows = keep(rows.select("ord", "head", "base", F.when(F.col("head").isNull() | F.col("_taken").isNotNull(), 1).otherwise(0).cast("long").alias("place")))
     stem, number = F.regexp_extract("slug", NUMBERED, 1), F.regexp_extract("slug", NUMBERED, 2).try_cast("long")
     used = held.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("n")).unionByName(held.where(stem != "").select(stem.alias("base"), number.alias("n")).where("n is not null"))
     used = keep(used.join(rows.select("base").distinct(), "base", "left_semi"))
     given = keep(_slugs(rows, used))
     while True:
         winners = given.groupBy("slug").agg(F.min("ord").alias("winner"), F.count("*").alias("rows")).where("rows > 1")
-        lost = keep(given.join(winners, "slug").where(F.col("ord") != F.col("winner")).select("ord", "seq"))
+        lost = keep(given.join(winners, "slug").where(F.col("ord") != F.col("winner")).select("ord", "base"))
         if lost.isEmpty():
             return given.select("ord", "slug")
-        met = lost.select("seq").distinct()
-        again = given.join(met, "seq", "left_semi").join(lost.select("ord", F.lit(1).alias("_lost")), "ord", "left")
-        again = again.select("ord", "seq", "head", "base", (F.col("at") + F.coalesce("_lost", F.lit(0))).alias("own"))
-        given = keep(given.join(met, "seq", "left_anti").unionByName(_slugs(again, used)))
+        met = lost.select("base").distinct()
+        again = given.join(met, "base", "left_semi").join(lost.select("ord", F.lit(1).alias("_lost")), "ord", "left")
+        again = again.select("ord", "head", "base", (F.col("place") + F.coalesce("_lost", F.lit(0))).alias("place"))
+        given = keep(given.join(met, "base", "left_anti").unionByName(_slugs(again, used)))
 
 
 def free_slugs(wanted: DataFrame, taken: DataFrame, base: str = "base", order: str = "ord") -> DataFrame:
