@@ -19,7 +19,9 @@ from .common import U64, keep, mix, partitions
 _COLUMNS = ["entries", "components", "keys", "tags"]
 #: Of keys that more than two entries have, one in so many pairs its members with the smallest of them.
 STAR_SHARE = 8
-#: Pairs that a reducer looks at in one step, about.
+#: Keys that one reducer takes, about.
+REDUCER_KEYS = 1_000_000
+#: Pairs that a reducer looks at in one step, about; and words of bits that it compares at once.
 STEP = 2_000_000
 _MET = "kind int, a bigint, b bigint, n bigint, dest int, entries binary, keys binary, tags binary"
 
@@ -118,36 +120,84 @@ def _within(low: np.ndarray, high: np.ndarray, offset: int) -> Iterator[tuple[np
         start = end
 
 
-def _fitting(t: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """kind 0: entries of different components that may have enough in common from a shared key on. A tag holds an entry's size (upper half) and its keys from this one on, ``left``.
+def _candidates(g: Group, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries of different components that may have enough in common from a shared key on, a bounded number at once. A tag holds an entry's size (upper half) and its keys from this one on, ``left``.
 
     Entries of sizes r and s need t(r+s)/(100+t) in common, so an entry has room for partners of up to left(100+t)/t - r. The smaller of a pair
     must have room for one of its own size; such entries are *strong*. An entry that is not meets smaller strong ones only. Of the strong ones, those of the component that most of them have meet
     only entries of others.
     """
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        g = Group(group)
-        size, left = g.tag >> 32, g.tag & 0xFFFFFFFF
-        room = left * (100 + t) // t - size
-        a_found, b_found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in np.flatnonzero(g.mixed & (g.size > 1)):
-            rows = np.arange(g.first[k], g.first[k] + g.size[k])
-            strong = rows[room[rows] >= size[rows]]
-            if not len(strong):
-                continue
-            strong = strong[np.argsort(size[strong], kind="stable")]
-            named, count = np.unique(g.component[strong], return_counts=True)
-            in_main = g.component[strong] == named[np.argmax(count)]
-            for small, large in ((strong[~in_main], rows), (strong[in_main], rows[g.component[rows] != named[np.argmax(count)]])):
-                low = np.searchsorted(size[small], -(-size[large] * t // 100), "left")
-                high = np.searchsorted(size[small], np.minimum(size[large], room[large]), "right")
-                for i, j in _within(low, high, 0):
-                    a, b = large[i], small[j]
-                    fits = (g.component[a] != g.component[b]) & (size[a] <= room[b])
-                    a_found.append(g.entry[a[fits]])
-                    b_found.append(g.entry[b[fits]])
-        return _pairs(0, np.concatenate(a_found), np.concatenate(b_found))
+    size, left = g.tag >> 32, g.tag & 0xFFFFFFFF
+    room = left * (100 + t) // t - size
+    for k in np.flatnonzero(g.mixed & (g.size > 1)):
+        rows = np.arange(g.first[k], g.first[k] + g.size[k])
+        strong = rows[room[rows] >= size[rows]]
+        if not len(strong):
+            continue
+        strong = strong[np.argsort(size[strong], kind="stable")]
+        named, count = np.unique(g.component[strong], return_counts=True)
+        in_main = g.component[strong] == named[np.argmax(count)]
+        for small, large in ((strong[~in_main], rows), (strong[in_main], rows[g.component[rows] != named[np.argmax(count)]])):
+            low = np.searchsorted(size[small], -(-size[large] * t // 100), "left")
+            high = np.searchsorted(size[small], np.minimum(size[large], room[large]), "right")
+            for i, j in _within(low, high, 0):
+                a, b = large[i], small[j]
+                fits = (g.component[a] != g.component[b]) & (size[a] <= room[b])
+                yield g.entry[a[fits]], g.entry[b[fits]]
+
+
+class Bits:
+    """Sets as rows of bits, one for each member that two of them have."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        values, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = count[number] > 1
+        place = np.cumsum(count > 1)[number[shared]] - 1
+        self.rows = np.zeros((len(sets), int((count > 1).sum()) // 64 + 1), U64)
+        np.bitwise_or.at(self.rows, (owner[shared], place // 64), U64(1) << (place % 64).astype(U64))
+
+    def linked(self, a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+        """Whether sets a and b, pair by pair, have t percent of their union in common."""
+        out, step = np.zeros(len(a), bool), max(1, STEP // self.rows.shape[1])
+        for at in range(0, len(a), step):
+            x, y = a[at : at + step], b[at : at + step]
+            common = np.bitwise_count(self.rows[x] & self.rows[y]).sum(1, dtype=np.int64)
+            out[at : at + step] = 100 * common >= t * (self.size[x] + self.size[y] - common)
+        return out
+
+
+def _links(t: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def meet(group: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """Links a, b between entries of a reducer that unite them as all of its links would: those that join two of what is not yet joined here."""
+        found: list[tuple[int, int]] = []
+        if len(group) and len(held):
+            g = Group(group)
+            entry = held["entry"].to_numpy()
+            order = np.argsort(entry)
+            entry, bits = entry[order], Bits([np.frombuffer(held["members"].iat[i], np.int64) for i in order])
+            # components of this reducer: those that the entries come with, and what links here join
+            root = {c: c for c in np.unique(g.component).tolist()}
+            component = np.empty(len(entry), np.int64)
+            component[np.searchsorted(entry, g.entry)] = g.component
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for a, b in _candidates(g, t):
+                pair = np.unique(np.stack([np.searchsorted(entry, np.minimum(a, b)), np.searchsorted(entry, np.maximum(a, b))], 1), axis=0)
+                now = {c: top(c) for c in root}
+                joined = np.array([now[c] for c in component.tolist()])
+                pair = pair[joined[pair[:, 0]] != joined[pair[:, 1]]]
+                for i, j in pair[bits.linked(pair[:, 0], pair[:, 1], t)].tolist():
+                    x, y = top(int(component[i])), top(int(component[j]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((int(entry[i]), int(entry[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return meet
 
@@ -160,9 +210,29 @@ def _gather(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"entry": entry[first], "keys": np.split(key, first[1:]), "tags": np.split(tag, first[1:])})
 
 
+def _blobs(entries: DataFrame, n: int) -> DataFrame:
+    return entries.select("entry", "component", "keys", "tags").mapInArrow(_deal(n), "reducer int, entries binary, components binary, keys binary, tags binary")
+
+
 def _met(entries: DataFrame, meet: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    blobs = entries.select("entry", "component", "keys", "tags").mapInArrow(_deal(partitions(entries.sparkSession)), "reducer int, entries binary, components binary, keys binary, tags binary")
-    return keep(blobs.groupBy("reducer").applyInPandas(meet, _MET))
+    return keep(_blobs(entries, partitions(entries.sparkSession)).groupBy("reducer").applyInPandas(meet, _MET))
+
+
+def _members(n: int):
+    """(entry, keys, members) to one row for each reducer that has a key of the entry: reducer, entry, members as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys = batch.column("keys").offsets.to_numpy(), _flat(batch.column("keys"))
+            to = ((mix(keys.view(U64)) >> U64(20)) % U64(n)).astype(np.int32)
+            ends, members = batch.column("members").offsets.to_numpy(), batch.column("members").values.to_numpy()
+            entries = batch.column("entry").to_numpy()
+            for i in range(batch.num_rows):
+                reducers = np.unique(to[at[i] - at[0] : at[i + 1] - at[0]])
+                blob = members[ends[i] : ends[i + 1]].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(reducers), pa.array(np.full(len(reducers), entries[i])), pa.array([blob] * len(reducers), pa.binary())], ["reducer", "entry", "members"])
+
+    return run
 
 
 def _found(met: DataFrame, kind: int) -> DataFrame:
@@ -185,6 +255,15 @@ def shared_parts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _of_entries(met), _found(met, 1)
 
 
-def fitting_pairs(entries: DataFrame, t: int) -> DataFrame:
-    """Pairs a < b of different components that may have t percent of their union in common, by a key of both. keys: of each entry as many as must hold one of those in common, in one order of all keys; tags: its size times 2^32 plus its keys from that one on (see ``_fitting``)."""
-    return _found(_met(entries, _fitting(t)), 0)
+def fitting_links(entries: DataFrame, t: int) -> DataFrame:
+    """Links (a, b) of entries of different components that have t percent of their union in common, as many as unite them as all such links would. ``members``: all that is in an entry's set; keys: as many of these as must hold one
+    of those that two have in common, in one order of all keys; tags: the set's size times 2^32 plus how many of its shared members stand from that key on (see ``_candidates``).
+
+    A set goes once to each reducer that has a key of it, and pairs are compared there, as bits, so that only links leave the reducer, and of these no more than join something: their number is bounded by that of the
+    entries, whatever the number of pairs.
+    """
+    n_keys = entries.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    n = max(partitions(entries.sparkSession), int(n_keys / REDUCER_KEYS) + 1)
+    held = entries.select("entry", "keys", "members").mapInArrow(_members(n), "reducer int, entry bigint, members binary")
+    met = _blobs(entries, n).groupBy("reducer").cogroup(held.groupBy("reducer")).applyInPandas(_links(t), "a bigint, b bigint")
+    return keep(met).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHasher, by_bytes, keep, mix, partitions, shingles, small_batches, utf8
 from .components import components
-from .hot_keys import fitting_pairs, opposite_pairs, shared_parts
+from .hot_keys import fitting_links, opposite_pairs, shared_parts
 
 WIDTH, THRESHOLD = 5, 75
 #: Upper end of a band over its lower end.
@@ -381,8 +381,8 @@ def _compared(rest: DataFrame, also: DataFrame, sets: DataFrame, links: DataFram
     length = (F.col("shared") - F.ceil(F.col("size") * t / 100) + 1).cast("int")
     place = lambda x, i: F.shiftleft(F.col("size"), 32) + F.col("shared") - i
     left = left.withColumn("rare", F.slice(ranked, F.lit(1), length)).select("entry", "component", F.transform("rare", lambda x: x["key"]).alias("keys"), F.transform("rare", place).alias("tags"))
-    found = keep(_linked(fitting_pairs(keep(left), t).select("a", "b"), sets, t))
-    return links.unionByName(found)
+    left = left.join(sets.select(F.col("node").alias("entry"), F.col("shingles").alias("members")), "entry")
+    return links.unionByName(fitting_links(keep(left), t))
 
 
 def _cross_pairs(members: DataFrame, united: DataFrame) -> DataFrame:

@@ -284,3 +284,33 @@ def test_sets_of_few_hot_parts(spark, monkeypatch, seed, hot):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
     assert got == groups(texts)
+
+
+def test_links_leave_a_task_only_as_they_join(spark):
+    """Entries that all share keys: pairs are compared where they meet, and as many links come out as unite what all links would."""
+    import numpy as np
+    from millrace.llm import hot_keys
+
+    draw = random.Random(12)
+    sets = {i: sorted({*range(100, 100 + 30), *(draw.randrange(1000, 1020) for _ in range(draw.randrange(12)))}) for i in range(80)}
+    rows = [(i, i % 60, x, [(len(x) << 32) + len(x) - j for j in range(len(x))], x) for i, x in sets.items()]
+    df = spark.createDataFrame(rows, "entry long, component long, keys array<long>, tags array<long>, members array<long>")
+    got = [tuple(r) for r in hot_keys.fitting_links(df, 75).collect()]
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    assert set(got) <= linked and len(got) < len(linked) / 4
+
+    def united(pairs):
+        root = {i: i % 60 for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+            by = {}
+            for i, r in root.items():
+                by[i % 60] = min(by.get(i % 60, r), r)
+            root = {i: by[i % 60] for i in sets}
+        return root
+
+    assert united(got) == united(linked)
+    bits = hot_keys.Bits([np.array(x) for x in sets.values()])
+    a, b = np.array([p[0] for p in linked]), np.array([p[1] for p in linked])
+    assert bits.linked(a, b, 75).all()
