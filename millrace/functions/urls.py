@@ -54,17 +54,24 @@ def normalize(url: Column) -> Column:
     return F.when(usable, out)
 
 
-def domain(name: Column) -> Column:
-    """The registrable domain of a host: one label more than its public suffix. Addresses, single labels and bare suffixes stay as they are."""
-    h = F.regexp_replace(F.lower(name), r"\.+$", "")
-    labels = F.split(h, r"\.")
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once: a one-element array gives it a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _registrable(h: Column, labels: Column) -> Column:
     n = F.size(labels)
     tail = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
     last, second, third = (F.coalesce(F.get(labels, n - i), F.lit("")) for i in (1, 2, 3))
     in_state = (last == "us") & second.isin(*US_STATES)
     suffix = F.when(in_state & third.isin(*US_LOCALITIES), 3).when(in_state, 2).when((n > 3) & tail(3).isin(*SUFFIXES), 3).when((n > 2) & tail(2).isin(*SUFFIXES), 2).otherwise(1)
     address = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | h.contains(":")
-    return F.when(address | (n <= suffix), h).otherwise(F.array_join(F.slice(labels, n - suffix, suffix + 1), "."))
+    return _let(suffix, lambda k: F.when(address | (n <= k), h).otherwise(F.array_join(F.slice(labels, n - k, k + 1), ".")))
+
+
+def domain(name: Column) -> Column:
+    """The registrable domain of a host: one label more than its public suffix. Addresses, single labels and bare suffixes stay as they are."""
+    return _let(F.regexp_replace(F.lower(name), r"\.+$", ""), lambda h: _let(F.split(h, r"\."), lambda labels: _registrable(h, labels)))
 
 
 def source_domain(url: Column) -> Column:
