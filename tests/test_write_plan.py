@@ -169,9 +169,8 @@ def check(spark, seed, tables, events, collected):
 
 def test_plan_follows_the_walk(spark):
     tables, events, collected = tables_of(spark, 1)
-    after, actions, _ = check(spark, 1, tables, events, collected)
+    _, actions, _ = check(spark, 1, tables, events, collected)
     assert {"excluded", "held", "insert", "update", "merge"} <= actions
-    check(spark, 1, after, events, collected)
 
 
 def test_a_second_run_changes_nothing(spark):
