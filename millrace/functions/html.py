@@ -108,6 +108,11 @@ def title(html: Column) -> Column:
     return F.trim(decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)))
 
 
+def plain_title(html: Column) -> Column:
+    """The text of the first ``<title>`` that is written so and ends on its line, as it stands but for ampersands."""
+    return F.replace(F.trim(F.regexp_extract(html, r"(?d)<title>(.*?)</title>", 1)), F.lit("&amp;"), F.lit("&"))
+
+
 def links(html: Column) -> Column:
     """Each link's address and text, in order."""
     tag = r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
