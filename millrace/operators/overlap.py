@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kept import keep
+from .kept import dealt, keep
 
 #: Sets that may hold a word whose postings are read whole; frequent words of a search set that are taken in groups, and of a held set (those with more are met word by word).
 RARE, GROUPED, LISTED = 64, 5, 8
@@ -40,14 +40,14 @@ def most_shared(searched: DataFrame, held: DataFrame, most: int) -> DataFrame:
     counted = keep(postings.groupBy("place", "word").agg(F.count("*").alias("df")))
 
     # the words that the register holds, the rarest first; the last ones that are frequent go in groups
-    asked = searched.select("asked", "place", F.explode("words").alias("word")).join(counted, ["place", "word"])
+    asked = searched.select("asked", "place", F.explode("words").alias("word")).join(dealt(counted), ["place", "word"])
     asked = asked.groupBy("asked", "place").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
     frequent = F.least(F.lit(GROUPED), F.size(F.filter("w", lambda x: x["df"] > RARE)))
     asked = asked.select("asked", "place", F.transform("w", lambda x: x["word"]).alias("words"), frequent.alias("n"))
     own, often = F.slice("words", F.lit(1), F.size("words") - F.col("n")), F.array_sort(F.slice("words", F.size("words") - F.col("n") + 1, F.col("n")))
     asked = keep(asked.select("asked", "place", "words", own.alias("own"), often.alias("often"), F.xxhash64("place", often).alias("group_id")))
 
-    # held sets' frequent words among those that are searched for in groups
+    # held sets' frequent words among those that are searched for in groups; few, so this join alone may broadcast
     groups = asked.where(F.size("often") > 0).select("place", "often", "group_id").distinct()
     sought = groups.select("place", F.explode("often").alias("word")).distinct()
     listed = postings.join(sought, ["place", "word"], "left_semi").groupBy("place", "set").agg(F.array_sort(F.collect_list("word")).alias("often"))
@@ -57,19 +57,19 @@ def most_shared(searched: DataFrame, held: DataFrame, most: int) -> DataFrame:
     # one row for each pair, at the rarest word that both have
     shared = F.array_intersect(F.col("a.words"), F.col("h.words"))
     rare = asked.select("asked", "place", "words", F.explode("own").alias("word")).alias("a")
-    holders = postings.join(asked.select("place", F.explode("own").alias("word")).distinct(), ["place", "word"], "left_semi").join(sets.select("set", "words", "ids"), "set").alias("h")
-    pairs = rare.join(holders, ["place", "word"]).where(F.get(shared, F.lit(0)) == F.col("word")).select("asked", F.size(shared).alias("shared"), "ids")
-    wide = sets.join(many, "set", "left_semi").select("place", "words", "ids", F.explode("words").alias("word")).alias("h")
+    holders = postings.join(dealt(asked.select("place", F.explode("own").alias("word")).distinct()), ["place", "word"], "left_semi").join(dealt(sets.select("set", "words", "ids")), "set").alias("h")
+    pairs = rare.join(dealt(holders), ["place", "word"]).where(F.get(shared, F.lit(0)) == F.col("word")).select("asked", F.size(shared).alias("shared"), "ids")
+    wide = sets.join(dealt(many), "set", "left_semi").select("place", "words", "ids", F.explode("words").alias("word")).alias("h")
     every = asked.select("asked", "place", "words", F.explode("words").alias("word")).alias("a")
-    pairs = pairs.unionByName(every.join(wide, ["place", "word"]).where(F.get(shared, F.lit(0)) == F.col("word")).select("asked", F.size(shared).alias("shared"), "ids"))
+    pairs = pairs.unionByName(every.join(dealt(wide), ["place", "word"]).where(F.get(shared, F.lit(0)) == F.col("word")).select("asked", F.size(shared).alias("shared"), "ids"))
     seen = pairs.select("asked", "shared", F.explode("ids").alias("id"))
 
     key = F.array_join("g", " ")
     wanted = groups.select("place", "group_id", F.explode(_groups(F.col("often"))).alias("g")).select("place", "group_id", key.alias("key"), F.size("g").alias("shared"))
-    offered = listed.join(many, "set", "left_anti").select("place", "set", F.explode(_groups(F.col("often"))).alias("g")).select("place", "set", key.alias("key"))
-    offered = offered.join(wanted.select("place", "key").distinct(), ["place", "key"], "left_semi").join(sets.select("set", F.explode("ids").alias("id")), "set")
-    lists = wanted.join(_first(offered, ["place", "key"], ["id"], most), ["place", "key"]).groupBy("group_id", "id").agg(F.max("shared").alias("shared"))
+    offered = listed.join(dealt(many), "set", "left_anti").select("place", "set", F.explode(_groups(F.col("often"))).alias("g")).select("place", "set", key.alias("key"))
+    offered = offered.join(dealt(wanted.select("place", "key").distinct()), ["place", "key"], "left_semi").join(dealt(sets.select("set", F.explode("ids").alias("id"))), "set")
+    lists = wanted.join(dealt(_first(offered, ["place", "key"], ["id"], most)), ["place", "key"]).groupBy("group_id", "id").agg(F.max("shared").alias("shared"))
     by_group = _first(lists, ["group_id"], [F.col("shared").desc(), "id"], most)
-    grouped = asked.where(F.size("often") > 0).select("asked", "group_id").join(by_group, "group_id").select("asked", "shared", "id")
+    grouped = asked.where(F.size("often") > 0).select("asked", "group_id").join(dealt(by_group), "group_id").select("asked", "shared", "id")
     best = seen.unionByName(grouped).groupBy("asked", "id").agg(F.max("shared").alias("shared"))
     return _first(best, ["asked"], [F.col("shared").desc(), "id"], most)
