@@ -16,6 +16,7 @@ from ..operators import selection as C
 from ..operators import similar as M
 from ..operators import state as S
 from ..operators import write_plan as W
+from ..operators.kept import dealt, keep
 from ..sources.directory import NOW, TODAY, Directory
 from .core import Plans
 from .scalars import _TOKENS
@@ -185,13 +186,18 @@ def state_zones(d: Directory) -> DataFrame:
 
 @plans.query("facility_pairs", f"SELECT p.id AS a, c.id AS b FROM courses p JOIN courses c ON p.state = c.state AND p.id < c.id AND {_DIST} <= 3 ", ("courses",))
 def facility_pairs(d: Directory) -> DataFrame:
-    """Courses within 3 km: only those of one state and neighbouring cells of a grid meet."""
+    """Courses within 3 km: distances are those of places, of which many courses may share one; only places of one state and neighbouring cells of a grid meet, and only near ones are told their courses."""
     cell = lambda x: F.floor(x / 0.05).cast("int")
-    c = d.courses.select("id", "state", "lat", "lng", cell(F.col("lat")).alias("row"), cell(F.col("lng")).alias("col"))
-    near = c.select(F.col("id").alias("a"), "state", F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a"), F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)).alias("row"), "col")
-    near = near.select("a", "state", "lat_a", "lng_a", "row", F.explode(F.sequence(F.col("col") - 1, F.col("col") + 1)).alias("col"))
-    pairs = near.join(c.withColumnRenamed("id", "b"), ["state", "row", "col"])
-    return pairs.where((F.col("a") < F.col("b")) & (haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat"), F.col("lng")) <= F.lit(3.0))).select("a", "b")
+    courses = d.courses.select("id", F.xxhash64("state", "lat", "lng").alias("place"), "state", "lat", "lng")
+    courses = keep(courses.where("state is not null and lat is not null and lng is not null"))
+    places = keep(courses.select("place", "state", "lat", "lng").distinct().withColumn("row", cell(F.col("lat"))).withColumn("col", cell(F.col("lng"))))
+    near = places.select(F.col("place").alias("place_a"), "state", F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a"), F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)).alias("row"), "col")
+    near = near.select("place_a", "state", "lat_a", "lng_a", "row", F.explode(F.sequence(F.col("col") - 1, F.col("col") + 1)).alias("col"))
+    within = haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat"), F.col("lng")) <= F.lit(3.0)
+    links = keep(near.join(places.withColumnRenamed("place", "place_b"), ["state", "row", "col"]).where("place_a <= place_b").where(within).select("place_a", "place_b"))
+    first = dealt(courses.select(F.col("place").alias("place_a"), F.col("id").alias("a")))
+    second = dealt(courses.select(F.col("place").alias("place_b"), F.col("id").alias("b")))
+    return links.join(first, "place_a").join(second, "place_b").where("place_a < place_b or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 # ---- selection
