@@ -102,6 +102,7 @@ def write_plan(events: DataFrame, tables: Tables, collected: DataFrame, listing:
     that course and day with the same organizer or outing, else one expected of the same course and organizer within a month. Clusters without one are added. Stored outings all of whose
     sources were read, and none gave them, lose their confidence.
     """
+    events = keep(events)
     rank = F.struct(K.precedence(F.col("kind")).alias("rank"), (-F.col("confidence")).alias("less"), "ord", "event_id")
     live = keep(lifted(events, tables.outings, domain).withColumn("at", rank))
     active = live.where("(hold_reason is null or lifted) and course_id is not null and start_date is not null").withColumn("confidence", F.when(F.col("lifted"), F.greatest("confidence", F.lit(S.PUBLISH_CONFIDENCE))).otherwise(F.col("confidence")))
