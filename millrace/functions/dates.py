@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def is_iso_date(text: Column) -> Column:
     """A real calendar day as YYYY-MM-DD."""
-    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date").cast("string") == text), F.lit(False))
+    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (text.try_cast("date").cast("string") == text), F.lit(False))
 
 
 def is_time(text: Column) -> Column:

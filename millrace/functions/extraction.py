@@ -42,21 +42,24 @@ def year_problem(start_date: Column, evidence: Column, page: Column, url: Column
     before it is an earlier one. Without a page only the first can be told.
     """
     quote = F.coalesce(evidence, F.lit(""))
-    quoted = _years(quote)
-    early = F.get(F.filter(quoted, lambda y: y < year), F.lit(0))
     decoded = F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
     event_year = F.substring(start_date, 1, 4)
     stated = F.concat_ws(" ", page, decoded, title, quote).contains(event_year)
     at = F.when(quote != "", F.position(F.lower(F.substring(quote, 1, QUOTE_START)), F.lower(page))).otherwise(0)
-    before = F.substring(page, F.greatest(at - DATE_REACH, F.lit(1)), F.when(at > DATE_REACH, F.lit(DATE_REACH)).otherwise(F.greatest(at - 1, F.lit(0))))
-    dated = _years(before)
-    nearest = F.when((F.size(quoted) == 0) & (at > 0) & (F.size(dated) > 0), F.element_at(dated, -1))
-    return (
-        F.when(early.isNotNull(), F.concat(F.lit("past: the page states "), early.cast("string")))
-        .when(page.isNull(), None)
-        .when(~stated, F.concat(F.lit("year "), event_year, F.lit(" is not stated on the page")))
-        .when(nearest < year, F.concat(F.lit("past: the page is dated "), nearest.cast("string")))
-    )
+    before = lambda at: F.substring(page, F.greatest(at - DATE_REACH, F.lit(1)), F.when(at > DATE_REACH, F.lit(DATE_REACH)).otherwise(F.greatest(at - 1, F.lit(0))))
+    last = lambda years: F.when(F.size(years) > 0, F.element_at(years, -1))
+    nearest = T.let(at, lambda found: F.when(found > 0, T.let(_years(before(found)), last)))
+    dated = T.let(nearest, lambda y: F.when(y < year, F.concat(F.lit("past: the page is dated "), y.cast("string"))))
+
+    def problem(quoted: Column, early: Column) -> Column:
+        return (
+            F.when(early.isNotNull(), F.concat(F.lit("past: the page states "), early.cast("string")))
+            .when(page.isNull(), None)
+            .when(~stated, F.concat(F.lit("year "), event_year, F.lit(" is not stated on the page")))
+            .when(F.size(quoted) == 0, dated)
+        )
+
+    return T.let(_years(quote), lambda quoted: T.let(F.get(F.filter(quoted, lambda y: y < year), F.lit(0)), lambda early: problem(quoted, early)))
 
 
 def is_free_event(single: Column, foursome: Column, sponsors_only: Column, quote: Column) -> Column:
@@ -81,9 +84,8 @@ def preferred_date(start_date: Column, structured: Column, single_event: Column)
 
     On a page of one event the first structured date counts, on others only one that agrees.
     """
-    dated = F.filter(structured, lambda d: d.isNotNull())
-    chosen = F.when(single_event, F.get(dated, F.lit(0))).otherwise(F.when(F.array_contains(dated, start_date), start_date))
-    return F.struct(F.coalesce(chosen, start_date).alias("start_date"), F.coalesce(chosen != start_date, F.lit(False)).alias("disagrees"), chosen.isNotNull().alias("from_structured"))
+    chosen = F.when(single_event, F.get(F.filter(structured, lambda d: d.isNotNull()), F.lit(0))).otherwise(F.when(F.array_contains(structured, start_date), start_date))
+    return T.let(chosen, lambda day: F.struct(F.coalesce(day, start_date).alias("start_date"), F.coalesce(day != start_date, F.lit(False)).alias("disagrees"), day.isNotNull().alias("from_structured")))
 
 
 def canonical_url(source_url: Column, registration_url: Column, directory_host: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Parameters that only track clicks, and the beginnings of others; the longest URL; second labels that a country sells under.
 TRACKING = ["fbclid", "gclid", "dclid", "gbraid", "wbraid", "msclkid", "igshid", "yclid", "_hsenc", "_hsmi", "_ga", "_gl", "mkt_tok"]
 TRACKING_PREFIXES = ["utm_", "mc_"]
@@ -54,11 +56,6 @@ def normalize(url: Column) -> Column:
     return F.when(usable, out)
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value worked out once: a one-element array gives it a name."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _registrable(h: Column, labels: Column) -> Column:
     n = F.size(labels)
     tail = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
@@ -66,12 +63,12 @@ def _registrable(h: Column, labels: Column) -> Column:
     in_state = (last == "us") & second.isin(*US_STATES)
     suffix = F.when(in_state & third.isin(*US_LOCALITIES), 3).when(in_state, 2).when((n > 3) & tail(3).isin(*SUFFIXES), 3).when((n > 2) & tail(2).isin(*SUFFIXES), 2).otherwise(1)
     address = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | h.contains(":")
-    return _let(suffix, lambda k: F.when(address | (n <= k), h).otherwise(F.array_join(F.slice(labels, n - k, k + 1), ".")))
+    return let(suffix, lambda k: F.when(address | (n <= k), h).otherwise(F.array_join(F.slice(labels, n - k, k + 1), ".")))
 
 
 def domain(name: Column) -> Column:
     """The registrable domain of a host: one label more than its public suffix. Addresses, single labels and bare suffixes stay as they are."""
-    return _let(F.regexp_replace(F.lower(name), r"\.+$", ""), lambda h: _let(F.split(h, r"\."), lambda labels: _registrable(h, labels)))
+    return let(F.regexp_replace(F.lower(name), r"\.+$", ""), lambda h: let(F.split(h, r"\."), lambda labels: _registrable(h, labels)))
 
 
 def source_domain(url: Column) -> Column:
@@ -80,8 +77,7 @@ def source_domain(url: Column) -> Column:
 
 def suffixes(name: Column) -> Column:
     """A host and every domain above it, so that a list of domains is an equi-join."""
-    labels = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return let(F.split(name, r"\."), lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 def registration_url(url: Column, page: Column, allowed: list[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import extraction as E
+from ..functions import text as T
 from ..functions import urls as U
 from . import state as S
 from .kept import keep
@@ -34,8 +35,7 @@ class Collected(NamedTuple):
 
 
 def _trimmed(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(bare != "", bare)
+    return T.let(F.regexp_replace(text, r"^\s+|\s+$", ""), lambda bare: F.when(bare != "", bare))
 
 
 def collected(results: DataFrame, meta: DataFrame, now: Column, zone: Callable[[Column], Column], year: int, hosts: list[str]) -> Collected:
@@ -98,7 +98,9 @@ def collected(results: DataFrame, meta: DataFrame, now: Column, zone: Callable[[
     hold = F.when(F.col("_outing"), F.when(start.isNull(), "no_date").when(F.col("status") == "unknown", "status_unknown").when(F.col("confidence") < S.PUBLISH_CONFIDENCE, "low_confidence"))
     digits = F.regexp_replace("organizer_ein", r"\D", "")
     link = F.col("registration_url")
-    allowed = F.coalesce(U.domain(U.host(link)) == U.domain(U.host(F.col("page_url"))), F.lit(False)) | F.exists(U.suffixes(F.coalesce(U.host(link), F.lit(""))), lambda s: s.isin(*hosts))
+    # hosts are told once for each event
+    good = good.withColumn("_host", U.host(link)).withColumn("_page_host", U.host(F.col("page_url")))
+    allowed = F.coalesce(U.domain(F.col("_host")) == U.domain(F.col("_page_host")), F.lit(False)) | F.exists(U.suffixes(F.coalesce("_host", F.lit(""))), lambda s: s.isin(*hosts))
     events = good.select(
         "page_url", "event_index", "title", "summary", start.alias("start_date"), F.col("new_end").alias("end_date"), F.when(D.is_time(F.col("shotgun_time")), F.col("shotgun_time")).alias("shotgun_time"), "organizer_name", F.when(F.length(digits) == 9, digits).alias("organizer_ein"),
         "course_name", "venue_state", "venue_city", "single_price_cents", "foursome_price_cents", "sponsor_only", "is_outing", "reject_reason", "status", F.when(allowed, U.normalize(link)).alias("registration_url"), "evidence", "confidence", hold.alias("hold_reason"),
