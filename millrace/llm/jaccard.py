@@ -165,7 +165,7 @@ def _describe(width: int):
 
 
 def _emit(width: int, t: int, n_reducers: int):
-    """Of each batch, one row for each reducer: the ids and bands of its sets, how many keys each sends there, and the lowest 5 bytes of the keys.
+    """Of each batch, one row for each reducer: the ids of its sets, how many keys each sends there, and the band and the lowest 5 bytes of each key. An id goes to a reducer once, whatever the bands.
 
     Rows for negative reducers hold how many keys each set has in each band beyond its D.
     """
@@ -194,9 +194,9 @@ def _emit(width: int, t: int, n_reducers: int):
                 out = []
                 for p in np.flatnonzero(np.diff(ends)):
                     n, b, k = nodes[ends[p] : ends[p + 1]], bands[ends[p] : ends[p + 1]], keys[ends[p] : ends[p + 1]]
-                    new = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (b[1:] != b[:-1])])
+                    new = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
                     octets = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-                    out.append((int(p), n[new].tobytes(), b[new].tobytes(), np.diff(np.r_[new, len(n)]).astype(np.uint32).tobytes(), octets.tobytes()))
+                    out.append((int(p), n[new].tobytes(), b.tobytes(), np.diff(np.r_[new, len(n)]).astype(np.uint32).tobytes(), octets.tobytes()))
                 spared, own, left = (np.concatenate(x) for x in zip(*spare, strict=True))
                 to = spared % n_reducers
                 for p in np.unique(to):
@@ -226,7 +226,7 @@ def _meet(t: int):
             return pd.DataFrame({"kind": np.full(len(rows), 3), "x": rows[:, 0], "y": rows[:, 1], "n": rows[:, 2]})
         counts = [np.frombuffer(x, np.uint32) for x in group["counts"]]
         node = np.concatenate([np.repeat(a, c) for a, c in zip(nodes, counts, strict=True)])
-        band = np.concatenate([np.repeat(a, c) for a, c in zip(bands, counts, strict=True)])
+        band = np.concatenate(bands)
         octets = np.frombuffer(b"".join(group["key_bytes"]), np.uint8).reshape(-1, KEY_BYTES)
         eight = np.zeros((len(octets), 8), np.uint8)
         eight[:, :KEY_BYTES] = octets
@@ -440,7 +440,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH, t: int = THRESHOLD, id
     nodes = described.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.first("n_shingles").alias("size"))
     n, keys = described.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0)) * 0.8).first()
     nodes = keep(nodes, n)
-    n_reducers = 4 * max(partitions(spark), int(keys / REDUCER_KEYS / 4) + 1)
+    n_reducers = max(partitions(spark), int(keys / REDUCER_KEYS) + 1)
     blobs = documents.select("text").mapInArrow(_emit(width, t, n_reducers), "reducer int, nodes binary, bands binary, counts binary, key_bytes binary")
     met = keep(blobs.groupBy("reducer").applyInPandas(_meet(t), "kind int, x bigint, y bigint, n bigint"))
 
